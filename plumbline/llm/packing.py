@@ -5,11 +5,11 @@ sequences alone. The rest of each document goes, in descending length, to the op
 lowest estimated attention cost, ``linear * length + quadratic * length ** 2`` summed over its
 pieces, among those with room for all of it; where no sequence has that room, the one of lowest
 cost with any room takes what fits and the remainder is placed next. A window of documents opens
-exactly ceil(tokens / capacity) sequences, so all but at most one of them end up full.
+exactly ceil(tokens / capacity) sequences, so its padding is below one sequence in all.
 
 Windows are runs of at most ``window_tokens`` rest tokens inside a task: token ids never cross the
 network and a task's memory is bounded by one window. A sequence id is the task's partition number
-times 2**32 plus a counter. Padding is below one sequence for each window.
+times 2**32 plus a counter.
 
 Null text counts as empty (the end id alone). Equal lengths are ordered by doc_id (nulls first),
 then by place in the task. Repeated rows are packed each. Extra columns are ignored.
