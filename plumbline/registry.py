@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from plumbline.plans import base, pricing  # noqa: F401  (registers)
 
 FLAGSHIP = "estimate_totals"
-Query = Callable[[SparkSession, str], DataFrame]
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
