@@ -85,7 +85,7 @@ def quantity_exclusions(t: Tables) -> DataFrame:
 
 @query("""
 WITH hints AS (SELECT p_partkey AS entity_id, 'length' AS quantity_type, CAST(p_size AS DOUBLE) AS value, p_type AS unit, p_size % 2 = 0 AS strict FROM part),
-measured AS (SELECT DISTINCT l_partkey AS entity_id FROM lineitem WHERE l_linenumber = 1)
+measured AS (SELECT DISTINCT l_partkey AS entity_id FROM lineitem WHERE l_quantity > 45)
 SELECT entity_id, quantity_type, value, unit FROM hints WHERE strict AND unit IS NOT NULL AND entity_id NOT IN (SELECT entity_id FROM measured)
 """)
 def hint_fallback(t: Tables) -> DataFrame:
@@ -94,7 +94,7 @@ def hint_fallback(t: Tables) -> DataFrame:
         F.col("p_partkey").alias("entity_id"), F.lit("length").alias("quantity_type"), F.col("p_size").cast("double").alias("value"),
         F.col("p_type").alias("unit"), (F.col("p_size") % 2 == 0).alias("strict"), F.lit(0).alias("position"),
     )
-    measured = t.lineitem.where("l_linenumber = 1").select(F.col("l_partkey").alias("entity_id"))
+    measured = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("entity_id"))
     return quantities.hint_fallback(measured, hints, ["entity_id"])
 
 
@@ -169,7 +169,7 @@ def catalog_as_of(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH {CATALOG}, superseded AS (SELECT p_partkey AS predecessor_id, p_partkey + 1 AS successor_id FROM part WHERE p_partkey % 10 = 1)
+WITH {CATALOG}, superseded AS (SELECT p_partkey AS predecessor_id, p_partkey + 1 AS successor_id FROM part WHERE p_size = 1)
 SELECT e.entry_id, s.successor_id, b.predecessor_id FROM entries e LEFT JOIN superseded s ON e.entry_id = s.predecessor_id LEFT JOIN superseded b ON e.entry_id = b.successor_id
 """)
 def catalog_supersession(t: Tables) -> DataFrame:
@@ -178,12 +178,12 @@ def catalog_supersession(t: Tables) -> DataFrame:
 
 
 def _edges(t: Tables) -> DataFrame:
-    return t.part.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("predecessor_id"), (F.col("p_partkey") + 1).alias("successor_id"))
+    return t.part.where("p_size = 1").select(F.col("p_partkey").alias("predecessor_id"), (F.col("p_partkey") + 1).alias("successor_id"))
 
 
 @query(f"""
 WITH {CATALOG} SELECT entry_id, item_key FROM entries
-WHERE effective_start <= DATE '1995-06-01' AND (effective_end IS NULL OR DATE '1995-06-01' < effective_end) AND entry_id % 10 <> 1
+WHERE effective_start <= DATE '1995-06-01' AND (effective_end IS NULL OR DATE '1995-06-01' < effective_end) AND entry_id NOT IN (SELECT p_partkey FROM part WHERE p_size = 1)
 """)
 def catalog_list(t: Tables) -> DataFrame:
     """Entries valid at a date, without superseded ones."""
@@ -248,7 +248,7 @@ def estimate_totals(t: Tables) -> DataFrame:
 @query("""
 SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'computed' ELSE 'division_by_zero' END AS status,
   CASE WHEN l_linenumber % 2 = 0 THEN CAST(round(CAST(CAST(l_quantity AS DECIMAL(28, 9)) * 19.99 AS DECIMAL(38, 12)), 2) AS DOUBLE) END AS amount
-FROM lineitem WHERE l_linenumber <= 4
+FROM lineitem
 """)
 def formula_amounts(t: Tables) -> DataFrame:
     """A typed formula compiled to a column; division by zero is a status."""
@@ -259,7 +259,7 @@ def formula_amounts(t: Tables) -> DataFrame:
             {"kind": "input", "name": "even"},
         ],
     }
-    lines = t.lineitem.where("l_linenumber <= 4").withColumn("even", F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(0))
+    lines = t.lineitem.withColumn("even", F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(0))
     made = estimate.formula_lines(lines, tree, {"quantity": ("l_quantity", "quantity"), "even": ("even", "scalar")})
     return made.select("l_orderkey", "l_linenumber", "status", F.col("amount").cast("double").alias("amount"))
 

@@ -14,18 +14,18 @@ from plumbline.sources import tables
 
 def _two_revisions(t: Tables) -> tuple[DataFrame, DataFrame]:
     """orders as two revisions: keys missing on either side, some digests changed, some keys null."""
-    key = F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderkey"))
+    key = F.when(F.col("o_orderpriority") != "2-HIGH", F.col("o_orderkey"))
     price = F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
-    base = t.orders.where("o_orderkey % 7 <> 0").select(key.alias("key"), F.md5(F.encode(price, "UTF-8")).alias("digest"), F.col("o_orderkey").alias("seq"), "o_orderpriority")
-    text = F.concat(price, F.when(F.col("o_orderkey") % 11 == 0, "x").otherwise(""))
-    other = t.orders.where("o_orderkey % 5 <> 0").select(key.alias("key"), F.md5(F.encode(text, "UTF-8")).alias("digest"), F.col("o_orderkey").alias("seq"), "o_orderpriority")
+    base = t.orders.where("o_orderstatus <> 'F'").select(key.alias("key"), F.md5(F.encode(price, "UTF-8")).alias("digest"), F.col("o_orderkey").alias("seq"), "o_orderpriority")
+    text = F.concat(price, F.when(F.col("o_totalprice") > 300000, "x").otherwise(""))
+    other = t.orders.where("o_orderpriority <> '5-LOW'").select(key.alias("key"), F.md5(F.encode(text, "UTF-8")).alias("digest"), F.col("o_orderkey").alias("seq"), "o_orderpriority")
     return base, other
 
 
 TWO = """
-price AS (SELECT *, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey END AS key, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS p FROM orders),
-base AS (SELECT key, md5(p) AS digest, o_orderpriority FROM price WHERE o_orderkey % 7 <> 0),
-other AS (SELECT key, md5(p || CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE '' END) AS digest, o_orderpriority FROM price WHERE o_orderkey % 5 <> 0)
+price AS (SELECT *, CASE WHEN o_orderpriority <> '2-HIGH' THEN o_orderkey END AS key, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS p FROM orders),
+base AS (SELECT key, md5(p) AS digest, o_orderpriority FROM price WHERE o_orderstatus <> 'F'),
+other AS (SELECT key, md5(p || CASE WHEN o_totalprice > 300000 THEN 'x' ELSE '' END) AS digest, o_orderpriority FROM price WHERE o_orderpriority <> '5-LOW')
 """
 
 
@@ -44,13 +44,17 @@ def revision_unkeyed(t: Tables) -> DataFrame:
     return diff.unkeyed_counts(*_two_revisions(t), "key")
 
 
-@query("""
-SELECT value, 'added' AS side FROM (SELECT DISTINCT p_type AS value FROM part WHERE p_partkey % 3 = 0 EXCEPT SELECT p_type FROM part WHERE p_partkey % 40 = 1)
-UNION ALL SELECT value, 'removed' FROM (SELECT DISTINCT p_type AS value FROM part WHERE p_partkey % 40 = 1 EXCEPT SELECT p_type FROM part WHERE p_partkey % 3 = 0)
+SEGMENT = "c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR)"
+
+
+@query(f"""
+WITH b AS (SELECT DISTINCT {SEGMENT} AS value FROM customer WHERE c_acctbal < 0), o AS (SELECT DISTINCT {SEGMENT} AS value FROM customer WHERE c_acctbal > 8000)
+SELECT value, 'added' AS side FROM (SELECT * FROM o EXCEPT SELECT * FROM b) UNION ALL SELECT value, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM o)
 """)
 def layer_differences(t: Tables) -> DataFrame:
     """Values on one side only."""
-    return diff.set_differences(t.part.where("p_partkey % 40 = 1"), t.part.where("p_partkey % 3 = 0"), "p_type")
+    named = t.customer.withColumn("layer", F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")))
+    return diff.set_differences(named.where("c_acctbal < 0"), named.where("c_acctbal > 8000"), "layer")
 
 
 @query(f"""
@@ -74,20 +78,19 @@ def coverage_delta(t: Tables) -> DataFrame:
 
 
 def _changesets(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Sets by o_custkey % 97; entities are orders; operations by the order's number."""
-    entities = t.orders.where("o_orderkey % 101 <> 0").select(F.col("o_orderkey").alias("entity"), F.col("o_orderpriority").alias("layer"))
-    kind = F.element_at(F.array(*map(F.lit, ("change_layer", "remove_entity", "flag_for_review", "change_layer"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    ops = t.lineitem.where("l_orderkey % 13 = 0").select(
-        (F.col("l_orderkey") % 397).alias("set_id"), F.col("l_orderkey").alias("entity"), kind.alias("operation_type"),
-        F.when(kind == "change_layer", F.col("l_shipdate").cast("date").cast("string")).alias("value"), (F.col("l_linenumber") * 1000003 + F.col("l_suppkey")).alias("sequence_index"),
+    """A set for each order; entities are parts; operations by line."""
+    entities = t.part.where("p_size > 2").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("layer"))
+    kind = F.element_at(F.array(*map(F.lit, ("change_layer", "remove_entity", "flag_for_review", "change_layer"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    ops = t.lineitem.select(
+        F.col("l_orderkey").alias("set_id"), F.col("l_partkey").alias("entity"), kind.alias("operation_type"),
+        F.when(kind == "change_layer", F.col("l_shipdate").cast("date").cast("string")).alias("value"), F.datediff("l_shipdate", F.lit("1970-01-01")).alias("sequence_index"),
     )
     return entities, ops
 
 
 @query("""
-WITH entities AS (SELECT o_orderkey AS entity, o_orderpriority AS layer FROM orders WHERE o_orderkey % 101 <> 0),
-ops AS (SELECT l_orderkey % 397 AS set_id, l_orderkey AS entity, l_linenumber % 4 AS k, CASE WHEN l_linenumber % 4 IN (0, 3) THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS value,
-  l_linenumber * 1000003 + l_suppkey AS seq FROM lineitem WHERE l_orderkey % 13 = 0),
+WITH entities AS (SELECT p_partkey AS entity, p_brand AS layer FROM part WHERE p_size > 2),
+ops AS (SELECT l_orderkey AS set_id, l_partkey AS entity, l_suppkey % 4 AS k, CASE WHEN l_suppkey % 4 IN (0, 3) THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS value, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS seq FROM lineitem),
 failed AS (SELECT DISTINCT set_id FROM ops WHERE entity NOT IN (SELECT entity FROM entities)),
 folded AS (SELECT set_id, entity, max(k = 1) AS removed, arg_max(value, CASE WHEN k IN (0, 3) THEN seq END) AS new_layer FROM ops WHERE set_id NOT IN (SELECT set_id FROM failed) GROUP BY ALL)
 SELECT set_id, entity, coalesce(new_layer, layer) AS layer, CASE WHEN removed THEN 'removed' WHEN new_layer IS NULL THEN 'metadata_only' WHEN new_layer = layer THEN 'unchanged' ELSE 'changed' END AS effect
@@ -209,20 +212,20 @@ def block_placement(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH declared AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_custkey % 100 <> 1 AND c_nationkey <> 7 GROUP BY 1), actual AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1)
+WITH declared AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > -900 AND c_nationkey <> 7 GROUP BY 1), actual AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1)
 SELECT coalesce(d.k, a.k) AS k, d.n AS declared, coalesce(a.n, 0) AS actual, d.n - coalesce(a.n, 0) AS delta, CASE WHEN d.n IS NULL THEN 'not_applicable' WHEN d.n = coalesce(a.n, 0) THEN 'match' ELSE 'drift' END AS status
 FROM declared d FULL JOIN actual a ON d.k = a.k
 """)
 def count_drift(t: Tables) -> DataFrame:
     """A5: declared against actual counts."""
     count = lambda df: df.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
-    return quality.count_drift(count(t.customer.where("c_custkey % 100 <> 1 and c_nationkey <> 7")), count(t.customer), ["k"])
+    return quality.count_drift(count(t.customer.where("c_acctbal > -900 and c_nationkey <> 7")), count(t.customer), ["k"])
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def dangling_references(t: Tables) -> DataFrame:
     """References without a target."""
-    return quality.dangling(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", t.customer.where("c_custkey % 10 <> 3"), "c_custkey")
+    return quality.dangling(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", t.customer.where("c_acctbal > 0"), "c_custkey")
 
 
 @query("""
@@ -312,12 +315,12 @@ def entity_scan(t: Tables) -> DataFrame:
     return tables.entity_scan(e, ["A", "R"], ["F"], exclude_off_sheet=True).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 6 <> 0 AND n_nationkey <> 3")
+@query("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0 AND n_nationkey <> 3")
 def active_lineage(t: Tables) -> DataFrame:
     """S3: rows whose parents aren't deleted."""
     gone = lambda c: F.when(c, F.lit("2024-01-01")).alias("deleted_at")
     revisions = t.orders.select("o_orderkey", F.col("o_custkey").alias("file_id"))
-    files = t.customer.select(F.col("c_custkey").alias("file_id"), F.col("c_nationkey").alias("project_id"), gone(F.col("c_custkey") % 6 == 0))
+    files = t.customer.select(F.col("c_custkey").alias("file_id"), F.col("c_nationkey").alias("project_id"), gone(F.col("c_acctbal") < 0))
     projects = t.nation.select(F.col("n_nationkey").alias("project_id"), gone(F.col("n_nationkey") == 3))
     return tables.active_lineage(revisions, files, projects).select("o_orderkey")
 
@@ -349,11 +352,11 @@ def artifact_checksums(t: Tables) -> DataFrame:
     return tables.artifact_metadata(t.documents, "doc_id", "text")
 
 
-@query("SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey, o_orderpriority FROM orders WHERE o_totalprice > 200000")
 def append_absent(t: Tables) -> DataFrame:
     """Rows to append, absent keys once each."""
     key = ["o_custkey", "o_orderpriority"]
-    return tables.insert_absent(t.orders.where("o_orderkey % 2 = 0").select(*key), t.orders.where("o_orderkey % 3 = 0"), key)
+    return tables.insert_absent(t.orders.where("o_orderstatus = 'O'").select(*key), t.orders.where("o_totalprice > 200000"), key)
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

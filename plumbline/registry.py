@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import base, pricing, revisions  # noqa: F401  (registers)
+from plumbline.plans import base, geometry, pricing, revisions  # noqa: F401  (registers)
 
 FLAGSHIP = "estimate_totals"
 
