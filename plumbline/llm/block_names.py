@@ -1,13 +1,13 @@
 """Exact duplicates by deterministic block naming, in DataFrame operations only.
 
 A text, with every run of ASCII white space replaced by one space, is cut into blocks of
-``block_chars`` characters. Equal blocks get equal integer names by sorting: blocks are ordered by
-(64-bit hash, block) and a block's name is its hash with its rank among the distinct blocks of that
-hash. The distinct blocks cross the network once, combined before the shuffle, to find hashes that
-more than one block has; where there are none every rank is 0 and rows take their names without
-another shuffle, and where there are some the blocks of those hashes are sorted and joined. Then
-adjacent names are paired and the pairs named the same way, level by level, until one name stands
-for the whole document. Names never collide, whatever the hash, and don't depend on partitioning.
+``block_chars`` characters. Distinct blocks, combined before their one shuffle, are dealt by hash and
+sorted by (hash, block) in each partition; a block's integer name is its partition and place there,
+written once so that all later steps read the same names. Rows fetch their names by the block's 64-bit
+hash, so texts don't cross the network again. Should distinct blocks share a hash, the blocks of
+those hashes are sorted once more and told apart by their rank, so names never collide. Then adjacent
+names are paired and the pairs sorted into names the same way, level by level, until one name stands
+for the whole document.
 
 Null text counts as empty, and empty texts form one group. A group is known by (number of blocks,
 name). Repeated rows each count in ``group_size``; of rows with the same id and text one is kept.
@@ -32,18 +32,24 @@ def normalised(text: str | Column) -> Column:
 
 
 def _named(rows: DataFrame, key: list[str], keep: list[str], hash_bits: int, tag: str) -> DataFrame:
-    """rows' ``keep`` columns with the name (h, r) of ``key``; equal keys, and only they, get equal names."""
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(*key), 64 - hash_bits))
-    clashing, _ = written(
-        rows.select("h", *key).distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), f"{tag}-clashes"
-    )
+    """rows' ``keep`` columns with the name (h, r) of ``key``; equal keys, and only they, get equal names.
+
+    h is an integer name by sort order, one for each hash; r is 0 but where a hash has several keys.
+    """
+    rows = rows.withColumn("__hash", F.shiftrightunsigned(F.xxhash64(*key), 64 - hash_bits))
+    ordered = rows.select("__hash", *key).distinct().sortWithinPartitions("__hash", *key)
+    placed, path = written(ordered.select("__hash", F.monotonically_increasing_id().alias("h")), f"{tag}-places")
+    names, _ = written(placed.groupBy("__hash").agg(F.min("h").alias("h"), F.count("*").alias("n")), f"{tag}-names")
+    delete(rows.sparkSession, path)
+    named = rows.join(names.select("__hash", "h"), "__hash")
+    clashing = names.where("n > 1").select("__hash")
     if clashing.isEmpty():
-        return rows.select(*keep, "h", F.lit(0).cast("long").alias("r"))
-    among = rows.join(clashing, "h", "left_semi").select("h", *key).distinct()
-    ranks, _ = written(
-        among.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy(*key)).cast("long")), f"{tag}-ranks"
-    )
-    met = rows.alias("a").join(ranks.alias("b"), F.expr(" and ".join(f"a.{k} <=> b.{k}" for k in ["h", *key])), "left")
+        return named.select(*keep, "h", F.lit(0).cast("long").alias("r"))
+    among = rows.join(clashing, "__hash", "left_semi").select("__hash", *key).distinct()
+    rank = F.row_number().over(Window.partitionBy("__hash").orderBy(*key)).cast("long")
+    ranks, _ = written(among.withColumn("r", rank), f"{tag}-ranks")
+    same = F.expr(" and ".join(f"a.{k} <=> b.{k}" for k in ["__hash", *key]))
+    met = named.alias("a").join(ranks.alias("b"), same, "left")
     return met.select(*[f"a.{c}" for c in keep], "a.h", F.coalesce("b.r", F.lit(0)).alias("r"))
 
 
