@@ -128,7 +128,7 @@ L = "sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))"
 
 
 @query(f"""
-WITH {V_SEGMENTS} SELECT run_id, CAST(sum(CASE WHEN {L} > 0 THEN CAST({L} AS DECIMAL(28, 9)) END) AS DOUBLE) AS length, sum(({L} > 0)::INT)::BIGINT AS n_segments FROM segments GROUP BY 1
+WITH {V_SEGMENTS} SELECT run_id, round(CAST(sum(CASE WHEN {L} > 0 THEN CAST({L} AS DECIMAL(28, 9)) END) AS DOUBLE), 6) AS length, sum(({L} > 0)::INT)::BIGINT AS n_segments FROM segments GROUP BY 1
 """)
 def drawn_lengths(t: Tables) -> DataFrame:
     """Drawn length of a run."""
