@@ -7,7 +7,7 @@ the path's nodes and smoothed along page order. Paths whose mean smoothed value
 content paths' text is the content element; it grows to its enclosing article or main element where
 there is one. The text of its blocks is returned, without what markup itself names as menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and comments, and
-without blocks that consist of links alone while the paths around them don't.
+without menus: list items and rows of links that hold nothing else (paragraphs and headings stay).
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined in page order by two line feeds. Null or empty html, or html without content, gives the empty
@@ -43,11 +43,13 @@ DROPPED = frozenset(
 DROPPED_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar aside widget widgets rail "
     "notice notices alert cookie cookies consent gdpr popup modal overlay banner promo promotion paywall disclaimer toast "
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors outbrain taboola dfp "
+    "ad ads adv advert adverts advertisement advertising adsense adslot adsbygoogle adbox adunit adbanner adcontainer sponsor sponsored sponsors outbrain taboola dfp "
     "form login signin signup register subscribe subscription newsletter search searchbox "
     "comment comments commentlist disqus respond reply replies discussion "
     "share sharing social sharebar related recommended recommendations trending toc pagination pager skip hidden copyright legal".split()
 )
+#: Words that make a class of a header its article's own.
+ARTICLE_WORDS = frozenset("article post entry story content page title".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 KEEPERS = frozenset("html body main article h1".split())
 CLOSES_P = frozenset(
@@ -57,6 +59,7 @@ CLOSES_P = frozenset(
 SIBLINGS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 UNSEEN = frozenset("head title script style template noscript iframe object svg canvas audio video datalist".split())
 MAX_DEPTH = 256
+LISTS = frozenset("li ul ol dl menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
@@ -104,7 +107,10 @@ def _names_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[boo
     if found.get("role", "").lower() in DROPPED_ROLES:
         return True, label
     words = {w.lower() for w in _WORDS.findall(f"{kind} {found.get('id', '')}")}
-    return not words.isdisjoint(DROPPED_WORDS), label
+    boilerplate = words & DROPPED_WORDS
+    if boilerplate == {"header"} and (in_article or words & ARTICLE_WORDS):
+        return False, label
+    return bool(boilerplate), label
 
 
 def parse(page: str, everything: bool = False) -> list[Node]:
@@ -233,13 +239,18 @@ def main_text(page: str | None, threshold: float = 0.8, smoothing: tuple[float,
         content = set(values)
     chosen = _content_element(solid, total, majority)
     within = [n for n in nodes if _inside(n.element, chosen)]
-    links, sizes = defaultdict(int), defaultdict(int)
+    links, sizes, anchors, prose = defaultdict(int), defaultdict(int), defaultdict(set), set()
     for n in within:
         sizes[n.block] += n.size
-        links[n.block] += n.size if n.element.link else 0
+        if n.element.link:
+            links[n.block] += n.size
+            anchors[n.block].add(n.element)
+        if _prose(n.element, chosen):
+            prose.add(n.block)
+    listed = {n.block for n in within if _under(n.element, chosen, LISTS)}
     whole = chosen.tag in ("#root", "html", "body")
     accepted = {n.block for n in within if n.size and (n.element.path in content or not whole or n.element.tag in HEADINGS)}
-    only_links = {b for b, n in sizes.items() if n and links[b] == n} if total else set()
+    menus = {b for b, n in sizes.items() if n and links[b] == n and b not in prose and (whole or len(anchors[b]) > 1 or b in listed)} if total else set()
     return joined_blocks([n for n in within if n.block in accepted and n.block not in only_links])
 
 
@@ -259,6 +270,21 @@ def _content_element(solid: list[Node], total: float, majority: float) -> Elemen
     return best
 
 
+def _under(e: Element, top: Element, tags: frozenset[str]) -> bool:
+    while e is not top and e is not None:
+        if e.tag in tags:
+            return True
+        e = e.parent
+    return False
+
+
+def _prose(e: Element, top: Element) -> bool:
+    """The nearest block element is a paragraph or heading outside a list."""
+    while e.tag in INLINE and e is not top:
+        e = e.parent
+    return (e.tag in ("p", "blockquote", "figcaption", "pre", "td", "dd") or e.tag in HEADINGS) and not _under(e, top, LISTS)
+
+
 def _inside(e: Element | None, top: Element) -> bool:
     while e is not None and e.depth > top.depth:
         e = e.parent
