@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from plumbline.llm.common import map_column, written
-from plumbline.llm.components import min_label_components
+from plumbline.operators.graph import min_label_components
 
 #: Shingle hashes whose bits are counted at once.
 CHUNK = 1 << 16

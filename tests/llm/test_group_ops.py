@@ -8,8 +8,9 @@ import pytest
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from plumbline.llm import block_names, components, html_paths, simhash, url_rules, warc
+from plumbline.llm import block_names, html_paths, simhash, url_rules, warc
 from plumbline.llm.queries import SITE_RULES, WORD_RULES
+from plumbline.operators.graph import min_label_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,7 +76,7 @@ def test_near_groups_odd_rows(spark, make_docs, odd_rows):
 
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (None, 3)]
-    got = components.min_label_components(spark.createDataFrame(links, "u long, v long")).collect()
+    got = min_label_components(spark.createDataFrame(links, "u long, v long")).collect()
     assert len(got) == len({r["node"] for r in got}) == 501
     assert all(r["component"] == (0 if r["node"] <= 200 else 1000) for r in got)
 
