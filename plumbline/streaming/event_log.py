@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet files that are added to a folder, as they come."""
-    return spark.readStream.schema(schema).parquet(path)
+    """Parquet files that are added to a folder, as they come; times without a zone are the session's."""
+    log = spark.readStream.schema(schema).parquet(path)
+    plain = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+    return log.withColumns({c: F.col(c).cast("timestamp") for c in plain})
 
 
 def counts_by_window(events: DataFrame, ts: str, kind: str, width: str, late: str) -> DataFrame:
