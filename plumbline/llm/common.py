@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+import plumbline
 from plumbline.sources.tables import delete, table, written  # noqa: F401  (used by the operators)
 
 #: Words everywhere in this package: runs of characters other than ASCII white space.
@@ -18,9 +22,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BATCH = 512
 
 
-def narrow_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, so that thousands of very long texts never meet in one worker's memory."""
+#: Applications whose Python workers have this package's code.
+_SHIPPED: set[str] = set()
+
+
+def ready_workers(spark: SparkSession) -> None:
+    """Ship this package to the Python workers, once, and keep Arrow batches small.
+
+    Small batches mean that thousands of very long texts never meet in one worker's memory.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    app, package = spark.sparkContext.applicationId, Path(plumbline.__file__).parent
+    if app in _SHIPPED or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-code-")) / "plumbline.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(Path("plumbline") / f.relative_to(package)))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
 
 
 def map_column(
@@ -37,7 +57,7 @@ def map_column(
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in keep if c.lower() not in new]
-    narrow_batches(df.sparkSession)
+    ready_workers(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("__in"))
     schema = T.StructType([source.schema[c] for c in kept] + fields)
     types = [to_arrow_schema(T.StructType([f])).field(0).type for f in fields]

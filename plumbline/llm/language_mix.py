@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import map_column, narrow_batches
+from plumbline.llm.common import map_column, ready_workers
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -71,7 +71,7 @@ def fit(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_language: int = 4000
 ) -> Model:
     """Trigram model of each non-null label of docs; the driver gets one count for each language and bucket."""
-    narrow_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     labelled = docs.select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("id")
     ).where("lang is not null and text is not null")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.common import narrow_batches
+from plumbline.llm.common import ready_workers
 
 SCHEMA = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -112,7 +112,7 @@ def pack(
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    narrow_batches(docs.sparkSession)
+    ready_workers(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     schema = T.StructType([source.schema[id_col], *T._parse_datatype_string(SCHEMA).fields])
     out = to_arrow_schema(schema)

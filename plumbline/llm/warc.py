@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.common import narrow_batches
+from plumbline.llm.common import ready_workers
 from plumbline.llm.html_paths import joined_blocks, parse
 
 #: Namespace of the derivatives' record ids.
@@ -159,7 +159,7 @@ def derive(responses: DataFrame, record_col: str = "record", keep: Sequence[str]
     fields = T._parse_datatype_string(FIELDS).fields
     new = {f.name.lower() for f in fields}
     kept = [c for c in keep if c.lower() not in new]
-    narrow_batches(responses.sparkSession)
+    ready_workers(responses.sparkSession)
     source = responses.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{record_col}`").cast("binary").alias("__in"))
     schema = T.StructType([source.schema[c] for c in kept] + fields)
     arrow = to_arrow_schema(schema)
@@ -233,5 +233,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for record in split_warc(b"".join(parts) or content):
                     yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([record], type=pa.binary())], names=["path", "record"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    ready_workers(spark)
     return files.mapInArrow(run, "path string, record binary")
