@@ -213,3 +213,46 @@ def cursor_encode(*keys: Column) -> Column:
 
 def cursor_decode(cursor: Column) -> Column:
     return F.from_json(F.decode(F.unbase64(F.translate(cursor, "-_", "+/")), "UTF-8"), "array<string>")
+
+
+def general_text(x: Column) -> Column:
+    """A double with up to 15 significant digits: no trailing zeros, no negative zero, null as empty."""
+    digits = F.when(x == 0, F.lit(1)).otherwise(F.floor(F.log10(F.abs(x))) + 1).cast("int")
+    places = F.greatest(F.lit(15) - digits, F.lit(0))
+    fixed = F.format_string("%.12f", F.round(x, 12))
+    plain = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), "[.]$", "")
+    return F.coalesce(F.when(x == 0, "0").when(places >= 0, F.when(plain == "-0", "0").otherwise(plain)), F.lit(""))
+
+
+def iso_utc(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def quantity_label(kind: Column, context: Column) -> Column:
+    return F.concat_ws(":", kind, F.nullif(context, F.lit("")))
+
+
+def role_token(token: Column) -> Column:
+    """(id, role) of ``id:role``; null where either is empty."""
+    p = r"^([^:\s]+):([a-z_]+)$"
+    return F.when(token.rlike(p), F.struct(F.regexp_extract(token, p, 1).alias("id"), F.regexp_extract(token, p, 2).alias("role")))
+
+
+def layer_role(rgb: Column, name: Column, saturation: float = 0.3, lightness: float = 0.5) -> Column:
+    """Role by pen colour where there is one: vivid services, pale background, dark foreground; else by name."""
+    r, g, b = colour_channels(rgb)
+    top, low = F.greatest(r, g, b) / 255.0, F.least(r, g, b) / 255.0
+    light, span = (top + low) / 2, top - low
+    sat = F.when(span == 0, F.lit(0.0)).otherwise(span / (1 - F.abs(2 * light - 1)))
+    by_colour = F.when(sat >= saturation, "services").when(light >= lightness, "background").otherwise("foreground")
+    n = F.lower(name)
+    by_name = first_rule([(n.rlike("grid|xref|background"), "background"), (n.rlike(r"\b(wall|door|text)\b"), "foreground"), (n.rlike("pipe|duct|cable"), "services")], "unknown")
+    return F.when(rgb.isNotNull(), by_colour).otherwise(by_name)
+
+
+def polyline_text(points: Column) -> Column:
+    return F.to_json(points)
+
+
+def text_polyline(text: Column) -> Column:
+    return F.from_json(text, "array<struct<x:double,y:double>>")
