@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import attribution, base, documents, geometry, ingest, pricing, revisions  # noqa: F401  (registers)
+from plumbline.plans import attribution, base, documents, geometry, ingest, pricing, revisions, routes  # noqa: F401  (registers)
 
 FLAGSHIP = "estimate_totals"
 
