@@ -250,7 +250,9 @@ def main_text(page: str | None, threshold: float = 0.8, smoothing: tuple[float,
     listed = {n.block for n in within if _under(n.element, chosen, LISTS)}
     whole = chosen.tag in ("#root", "html", "body")
     accepted = {n.block for n in within if n.size and (n.element.path in content or not whole or n.element.tag in HEADINGS)}
-    menus = {b for b, n in sizes.items() if n and links[b] == n and b not in prose and (whole or len(anchors[b]) > 1 or b in listed)} if total else set()
+    menus = {b for b, n in sizes.items() if n and links[b] == n and b not in prose and (whole or len(anchors[b]) > 1 or b in listed)}
+    if accepted <= menus:
+        menus = set()
     return joined_blocks([n for n in within if n.block in accepted and n.block not in menus])
 
 
