@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import written
+
 DEFAULT_PAGE, MAX_PAGE = 50, 200
 
 
@@ -37,13 +39,14 @@ def offset_page(rows: DataFrame, keys: Sequence[str], offset: int, limit: int =
 def dependency_depth(rows: DataFrame, key: str, parent: str, max_depth: int = 64) -> DataFrame:
     """Rows with depth below their root; rows on or below a cycle, or with an absent parent, have none.
 
-    One join per level, until no row is left at the next level.
+    One join per level, each level written, until no row is left at the next one.
     """
     level = rows.where(F.col(parent).isNull()).select(key).withColumn("depth", F.lit(0))
     found, depth = level, 0
     while depth < max_depth:
         depth += 1
         level = rows.join(level.select(F.col(key).alias("__p")), F.col(parent) == F.col("__p")).select(key).withColumn("depth", F.lit(depth))
+        level, _ = written(level, "level")
         if level.isEmpty():
             break
         found = found.union(level)
