@@ -132,7 +132,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = F.sha2(normalised(F.col(f"`{text_col}`")), 256)
     marked = docs.withColumn("__own", own)
     alike = marked[id_col].eqNullSafe(gone["__id"]) & (marked["__own"] == gone["__sha"])
-    kept = marked.join(gone, alike, "left_anti")
+    # Always by shuffle: what is dropped grows with the rows, and the plan should be one at every size.
+    kept = marked.join(gone.hint("merge"), alike, "left_anti")
     again = gone.where("any")
     if not again.isEmpty():
         alike = marked[id_col].eqNullSafe(again["__id"]) & (marked["__own"] == again["__sha"])
