@@ -12,13 +12,12 @@ already look like that, so that unescaping takes exactly one away.
 
 Turns are ordered by turn number (nulls first), then role, then text; turns with equal numbers and
 repeated rows all stay. Null roles and texts count as empty. A null conv_id is a conversation of its
-own. Prefix rendering reads a conversation once for each of its turns. Extra columns are ignored.
+own. Prefix rendering copies a conversation once for each of its turns. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os.path
 import re
 from collections.abc import Callable
 from typing import NamedTuple
@@ -40,6 +39,10 @@ _ESCAPE = re.compile("|".join(rf"(?<={re.escape(h)})\\*(?={'' if not r else f'(?
 _UNESCAPE = re.compile("|".join(rf"(?<={re.escape(h)})\\(?=\\*(?:{r}))" for h, r in _RESTS.items()))
 
 
+#: Rendered turns that a template remembers.
+REMEMBERED_TURNS = 4096
+
+
 def escape(text: str) -> str:
     return _ESCAPE.sub(lambda m: m[0] + "\\", text)
 
@@ -51,8 +54,20 @@ def unescape(text: str) -> str:
 class ChatTemplate:
     """``<|start|>role newline text <|end|> newline`` for each turn."""
 
+    def __init__(self):
+        self._known: dict[tuple[str, str], str] = {}
+
     def render(self, turns: Turns) -> str:
-        return "".join(f"<|start|>{self.plain_role(r)}\n{escape(t)}<|end|>\n" for r, t in turns)
+        return "".join([self._turn(r, t) for r, t in turns])
+
+    def _turn(self, role: str, text: str) -> str:
+        """One turn; those of the conversation at hand are remembered, since every prefix repeats them."""
+        known = self._known.get((role, text))
+        if known is None:
+            if len(self._known) >= REMEMBERED_TURNS:
+                self._known.clear()
+            known = self._known[role, text] = f"<|start|>{self.plain_role(role)}\n{escape(text)}<|end|>\n"
+        return known
 
     def plain_role(self, role: str) -> str:
         return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
@@ -70,9 +85,16 @@ class Span(NamedTuple):
     text_end: int
 
 
-def _common(a: str, b: str) -> int:
-    """Length of the common prefix."""
-    return len(os.path.commonprefix((a, b)))
+def _common(a: str, b: str, known: int = 0) -> int:
+    """Length of the common prefix, of which ``known`` characters are known to agree."""
+    low, high = known, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def locate(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[Span], list[int]]:
@@ -90,8 +112,9 @@ def locate(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[Span
         if not now.startswith(before):
             rewrites.append(k)
             start = _common(before, now)
-        first = _common(one, two)
-        tail = _common(one[::-1], two[::-1])
+        shared = start if one.startswith(now[:start]) and two.startswith(now[:start]) else 0
+        first = _common(one, two, shared)
+        tail = _common(one[first:][::-1], two[first:][::-1])
         spans.append(Span(start, len(now), first, len(now) - tail))
         before = now
     return before, spans, rewrites
