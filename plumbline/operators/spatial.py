@@ -141,7 +141,8 @@ def split_by_boxes(segments: DataFrame, boxes: DataFrame, segment_id: str, room:
     s = segments.withColumn("__cx", F.explode(reach(F.col("x0"), F.col("x1")))).withColumn("__cy", F.explode(reach(F.col("y0"), F.col("y1"))))
     b = boxes.withColumn("__cx", F.explode(reach(F.col("box.min_x"), F.col("box.max_x")))).withColumn("__cy", F.explode(reach(F.col("box.min_y"), F.col("box.max_y"))))
     area = (F.col("box.max_x") - F.col("box.min_x")) * (F.col("box.max_y") - F.col("box.min_y"))
-    near = s.join(b, ["__cx", "__cy"]).select(segment_id, F.struct(area.alias("area"), F.col(room), "box").alias("candidate"))
+    span = lambda v: (F.least(f"{v}0", f"{v}1") <= F.col(f"box.max_{v}")) & (F.greatest(f"{v}0", f"{v}1") >= F.col(f"box.min_{v}"))
+    near = s.join(b, ["__cx", "__cy"]).where(span("x") & span("y")).select(segment_id, F.struct(area.alias("area"), F.col(room), "box").alias("candidate"))
     near = near.groupBy(segment_id).agg(F.array_sort(F.collect_set("candidate")).alias("candidates"))
     met = segments.join(near, segment_id, "left")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
