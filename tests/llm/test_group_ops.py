@@ -8,7 +8,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from plumbline.llm import block_names, html_paths, simhash, url_rules, warc
+from plumbline.llm import block_names, html_paths, near_copies, simhash, url_rules, warc
 from plumbline.llm.queries import SITE_RULES, WORD_RULES
 from plumbline.operators.graph import min_label_components
 
@@ -235,3 +235,34 @@ def test_pipeline_stages(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def brute_shingles(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("tile", [256, 4])
+def test_near_copies_against_all_pairs(spark, make_docs, tile):
+    r = random.Random(11)
+    base = [f"word{r.randrange(5000)}" for _ in range(200)]
+    rows = [(i, " ".join(["changed" if r.random() < (i % 12) / 400 else w for w in base])) for i in range(60)]
+    rows += [(200, None), (201, ""), (202, "  "), (203, "one two"), (204, "One two"), (205, "one three")]
+    rows += [(300 + i, " ".join(f"o{r.randrange(900)}" for _ in range(30))) for i in range(40)]
+    got = {x["doc_id"]: x["component_id"] for x in near_copies.near_groups(make_docs(rows, clash=True), tile=tile).collect()}
+    want = brute_components({i: brute_shingles(t) for i, t in rows}, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert 45 < len(set(want.values())) < 80 and got == want
+
+
+def test_near_dedup_drops_planted_near_copies(spark, make_docs, odd_rows):
+    r = random.Random(13)
+    texts = [[f"w{r.randrange(4000)}" for _ in range(60 + 10 * i)] for i in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(100 + i, " ".join([*t[:-1], "changed"])) for i, t in enumerate(texts)]
+    rows += [(200 + i, " ".join([*t[:20], "put", "in", *t[20:]])) for i, t in enumerate(texts)]
+    rows += [(300 + i, " ".join(t[: len(t) // 2] + texts[i - 1])) for i, t in enumerate(texts) if i]
+    kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, make_docs(rows), SF).collect()}
+    assert kept == set(range(40)) | {300 + i for i in range(1, 40)}
+    odd = make_docs(odd_rows, clash=True)
+    left = corpus_pipeline.near_dedup(spark, odd, SF)
+    assert left.columns == odd.columns and Counter(x["doc_id"] for x in left.collect()) == Counter([1, 4, 5, 8, 10, 10, None, 11, 12])
