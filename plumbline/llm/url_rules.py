@@ -2,7 +2,7 @@
 
 A rule is a regular expression over host and path with the literal tokens (runs of letters and
 digits) that every matching URL must contain whole. Token counts over all URLs choose each rule's
-rarest token; a URL's tokens fetch the rules filed under them, and only those rules' expressions
+rarest token, A-Z lower-cased; a URL's tokens fetch the rules filed under them, and only those rules' expressions
 run. A rule without a token is filed under the empty token, which every URL has.
 
 ``host``: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; ``path``:
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import written
 
 TOKEN = "[A-Za-z0-9]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A rule index of at most this many rows is broadcast (about 100 bytes a row); a larger one is joined by shuffle.
 BROADCAST_RULES = 100_000
 
@@ -43,20 +44,47 @@ def site_rule(action: str, rule: str) -> Rule:
     return Rule(rule, action, f"^([^/]*[.])?{re.escape(host)}{re.escape(slash + rest)}", tuple(whole), len(rule), True)
 
 
-def word_rule(action: str, word: str) -> Rule:
-    """A word or hyphenated phrase that a host label or path part holds whole, between other characters."""
-    return Rule(word, action, f"(^|[^A-Za-z0-9]){re.escape(word)}([^A-Za-z0-9]|$)", tuple(re.findall(TOKEN, word)), 0, False)
+#: Between the words of a combination: characters of one host label or path part, dots between labels included.
+GAP = "[^A-Za-z0-9/]+"
 
 
-#: Phrases of spam hosts, blocked where no listed rule fits.
-SPAM_PHRASES = ("cheap-pills", "spam-farm", "online-casino", "free-money", "click-farm", "link-farm", "payday-loans", "replica-watches")
+def word_rule(action: str, word: str) -> Rule:
+    """Words that host or path hold whole, side by side, between other characters; ``(?i:...)`` ignores case, GAP stands between words."""
+    folded = word.startswith("(?i:") and word.endswith(")")
+    inner = word[4:-1] if folded else word
+    parts = inner.split(GAP)
+    regex = GAP.join(map(re.escape, parts))
+    whole = [t for p in parts for t in re.findall(TOKEN, p)]
+    return Rule(" ".join(parts), action, f"(^|[^A-Za-z0-9]){'(?i:' if folded else '('}{regex})([^A-Za-z0-9]|$)", tuple(whole), 0, False)
+
+
+#: Words that block a URL by themselves where no listed rule fits, by topic.
+SPAM_WORDS = (
+    *("casino", "casinos", "poker", "roulette", "blackjack", "jackpot", "jackpots", "gambling", "bets", "betting", "sportsbook", "bookmaker", "bookmakers"),
+    *("pills", "viagra", "cialis", "levitra", "xanax", "tramadol", "phentermine"),
+    *("adult", "porn", "porno", "xxx", "hentai", "nudes", "escorts", "camgirls", "milf"),
+    *("spam", "spammer", "spammers", "spamming", "linkfarm", "clickbait", "malware", "warez", "keygen", "phishing"),
+    *("adserver", "adservers", "adserv", "adtrack", "adtracker", "adclick", "doubleclick", "popunder", "popunders", "clicktrack", "clicktracker"),
+)
+#: Words that block a URL only side by side, in either order; each alone is ordinary.
+SPAM_PAIRS = (
+    *((a, b) for a in ("ad", "ads", "advert", "adverts", "banner", "banners", "click", "clicks") for b in ("track", "tracker", "trackers", "tracking", "server", "farm", "exchange", "redirect")),
+    *((a, b) for a in ("free", "win", "online", "live", "bonus") for b in ("bet", "slots", "lottery", "spins")),
+    *((a, b) for a in ("cheap", "discount", "buy", "online") for b in ("pill", "meds", "pharmacy", "steroids")),
+    *((a, b) for a in ("free", "easy", "fast", "quick", "instant") for b in ("money", "cash", "loan", "loans")),
+    *(("payday", b) for b in ("loan", "loans", "cash", "advance")),
+    *((a, b) for a in ("replica", "fake") for b in ("watch", "watches", "rolex", "handbags", "bags")),
+    *((a, b) for a in ("sex", "nude", "escort") for b in ("cam", "cams", "chat", "video", "videos", "dating", "girls", "service", "x")),
+    *((a, b) for a in ("link", "seo") for b in ("farm", "farms", "exchange")),
+)
+#: The rules as patterns that ignore case.
+SPAM_PHRASES = tuple(f"(?i:{p})" for p in (*SPAM_WORDS, *(GAP.join(x) for a, b in SPAM_PAIRS for x in ((a, b), (b, a)))))
 
 
 def url_parts(url: str | Column) -> tuple[Column, Column]:
     url = F.coalesce(url, F.lit(""))
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-    return F.translate(F.regexp_extract(url, pattern, 1), upper, lower), F.regexp_extract(url, pattern, 2)
+    return F.translate(F.regexp_extract(url, pattern, 1), UPPER, LOWER), F.regexp_extract(url, pattern, 2)
 
 
 def judge_urls(
@@ -73,11 +101,12 @@ def judge_urls(
     if not rules:
         return base.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     site = F.concat("host", "path")
-    tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("site", F.lit(TOKEN), F.lit(0))))
+    folded = F.translate("site", UPPER, LOWER)
+    tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0))))
     urls = base.withColumn("site", site).select("site").distinct()
     tokened = urls.select("site", F.explode(tokens.alias("t")).alias("token"))
     table = spark.createDataFrame(
-        [(i, *r) for i, r in enumerate(rules)],
+        [(i, *r._replace(tokens=tuple(t.lower() for t in r.tokens))) for i, r in enumerate(rules)],
         "rule_id long, name string, action string, regex string, tokens array<string>, rank int, listed boolean",
     )
     needed = table.select("rule_id", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))).alias("token"))

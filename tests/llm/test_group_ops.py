@@ -135,6 +135,20 @@ def test_url_rules_against_plain_matching(spark):
     assert {r["verdict"] for r in url_rules.judge_urls(pages, []).collect()} == {"allow"}
 
 
+def test_url_word_rules_on_other_hosts(spark):
+    want = [
+        ("http://royal-casino24.example.com/", "allow"), ("http://royal-casino.example.com/a", "block"), ("http://vip.poker.example.com/a", "block"),
+        ("http://Mega-BETS.example.com/", "block"), ("http://a.example.com/shop/Diet-Pills/7", "block"), ("http://a.example.com/ADULT/", "block"),
+        ("http://ads.tracker.example.com/p", "block"), ("http://tracking-ads.example.com/p", "block"), ("http://parcel-tracking.example.com/p", "allow"),
+        ("http://a.example.com/ads/tracking", "allow"), ("http://a.example.com/quick_loans", "block"), ("http://a.example.com/loans", "allow"),
+        ("http://no-spam.example.com/", "block"), ("http://spammy.example.com/", "allow"), ("http://abets.example.com/", "allow"), ("http://a.example.com/watch-replica.html", "block"),
+        ("http://alphabets.example.com/free/money", "allow"), ("http://example.net/en/casino", "allow"),
+    ]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(want)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, SITE_RULES + WORD_RULES).collect()}
+    assert [(u, got[i]) for i, (u, _) in enumerate(want)] == want
+
+
 PAGE = """<html><body class="has-sidebar"><header><a href=/>Site name</a> <p>The daily paper, since 1900.</p></header>
 <div class="nav-menu"><ul><li><a>Home</a><li><a>About</a></ul></div><div id="wrap"><div class="post-body"><h2>A headline</h2>
 <p>First paragraph, with <a href=x>a link</a>, of the text. It goes on and on, with more words.<p>Second&nbsp;paragraph &lt;tag&gt; &#233;, is
