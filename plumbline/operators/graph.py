@@ -12,6 +12,8 @@ from plumbline.sources.tables import delete, written
 
 #: Each pair of rounds at least halves the depth of a component; more than this means a defect.
 MAX_ROUNDS = 60
+#: Rounds whose pairs are one plan's union; then they are written as one table.
+PLAN_STEPS = 16
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -116,21 +118,47 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000)
     raise RuntimeError(f"paths still improve after {max_rounds} rounds")
 
 
-def greedy_pairs(candidates: DataFrame, cost: str, left: str = "i", right: str = "j", max_rounds: int = 200) -> DataFrame:
-    """Pairs taken greedily by (cost, i, j), each end used once: in rounds, pairs that are the best of both ends are taken."""
+def _greedy_tail(rows: list, taken_ends: set) -> list:
+    """The pairs that a greedy pass over rows in order takes; a pair with a null end keeps its other end from later pairs."""
+    won, last = [], None
+    for row in rows:
+        ends = {row[0], row[1]}
+        if tuple(row) == last:
+            won.append(row)
+        elif not ends & taken_ends:
+            taken_ends |= ends - {None}
+            if None not in ends:
+                won.append(row)
+                last = tuple(row)
+    return won
+
+
+def greedy_pairs(candidates: DataFrame, cost: str, left: str = "i", right: str = "j", small: int = 10_000) -> DataFrame:
+    """Pairs taken greedily by (cost, i, j), each end used once: in rounds, pairs that are the best of both ends are taken.
+
+    Rounds go on until none is taken; the last ``small`` candidates are passed over in order by the driver.
+    """
+    spark = candidates.sparkSession
     ends = lambda df: df.select(F.col(left).alias("e"), "rank").union(df.select(F.col(right).alias("e"), "rank"))
     rest, path = written(candidates.select(left, right, F.col(cost).alias("cost"), F.struct(cost, left, right).alias("rank")), "pairs")
-    taken = None
-    for _ in range(max_rounds):
+    taken, rounds = rest.select(left, right, "cost").limit(0), 0
+    while rest.count() > small:
         best = ends(rest).groupBy("e").agg(F.min("rank").alias("best"))
         a, b = best.select(F.col("e").alias(left), F.col("best").alias("best_i")), best.select(F.col("e").alias(right), F.col("best").alias("best_j"))
         met = rest.join(a, left).join(b, right)
         won, _ = written(met.where("rank = best_i and rank = best_j").select(left, right, "cost"), "won")
         if won.isEmpty():
-            break
-        taken = won if taken is None else taken.union(won)
+            return taken
+        taken = won if rounds == 0 else taken.union(won)
+        rounds += 1
+        if rounds % PLAN_STEPS == 0:
+            taken, _ = written(taken, "taken")
         used = won.select(F.col(left).alias("e")).union(won.select(F.col(right).alias("e")))
         rest, new = written(rest.join(used.withColumnRenamed("e", left), left, "left_anti").join(used.withColumnRenamed("e", right), right, "left_anti").select(rest.columns), "pairs")
-        delete(candidates.sparkSession, path)
+        delete(spark, path)
         path = new
-    return taken if taken is not None else rest.select(left, right, "cost").limit(0)
+    tail = _greedy_tail(rest.orderBy("rank").select(left, right, "cost").collect(), set())
+    if not tail:
+        return taken
+    last = spark.createDataFrame(tail, rest.select(left, right, "cost").schema)
+    return last if rounds == 0 else taken.union(last)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from plumbline.sources.tables import written
 
 DEFAULT_PAGE, MAX_PAGE = 50, 200
+#: Levels whose union is one plan; then they are written as one table.
+PLAN_STEPS = 16
 
 
 def after(keys: Sequence[str], values: Sequence, descending: bool = False) -> Column:
@@ -36,18 +38,23 @@ def offset_page(rows: DataFrame, keys: Sequence[str], offset: int, limit: int =
     return rows.orderBy(*keys).offset(offset).limit(limit)
 
 
-def dependency_depth(rows: DataFrame, key: str, parent: str, max_depth: int = 64) -> DataFrame:
+def dependency_depth(rows: DataFrame, key: str, parent: str, max_depth: int | None = None) -> DataFrame:
     """Rows with depth below their root; rows on or below a cycle, or with an absent parent, have none.
 
-    One join per level, each level written, until no row is left at the next one.
+    One join per level, each level written, until no row is left at the next one; a key's first level counts.
+    Rows deeper than ``max_depth``, where it is given, are an error.
     """
-    level = rows.where(F.col(parent).isNull()).select(key).withColumn("depth", F.lit(0))
+    level, _ = written(rows.where(F.col(parent).isNull()).select(key).distinct().withColumn("depth", F.lit(0)), "level")
     found, depth = level, 0
-    while depth < max_depth:
+    while True:
         depth += 1
-        level = rows.join(level.select(F.col(key).alias("__p")), F.col(parent) == F.col("__p")).select(key).withColumn("depth", F.lit(depth))
-        level, _ = written(level, "level")
+        level = rows.join(level.select(F.col(key).alias("__p")), F.col(parent) == F.col("__p")).select(key).distinct().withColumn("depth", F.lit(depth))
+        level, _ = written(level.join(found.select(key), key, "left_anti"), "level")
         if level.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"rows are deeper than {max_depth} levels")
         found = found.union(level)
+        if depth % PLAN_STEPS == 0:
+            found, _ = written(found, "levels")
     return rows.join(found, key, "left")

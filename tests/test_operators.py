@@ -94,3 +94,23 @@ def test_empty_tables_stay_empty(spark):
     e = spark.createDataFrame([], "u long, v long")
     assert graph.min_label_components(e).count() == 0
     assert graph.greedy_pairs(spark.createDataFrame([], "i int, j int, c double"), "c").count() == 0
+
+
+def test_dependency_depth_has_no_last_level(spark):
+    chain = [(0, None)] + [(i, i - 1) for i in range(1, 70)] + [(100, 101), (101, 100), (102, 101)]
+    df = spark.createDataFrame(chain, "k int, p int")
+    assert dict(rows(paging.dependency_depth(df, "k", "p").select("k", "depth"))) == {i: i for i in range(70)} | {100: None, 101: None, 102: None}
+    with pytest.raises(RuntimeError):
+        paging.dependency_depth(df.where("k < 6"), "k", "p", max_depth=3)
+    again = spark.createDataFrame([(1, None), (1, 2), (2, 1)], "k int, p int")
+    assert {r["k"]: r["depth"] for r in paging.dependency_depth(again, "k", "p").collect()} == {1: 0, 2: 1}
+
+
+def test_greedy_pairs_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1, float(i)) for i in range(900)], "i int, j int, c double")
+    assert {r["i"] for r in graph.greedy_pairs(chain, "c").collect()} == set(range(0, 900, 2))
+    odd = [(i, i + 1, float(i)) for i in range(8)] + [(50, 51, 0.0), (50, 51, 0.0), (60, None, 0.5), (60, 61, 1.0), (60, 62, 0.1), (70, 70, 1.0), (None, 71, 0.0), (71, 72, 3.0)]
+    df = spark.createDataFrame(odd, "i int, j int, c double")
+    want = sorted([(0, 1), (2, 3), (4, 5), (6, 7), (50, 51), (50, 51), (60, 62), (70, 70)])
+    for small in (0, 3, 10_000):
+        assert sorted((r["i"], r["j"]) for r in graph.greedy_pairs(df, "c", small=small).collect()) == want
