@@ -5,7 +5,10 @@ encodings and the charset, and returns for each a ``metadata`` record (applicati
 source's headers and digests) and a ``conversion`` record (text/plain; charset=utf-8, the page's visible
 text). Both refer to the source by ``WARC-Refers-To``, keep its target URI and date, and carry the
 source's digests; record ids are UUIDs (version 5) of source id and kind, so a repeated run names them
-alike. The source's own digests are checked, and a mismatch is said in ``problem``.
+alike. The source's own digests are checked, and a mismatch is said in ``problem``. Of repeated headers all
+values are kept in order: as lines of their own in the metadata record, joined by line feeds under the first
+one's name in ``source_headers``. All members of a gzip body are read; a body whose compressed stream or
+chunks end early is converted as far as it goes, and ``problem`` says so.
 
 Null, broken and non-response records, and undecodable bodies, give one metadata record whose
 ``problem`` says why, and no conversion. An empty body gives an empty conversion. Repeated records give
@@ -64,6 +67,10 @@ def _value(headers: Sequence[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+def _joined(headers: Sequence[tuple[str, str]], name: str) -> str | None:
+    return ", ".join(v for k, v in headers if k.lower() == name.lower()) or None
+
+
 def _split(data: bytes) -> tuple[bytes, bytes]:
     m = re.search(rb"\r?\n\r?\n", data)
     return (data, b"") if m is None else (data[: m.start()], data[m.end() :])
@@ -91,27 +98,62 @@ def parse_response(record: bytes) -> Response:
     return Response(warc, status, http, block, payload)
 
 
-def decoded_text(r: Response) -> str:
-    """The body as text: chunks joined, content encoding undone, charset applied."""
-    body = r.payload
-    if "chunked" in (_value(r.http, "Transfer-Encoding") or "").lower():
-        source, parts = io.BytesIO(body), []
-        while size := int(source.readline().split(b";")[0] or b"0", 16):
-            parts.append(source.read(size))
-            source.readline()
-        body = b"".join(parts)
-    encoding = (_value(r.http, "Content-Encoding") or "identity").lower()
-    if encoding in ("gzip", "x-gzip", "deflate"):
-        body = zlib.decompressobj(47 if encoding != "deflate" or body[:1] == b"\x78" else -15).decompress(body)
-    elif encoding not in ("identity", ""):
-        raise ValueError(f"unknown content encoding {encoding}")
+def _joined_chunks(body: bytes) -> tuple[bytes, str | None]:
+    """The chunks' bytes as far as they go, and what is wrong with their end."""
+    source, parts = io.BytesIO(body), []
+    while True:
+        line = source.readline()
+        if not line.endswith(b"\n"):
+            return b"".join(parts), None if line.split(b";")[0].strip() == b"0" else "chunks end early"
+        size = int(line.split(b";")[0], 16)
+        if size < 0:
+            raise ValueError("chunk size below zero")
+        if not size:
+            return b"".join(parts), None
+        parts.append(source.read(size))
+        if len(parts[-1]) < size:
+            return b"".join(parts), "chunks end early"
+        source.readline()
+
+
+def _inflated(body: bytes, wbits: int) -> tuple[bytes, str | None]:
+    """All members of a compressed stream as far as they go, and what is wrong with its end."""
+    parts = []
+    while body:
+        member = zlib.decompressobj(wbits)
+        try:
+            parts.append(member.decompress(body))
+        except zlib.error:
+            if not parts:
+                raise
+            return b"".join(parts), "bytes after the compressed stream"
+        if not member.eof:
+            return b"".join(parts), "compressed stream ends early"
+        body = member.unused_data.lstrip(b"\0") if wbits == 47 else b""
+    return b"".join(parts), None
+
+
+def decoded_text(r: Response) -> tuple[str, str | None]:
+    """The body as text: chunks joined, content encoding undone, charset applied; and what was missing of it."""
+    body, problems = r.payload, []
+    if "chunked" in (_joined(r.http, "Transfer-Encoding") or "").lower():
+        body, problem = _joined_chunks(body)
+        problems.append(problem)
+    encodings = [x.strip() for x in (_joined(r.http, "Content-Encoding") or "").lower().split(",")]
+    for encoding in reversed(encodings):
+        if encoding in ("gzip", "x-gzip", "deflate"):
+            body, problem = _inflated(body, 47 if encoding != "deflate" or body[:1] == b"\x78" else -15)
+            problems.append(problem)
+        elif encoding not in ("identity", ""):
+            raise ValueError(f"unknown content encoding {encoding}")
     named = re.search(r"charset\s*=\s*[\"']?([-\w:.]+)", _value(r.http, "Content-Type") or "", re.I)
     meta = _CHARSET.search(body[:4096])
     charset = named[1] if named else meta[1].decode("ascii", "replace") if meta else "utf-8"
     try:
-        return body.decode(charset, "replace")
+        text = body.decode(charset, "replace")
     except LookupError:
-        return body.decode("utf-8", "replace")
+        text = body.decode("utf-8", "replace")
+    return text, "; ".join(p for p in problems if p) or None
 
 
 def derivatives(record: bytes | None) -> list[tuple]:
@@ -126,7 +168,8 @@ def derivatives(record: bytes | None) -> list[tuple]:
     text = None
     if problem is None:
         try:
-            page = decoded_text(r)
+            page, short = decoded_text(r)
+            problem = f"incomplete body: {short}" if short else None
             kind = (_value(r.http, "Content-Type") or "text/html").lower()
             text = joined_blocks(parse(page, everything=True)) if "html" in kind or "xml" in kind else page
         except (ValueError, zlib.error) as e:
@@ -136,11 +179,16 @@ def derivatives(record: bytes | None) -> list[tuple]:
         if problem is None and said and said.lower().startswith("sha1:") and said[5:].upper() != digest(data)[5:]:
             problem = f"{name} does not match"
     uri, date = _value(r.warc, "WARC-Target-URI"), _value(r.warc, "WARC-Date")
-    headers = {f"warc:{k}": v for k, v in r.warc} | {f"http:{k}": v for k, v in r.http} | ({"http:status": r.status} if r.status else {})
+    all_headers = [(f"warc:{k}", v) for k, v in r.warc] + [(f"http:{k}", v) for k, v in r.http] + ([("http:status", r.status)] if r.status else [])
+    names: dict[str, str] = {}
+    headers: dict[str, str] = {}
+    for k, v in all_headers:
+        name = names.setdefault(k.lower(), k)
+        headers[name] = f"{headers[name]}\n{v}" if name in headers else v
     payload_digest = claimed[0][1] or (digest(r.payload) if r.warc else None)
     block_digest = claimed[1][1] or (digest(r.block) if r.warc else None)
     fields = [("refersTo", source), ("sourcePayloadDigest", payload_digest), ("sourceBlockDigest", block_digest), ("problem", problem)]
-    fields += sorted(headers.items())
+    fields += sorted(((names[k.lower()], v) for k, v in all_headers), key=lambda x: x[0])
     lines = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
     made = [("metadata", "application/warc-fields", lines)]
     if text is not None:

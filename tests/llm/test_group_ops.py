@@ -235,6 +235,37 @@ def test_warc_broken_records(spark, tmp_path):
     assert next(warc.split_warc(bytes(made))).startswith(b"WARC/1.1\r\nWARC-Type: metadata")
 
 
+def _record(http, body):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + http + b"\r\n" + body
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: %d\r\n\r\n" % len(block) + block
+
+
+def test_warc_keeps_repeated_headers(spark):
+    raw = _record(b"Set-Cookie: a=1\r\nVia: x\r\nset-cookie: b=2, c\r\n", b"<p>text")
+    meta = warc.derive(spark.createDataFrame([(raw,)], "record binary")).where("record_type = 'metadata'").first()
+    assert meta["source_headers"]["http:Set-Cookie"] == "a=1\nb=2, c" and meta["source_headers"]["http:Via"] == "x"
+    assert "http:Set-Cookie: a=1\r\nhttp:Set-Cookie: b=2, c\r\n" in meta["content"] and meta["problem"] is None
+
+
+def test_warc_bodies_that_go_on_or_end_early():
+    import gzip
+
+    noise = " ".join(f"{random.Random(i).random()}" for i in range(400))
+    whole = gzip.compress(b"<p>first ") + gzip.compress(b"second")
+    zipped, gz, ch = gzip.compress(noise.encode()), b"Content-Encoding: gzip\r\n", b"Transfer-Encoding: chunked\r\n"
+    cases = [
+        (gz, whole, "first second", None), (gz, whole + b"\0\0", "first second", None), (gz, whole + b"junk", "first second", "bytes after"),
+        (gz, zipped[: len(zipped) // 2], None, "compressed stream ends early"), (gz, b"", "", None), (gz, zipped, noise, None),
+        (ch, b"5\r\n<p>ab\r\n2;x=y\r\ncd\r\n0\r\n\r\n", "abcd", None), (ch, b"5\r\n<p>ab\r\n9\r\ncd", "abcd", "chunks end early"),
+        (ch, b"5\r\n<p>ab\r\n", "ab", "chunks end early"), (gz + ch, b"%x\r\n" % len(whole) + whole + b"\r\n0\r\n\r\n", "first second", None),
+    ]
+    for http, body, text, problem in cases:
+        made = {r[0]: r for r in warc.derivatives(_record(http, body))}
+        got, said = made["conversion"][11], made["metadata"][12]
+        assert got == text if text is not None else noise.startswith(got.strip()) and got
+        assert said is None if problem is None else problem in said
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
