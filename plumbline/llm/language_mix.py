@@ -99,6 +99,18 @@ def fit(
     return Model(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
+def with_background(model: Model) -> Model:
+    """The model with ``und`` as one more component, under which all trigrams are equally likely.
+
+    Text in a language or script without labels is likelier under it than under any learned language,
+    so that ``und`` leads there instead of the language that was learned from the least text.
+    """
+    if not model.languages:
+        return model
+    flat = np.full((1, BUCKETS), -np.log(BUCKETS), np.float32)
+    return Model([*model.languages, UNKNOWN], np.concatenate([model.log_p, flat]))
+
+
 def _mixture(p: np.ndarray, doc: np.ndarray, first: np.ndarray, words: np.ndarray, share: np.ndarray, rounds: int) -> tuple:
     """EM: shares (documents x languages) and log-likelihoods, relative to each word's best language."""
     for _ in range(rounds):

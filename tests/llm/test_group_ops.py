@@ -311,3 +311,17 @@ def test_near_dedup_drops_planted_near_copies(spark, make_docs, odd_rows):
     odd = make_docs(odd_rows, clash=True)
     left = corpus_pipeline.near_dedup(spark, odd, SF)
     assert left.columns == odd.columns and Counter(x["doc_id"] for x in left.collect()) == Counter([1, 4, 5, 8, 10, 10, None, 11, 12])
+
+
+def test_language_stage_drops_unlearned_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    r = random.Random(17)
+    some = [x["text"] for x in docs.where("lang is not null and length(text) between 600 and 3000").limit(2).collect()]
+    greek = " ".join("".join(r.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(r.randrange(2, 9))) for _ in range(120))
+    russian = "Съешь же ещё этих мягких французских булок да выпей чаю, потому что вечером будет холодно и темно. " * 8
+    polish = "Źdźbło trawy chwiało się przy ścieżce, a żółw szedł powoli wzdłuż brzegu jeziora, gdzie rosły wysokie trzciny. " * 8
+    rows = [(900_000, greek), (900_001, russian), (900_002, polish), (900_003, some[0]), (900_004, some[0] + " " + russian[:100]), (900_005, f"{some[0]} {some[1]}")]
+    new = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs.unionByName(new.select([new[c].cast(docs.schema[c].dataType) for c in docs.columns])), SF).collect()}
+    assert {i for i, _ in rows} & kept == {900_003, 900_004, 900_005}
+    assert docs.where("length(text) > 200").count() * 0.97 < len(kept)
