@@ -46,6 +46,29 @@ def delete(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Written tables of one job: ``with Scratch(spark) as s`` writes them by ``s.table`` and deletes them at the end.
+
+    Tables named in ``keep`` stay, since a DataFrame that is returned still reads them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, *[p for p in self.paths if p not in self.kept])
+
+    def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        made, path = written(df, name)
+        self.paths.append(path)
+        if keep:
+            self.kept.add(path)
+        return made
+
+
 def entity_scan(
     entities: DataFrame,
     types: Sequence[str] | None = None,
