@@ -14,12 +14,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 import plumbline
-from plumbline.sources.tables import delete, table, written  # noqa: F401  (used by the operators)
+from plumbline.sources.tables import Scratch, delete, table, written  # noqa: F401  (used by the operators)
 
 #: Words everywhere in this package: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch; with long texts the batch is what a Python worker holds at once.
-ROWS_PER_BATCH = 512
+#: Bytes of a column that are turned into Python objects at once. Spark bounds the batches themselves
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the session says otherwise).
+PIECE_BYTES = 1 << 20
 
 
 #: Applications whose Python workers have this package's code.
@@ -27,11 +28,7 @@ _SHIPPED: set[str] = set()
 
 
 def ready_workers(spark: SparkSession) -> None:
-    """Ship this package to the Python workers, once, and keep Arrow batches small.
-
-    Small batches mean that thousands of very long texts never meet in one worker's memory.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    """Ship this package to the Python workers, once."""
     app, package = spark.sparkContext.applicationId, Path(plumbline.__file__).parent
     if app in _SHIPPED or not package.is_dir():
         return
@@ -43,6 +40,22 @@ def ready_workers(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in runs of about PIECE_BYTES of one column, a row at least."""
+    for batch in batches:
+        values = batch.column(column)
+        if batch.num_rows == 0:
+            continue
+        step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, values.nbytes)))
+        start = 0
+        while start < batch.num_rows:
+            part = batch.slice(start, step)
+            while part.num_rows > 1 and part.column(column).nbytes > 2 * PIECE_BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            start += part.num_rows
+
+
 def map_column(
     df: DataFrame,
     column: str,
@@ -54,22 +67,23 @@ def map_column(
 
     ``make()`` runs once in each task and returns a function from the column's values (nulls
     included) to one list per new field. A kept column that has a new field's name gives way to it.
+    Each column goes to the workers once, the computed one too where it is kept.
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in keep if c.lower() not in new]
     ready_workers(df.sparkSession)
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("__in"))
+    twice = column in kept
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *([] if twice else [F.col(f"`{column}`").alias("__in")]))
+    at = kept.index(column) if twice else len(kept)
     schema = T.StructType([source.schema[c] for c in kept] + fields)
     types = [to_arrow_schema(T.StructType([f])).field(0).type for f in fields]
     out_names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            made = work(batch.column(batch.num_columns - 1).to_pylist())
+        for batch in pieces(batches, at):
+            made = work(batch.column(at).to_pylist())
             arrays = [pa.array(v, type=t) for v, t in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=out_names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *arrays], names=out_names)
 
     return source.mapInArrow(run, schema)

@@ -2,18 +2,24 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path (tag names with their classes). For each
 path, text length per node and punctuation per node are taken, fused as their geometric mean, given to
-the path's nodes and smoothed along page order. Paths whose mean smoothed value reaches a threshold
-(a share of the standard deviation) are content paths. The smallest element that holds most of the
-content paths' text is the content element; it grows to its enclosing article or main element where
-there is one. The text of its blocks is returned, without what markup itself names as menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and comments, and
-without menus: list items and rows of links that hold nothing else (paragraphs and headings stay).
+the path's nodes and smoothed along page order. What a path's own markup says (an element that is a menu,
+footer, form or the like, or whose class, id or role names one) and the share of its text inside links
+lower its value. Paths whose value reaches a threshold (a share of the values' standard deviation, and of
+the largest value) are content paths. The smallest element that holds most of the content paths' text is
+the content element; it grows to its enclosing article or main element where there is one. Its blocks
+are returned: all text but that of lowered paths below the threshold, and but menus, which are list
+items and rows of links that hold nothing else. The first unlowered h1 before an element without an own
+h1 or h2 is its headline.
+
+A class or id counts only where all words of one of its names are such words or modifiers (``nav-menu`` and
+``site-footer`` do, ``share-price`` and ``has-sidebar`` don't), and not on an element that holds the page's
+article, main element or h1 and half of its text outside links.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined in page order by two line feeds. Null or empty html, or html without content, gives the empty
-text. Whole pages are read whatever their length; broken markup is read the way browsers do for
-unclosed paragraphs and list items, and an article or main element ends an unclosed menu. Repeated
-rows each return a row, extra columns are ignored.
+text. Whole pages are read whatever their length and depth; attributes are read by HTML's rules, broken markup
+the way browsers do for unclosed paragraphs and list items, and an article or main element ends an unclosed
+menu. Repeated rows each return a row, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 import string
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,11 +42,8 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset(
-    "head title script style noscript template iframe object svg canvas nav footer aside form button select option input textarea "
-    "dialog menu audio video map math".split()
-)
-DROPPED_WORDS = frozenset(
+LOWERED_TAGS = frozenset("nav footer aside form button select option dialog menu".split())
+LOWERED_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar aside widget widgets rail "
     "notice notices alert cookie cookies consent gdpr popup modal overlay banner promo promotion paywall disclaimer toast "
     "ad ads adv advert adverts advertisement advertising adsense adslot adsbygoogle adbox adunit adbanner adcontainer sponsor sponsored sponsors outbrain taboola dfp "
@@ -48,39 +51,58 @@ DROPPED_WORDS = frozenset(
     "comment comments commentlist disqus respond reply replies discussion "
     "share sharing social sharebar related recommended recommendations trending toc pagination pager skip hidden copyright legal".split()
 )
+#: Words that only say where or how, so that a name made of them and LOWERED_WORDS is lowered.
+MODIFIERS = frozenset(
+    "site page global main primary secondary top bottom left right upper lower inner outer sub mini small large fixed sticky inline "
+    "list lists box block blocks wrapper wrap container content area section panel bar row col column group item items link links text body "
+    "button buttons icon icons slot unit zone holder placeholder thread post posts article articles entry story stories news media module modules "
+    "google js the and of id div no new tab tabs wide full floating mobile desktop".split()
+)
 #: Words that make a class of a header its article's own.
 ARTICLE_WORDS = frozenset("article post entry story content page title".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+LOWERED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 KEEPERS = frozenset("html body main article h1".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr main menu nav ol p pre section table ul".split()
 )
 SIBLINGS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-UNSEEN = frozenset("head title script style template noscript iframe object svg canvas audio video datalist".split())
-MAX_DEPTH = 256
+NEAR = frozenset("ul ol dl table tr select li dt dd td th option".split())
+UNSEEN = frozenset("head title script style template noscript iframe object svg canvas audio video datalist map".split())
 LISTS = frozenset("li ul ol dl menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Factor of a path that its markup lowers.
+LOWERED = 0.05
+#: Part of the largest value that a content path has at least.
+FLOOR = 0.1
+
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)?+)*+)(?:>|\Z)",
+    re.S,
 )
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))?+)?+""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_NAMES = re.compile(r"\s+")
 _PUNCTUATION = str.maketrans("", "", string.punctuation + "。、，；：？！…«»“”‘’„¿¡—–")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "dropped", "link", "article", "weight", "depth")
+    """An element of the page. ``path`` numbers its tag path; ``own`` says that its markup names what isn't article text."""
 
-    def __init__(self, tag: str, parent: Element | None, label: str, dropped: bool):
-        self.tag, self.parent = tag, parent
-        self.path = f"{parent.path}/{label}" if parent else label
-        self.dropped = dropped or (parent is not None and parent.dropped)
+    __slots__ = ("tag", "parent", "path", "label", "own", "lowered", "unseen", "link", "article", "depth", "solid", "near", "mass", "keeps", "inside")
+
+    def __init__(self, tag: str, parent: Element | None, label: str, own: bool, paths: dict):
+        self.tag, self.parent, self.label, self.own = tag, parent, label, own
+        self.path = paths.setdefault((parent.path if parent else -1, label), len(paths))
+        self.unseen = tag in UNSEEN or (parent is not None and parent.unseen)
         self.link = tag == "a" or (parent is not None and parent.link)
         inside = parent.article if parent else None
-        self.article = inside or (self if tag in ("article", "main") else None)
-        self.weight = 0.0
+        self.article = inside or (self if tag in ("article", "main") and not own else None)
         self.depth = parent.depth + 1 if parent else 0
+        self.solid = parent.solid if parent and tag in INLINE else self
+        self.near = parent.near if parent and tag not in NEAR else self
+        self.lowered, self.mass, self.keeps, self.inside = False, 0.0, False, False
 
 
 class Node:
@@ -90,104 +112,136 @@ class Node:
         self.element, self.text, self.block = element, text, block
         self.size = len(text.strip())
 
+    @property
+    def path(self) -> tuple[int, bool]:
+        """The node's tag path; what markup lowers is a path of its own."""
+        return self.element.path, self.element.lowered
+
+
+def path_of(e: Element | None) -> str:
+    """The tag path of an element as text."""
+    labels = []
+    while e is not None:
+        labels.append(e.label)
+        e = e.parent
+    return "/".join(reversed(labels))
+
 
 def _names_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
     """(whether the element's own markup says it isn't article text, its path label)."""
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True, tag
+    own = tag in LOWERED_TAGS or tag == "header" and not in_article
     if not attributes or attributes.isspace() or attributes == "/":
-        return False, tag
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+        return own, tag
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     kind = found.get("class", "")
-    label = f"{tag}.{'.'.join(kind.split())}" if kind else tag
-    if tag in KEEPERS:
-        return False, label
+    label = f"{tag}.{'.'.join(kind.split())}" if kind.strip() else tag
+    if own or tag in ("html", "body"):
+        return own, label
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True, label
-    if found.get("role", "").lower() in DROPPED_ROLES:
-        return True, label
-    words = {w.lower() for w in _WORDS.findall(f"{kind} {found.get('id', '')}")}
-    boilerplate = words & DROPPED_WORDS
-    if boilerplate == {"header"} and (in_article or words & ARTICLE_WORDS):
+    if tag in ("main", "h1"):
         return False, label
-    return bool(boilerplate), label
-
+    if found.get("role", "").lower() in LOWERED_ROLES:
+        return True, label
+    for name in _NAMES.split(f"{kind} {found.get('id', '')}"):
+        words = {w.lower() for w in _WORDS.findall(name)}
+        lowered = words & LOWERED_WORDS
+        if not lowered or words - LOWERED_WORDS - MODIFIERS:
+            continue
+        if lowered == {"header"} and (in_article or words & ARTICLE_WORDS):
+            continue
+        return True, label
+    return False, label
 
-def parse(page: str, everything: bool = False) -> list[Node]:
-    """Text nodes in page order, each with its element and the number of its block.
 
-    ``everything`` leaves out only what a browser never shows. Elements nested deeper than MAX_DEPTH
-    count as their ancestor at that depth.
-    """
-    root = Element("#root", None, "", False)
+def parse(page: str) -> list[Node]:
+    """Text nodes in page order, without what a browser never shows, each with its element and the number of its block."""
+    paths: dict = {}
+    root = Element("#root", None, "", False, paths)
     at, nodes, block, pos = root, [], 0, 0
-    size = len(page)
+    size, opened, elements = len(page), Counter(), [root]
+
+    def close(to: Element) -> Element:
+        """Close elements up to and including ``to``; the element then at hand."""
+        e = at
+        while e is not to:
+            opened[e.tag] -= 1
+            e = e.parent
+        opened[to.tag] -= 1
+        return to.parent
+
     while pos < size:
         m = _TOKEN.search(page, pos)
         end = m.start() if m else size
-        if end > pos:
+        if end > pos and not at.unseen:
             nodes.append(Node(at, entities.unescape(page[pos:end]), block))
         if not m:
             break
         pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
         if tag not in INLINE:
             block += 1
-        if m[1] or m[4]:
-            e = at
-            while e is not root and e.tag != tag:
-                e = e.parent
-            if e is not root:
-                at = e.parent
+        if m[1]:
+            if opened[tag] > 0:
+                e = at
+                while e.tag != tag:
+                    e = e.parent
+                at = close(e)
             continue
-        attributes = m[3] or m[6] or ""
-        if tag in CLOSES_P:
-            e = at
-            while e is not root and e.tag in INLINE:
-                e = e.parent
-            if e.tag == "p":
-                at = e.parent
+        attributes = m[3] or ""
+        if tag in CLOSES_P and opened["p"] > 0 and at.solid.tag == "p":
+            at = close(at.solid)
         if tag in SIBLINGS:
             names, limits = SIBLINGS[tag]
-            e = at
+            e = at.near
             while e is not root and e.tag not in limits and e.tag not in names.split():
-                e = e.parent
+                e = e.parent.near
             if e.tag in names.split():
-                at = e.parent
-        if tag in ("article", "main"):
-            e = at
-            while e is not root:
-                if e.tag in ("nav", "header", "form", "head"):
-                    at = e.parent
-                e = e.parent
-        elif tag == "body":
-            e = at
-            while e is not root:
-                if e.tag == "head":
-                    at = e.parent
-                e = e.parent
-        if everything:
-            dropped, label = tag in UNSEEN, tag
-        else:
-            dropped, label = _names_boilerplate(tag, attributes, at.article is not None)
+                at = close(e)
+        for limit in ("nav", "header", "form", "head") if tag in ("article", "main") else ("head",) if tag == "body" else ():
+            while opened[limit] > 0:
+                e = at
+                while e.tag != limit:
+                    e = e.parent
+                at = close(e)
+        own, label = _names_boilerplate(tag, attributes, at.article is not None)
         if tag in VOID:
-            if tag == "br":
+            if tag == "br" and not at.unseen:
                 nodes.append(Node(at, " ", block))
             continue
         if attributes.endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]|\Z", re.I).search(page, pos)
-            close = page.find(">", stop.start())
-            pos = size if close < 0 else close + 1
+            shut = page.find(">", stop.start())
+            pos = size if shut < 0 else shut + 1
             block += 1
             continue
-        if at.depth >= MAX_DEPTH:
-            at = at.parent
-        at = Element(tag, at, label, dropped)
-    return [n for n in nodes if not n.element.dropped]
+        at = Element(tag, at, label, own, paths)
+        elements.append(at)
+        opened[tag] += 1
+    _lower(elements, nodes)
+    return nodes
+
+
+def _lower(elements: list[Element], nodes: list[Node]) -> None:
+    """Say of each element whether markup lowers it: its own or an ancestor's, void where it holds the article and half the text."""
+    for n in nodes:
+        if not n.element.link:
+            n.element.mass += n.size
+    for e in reversed(elements):
+        e.keeps = e.keeps or e.tag in ("article", "main", "h1") and not e.own
+        if e.parent is not None:
+            e.parent.mass += e.mass
+            e.parent.keeps = e.parent.keeps or e.keeps
+    total = elements[0].mass
+    for e in elements:
+        own = e.own and not (e.keeps and e.tag != "article" and 2 * e.mass >= total > 0)
+        e.lowered = own or (e.parent is not None and e.parent.lowered)
 
 
 def joined_blocks(nodes: list[Node]) -> str:
@@ -199,46 +253,44 @@ def joined_blocks(nodes: list[Node]) -> str:
     return "\n\n".join(b for b in blocks if b)
 
 
-def path_values(nodes: list[Node], smoothing: tuple[float, ...]) -> tuple[dict[str, float], float]:
-    """(smoothed fused value of each path, standard deviation over nodes)."""
-    length, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
+def path_values(nodes: list[Node], smoothing: tuple[float, ...]) -> dict[tuple[int, bool], float]:
+    """The value of each path: fused ratios, smoothed along page order, lowered by markup and by the share of links."""
+    length, marks, links, count = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(int)
     for n in nodes:
-        p = n.element.path
+        p = n.path
         length[p] += n.size
         marks[p] += len(n.text) - len(n.text.translate(_PUNCTUATION))
+        links[p] += n.size * n.element.link
         count[p] += 1
     fused = {p: ((length[p] / count[p]) * (marks[p] / count[p] + 0.1)) ** 0.5 for p in count}
-    raw = np.array([fused[n.element.path] for n in nodes])
+    raw = np.array([fused[n.path] for n in nodes])
     kernel = np.array(smoothing) / sum(smoothing)
     half = len(kernel) // 2
     smooth = np.convolve(np.pad(raw, half, mode="edge"), kernel, mode="valid")
     sums = defaultdict(float)
     for n, v in zip(nodes, smooth, strict=True):
-        sums[n.element.path] += v
-    return {p: 0.5 * (s / count[p] + fused[p]) for p, s in sums.items()}, float(raw.std())
+        sums[n.path] += v
+    return {p: 0.5 * (s / count[p] + fused[p]) * (1 - links[p] / length[p]) * (LOWERED if p[1] else 1.0) for p, s in sums.items()}
+
+
+def content_paths(nodes: list[Node], threshold: float, smoothing: tuple[float, ...]) -> set[tuple[int, bool]]:
+    """The paths whose value reaches the threshold, by the values' standard deviation over nodes and by the largest value."""
+    values = path_values(nodes, smoothing)
+    spread = float(np.array([values[n.path] for n in nodes]).std())
+    top = max(values.values())
+    limit = min(max(threshold * spread, FLOOR * top), top)
+    return {p for p, v in values.items() if v >= limit}
 
 
 def main_text(page: str | None, threshold: float = 0.8, smoothing: tuple[float, ...] = (1, 2, 4, 2, 1), majority: float = 0.9) -> str:
     """The main text of one page."""
     nodes = [n for n in parse(page or "") if n.text]
     solid = [n for n in nodes if n.size]
-    if not solid:
+    if all(n.element.lowered for n in solid):
         return ""
-    values, spread = path_values(solid, smoothing)
-    limit = min(threshold * spread, max(values.values()))
-    content = {p for p, v in values.items() if v >= limit}
-    total = 0.0
-    for n in solid:
-        if n.element.path in content and not n.element.link:
-            e = n.element
-            while e:
-                e.weight += n.size
-                e = e.parent
-            total += n.size
-    if not total:
-        content = set(values)
-    chosen = _content_element(solid, total, majority)
-    within = [n for n in nodes if _inside(n.element, chosen)]
+    content = content_paths(solid, threshold, smoothing)
+    chosen = _content_element(solid, content, majority)
+    within = [n for n in nodes if n.element.inside and (n.path in content or not n.element.lowered)]
     links, sizes, anchors, prose = defaultdict(int), defaultdict(int), defaultdict(set), set()
     for n in within:
         sizes[n.block] += n.size
@@ -249,29 +301,72 @@ def main_text(page: str | None, threshold: float = 0.8, smoothing: tuple[float,
             prose.add(n.block)
     listed = {n.block for n in within if _under(n.element, chosen, LISTS)}
     whole = chosen.tag in ("#root", "html", "body")
-    accepted = {n.block for n in within if n.size and (n.element.path in content or not whole or n.element.tag in HEADINGS)}
+    accepted = {n.block for n in within if n.size and (n.path in content or not whole or n.element.tag in HEADINGS)}
     menus = {b for b, n in sizes.items() if n and links[b] == n and b not in prose and (whole or len(anchors[b]) > 1 or b in listed)}
     if accepted <= menus:
         menus = set()
-    return joined_blocks([n for n in within if n.block in accepted and n.block not in menus])
+    kept = [n for n in within if n.block in accepted and n.block not in menus]
+    return joined_blocks(_headline(nodes, within, chosen) + kept)
 
 
-def _content_element(solid: list[Node], total: float, majority: float) -> Element:
-    """The deepest element with the given share of the content text, grown to its article or main element."""
-    best = None
-    for n in solid:
-        e = n.element
-        while e:
-            if e.weight >= majority * total and (best is None or e.depth > best.depth):
-                best = e
+def _headline(nodes: list[Node], within: list[Node], chosen: Element) -> list[Node]:
+    """The nodes of the first unlowered h1 before a content element that has no h1 or h2."""
+    if chosen.tag in ("#root", "html", "body", "article", "main") or any(n.element.solid.tag in ("h1", "h2") for n in within):
+        return []
+    found = None
+    for n in nodes:
+        if n.element.inside:
+            break
+        if found is None and n.size and n.element.solid.tag == "h1" and not n.element.lowered:
+            found = n.element.solid
+    return [n for n in nodes if found is not None and n.element.solid is found]
+
+
+def _content_element(solid: list[Node], content: set[tuple[int, bool]], majority: float) -> Element:
+    """The deepest element with the given share of the content text, grown to its article or main element; marks what is inside."""
+    elements: dict[Element, float] = defaultdict(float)
+    total = 0.0
+    for pick in (lambda n: n.path in content and not n.element.link, lambda n: n.path in content):
+        for n in solid:
+            if pick(n):
+                elements[n.element] += n.size
+                total += n.size
+        if total:
+            break
+    every = set(elements)
+    for e in list(elements):
+        while e.parent is not None and e.parent not in every:
             e = e.parent
+            every.add(e)
+    best = None
+    for e in sorted(every, key=lambda e: -e.depth):
+        if best is None and elements[e] >= majority * total:
+            best = e
+        if e.parent is not None:
+            elements[e.parent] += elements[e]
     if best.article:
-        return best.article
-    while best.parent and (best.tag in INLINE or best.tag in ("p", "blockquote", "li", "pre") or best.tag in HEADINGS):
-        best = best.parent
+        best = best.article
+    else:
+        while best.parent and (best.tag in INLINE or best.tag in ("p", "blockquote", "li", "pre") or best.tag in HEADINGS):
+            best = best.parent
+    _mark_inside(solid, best)
     return best
 
 
+def _mark_inside(nodes: list[Node], top: Element) -> None:
+    known: dict[Element, bool] = {top: True}
+    for n in nodes:
+        e, way = n.element, []
+        while e is not None and e not in known:
+            way.append(e)
+            e = e.parent
+        inside = e is not None and known[e]
+        for x in way:
+            known[x] = inside
+    for e, inside in known.items():
+        e.inside = inside
+
+
 def _under(e: Element, top: Element, tags: frozenset[str]) -> bool:
     while e is not top and e is not None:
         if e.tag in tags:
@@ -287,12 +382,6 @@ def _prose(e: Element, top: Element) -> bool:
     return (e.tag in ("p", "blockquote", "figcaption", "pre", "td", "dd") or e.tag in HEADINGS) and not _under(e, top, LISTS)
 
 
-def _inside(e: Element | None, top: Element) -> bool:
-    while e is not None and e.depth > top.depth:
-        e = e.parent
-    return e is top
-
-
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), **options) -> DataFrame:
     """(id, keep..., text, n_chars): the main text of every page and its length in code points."""
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import map_column, ready_workers
+from plumbline.llm.common import map_column, pieces, ready_workers
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -86,7 +86,7 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for piece in _pieces(text):
                     totals[index[lang]] += np.bincount(_trigrams(piece)[0], minlength=BUCKETS)

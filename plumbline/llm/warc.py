@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.common import ready_workers
+from plumbline.llm.common import pieces, ready_workers
 from plumbline.llm.html_paths import joined_blocks, parse
 
 #: Namespace of the derivatives' record ids.
@@ -43,6 +43,8 @@ FIELDS = (
     "source_headers map<string,string>, source_payload_digest string, source_block_digest string, "
     "block_digest string, content_length long, content string, problem string"
 )
+#: Bytes of a compressed file that are decompressed at once.
+MEMBER_BYTES = 1 << 14
 _CHARSET = re.compile(rb"""<meta[^>]{0,200}?charset\s*=\s*["']?([-\w:.]+)""", re.I)
 
 
@@ -171,7 +173,7 @@ def derivatives(record: bytes | None) -> list[tuple]:
             page, short = decoded_text(r)
             problem = f"incomplete body: {short}" if short else None
             kind = (_value(r.http, "Content-Type") or "text/html").lower()
-            text = joined_blocks(parse(page, everything=True)) if "html" in kind or "xml" in kind else page
+            text = joined_blocks(parse(page)) if "html" in kind or "xml" in kind else page
         except (ValueError, zlib.error) as e:
             problem = f"undecodable body: {e}"
     claimed = [(n, _value(r.warc, n)) for n in ("WARC-Payload-Digest", "WARC-Block-Digest")]
@@ -213,7 +215,7 @@ def derive(responses: DataFrame, record_col: str = "record", keep: Sequence[str]
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, len(kept)):
             rows, places = [], []
             for i, record in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 made = derivatives(record)
@@ -266,19 +268,40 @@ def split_warc(data: bytes) -> Iterator[bytes]:
         yield data[start:pos]
 
 
+def members(content: bytes) -> Iterator[bytes]:
+    """The gzip members of a file's bytes one after the other, or the bytes themselves; each is read in pieces, once.
+
+    Crawls write a member for each record. A member that ends early, or isn't one, ends the file.
+    """
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    pos = 0
+    while content[pos : pos + 2] == b"\x1f\x8b":
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof and pos < len(content):
+            piece = content[pos : pos + MEMBER_BYTES]
+            pos += len(piece)
+            try:
+                parts.append(member.decompress(piece))
+            except zlib.error:
+                pos = len(content)
+                break
+        pos -= len(member.unused_data)
+        yield b"".join(parts)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record) of WARC files, plain or gzip; a file is read by one task, so files should be split as crawls do (1 GB)."""
+    """(path, record) of WARC files, plain or gzip; a file is read by one task, so files should be split as crawls do (1 GB).
+
+    A worker holds a file's bytes and one member of it decompressed.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = []
-                while content[:2] == b"\x1f\x8b":
-                    member = zlib.decompressobj(31)
-                    parts.append(member.decompress(content))
-                    content = member.unused_data
-                for record in split_warc(b"".join(parts) or content):
+                for record in (r for part in members(content) for r in split_warc(part)):
                     yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([record], type=pa.binary())], names=["path", "record"])
 
     ready_workers(spark)
