@@ -9,7 +9,7 @@ which nothing worked. Pair verdicts and words are remembered in bounded caches.
 
 No piece of such a vocabulary holds a space mark after another character, so a text falls into
 words that start with their space mark; runs of two or more marks, where scores tie, are merged
-directly. A character without a piece becomes its UTF-8 bytes. The text is taken as it is (identity
+directly, with a queue. A character without a piece becomes its UTF-8 bytes. The text is taken as it is (identity
 normalisation) with one space mark before it, like the models this is for; other models are refused.
 
 ``encode_decode`` treats null text as empty; the empty text has no ids and decodes to itself.
@@ -18,6 +18,7 @@ normalisation) with one space mark before it, like the models this is for; other
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Sequence
 
@@ -28,6 +29,8 @@ from pyspark.sql import types as T
 from plumbline.llm.common import map_column
 
 MARK = "▁"
+#: Texts up to this length are merged by looking at all pairs again after each merge.
+SHORT = 32
 #: Entries of one of the two generations of words, and of pairs, that a Python worker remembers; a text may add its own beyond.
 CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -64,7 +67,9 @@ class PieceBpe:
         self.automaton.make_automaton()
 
     def merge(self, text: str) -> list[str]:
-        """Pieces of a short text by merging itself: the best score first, the leftmost of equals."""
+        """Pieces of a text by merging itself: the best score first, the leftmost of equals."""
+        if len(text) > SHORT:
+            return self._merge_long(text)
         parts = list(text)
         while len(parts) > 1:
             best, at = None, -1
@@ -77,6 +82,34 @@ class PieceBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _merge_long(self, text: str) -> list[str]:
+        """As ``merge``, from a queue of the pairs, so that a long run of spaces takes n log n steps."""
+        parts: list[str | None] = list(text)
+        last = len(parts)
+        after, before = list(range(1, last + 1)), list(range(-1, last - 1))
+        score, queue = self.score, []
+
+        def push(i: int) -> None:
+            j = after[i]
+            if j < last and (s := score.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(queue, (-s, i, len(parts[i]), len(parts[j])))
+
+        for i in range(last - 1):
+            push(i)
+        while queue:
+            _, i, left, right = heapq.heappop(queue)
+            j = after[i]
+            if parts[i] is None or j >= last or len(parts[i]) != left or len(parts[j]) != right:
+                continue
+            parts[i], parts[j] = parts[i] + parts[j], None
+            after[i] = after[j]
+            if after[i] < last:
+                before[after[i]] = i
+            push(i)
+            if before[i] >= 0:
+                push(before[i])
+        return [p for p in parts if p is not None]
+
     def _compatible(self, a: int, b: int) -> bool:
         key = a << 20 | b
         known = self.pairs.get(key)
