@@ -39,6 +39,7 @@ def select_as_of(
 
 
 def without_superseded(entries: DataFrame, supersessions: DataFrame) -> DataFrame:
+    """Entries that no other one follows; null ids stay."""
     return entries.join(supersessions.select(F.col("predecessor_id").alias("entry_id")), "entry_id", "left_anti")
 
 
@@ -79,3 +80,48 @@ def entry_problems(entries: DataFrame, currency: str = "GBP") -> DataFrame:
         .when(e("effective_end") <= e("effective_start"), "window")
     )
     return entries.withColumn("problem", problem).where("problem is not null")
+
+
+def select_formulas(requests: DataFrame, formulas: DataFrame, request_id: str, project: str = "project_id") -> DataFrame:
+    """(request columns, entry_id, status) of formulas by id and, where the request names one, version.
+
+    Formulas have entry_id, formula_id, version, project_id (null for global). The request's project wins over global ones; without a
+    version the newest of the winning scope is meant. ``missing`` and ``ambiguous`` (one version twice in the winning scope) have no entry.
+    """
+    f = formulas.select("entry_id", F.col("formula_id").alias("__f"), F.col("version").alias("__v"), F.col(project).alias("__p"))
+    wanted = F.col("version").isNull() | (F.col("version") == F.col("__v"))
+    met = requests.join(f, (F.col("formula_id") == F.col("__f")) & wanted & (F.col("__p").isNull() | (F.col("__p") == F.col(project))))
+    ranked = met.withColumn("__rank", F.struct(F.col("__p").isNotNull().alias("own"), F.col("__v").alias("v")))
+    best = ranked.groupBy(request_id, "__rank").agg(F.min("entry_id").alias("entry_id"), F.count("*").alias("n")).groupBy(request_id).agg(F.max_by(F.struct("entry_id", "n"), "__rank").alias("b"))
+    out = requests.join(best, request_id, "left")
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("b.n") > 1, "ambiguous").otherwise("selected")
+    return out.select(*requests.columns, F.when(status == "selected", F.col("b.entry_id")).alias("entry_id"), status.alias("status"))
+
+
+def resolve_requests(requests: DataFrame, entries: DataFrame, supersessions: DataFrame, key: Sequence[str], request_id: str) -> DataFrame:
+    """(request columns, entry_id, value, status) of all catalog references of estimates in one pass.
+
+    A request that names an entry (entry_ref, checksum) gets it where the checksum agrees: ``matched``, ``checksum_mismatch``, ``stale``
+    (superseded) or ``missing``; one that doesn't is selected by key, scope and date among what isn't superseded.
+    """
+    old = supersessions.select(F.col("predecessor_id").alias("entry_ref"), F.lit(True).alias("__old")).distinct()
+    known = entries.select(F.col("entry_id").alias("entry_ref"), F.col("value").alias("__value"), F.col("checksum").alias("__sum"))
+    named = requests.where(F.col("entry_ref").isNotNull()).join(known, "entry_ref", "left").join(old, "entry_ref", "left")
+    status = F.when(F.col("__value").isNull(), "missing").when(~F.col("__sum").eqNullSafe(F.col("checksum")), "checksum_mismatch").when(F.col("__old"), "stale").otherwise("matched")
+    named = named.withColumn("status", status)
+    good = F.col("status") == "matched"
+    by_ref = named.select(*requests.columns, F.when(good, F.col("entry_ref")).alias("entry_id"), F.when(good, F.col("__value")).alias("value"), "status")
+    return by_ref.unionByName(select_as_of(requests.where(F.col("entry_ref").isNull()), without_superseded(entries, supersessions), key, request_id))
+
+
+def load_entries(new: DataFrame, existing: DataFrame, columns: Sequence[str], currency: str = "GBP") -> tuple[DataFrame, DataFrame]:
+    """(accepted with checksum, refused with problem): a catalog load.
+
+    Refused: a value with more than six places, and what ``entry_problems`` finds. Entries that are there already with an equal checksum
+    are left out of both.
+    """
+    places = F.col("value").cast("decimal(38,18)") != F.round(F.col("value").cast("decimal(38,18)"), 6)
+    fine = new.where(~F.coalesce(places, F.lit(False)))
+    refused = new.where(F.coalesce(places, F.lit(False))).withColumn("problem", F.lit("places")).unionByName(entry_problems(fine, currency))
+    accepted = fine.join(entry_problems(fine, currency).select("entry_id"), "entry_id", "left_anti").withColumn("checksum", entry_checksum(columns))
+    return accepted.join(existing.select("entry_id", "checksum"), ["entry_id", "checksum"], "left_anti"), refused

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -113,3 +114,77 @@ def snapshot(parts: Mapping[str, DataFrame], key: str) -> DataFrame:
         rows = df.select(F.lit(kind).alias("entry_kind"), F.col(key).cast("string").alias("entry_key"), payload.alias("payload"))
         out = rows if out is None else out.union(rows)
     return out.withColumn("checksum", F.sha2("payload", 256))
+
+
+#: Limits of a formula definition.
+MAX_NODES, MAX_ARGS, MAX_PLACES = 512, 64, 12
+
+
+def check_formula(expression: Mapping, inputs: Mapping[str, tuple[str, str]], output: str = "money") -> list[str]:
+    """What is wrong with a formula's definition, in the order found; none for a good one.
+
+    Checked: its shape (kinds, arguments, canonical decimal texts, rounding scale 0 to ``MAX_PLACES``), its size (depth, nodes, arguments),
+    unknown and unused inputs, the contracts of every operation, and the output's contract.
+    """
+    problems, used, nodes = [], set(), 0
+
+    def walk(node, depth: int) -> None:
+        nonlocal nodes
+        nodes += 1
+        if not isinstance(node, Mapping) or not isinstance(node.get("kind"), str):
+            problems.append("not an expression")
+            return
+        if depth > MAX_DEPTH:
+            problems.append("too deep")
+            return
+        kind, args = node["kind"], node.get("args", ())
+        if kind == "literal":
+            text = str(node.get("value"))
+            if not re.fullmatch(r"-?(0|[1-9][0-9]*)([.][0-9]*[1-9])?", text) or text == "-0":
+                problems.append(f"{text} isn't a canonical decimal")
+        elif kind == "input":
+            used.add(node.get("name"))
+            if node.get("name") not in inputs:
+                problems.append(f"unknown input {node.get('name')}")
+        elif kind not in ("add", "subtract", "multiply", "divide", "negate", "min", "max", "sum", "round"):
+            problems.append(f"unknown kind {kind}")
+        else:
+            least, most = {"negate": (1, 1), "round": (1, 1), "divide": (2, 2), "subtract": (2, 2)}.get(kind, (1 if kind in ("min", "max", "sum") else 2, MAX_ARGS))
+            if not least <= len(args) <= most:
+                problems.append(f"{kind} of {len(args)} arguments")
+            if kind == "round" and not (isinstance(node.get("scale"), int) and 0 <= node["scale"] <= MAX_PLACES):
+                problems.append(f"rounding scale {node.get('scale')}")
+            for a in args:
+                walk(a, depth + 1)
+
+    walk(expression, 0)
+    if nodes > MAX_NODES:
+        problems.append("too many nodes")
+    problems += [f"unused input {n}" for n in sorted(set(inputs) - used)]
+    if not problems:
+        try:
+            _, contract = compile_formula(expression, inputs)
+            if contract != output:
+                problems.append(f"the formula makes {contract}, not {output}")
+        except FormulaError as e:
+            problems.append(str(e))
+    return problems
+
+
+def assemble_lines(lines: DataFrame, quantities: DataFrame, entries: DataFrame) -> DataFrame:
+    """(line_key, kind, quantity, rate, amount, status) of estimate lines with their quantity and rate, material or assumption.
+
+    lines: line_key, kind (rate, material, assumption), quantity_key, entry_key, unit. quantities: quantity_key, value, unit. entries: kind,
+    entry_key, value, unit. The first that holds is the status: missing_quantity (but for assumptions, whose value is the amount),
+    missing_entry, kind_mismatch (the entry is of another kind), unit_mismatch, priced. Repeated keys on the right are ``ambiguous``.
+    """
+    q = quantities.groupBy("quantity_key").agg(F.min("value").alias("quantity"), F.min("unit").alias("__q_unit"), F.count("*").alias("__q"))
+    e = entries.groupBy("entry_key").agg(F.min("value").alias("rate"), F.min("unit").alias("__e_unit"), F.min("kind").alias("__e_kind"), F.count("*").alias("__e"))
+    met = lines.join(q, "quantity_key", "left").join(e, "entry_key", "left")
+    alone = F.col("kind") == "assumption"
+    status = (
+        F.when((F.col("__q") > 1) | (F.col("__e") > 1), "ambiguous").when(~alone & F.col("quantity").isNull(), "missing_quantity").when(F.col("rate").isNull(), "missing_entry")
+        .when(F.col("__e_kind") != F.col("kind"), "kind_mismatch").when(~alone & (~F.col("__q_unit").eqNullSafe(F.col("unit")) | ~F.col("__e_unit").eqNullSafe(F.col("unit"))), "unit_mismatch").otherwise("priced")
+    )
+    product = F.when(alone, F.col("rate").cast("decimal(38,12)")).otherwise(F.col("quantity").cast("decimal(18,6)") * F.col("rate").cast("decimal(18,6)"))
+    return met.select("line_key", "kind", "quantity", "rate", F.when(status == "priced", money(product)).alias("amount"), status.alias("status"))

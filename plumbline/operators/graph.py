@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import grid_cell
-from plumbline.sources.tables import delete, written
+from plumbline.sources.tables import Scratch, delete, written
 
 #: Each pair of rounds at least halves the depth of a component; more than this means a defect.
 MAX_ROUNDS = 60
@@ -67,18 +67,34 @@ def component_sizes(rows: DataFrame, row_id: str, nodes: Sequence[str]) -> DataF
     return met.join(sizes, "component", "left").select(row_id, "component", F.coalesce("size", F.lit(1).cast("long")).alias("size"))
 
 
-def topology(segments: DataFrame, tolerance: float, segment_id: str = "segment_id", closed: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of segments whose endpoints snap to grid cells: degree, mean point, terminal."""
-    cell = lambda x, y: F.concat_ws(":", grid_cell(F.col(x), tolerance).cast("string"), grid_cell(F.col(y), tolerance).cast("string"))
+def topology(segments: DataFrame, tolerance: float, segment_id: str = "segment_id", closed: str | None = None, group: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of segments whose endpoints snap to grid cells: degree, mean point, terminal.
+
+    Node names begin with the group's values, so that nodes of several drawings stay apart also by name alone.
+    """
+    cell = lambda x, y: F.concat_ws(":", *[F.col(g).cast("string") for g in group], grid_cell(F.col(x), tolerance).cast("string"), grid_cell(F.col(y), tolerance).cast("string"))
     edges = segments.withColumn("u", cell("x0", "y0")).withColumn("v", cell("x1", "y1"))
     shut = F.col(closed) if closed else F.lit(False)
-    ends = edges.select(F.col("u").alias("node"), F.col("x0").alias("x"), F.col("y0").alias("y"), shut.alias("c")).union(
-        edges.select(F.col("v").alias("node"), F.col("x1").alias("x"), F.col("y1").alias("y"), shut.alias("c"))
-    )
-    nodes = ends.groupBy("node").agg(F.count("*").alias("degree"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.max("c").alias("c"))
+    end = lambda n, i: edges.select(*group, F.col(n).alias("node"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"), shut.alias("c"))
+    nodes = end("u", 0).union(end("v", 1)).groupBy(*group, "node").agg(F.count("*").alias("degree"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.max("c").alias("c"))
     return nodes.withColumn("terminal", (F.col("degree") == 1) & ~F.col("c")).drop("c"), edges
 
 
+def circuits(edges: DataFrame, devices: DataFrame, edge_id: str, device: str) -> tuple[DataFrame, DataFrame]:
+    """(circuits, members) of a topology's edges (u, v): connected edges are a circuit, named by its smallest node.
+
+    circuits: circuit_id, n_edges, anchor (the lowest device at one of its nodes; devices have node and the device column);
+    members: the edge and its circuit. An edge without a node (null u or v) has no circuit.
+    """
+    parts = min_label_components(edges.select("u", "v"))
+    own = edges.select(edge_id, F.least("u", "v").alias("node")).where("node is not null")
+    # A closed edge links no two nodes; its node alone names its circuit.
+    members = own.join(parts, "node", "left").select(edge_id, F.coalesce("component", "node").alias("circuit_id"))
+    at = devices.join(parts, "node", "left").select(F.coalesce("component", "node").alias("circuit_id"), device).groupBy("circuit_id").agg(F.min(device).alias("anchor"))
+    sizes = members.groupBy("circuit_id").agg(F.count("*").alias("n_edges"))
+    return sizes.join(at, "circuit_id", "left"), members
+
+
 def tree_walk(rows: DataFrame, key: str, parent: str, roots: DataFrame, max_depth: int) -> DataFrame:
     """(key, root, depth, path) of every node reached from the roots (column key), level by level.
 
@@ -100,21 +116,24 @@ def tree_walk(rows: DataFrame, key: str, parent: str, roots: DataFrame, max_dept
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(source, node, distance) by relaxing all sources at once until nothing improves.
 
-    edges: u, v, weight (both directions are walked); sources: source, node. Only improved nodes send on.
+    edges: u, v, weight (both directions are walked, weights not below zero); sources: source, node. Only improved
+    nodes send on and only improvements are written; every few rounds they are merged. More than ``max_rounds``
+    rounds, the edges of the longest shortest path, are an error.
     """
     both = edges.select("u", "v", "weight").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
-    both, _ = written(both.groupBy("u", "v").agg(F.min("weight").cast("double").alias("weight")), "edges")
-    best, best_path = written(sources.select("source", "node", F.lit(0.0).alias("distance")).distinct(), "reach")
-    moved = best
-    for _ in range(max_rounds):
-        sent = moved.join(both, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
-        met = best.join(sent, ["source", "node"], "full_outer")
-        better = F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new") < F.col("distance")))
-        step, path = written(met.select("source", "node", F.when(better, F.col("new")).otherwise(F.col("distance")).alias("distance"), better.alias("better")), "reach")
-        delete(edges.sparkSession, best_path)
-        best, moved, best_path = step.drop("better"), step.where("better").drop("better"), path
-        if moved.isEmpty():
-            return best
+    merge = lambda df: df.groupBy("source", "node").agg(F.min("distance").alias("distance"))
+    with Scratch(edges.sparkSession) as s:
+        both = s.table(both.groupBy("u", "v").agg(F.min("weight").cast("double").alias("weight")), "edges")
+        moved = best = s.table(sources.select("source", "node", F.lit(0.0).alias("distance")).distinct(), "reach")
+        for rounds in range(1, max_rounds + 1):
+            sent = moved.join(both, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
+            met = sent.join(merge(best), ["source", "node"], "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance")))
+            moved = s.table(met.select("source", "node", F.col("new").alias("distance")), "moved")
+            if moved.isEmpty():
+                return s.table(merge(best), "reach", keep=True)
+            best = best.union(moved)
+            if rounds % PLAN_STEPS == 0:
+                best = s.table(merge(best), "reach")
     raise RuntimeError(f"paths still improve after {max_rounds} rounds")
 
 

@@ -21,22 +21,23 @@ def hue_lookup(rows: DataFrame, legend: DataFrame, row_id: str, colour: str, ser
     """(row_id, service, basis): the same colour first; else the nearest hue within tolerance whose lead over
     the next service is at least margin; grey colours resolve exactly only.
 
-    Hues fall into bins as wide as the tolerance; a row meets the three bins around its own.
+    Colours are resolved once each, whatever the number of rows. Hues fall into bins as wide as the tolerance; a
+    colour meets the three bins around its own.
     """
     bins = max(1, int(360 // (tolerance + margin)))
     width = 360.0 / bins
     exact = legend.groupBy(colour).agg(F.min(service).alias("__exact"))
     listed = legend.where(~achromatic(F.col(colour))).select(hue(F.col(colour)).alias("__h"), F.col(service).alias("__s")).distinct()
     listed = listed.withColumn("__bin", F.floor(F.col("__h") / width) % bins)
-    own = rows.select(row_id, colour).join(exact, colour, "left")
+    own = rows.select(colour).distinct().join(exact, colour, "left")
     loose = own.where(F.col("__exact").isNull() & ~achromatic(F.col(colour))).withColumn("__own", hue(F.col(colour)))
     around = F.explode(F.array_distinct(F.array(*[F.pmod(F.floor(F.col("__own") / width) + d, F.lit(bins)) for d in (-1, 0, 1)])))
     met = loose.withColumn("__bin", around).join(listed, "__bin").withColumn("__d", hue_distance(F.col("__own"), F.col("__h")))
-    per = met.groupBy(row_id, "__s").agg(F.min("__d").alias("__d"))
-    w = Window.partitionBy(row_id).orderBy("__d", "__s")
+    per = met.groupBy(colour, "__s").agg(F.min("__d").alias("__d"))
+    w = Window.partitionBy(colour).orderBy("__d", "__s")
     near = per.withColumn("__n", F.row_number().over(w)).withColumn("__next", F.lead("__d").over(w)).where("__n = 1")
     near = near.where((F.col("__d") <= tolerance) & (F.col("__next").isNull() | (F.col("__next") - F.col("__d") >= margin)))
-    joined = own.join(near.select(row_id, "__s"), row_id, "left")
+    joined = rows.select(row_id, colour).join(own.join(near.select(colour, "__s"), colour, "left"), colour, "left")
     basis = F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__s").isNotNull(), "hue").otherwise("unresolved")
     return joined.select(row_id, F.coalesce("__exact", "__s").alias(service), basis.alias("basis"))
 

@@ -103,12 +103,6 @@ def review_policy(placeholder: Column, confidence: Column, threshold: float = 0.
     return F.when(F.coalesce(placeholder, F.lit(False)), "review_required").when(confidence.isNull() | (confidence < threshold), "review_required").otherwise("accepted")
 
 
-def room_name_plausible(name: Column) -> Column:
-    """Two letters at least, mostly letters, no long digit runs."""
-    letters = F.length(F.regexp_replace(name, "[^A-Za-z]", ""))
-    return F.coalesce((letters >= 2) & (letters * 2 >= F.length(F.trim(name))) & ~name.rlike(r"\d{4,}"), F.lit(False))
-
-
 def device_category(name: Column) -> Column:
     """Ordered substring rules; a distribution board is named before a switch."""
     n = F.lower(name)
@@ -149,6 +143,6 @@ def unit_table(spark) -> DataFrame:
 
 
 def parameter_stamp(parameters: dict) -> Column:
-    """Fingerprint of tuning constants: SHA-256 of their sorted text."""
-    text = "|".join(f"{k}={parameters[k]}" for k in sorted(parameters))
-    return F.sha2(F.lit(text), 256)
+    """Fingerprint of tuning constants, plain or columns: SHA-256 of their sorted text."""
+    shown = [F.concat(F.lit(f"{k}="), v if isinstance(v, Column) else F.lit(str(v))) for k, v in sorted(parameters.items())]
+    return F.sha2(F.concat_ws("|", *shown), 256)

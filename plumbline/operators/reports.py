@@ -1,4 +1,4 @@
-"""Reports and compositions: required checks, census, lineage documents, new revisions, floor takeoff."""
+"""Reports and compositions: census, lineage documents, new revisions, floor takeoff."""
 
 from __future__ import annotations
 
@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 from plumbline.operators import spatial, takeoff
 
 
-def required_checks(revisions: DataFrame, key: str, checks: Mapping[str, tuple[Column, Column]]) -> DataFrame:
-    """(key, check, status): fail where the first condition holds, review where the second, else pass."""
-    rows = F.array(*[
-        F.struct(F.lit(name).alias("check"), F.when(bad, "fail").when(unsure, "review").otherwise("pass").alias("status")) for name, (bad, unsure) in checks.items()
-    ])
-    return revisions.select(key, F.inline(rows))
-
-
 def census(rows: DataFrame, key: str, kind: str, supported: Sequence[str], dropped: Column) -> DataFrame:
     """Dropped rows, rows of unsupported kinds and completeness of each key."""
     out = rows.groupBy(key).agg(F.count_if(dropped).alias("n_dropped"), F.count_if(~F.col(kind).isin(list(supported))).alias("n_unsupported"), F.count("*").alias("n_rows"))

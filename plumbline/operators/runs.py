@@ -1,4 +1,4 @@
-"""Runs of routed services: colour refinement over connectivity, and consensus of ordered tags and bands."""
+"""Runs of routed services: consensus of ordered tags and bands, and mean points."""
 
 from __future__ import annotations
 
@@ -7,54 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalars import grid_cell
-from plumbline.sources.tables import delete, written
-
-
-def refine_shared(
-    segments: DataFrame, segment_id: str, colour: str, snap: float = 0.03, connector: float = 0.15, collinear: float = 0.98, max_rounds: int = 100
-) -> DataFrame:
-    """(segment_id, colour): segments without a colour take that of their neighbours, round after round.
-
-    A shared segment adopts a colour if its coloured neighbours at snapped ends have just that one, and it is
-    short (a connector) or collinear with one of them. Rounds end when nothing changes; each is written.
-    """
-    node = lambda x, y: F.concat_ws(":", grid_cell(F.col(x), snap).cast("string"), grid_cell(F.col(y), snap).cast("string"))
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    shaped = segments.select(
-        F.col(segment_id).alias("id"), F.col(colour).alias("colour"), F.array_distinct(F.array(node("x0", "y0"), node("x1", "y1"))).alias("nodes"),
-        dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("size"),
-    )
-    state, path = written(shaped, "runs")
-    for _ in range(max_rounds):
-        known = state.where("colour is not null").select(F.explode("nodes").alias("node"), F.col("colour").alias("c"), F.col("dx").alias("nx"), F.col("dy").alias("ny"), F.col("size").alias("n_size"))
-        loose = state.where("colour is null").select("id", F.explode("nodes").alias("node"), "dx", "dy", "size")
-        cosine = F.abs(F.col("dx") * F.col("nx") + F.col("dy") * F.col("ny")) / F.nullif(F.col("size") * F.col("n_size"), F.lit(0.0))
-        near = loose.join(known, "node").groupBy("id").agg(
-            F.min("c").alias("c"), F.max("c").alias("c_max"), F.max(cosine).alias("aligned"), F.max("size").alias("size")
-        )
-        adopted = near.where((F.col("c") == F.col("c_max")) & ((F.col("size") <= connector) | (F.coalesce("aligned", F.lit(0.0)) >= collinear))).select("id", "c")
-        adopted, new = written(adopted, "adopted")
-        if adopted.isEmpty():
-            break
-        state, kept = written(state.join(adopted, "id", "left").withColumn("colour", F.coalesce("colour", "c")).drop("c"), "runs")
-        delete(segments.sparkSession, path, new)
-        path = kept
-    return state.select(F.col("id").alias(segment_id), F.col("colour").alias(colour))
+from plumbline.functions.scalars import round_tag
+from plumbline.operators.rooms import pair_in_order
+from plumbline.operators.spatial import within_radius
 
 
 def sequence_consensus(stacks: DataFrame, scans: DataFrame, group: Sequence[str], stack: str, scan: str) -> DataFrame:
     """(group, colour, service, n_votes): services of ordered tag stacks given to the bands of scans of equal length.
 
     ``stacks`` has group, stack, place, service and ``scans`` group, scan, place, colour, places from 0. A colour
-    that gets two services abstains (null service).
+    that gets two services abstains (null service). Both sides are counted by place before they meet.
     """
-    sized = lambda df, key: df.join(df.groupBy(*group, key).agg(F.count("*").alias("length")), [*group, key])
-    met = sized(stacks, stack).join(sized(scans, scan), [*group, "length", "place"])
-    votes = met.groupBy(*group, "colour").agg(F.min("service").alias("low"), F.max("service").alias("high"), F.count("*").alias("n_votes"))
+    def counted(df: DataFrame, key: str, value: str) -> DataFrame:
+        """How often a value stands at a place of the group's stacks or scans of a length."""
+        sized = df.join(df.groupBy(*group, key).agg(F.count("*").alias("length")), [*group, key])
+        return sized.groupBy(*group, "length", "place", value).agg(F.count("*").alias(f"n_{value}"))
+
+    met = counted(stacks, stack, "service").join(counted(scans, scan, "colour"), [*group, "length", "place"])
+    votes = met.groupBy(*group, "colour").agg(F.min("service").alias("low"), F.max("service").alias("high"), F.sum(F.col("n_service") * F.col("n_colour")).alias("n_votes"))
     return votes.select(*group, "colour", F.when(F.col("low") == F.col("high"), F.col("low")).alias("service"), "n_votes")
 
 
 def run_anchors(segments: DataFrame, run: str) -> DataFrame:
     """(run, x, y): mean midpoint of each run's segments."""
     return segments.groupBy(run).agg(F.avg((F.col("x0") + F.col("x1")) / 2).alias("x"), F.avg((F.col("y0") + F.col("y1")) / 2).alias("y"))
+
+
+def reassembled(numbers: DataFrame, fragments: DataFrame, radius: float, group: Sequence[str] = (), eps: float = 1e-6) -> DataFrame:
+    """(group, number_id, fragment_id, tag) of size numbers with the service fragment that completes them.
+
+    Numbers (number_id, x, y, text) act in order of their ids: each takes the nearest fragment (fragment_id, x, y, text) within the
+    radius that no earlier one took, none where two are within eps of each other, and the joined text must read as a tag. A
+    number that takes none has nulls.
+    """
+    near = within_radius(numbers.select(*group, "number_id", "x", "y"), fragments.select(*group, "fragment_id", "x", "y"), radius, group)
+    pairs = pair_in_order(near, "number_id", "fragment_id", "distance", group, eps)
+    texts = fragments.select(*group, "fragment_id", F.col("text").alias("__t"))
+    met = numbers.join(pairs, [*group, "number_id"], "left").join(texts, [*group, "fragment_id"], "left").withColumn("tag", round_tag(F.concat("text", "__t")))
+    return met.select(*group, "number_id", F.when(F.col("tag").isNotNull(), F.col("fragment_id")).alias("fragment_id"), "tag")

@@ -2,7 +2,9 @@
 
 Radius joins put both sides on a grid of cells as wide as the radius; the smaller-cardinality side is
 listed under its nine neighbouring cells and the join is an equi-join on the cell. Containment joins list
-a polygon under every cell its box touches. No cross join, and no broadcast of a side that grows.
+a polygon under every cell its box touches. No cross join, and no broadcast of a side that grows. ``group``
+columns (a revision, a sheet) keep drawings apart: rows meet only within their group, and results carry it.
+Rows with a null group or without coordinates meet nothing; left sides keep them with nulls.
 """
 
 from __future__ import annotations
@@ -40,34 +42,39 @@ def within_radius(points: DataFrame, others: DataFrame, radius: float, group: Se
 def nearest_within(points: DataFrame, others: DataFrame, radius: float, point_id: str, order: Sequence[str], pick: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """The nearest other of each point (ties by order); points with none in reach have nulls."""
     met = within_radius(points, others, radius, group)
-    best = met.groupBy(point_id).agg(F.min_by(F.struct(*pick, "distance"), F.struct("distance", *order)).alias("__b"))
-    return points.join(best, point_id, "left").select(*points.columns, *[F.col(f"__b.{c}").alias(c) for c in [*pick, "distance"]])
+    one = [*group, point_id]
+    best = met.groupBy(*one).agg(F.min_by(F.struct(*pick, "distance"), F.struct("distance", *order)).alias("__b"))
+    return points.join(best, one, "left").select(*points.columns, *[F.col(f"__b.{c}").alias(c) for c in [*pick, "distance"]])
 
 
-def nearest_with_ties(points: DataFrame, others: DataFrame, radius: float, point_id: str, choose: Sequence[str], eps: float = 1e-9) -> DataFrame:
+def nearest_with_ties(
+    points: DataFrame, others: DataFrame, radius: float, point_id: str, choose: Sequence[str], eps: float = 1e-9, group: Sequence[str] = ()
+) -> DataFrame:
     """As nearest_within, where all within eps of the true minimum tie and the smallest in ``choose`` wins; ``tied`` says so."""
-    met = within_radius(points, others, radius)
-    low = met.groupBy(point_id).agg(F.min("distance").alias("__low"))
-    ties = met.join(low, point_id).where(F.col("distance") <= F.col("__low") + eps)
-    best = ties.groupBy(point_id).agg(F.min(F.struct(*choose)).alias("__c"), F.min("distance").alias("distance"), (F.count("*") > 1).alias("tied"))
-    return points.join(best, point_id, "left").select(*points.columns, *[F.col(f"__c.{c}").alias(c) for c in choose], "distance", "tied")
+    one = [*group, point_id]
+    met = within_radius(points, others, radius, group)
+    low = met.groupBy(*one).agg(F.min("distance").alias("__low"))
+    ties = met.join(low, one).where(F.col("distance") <= F.col("__low") + eps)
+    best = ties.groupBy(*one).agg(F.min(F.struct(*choose)).alias("__c"), F.min("distance").alias("distance"), (F.count("*") > 1).alias("tied"))
+    return points.join(best, one, "left").select(*[points[c] for c in points.columns], *[F.col(f"__c.{c}").alias(c) for c in choose], "distance", "tied")
 
 
-def nearest_run(tags: DataFrame, segments: DataFrame, radius: float, tag_id: str, run: str, eps: float = 1e-9) -> DataFrame:
+def nearest_run(tags: DataFrame, segments: DataFrame, radius: float, tag_id: str, run: str, eps: float = 1e-9, group: Sequence[str] = ()) -> DataFrame:
     """Tag to run by the smallest point-to-segment distance; the lowest run wins a tie, which is flagged ambiguous.
 
     Segments (x0, y0, x1, y1) are listed under the cells that their radius-widened boxes touch.
     """
+    one = [*group, tag_id]
     reach = lambda a, b, d: _cell((F.least(a, b) if d < 0 else F.greatest(a, b)) + d * radius, radius)
     s = segments.withColumn("__cx", F.explode(F.sequence(reach(F.col("x0"), F.col("x1"), -1), reach(F.col("x0"), F.col("x1"), 1))))
     s = s.withColumn("__cy", F.explode(F.sequence(reach(F.col("y0"), F.col("y1"), -1), reach(F.col("y0"), F.col("y1"), 1))))
     t = tags.withColumn("__cx", _cell(F.col("x"), radius)).withColumn("__cy", _cell(F.col("y"), radius))
     d = point_segment_distance(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])
-    per_run = t.join(s, ["__cx", "__cy"]).withColumn("distance", d).where(F.col("distance") <= radius).groupBy(tag_id, run).agg(F.min("distance").alias("distance"))
-    w = Window.partitionBy(tag_id)
+    per_run = t.join(s, [*group, "__cx", "__cy"]).withColumn("distance", d).where(F.col("distance") <= radius).groupBy(*one, run).agg(F.min("distance").alias("distance"))
+    w = Window.partitionBy(*one)
     near = per_run.withColumn("__low", F.min("distance").over(w)).where(F.col("distance") <= F.col("__low") + eps)
-    best = near.groupBy(tag_id).agg(F.min(run).alias(run), F.min("distance").alias("distance"), (F.count("*") > 1).alias("ambiguous"))
-    return tags.join(best, tag_id, "left").select(*tags.columns, run, "distance", "ambiguous")
+    best = near.groupBy(*one).agg(F.min(run).alias(run), F.min("distance").alias("distance"), (F.count("*") > 1).alias("ambiguous"))
+    return tags.join(best, one, "left").select(*tags.columns, run, "distance", "ambiguous")
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, cell: float, group: Sequence[str] = ()) -> DataFrame:
@@ -80,6 +87,7 @@ def in_boxes(points: DataFrame, boxes: DataFrame, cell: float, group: Sequence[s
 
 
 def ring_box(ring: Column) -> Column:
+    """The box of an array of points; its sides are null for an empty one."""
     ends = lambda f, c: f(F.transform(ring, lambda p: p[c]))
     return F.struct(
         ends(F.array_min, "x").alias("min_x"), ends(F.array_min, "y").alias("min_y"), ends(F.array_max, "x").alias("max_x"), ends(F.array_max, "y").alias("max_y")
@@ -87,11 +95,16 @@ def ring_box(ring: Column) -> Column:
 
 
 def smallest_room(points: DataFrame, rooms: DataFrame, cell: float, point_id: str, room: str = "room_id", group: Sequence[str] = ()) -> DataFrame:
-    """The smallest room (area, then id) whose ring contains the point, its boundary included; null outside all rooms."""
-    boxed = rooms.withColumn("box", ring_box(F.col("ring")))
-    met = in_boxes(points, boxed, cell, group).where(inside_ring(F.col("x"), F.col("y"), F.col("ring")))
-    best = met.groupBy(point_id).agg(F.min_by(F.col(room), F.struct("area", room)).alias(room))
-    return points.join(best, point_id, "left")
+    """The smallest room (area, then id) whose ring contains the point, its boundary included; null outside all rooms.
+
+    Points meet rooms by their boxes; rings are fetched for those that meet, so a ring isn't copied for each of its cells.
+    """
+    one = [*group, point_id]
+    boxed = rooms.select(*group, room, "area", ring_box(F.col("ring")).alias("box"))
+    near = in_boxes(points.select(*one, "x", "y"), boxed, cell, group)
+    met = near.join(rooms.select(*group, room, "ring"), [*group, room]).where(inside_ring(F.col("x"), F.col("y"), F.col("ring")))
+    best = met.groupBy(*one).agg(F.min_by(F.col(room), F.struct("area", room)).alias(room))
+    return points.join(best, one, "left").select(*points.columns, room)
 
 
 def box_filter(rows: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float, box: str = "box") -> DataFrame:
@@ -101,10 +114,11 @@ def box_filter(rows: DataFrame, min_x: float, min_y: float, max_x: float, max_y:
 
 
 def near_point(rows: DataFrame, x: float, y: float, radius: float, box: str = "box") -> DataFrame:
+    """Rows whose box lies at most radius from the point; rows without a box don't."""
     return rows.where(box_distance_squared(F.lit(x), F.lit(y), F.col(box)) <= radius * radius)
 
 
-def contained_or_nearest(points: DataFrame, devices: DataFrame, radius: float, point_id: str, device_id: str) -> DataFrame:
+def contained_or_nearest(points: DataFrame, devices: DataFrame, radius: float, point_id: str, device_id: str, group: Sequence[str] = ()) -> DataFrame:
     """Device whose box contains the point, else the nearest box within radius; lowest id on ties."""
     grown = devices.withColumn(
         "__box",
@@ -113,9 +127,10 @@ def contained_or_nearest(points: DataFrame, devices: DataFrame, radius: float, p
             (F.col("box.max_x") + radius).alias("max_x"), (F.col("box.max_y") + radius).alias("max_y"),
         ),
     ).withColumnRenamed("box", "__own").withColumnRenamed("__box", "box")
-    met = in_boxes(points, grown, radius * 4).withColumn("__d", box_distance_squared(F.col("x"), F.col("y"), F.col("__own"))).where(F.col("__d") <= radius * radius)
-    best = met.groupBy(point_id).agg(F.min(F.struct((F.col("__d") > 0).alias("outside"), F.col("__d").alias("d"), F.col(device_id))).alias("__b"))
-    return points.join(best, point_id, "left").select(*points.columns, F.col(f"__b.{device_id}").alias(device_id), (~F.col("__b.outside")).alias("contained"))
+    one = [*group, point_id]
+    met = in_boxes(points, grown, radius * 4, group).withColumn("__d", box_distance_squared(F.col("x"), F.col("y"), F.col("__own"))).where(F.col("__d") <= radius * radius)
+    best = met.groupBy(*one).agg(F.min(F.struct((F.col("__d") > 0).alias("outside"), F.col("__d").alias("d"), F.col(device_id))).alias("__b"))
+    return points.join(best, one, "left").select(*points.columns, F.col(f"__b.{device_id}").alias(device_id), (~F.col("__b.outside")).alias("contained"))
 
 
 def bounded_voronoi(points: DataFrame, anchors: DataFrame, margin: float, point_id: str, number: str, group: Sequence[str], radius: float) -> DataFrame:
@@ -128,73 +143,96 @@ def bounded_voronoi(points: DataFrame, anchors: DataFrame, margin: float, point_
         F.col("x").between(F.col("__min_x") - margin, F.col("__max_x") + margin) & F.col("y").between(F.col("__min_y") - margin, F.col("__max_y") + margin)
     ).select(*points.columns)
     found = nearest_within(held, anchors, radius, point_id, [number], [number], group)
-    return points.join(found.select(point_id, number), point_id, "left")
+    one = [*group, point_id]
+    return points.join(found.select(*one, number), one, "left")
+
+
+def box_ring(box: Column) -> Column:
+    """The four corners of a box."""
+    corner = lambda x, y: F.struct(box[x].alias("x"), box[y].alias("y"))
+    return F.array(corner("min_x", "min_y"), corner("max_x", "min_y"), corner("max_x", "max_y"), corner("min_x", "max_y"))
+
+
+def _crossed(ring: Column) -> Column:
+    """The places between 0 and 1 at which the row's segment crosses the ring's edges; along an edge, the edge's ends."""
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    edges = F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
+    def at(e: Column) -> Column:
+        ex, ey, fx, fy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"], e["a"]["x"] - F.col("x0"), e["a"]["y"] - F.col("y0")
+        across = F.nullif(dx * ey - dy * ex, F.lit(0.0))
+        t, u = (fx * ey - fy * ex) / across, (fx * dy - fy * dx) / across
+        return F.when((u >= 0) & (u <= 1), t)
 
-def split_by_boxes(segments: DataFrame, boxes: DataFrame, segment_id: str, room: str, cell: float) -> DataFrame:
-    """(segment, room, length): each part of a segment goes to the smallest box that holds it, the rest to null.
+    return F.filter(F.transform(edges, at), lambda t: (t > 0) & (t < 1))
 
-    A segment is cut at every crossing with the edges of the boxes whose area it meets; the midpoint of each
-    part decides. Parts cover the segment exactly.
+
+def split_by_rings(segments: DataFrame, rooms: DataFrame, segment_id: str, room: str, cell: float, group: Sequence[str] = ()) -> DataFrame:
+    """(group, segment, room, length): each part of a segment goes to the smallest room (area, then id) whose ring holds it, the rest to null.
+
+    Rooms have a ring and an area. A segment is cut wherever it crosses the edge of a ring; the middle of each part decides.
+    Parts cover the segment exactly. Cuts and parts are rows: no array grows with the number of rooms.
     """
+    one = [*group, segment_id]
     reach = lambda a, b: F.sequence(_cell(F.least(a, b), cell), _cell(F.greatest(a, b), cell))
-    s = segments.withColumn("__cx", F.explode(reach(F.col("x0"), F.col("x1")))).withColumn("__cy", F.explode(reach(F.col("y0"), F.col("y1"))))
-    b = boxes.withColumn("__cx", F.explode(reach(F.col("box.min_x"), F.col("box.max_x")))).withColumn("__cy", F.explode(reach(F.col("box.min_y"), F.col("box.max_y"))))
-    area = (F.col("box.max_x") - F.col("box.min_x")) * (F.col("box.max_y") - F.col("box.min_y"))
+    ends = segments.select(*one, "x0", "y0", "x1", "y1")
+    s = ends.withColumn("__cx", F.explode(reach(F.col("x0"), F.col("x1")))).withColumn("__cy", F.explode(reach(F.col("y0"), F.col("y1"))))
+    s = s.withColumn("__sx", _cell(F.least("x0", "x1"), cell)).withColumn("__sy", _cell(F.least("y0", "y1"), cell))
+    boxed = rooms.select(*group, F.col(room).alias("__room"), "ring", ring_box(F.col("ring")).alias("box"))
+    b = boxed.withColumn("__cx", F.explode(reach(F.col("box.min_x"), F.col("box.max_x")))).withColumn("__cy", F.explode(reach(F.col("box.min_y"), F.col("box.max_y"))))
     span = lambda v: (F.least(f"{v}0", f"{v}1") <= F.col(f"box.max_{v}")) & (F.greatest(f"{v}0", f"{v}1") >= F.col(f"box.min_{v}"))
-    near = s.join(b, ["__cx", "__cy"]).where(span("x") & span("y")).select(segment_id, F.struct(area.alias("area"), F.col(room), "box").alias("candidate"))
-    near = near.groupBy(segment_id).agg(F.array_sort(F.collect_set("candidate")).alias("candidates"))
-    met = segments.join(near, segment_id, "left")
+    # A pair meets in every cell that both touch; it counts in the first of them.
+    first = (F.col("__cx") == F.greatest("__sx", _cell(F.col("box.min_x"), cell))) & (F.col("__cy") == F.greatest("__sy", _cell(F.col("box.min_y"), cell)))
+    met = s.join(b, [*group, "__cx", "__cy"]).where(first & span("x") & span("y"))
+    cuts = met.select(*one, F.explode(_crossed(F.col("ring"))).alias("t")).union(ends.select(*one, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))).distinct()
+    w = Window.partitionBy(*one).orderBy("t")
+    parts = cuts.withColumn("__b", F.lead("t").over(w)).where("__b is not null").join(ends, one)
+    middle = lambda v: (F.col(f"{v}0") + (F.col("t") + F.col("__b")) / 2 * (F.col(f"{v}1") - F.col(f"{v}0"))).alias(v)
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    parts = parts.select(*one, "t", middle("x"), middle("y"), ((F.col("__b") - F.col("t")) * F.sqrt(dx * dx + dy * dy)).alias("length"))
+    owner = in_boxes(parts, rooms.select(*group, room, "area", "ring", ring_box(F.col("ring")).alias("box")), cell, group)
+    owner = owner.where(inside_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy(*one, "t").agg(F.min_by(F.col(room), F.struct("area", room)).alias(room))
+    return parts.join(owner, [*one, "t"], "left").groupBy(*one, room).agg(F.sum("length").alias("length"))
+
 
-    def crossings(c: Column) -> Column:
-        return F.array(
-            *[F.when(d != 0, (c["box"][f"{end}_{axis}"] - F.col(f"{axis}0")) / d) for axis, d in (("x", dx), ("y", dy)) for end in ("min", "max")]
-        )
-
-    cuts = F.flatten(F.transform(F.coalesce("candidates", F.array()), crossings))
-    cuts = F.filter(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)), lambda t: (t >= 0) & (t <= 1))
-    met = met.withColumn("__cuts", F.array_sort(cuts))
-    parts = F.transform(F.sequence(F.lit(1), F.size("__cuts") - 1), lambda i: F.struct(F.element_at("__cuts", i).alias("a"), F.element_at("__cuts", i + 1).alias("b")))
-    cut = met.withColumn("__p", F.explode(parts))
-    mx, my = (F.col(f"{v}0") + (F.col("__p.a") + F.col("__p.b")) / 2 * d for v, d in (("x", dx), ("y", dy)))
-    holds = lambda c: mx.between(c["box"]["min_x"], c["box"]["max_x"]) & my.between(c["box"]["min_y"], c["box"]["max_y"])
-    first = F.filter(F.coalesce("candidates", F.array()), holds)
-    owner = F.when(F.size(first) > 0, first[0][room])
-    length = (F.col("__p.b") - F.col("__p.a")) * F.sqrt(dx * dx + dy * dy)
-    return cut.select(segment_id, owner.alias(room), length.alias("length")).groupBy(segment_id, room).agg(F.sum("length").alias("length"))
-
-
-def band_attribution(overlaps: DataFrame, segment_id: str, band: str, min_share: float = 0.3, near: float = 0.1, margin: float = 0.02) -> DataFrame:
-    """(segment, band, basis) from (segment, band, overlap share, distance): the widest overlap of at least
-    min_share wins; else the nearest band within near whose lead over the second is margin, or the only
+def split_by_boxes(segments: DataFrame, boxes: DataFrame, segment_id: str, room: str, cell: float, group: Sequence[str] = ()) -> DataFrame:
+    """``split_by_rings`` for rooms that are boxes."""
+    area = (F.col("box.max_x") - F.col("box.min_x")) * (F.col("box.max_y") - F.col("box.min_y"))
+    return split_by_rings(segments, boxes.select(*group, room, box_ring(F.col("box")).alias("ring"), area.alias("area")), segment_id, room, cell, group)
+
+
+def band_attribution(
+    overlaps: DataFrame, segment_id: str, band: str, min_share: float = 0.3, near: float = 0.1, margin: float = 0.02, group: Sequence[str] = ()
+) -> DataFrame:
+    """(group, segment, band, basis) from (group, segment, band, overlap share, distance): the widest overlap of at least
+    min_share wins (ties by band); else the nearest band within near whose lead over the second is margin, or the only
     candidate band; else the segment is shared (null band)."""
-    w = Window.partitionBy(segment_id)
-    over = overlaps.withColumn("__r", F.row_number().over(w.orderBy(F.desc("overlap"), F.asc(band))))
-    close = overlaps.withColumn("__r", F.row_number().over(w.orderBy(F.asc("distance"), F.asc(band)))).withColumn("__n", F.count("*").over(w))
-    top = over.where("__r = 1").select(segment_id, F.col(band).alias("o_band"), "overlap")
-    two = close.groupBy(segment_id).agg(
-        *[F.max(F.when(F.col("__r") == i, F.col(c))).alias(f"{c}{i}") for i, c in ((1, band), (1, "distance"), (2, "distance"))], F.max("__n").alias("n")
-    )
-    met = top.join(two, segment_id)
-    by_overlap = F.col("overlap") >= min_share
+    one = [*group, segment_id]
+    ranked = overlaps.withColumn("__r", F.row_number().over(Window.partitionBy(*one).orderBy(F.asc("distance"), F.asc(band))))
+    met = ranked.groupBy(*one).agg(
+        F.min(F.struct((-F.col("overlap")).alias("o"), F.col(band).alias("band"))).alias("top"), F.count("*").alias("n"),
+        *[F.max(F.when(F.col("__r") == i, F.col(c))).alias(f"{n}{i}") for i, n, c in ((1, "band", band), (1, "distance", "distance"), (2, "distance", "distance"))],
+    )
+    by_overlap = -F.col("top.o") >= min_share
     by_distance = (F.col("distance1") < near) & ((F.col("n") == 1) | (F.col("distance2") - F.col("distance1") >= margin))
     return met.select(
-        segment_id,
-        F.when(by_overlap, F.col("o_band")).when(by_distance, F.col(f"{band}1")).alias(band),
+        *one,
+        F.when(by_overlap, F.col("top.band")).when(by_distance, F.col("band1")).alias(band),
         F.when(by_overlap, "overlap").when(by_distance, "nearest").otherwise("shared").alias("basis"),
     )
 
 
-def sheet_membership(entities: DataFrame, windows: DataFrame, entity_id: str, window_index: str, cell: float) -> DataFrame:
+def sheet_membership(entities: DataFrame, windows: DataFrame, entity_id: str, window_index: str, cell: float, group: Sequence[str] = ()) -> DataFrame:
     """(entity columns, on_sheet, viewports): windows whose box meets the entity's; on_sheet is null without an extent."""
     cells = lambda axis: F.explode(F.sequence(_cell(F.col(f"box.min_{axis}"), cell), _cell(F.col(f"box.max_{axis}"), cell)))
     listed = lambda df: df.withColumn("__cx", cells("x")).withColumn("__cy", cells("y"))
-    e = listed(entities.where(F.col("box").isNotNull()).select(entity_id, "box"))
-    w = listed(windows.select(window_index, "box")).withColumnRenamed("box", "__w")
+    one = [*group, entity_id]
+    e = listed(entities.where(F.col("box").isNotNull()).select(*one, "box"))
+    w = listed(windows.select(*group, window_index, "box")).withColumnRenamed("box", "__w")
     a, b = F.col("box"), F.col("__w")
     meets = (a["min_x"] <= b["max_x"]) & (a["max_x"] >= b["min_x"]) & (a["min_y"] <= b["max_y"]) & (a["max_y"] >= b["min_y"])
-    hits = e.join(w, ["__cx", "__cy"]).where(meets).groupBy(entity_id).agg(F.array_sort(F.collect_set(window_index)).alias("viewports"))
+    hits = e.join(w, [*group, "__cx", "__cy"]).where(meets).groupBy(*one).agg(F.array_sort(F.collect_set(window_index)).alias("viewports"))
     located = F.col("box").isNotNull()
-    met = entities.join(hits, entity_id, "left").withColumn("on_sheet", F.when(located, F.col("viewports").isNotNull()))
+    met = entities.join(hits, one, "left").withColumn("on_sheet", F.when(located, F.col("viewports").isNotNull()))
     return met.withColumn("viewports", F.when(located, F.coalesce("viewports", F.array().cast(hits.schema["viewports"].dataType))))

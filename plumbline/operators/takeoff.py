@@ -160,9 +160,11 @@ def text_above(numbers: DataFrame, names: DataFrame, group: Sequence[str], align
 
 
 def mutual_pairs(pairs: DataFrame, left: str, right: str, distance: str) -> DataFrame:
-    """Pairs each of whose ends is the other's nearest, ties by id."""
-    w = lambda k, o: F.row_number().over(Window.partitionBy(k).orderBy(distance, o))
-    return pairs.withColumn("__l", w(left, right)).withColumn("__r", w(right, left)).where("__l = 1 and __r = 1").drop("__l", "__r")
+    """Pairs each of whose ends is the other's nearest, ties by id; each end's nearest is found before the shuffle."""
+    near = lambda k, o: pairs.groupBy(F.col(k).alias(f"__{k}")).agg(F.min(F.struct(distance, o)).alias(f"__best_{k}"))
+    met = pairs.join(near(left, right), F.col(left) == F.col(f"__{left}")).join(near(right, left), F.col(right) == F.col(f"__{right}"))
+    met = met.where((F.col(f"__best_{left}.{right}") == F.col(right)) & (F.col(f"__best_{right}.{left}") == F.col(left)) & (F.col(f"__best_{left}.{distance}") == F.col(distance)))
+    return met.select(*[pairs[c] for c in pairs.columns])
 
 
 def widest_baseline(points: DataFrame, group: str, point_id: str) -> DataFrame:
@@ -183,3 +185,52 @@ def widest_baseline(points: DataFrame, group: str, point_id: str) -> DataFrame:
     best = met.groupBy(group).agg(F.min_by(F.struct("i", "j", dx.alias("dx"), dy.alias("dy")), F.struct(-(dx * dx + dy * dy), "i", "j")).alias("b"))
     length = F.sqrt(F.col("b.dx") * F.col("b.dx") + F.col("b.dy") * F.col("b.dy"))
     return best.select(group, "b.i", "b.j", F.degrees(F.atan2(F.col("b.dy"), F.col("b.dx"))).alias("bearing"), length.alias("baseline"))
+
+
+def tiered(entities: DataFrame, components: DataFrame, entity: str, kind: str, length: str, layer: str, consumed: Sequence[str], shortest: float = 0.01, crowd: int = 50) -> DataFrame:
+    """Entities with their materialization tier: ``fill_noise`` for a line shorter than ``shortest`` in a component of ``crowd`` rows or
+    more, unless a token of a consumed layer is in its layer's name; else ``normal``. components: entity, size; a missing one counts as alone."""
+    noise = (F.col(kind) == "line") & (F.col(length) < shortest) & (F.coalesce("size", F.lit(1)) >= crowd)
+    if consumed:
+        noise &= ~F.coalesce(F.lower(layer).rlike("|".join(consumed)), F.lit(False))
+    met = entities.join(components.select(entity, "size"), entity, "left")
+    return met.withColumn("tier", F.when(noise, "fill_noise").otherwise("normal")).drop("size")
+
+
+def selected_layers(faces: DataFrame, group: Sequence[str], layer: str, ratio: float = 0.8) -> DataFrame:
+    """(group, layer, score): the layers whose number of faces is at least ``ratio`` of the group's best one's."""
+    scores = faces.groupBy(*group, layer).agg(F.count("*").alias("score"))
+    best = scores.groupBy(*group).agg(F.max("score").alias("__best"))
+    return scores.join(best, list(group)).where(F.col("score") >= ratio * F.col("__best")).drop("__best")
+
+
+def revision_summary(revisions: DataFrame, entities: DataFrame, layers: DataFrame, rooms: DataFrame, devices: DataFrame, key: str) -> DataFrame:
+    """One row per revision: n_entities, n_layers, layers by role (a map), n_rooms, n_named, n_review, n_devices and their types (a map).
+
+    layers: key, role. rooms: key, name, needs_review. devices: key, device_type. A revision without rows of a table has zero of it.
+    """
+    n = lambda df, name, *more: df.groupBy(key).agg(F.count("*").alias(name), *more)
+
+    def by(df: DataFrame, column: str, name: str) -> DataFrame:
+        counts = df.groupBy(key, F.coalesce(column, F.lit("unknown")).alias("k")).agg(F.count("*").alias("c"))
+        return counts.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "c")))).alias(name))
+
+    parts = [
+        n(entities, "n_entities"), n(layers, "n_layers"), by(layers, "role", "roles"), n(rooms, "n_rooms", F.count("name").alias("n_named"), F.count_if("needs_review").alias("n_review")),
+        n(devices, "n_devices"), by(devices, "device_type", "types"),
+    ]
+    out = revisions.select(key)
+    for part in parts:
+        out = out.join(part, key, "left")
+    return out.fillna(0, ["n_entities", "n_layers", "n_rooms", "n_named", "n_review", "n_devices"])
+
+
+def home_run_statuses(circuits: DataFrame, home_runs: DataFrame, circuit: str = "circuit_id") -> DataFrame:
+    """In-plan circuits with their home run and its status: ``no_anchor`` where there is none."""
+    met = circuits.join(home_runs, circuit, "left")
+    return met.withColumn("status", F.when(F.col("home_run").isNull(), "no_anchor").otherwise("ok"))
+
+
+def drop_parameters(spark) -> DataFrame:
+    """(category, drop): metres of vertical cable by device category, as the estimate assumes them."""
+    return spark.createDataFrame([("luminaire", 2.0), ("switch", 1.2), ("socket", 1.2), ("board", 0.0)], "category string, drop double")

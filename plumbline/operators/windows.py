@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import Scratch
+
+#: Rounds whose results are one plan's union; then they are written as one table.
+PLAN_STEPS = 16
+
 
 def _by(group: Sequence[str], order: Sequence[str | Column]):
     return Window.partitionBy(*group).orderBy(*order)
@@ -97,10 +102,46 @@ def numbered_ids(rows: DataFrame, group: Sequence[str], order: Sequence[str], pr
     return rows.withColumn(into, F.concat(F.lit(prefix), (F.row_number().over(_by(group, order)) - 1).cast("string")))
 
 
-def unique_references(rows: DataFrame, group: Sequence[str], order: Sequence[str], candidate: str, into: str = "unique_ref") -> DataFrame:
-    """The candidate itself for its first row, with -2, -3, ... for later ones."""
-    n = F.row_number().over(_by([*group, candidate], order))
-    return rows.withColumn(into, F.when(n == 1, F.col(candidate)).otherwise(F.concat(F.col(candidate), F.lit("-"), n.cast("string"))))
+def unique_references(
+    rows: DataFrame, group: Sequence[str], order: Sequence[str], candidates: Sequence[str], prefix: str, sequence: str, into: str = "unique_ref"
+) -> DataFrame:
+    """Each row's first candidate that no earlier row of its group took, else ``prefix-000001`` by its sequence number,
+    with -1, -2, ... appended while that is taken. Null and blank candidates are passed over. References are unique in a
+    group; only a candidate that looks like another row's number with a suffix may go to a later row than in order.
+
+    Rows take in rounds: a row gets the name it asks for where no earlier pending row has that name among those it
+    may still ask for, and asks for its next one where the name is gone. Rounds end when all rows have one.
+    """
+    names = F.filter(F.transform(F.array(*[F.col(c).cast("string") for c in candidates]), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    base = F.concat(F.lit(f"{prefix}-"), F.lpad(F.col(sequence).cast("string"), 6, "0"))
+    place = F.row_number().over(_by(group, order))
+    with Scratch(rows.sparkSession) as s:
+        first_plan = rows.withColumn("__place", place).withColumn("__names", F.array_append(names, base)).withColumn("__extra", F.lit(0))
+        pending, named, rounds = s.table(first_plan, "refs"), None, 0
+        while not pending.isEmpty():
+            ask = F.when(F.size("__names") > 0, F.get("__names", F.lit(0))).otherwise(F.concat(base, F.lit("-"), F.col("__extra").cast("string")))
+            asked = pending.withColumn("__name", ask)
+            own = F.concat(base, F.lit("\n"))
+            claims = asked.select(*group, "__place", F.explode(F.concat("__names", F.array("__name", own))).alias("__name"))
+            first = claims.groupBy(*group, "__name").agg(F.min("__place").alias("__first"))
+            met = asked.join(first, [*group, "__name"]).withColumn("__own", F.when(F.size("__names") == 0, own).otherwise(F.col("__name")))
+            met = met.join(first.withColumnsRenamed({"__name": "__own", "__first": "__before"}), [*group, "__own"]).drop("__own")
+            gone = F.lit(False)
+            if named is not None:
+                met = met.join(named.select(*group, "__name", F.lit(True).alias("__taken")), [*group, "__name"], "left")
+                gone = F.coalesce("__taken", F.lit(False))
+            met = met.withColumn("__won", ~gone & (F.col("__first") == F.col("__place")) & (F.col("__before") == F.col("__place"))).withColumn("__gone", gone)
+            step = s.table(met.drop("__first", "__before", "__taken"), "refs")
+            won = step.where("__won").select(*rows.columns, "__name")
+            named, rounds = won if named is None else named.union(won), rounds + 1
+            if rounds % PLAN_STEPS == 0:
+                named = s.table(named, "named")
+            shorter = F.when(F.col("__gone"), F.slice("__names", 2, F.greatest(F.size("__names") - 1, F.lit(0)))).otherwise(F.col("__names"))
+            spent = F.when(F.col("__gone") & (F.size("__names") <= 1), F.col("__extra") + 1).otherwise(F.col("__extra"))
+            rest = step.where("not __won").withColumn("__more", shorter).withColumn("__spent", spent).drop("__names", "__extra", "__name", "__won", "__gone")
+            pending = rest.withColumnsRenamed({"__more": "__names", "__spent": "__extra"})
+        result = s.table(rows.withColumn("__name", F.lit(None).cast("string")) if named is None else named, "named", keep=True)
+    return result.withColumnRenamed("__name", into)
 
 
 def dominant(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:

@@ -164,7 +164,7 @@ SELECT coalesce(CAST(k AS VARCHAR), 'shared') AS k, CAST(sum(CAST(l_quantity AS
 FROM (SELECT CASE WHEN l_linenumber < 6 THEN l_linenumber END AS k, l_quantity FROM lineitem) GROUP BY 1
 """)
 def length_tallies(t: Tables) -> DataFrame:
-    """Tallies by key with a shared bucket and the conserved total."""
+    """Tallies by key with a shared bucket and the conserved total."""
     rows = t.lineitem.select(F.when(F.col("l_linenumber") < 6, F.col("l_linenumber")).alias("k"), "l_quantity")
     found = takeoff.tallies(rows, "k", "l_quantity")
     return found.select("k", F.col("length").cast("double").alias("length"), F.col("total").cast("double").alias("total"))
@@ -216,7 +216,7 @@ SELECT o_orderkey AS circuit_id, o_totalprice AS in_plan, CAST(coalesce(drop_len
 UNION ALL SELECT c, NULL, CAST(drop_length AS DOUBLE), n FROM s WHERE c IS NULL
 """)
 def circuit_roll_up(t: Tables) -> DataFrame:
-    """Device drops by first claim, unattributed ones in the null row."""
+    """Device drops by first claim, unattributed ones in the null row."""
     claims = t.lineitem.where("l_quantity > 30").select(F.col("l_orderkey").alias("circuit_id"), F.col("l_partkey").alias("device_id"))
     drops = t.part.select(F.col("p_partkey").alias("device_id"), F.col("p_retailprice").alias("drop"))
     circuits = t.orders.select(F.col("o_orderkey").alias("circuit_id"), F.col("o_totalprice").alias("in_plan"))
@@ -230,7 +230,7 @@ SELECT CAST(sum(CAST(in_plan AS DECIMAL(28, 6))) AS DOUBLE) AS in_plan, CAST(sum
   round(CAST(round((sum(CAST(in_plan AS DECIMAL(28, 6))) + sum(CAST(drop_length AS DECIMAL(28, 6))) + sum(CAST(home_run AS DECIMAL(28, 6)))) * 1.1, 6) AS DOUBLE), 4) AS with_spare FROM r LEFT JOIN h USING (circuit_id)
 """)
 def cable_assembly(t: Tables) -> DataFrame:
-    """Cable totals with spare."""
+    """Cable totals with spare."""
     rolled = t.orders.select(F.col("o_orderkey").alias("circuit_id"), F.col("o_totalprice").alias("in_plan"), (F.col("o_totalprice") / 4).alias("drop_length"))
     homes = t.lineitem.where("l_quantity > 20").groupBy(F.col("l_orderkey").alias("circuit_id")).agg(F.max("l_quantity").alias("home_run"))
     found = takeoff.assembly_totals(rolled, homes)
@@ -266,7 +266,7 @@ def _sheets(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {SHEETS} SELECT sheet, round(avg(src.x + dx), 6) AS x, round(avg(src.y + dy), 6) AS y FROM src JOIN shift USING (sheet) GROUP BY 1")
 def registered_points(t: Tables) -> DataFrame:
-    """Points moved into the target sheet's frame."""
+    """points moved into the target sheet's frame."""
     source, target = _sheets(t)
     moved = takeoff.shifted(source, takeoff.register_sheets(source, target, "sheet"), "sheet")
     return moved.groupBy("sheet").agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
@@ -278,7 +278,7 @@ FROM (SELECT l_partkey AS k, sum(CAST(l_quantity AS DECIMAL(28, 6))) AS v FROM l
 FULL JOIN (SELECT l_partkey AS k, count(*) AS v FROM lineitem WHERE l_quantity > 49 GROUP BY 1) b ON a.k = b.k FULL JOIN (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_size > 40) c ON coalesce(a.k, b.k) = c.k
 """)
 def room_totals(t: Tables) -> DataFrame:
-    """Measured, counted and estimated kept apart by room."""
+    """Measured, counted and estimated kept apart by room."""
     line = t.lineitem.withColumnRenamed("l_partkey", "room")
     found = takeoff.room_totals(
         line.where("l_returnflag = 'A'").select("room", F.col("l_quantity").alias("value")), line.where("l_quantity > 49").select("room", F.lit(1).alias("value")),
@@ -301,7 +301,7 @@ WITH {V_POINTS}, {V_LABELS}, near AS (SELECT l.label_id, p.point_id, p.y AS py F
 SELECT label_id, string_agg('P' || point_id, ' ' ORDER BY py DESC, point_id) AS name FROM near GROUP BY 1
 """)
 def stacked_names(t: Tables) -> DataFrame:
-    """Name lines stacked above a number."""
+    """Name lines stacked above a number."""
     names = select_list(t.customer, POINTS).withColumn("text", F.concat(F.lit("P"), F.col("point_id").cast("string")))
     return takeoff.text_above(select_list(t.supplier, LABELS), names, ["sheet"], 60.0, 120.0, "label_id", "point_id")
 
@@ -311,27 +311,31 @@ WITH p AS (SELECT l_partkey AS i, l_suppkey AS j, min(l_extendedprice) AS d FROM
 SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS a, row_number() OVER (PARTITION BY j ORDER BY d, i) AS b FROM p) WHERE a = 1 AND b = 1
 """)
 def mutual_fragments(t: Tables) -> DataFrame:
-    """Fragments that are each other's nearest."""
+    """Pairs that are each other's nearest."""
     pairs = t.lineitem.groupBy(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.min("l_extendedprice").alias("d"))
     return takeoff.mutual_pairs(pairs, "i", "j", "d").select("i", "j")
 
 
-TAG = "concat(CASE p_partkey % 3 WHEN 0 THEN 'SA ' WHEN 1 THEN '' ELSE 'CHW-F  ' END, CASE p_partkey % 4 WHEN 0 THEN p_size * 10 || ' x ' || (p_size * 5 + 100) WHEN 1 THEN (p_size + 50) || ' mm' WHEN 2 THEN 'Ø ' || (p_size + 90) ELSE p_name END)"
-
-
 @query(f"""
-WITH g AS (SELECT p_partkey, p_partkey % 4 AS k, CASE p_partkey % 3 WHEN 0 THEN 'SA' WHEN 2 THEN 'CHW-F' END AS s, p_size FROM part)
-SELECT p_partkey, CASE WHEN k < 3 AND NOT (k = 0 AND p_size < 1) THEN s END AS service, CASE WHEN k = 0 AND p_size >= 1 THEN 'rectangular' WHEN k IN (1, 2) THEN 'round' END AS size_kind,
-  CASE k WHEN 1 THEN p_size + 50 WHEN 2 THEN p_size + 90 END AS diameter, CASE WHEN k = 0 THEN p_size * 10 END AS width, CASE WHEN k = 0 THEN p_size * 5 + 100 END AS height FROM g
+WITH g AS (SELECT p_partkey, p_partkey % 8 AS k, CASE p_partkey % 3 WHEN 0 THEN 'SA' WHEN 1 THEN 'CHW' ELSE 'LIFE' END AS s, p_size AS n FROM part)
+SELECT p_partkey, CASE WHEN k = 0 THEN s || ' FB' WHEN k IN (1, 2, 3, 4) THEN s END AS service, CASE WHEN k = 0 THEN 'rect' WHEN k IN (1, 2, 3, 4) THEN 'round' END AS size_kind,
+  CASE WHEN k IN (1, 2, 3, 4) THEN n + 50 END AS diameter, CASE WHEN k = 0 THEN n * 10 END AS width, CASE WHEN k = 0 THEN n * 5 + 100 END AS height,
+  CASE WHEN k IN (0, 1, 2) THEN s WHEN k = 3 AND s <> 'LIFE' THEN s END || CASE WHEN k = 0 THEN ' FB' ELSE '' END AS strict_service FROM g
 """)
 def pipe_tags(t: Tables) -> DataFrame:
-    """pipe tags parsed into service and size."""
-    k, size = F.col("p_partkey"), F.col("p_size")
-    head = F.when(k % 3 == 0, "SA ").when(k % 3 == 1, "").otherwise("CHW-F  ")
-    s = lambda c: c.cast("string")
-    body = F.when(k % 4 == 0, F.concat(s(size * 10), F.lit(" x "), s(size * 5 + 100))).when(k % 4 == 1, F.concat(s(size + 50), F.lit(" mm"))).when(k % 4 == 2, F.concat(F.lit("Ø "), s(size + 90))).otherwise(F.lit("no size"))
-    tag = S.round_tag(F.concat(head, body))
-    return t.part.select("p_partkey", *[tag[c].alias(c) for c in ("service", "size_kind", "diameter", "width", "height")])
+    """pipe tags, the size before the service: rectangular, in millimetres, by glyph and bare; units, note words,
+    header vessels and texts without a size aren't tags; strict, contact details and services outside the vocabulary aren't either."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    word = lambda c: c.cast("string")
+    s = F.when(k % 3 == 0, "SA").when(k % 3 == 1, "CHW").otherwise("LIFE")
+    d = word(n + 50)
+    shapes = [
+        F.concat(word(n * 10), F.lit(" x "), word(n * 5 + 100), F.lit("mm "), s, F.lit(" FB ABOVE CEILING")), F.concat(d, F.lit("mm  "), s), F.concat(F.lit("\\L"), d, F.lit(" mm "), F.lower(s)), F.concat(d, F.lit("Ø"), s, F.lit(" AT HL")),
+        F.concat(d, F.lit(" "), s), F.concat(d, F.lit(" mm AND NOT")), F.concat(F.lit("Ø"), d, F.lit(" "), s, F.lit(" HEADER")), s,
+    ]
+    text = F.element_at(F.array(*shapes), (k % 8 + 1).cast("int"))
+    tag, strict = S.round_tag(text), S.round_tag(text, strict=True)
+    return t.part.select("p_partkey", *[tag[c].alias(c) for c in ("service", "size_kind", "diameter", "width", "height")], strict["service"].alias("strict_service"))
 
 
 @query(r"""
@@ -353,24 +357,17 @@ def legend_prose(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'services' WHEN p_type LIKE '%TIN%' THEN 'background' WHEN p_size > 40 THEN 'foreground' ELSE 'other' END AS role FROM part
+SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'background' WHEN 1 THEN 'foreground' WHEN 2 THEN 'services' WHEN 3 THEN 'services' WHEN 4 THEN 'unknown' WHEN 5 THEN 'background' END AS role, CASE p_partkey % 7 WHEN 6 THEN 'other' ELSE 'known' END AS kind FROM part WHERE p_partkey % 7 < 6
+UNION ALL SELECT p_partkey, CASE WHEN (p_partkey * 7) % 256 > 0 OR (p_partkey * 11) % 256 > 0 OR (p_partkey * 13) % 256 > 0 THEN CASE
+  WHEN (greatest((p_partkey * 7) % 256, (p_partkey * 11) % 256, (p_partkey * 13) % 256) - least((p_partkey * 7) % 256, (p_partkey * 11) % 256, (p_partkey * 13) % 256)) * 1.0 / greatest((p_partkey * 7) % 256, (p_partkey * 11) % 256, (p_partkey * 13) % 256) >= 0.3 THEN 'services'
+  WHEN ((p_partkey * 7) % 256 + (p_partkey * 11) % 256 + (p_partkey * 13) % 256) / 765.0 >= 0.5 THEN 'background' ELSE 'foreground' END ELSE 'foreground' END, 'other' FROM part WHERE p_partkey % 7 = 6
 """)
 def layer_roles(t: Tables) -> DataFrame:
-    """Ordered keyword rules."""
-    kind = F.col("p_type")
-    rules = [(kind.contains("STEEL"), "services"), (kind.contains("TIN"), "background"), (F.col("p_size") > 40, "foreground")]
-    return t.part.select("p_partkey", S.first_rule(rules, "other").alias("role"))
-
-
-@query("""
-WITH s AS (SELECT o_orderkey, o_totalprice < 50000 AS sliver, count(*) OVER (PARTITION BY o_custkey) AS size FROM orders)
-SELECT o_orderkey, CASE WHEN sliver AND size >= 10 THEN 'fill_noise' ELSE 'normal' END AS tier FROM s
-""")
-def materialization_tier(t: Tables) -> DataFrame:
-    """Short lines of large components are noise."""
-    sizes = t.orders.groupBy("o_custkey").agg(F.count("*").alias("size"))
-    noise = (F.col("o_totalprice") < 50000) & (F.col("size") >= 10)
-    return t.orders.join(sizes, "o_custkey").select("o_orderkey", F.when(noise, "fill_noise").otherwise("normal").alias("tier"))
+    """Role of a layer by its pen's colour, else by the first known part of its name, background before foreground before services."""
+    k = F.col("p_partkey")
+    names = ["A-Space Tags", "Pipe tags", "M_DRAIN_2", "ext-VENT-1", "event prevention", "Colour Fill pipe"]
+    name = F.when(k % 7 == 6, F.concat(F.lit("pen-"), _rgb("p_partkey", 7, 11, 13), F.lit("-w2"))).otherwise(F.element_at(F.array(*map(F.lit, names)), (k % 7 + 1).cast("int")))
+    return t.part.select("p_partkey", S.layer_role(name).alias("role"), F.when(k % 7 == 6, "other").otherwise("known").alias("kind"))
 
 
 @query("""

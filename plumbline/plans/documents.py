@@ -47,22 +47,6 @@ def effective_units(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", unit.alias("unit"))
 
 
-ROLE_SQL = """
-WITH c AS (SELECT p_partkey, p_size % 5 > 0 AS has, ((p_partkey * 7) % 256) / 255.0::DOUBLE AS r, ((p_partkey * 11) % 256) / 255.0::DOUBLE AS g, ((p_partkey * 13) % 256) / 255.0::DOUBLE AS b, p_type FROM part),
-l AS (SELECT *, (greatest(r, g, b) + least(r, g, b)) / 2 AS light, greatest(r, g, b) - least(r, g, b) AS span FROM c)
-SELECT p_partkey, CASE WHEN has THEN CASE WHEN span > 0 AND span / (1 - abs(2 * light - 1)) >= 0.3 THEN 'services' WHEN light >= 0.5 THEN 'background' ELSE 'foreground' END
-  WHEN lower(p_type) LIKE '%steel%' THEN 'services' ELSE 'unknown' END AS role FROM l
-"""
-
-
-@query(ROLE_SQL)
-def pen_roles(t: Tables) -> DataFrame:
-    """P10: role by pen colour, else by name."""
-    name = F.when(F.lower("p_type").contains("steel"), "pipe run").otherwise("misc")
-    rgb = F.when(F.col("p_size") % 5 > 0, _rgb("p_partkey", 7, 11, 13))
-    return t.part.select("p_partkey", S.layer_role(rgb, name).alias("role"))
-
-
 @query(f"""
 WITH {V_LABELS}, {V_POINTS}, box AS (SELECT sheet, min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS cy FROM labels_at GROUP BY 1)
 SELECT p.point_id, 'T' || (point_id % 7) AS abbreviation FROM points p LEFT JOIN box b ON p.sheet = b.sheet WHERE point_id % 7 < 4 AND NOT coalesce(x BETWEEN ax AND bx AND y BETWEEN ay AND cy, FALSE)
@@ -105,20 +89,11 @@ def census_completeness(t: Tables) -> DataFrame:
     return reports.census(t.orders, "o_custkey", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"], F.col("o_totalprice") < 20000)
 
 
-@query("""
-SELECT p_partkey, 'units' AS "check", CASE WHEN p_size < 5 THEN 'fail' WHEN p_size < 10 THEN 'review' ELSE 'pass' END AS status FROM part
-UNION ALL SELECT p_partkey, 'geometry', CASE WHEN p_retailprice < 910 THEN 'fail' WHEN p_brand = 'Brand#11' THEN 'review' ELSE 'pass' END FROM part
-""")
-def required_checks(t: Tables) -> DataFrame:
-    """A row for each required check."""
-    checks = {"units": (F.col("p_size") < 5, F.col("p_size") < 10), "geometry": (F.col("p_retailprice") < 910, F.col("p_brand") == "Brand#11")}
-    return reports.required_checks(t.part, "p_partkey", checks)
-
-
-@query("SELECT n_nationkey, sha256('overlap=0.3|radius=5.0|snap=0.3') AS stamp FROM nation")
+@query("SELECT o_orderkey, sha256('overlap=0.' || (o_custkey % 9 + 1) || '|radius=5.0|snap=0.3') AS stamp FROM orders")
 def parameter_stamps(t: Tables) -> DataFrame:
-    """Fingerprint of the constants that a result was made with."""
-    return t.nation.select("n_nationkey", normalize.parameter_stamp({"snap": 0.3, "radius": 5.0, "overlap": 0.3}).alias("stamp"))
+    """Fingerprint of the constants that a result was made with, from each row's own and the fixed ones."""
+    overlap = F.concat(F.lit("0."), (F.col("o_custkey") % 9 + 1).cast("string"))
+    return t.orders.select("o_orderkey", normalize.parameter_stamp({"snap": 0.3, "radius": 5.0, "overlap": overlap}).alias("stamp"))
 
 
 @query("""
@@ -155,17 +130,19 @@ def formula_bindings(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN CAST(p_size / 4 AS VARCHAR) END AS x,
-  strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * p_size, '%Y-%m-%dT%H:%M:%SZ') AS at, CASE WHEN p_size > 25 THEN 'length:model' ELSE 'length' END AS label, CASE WHEN p_size > 25 THEN 'f' || p_partkey END AS file_id FROM part
+SELECT o_orderkey, printf('%.15g', o_totalprice) AS x, printf('%.15g', -o_totalprice / 8192) AS small, printf('%.15g', o_totalprice * 1e-12) AS tiny, printf('%.15g', o_totalprice * 1e14) AS large,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at, CASE WHEN o_custkey % 2 = 0 THEN 'length:model' ELSE 'length' END AS label, CASE WHEN o_custkey % 2 = 0 THEN 'f' || o_orderkey END AS file_id
+FROM (SELECT * REPLACE (CAST(CAST(o_totalprice AS INTEGER) AS DOUBLE) AS o_totalprice) FROM orders)
 """)
 def export_fields(t: Tables) -> DataFrame:
     """number, time, label and token texts."""
-    p = F.col("p_size")
-    number = S.general_text(p / 4)
-    shown = F.when(p % 10 == 0, F.when(p % 4 == 0, F.concat(number, F.lit(".0"))).otherwise(number))
-    at = S.iso_utc(F.timestamp_seconds(F.lit(1704067200) + p * 86400))
-    token = F.when(p > 25, F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(":lighting"))).otherwise("broken token")
-    return t.part.select("p_partkey", shown.alias("x"), at.alias("at"), S.quantity_label(F.lit("length"), F.when(p > 25, "model").otherwise("")).alias("label"), S.role_token(token)["id"].alias("file_id"))
+    even, price = F.col("o_custkey") % 2 == 0, F.bround(F.col("o_totalprice")).cast("int").cast("double")
+    token = F.when(even, F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(":lighting"))).otherwise("broken token")
+    numbers = {"x": price, "small": -price / 8192, "tiny": price * 1e-12, "large": price * 1e14}
+    return t.orders.select(
+        "o_orderkey", *[S.general_text(v).alias(n) for n, v in numbers.items()], S.iso_utc(F.col("o_orderdate")).alias("at"),
+        S.quantity_label(F.lit("length"), F.when(even, "model").otherwise("")).alias("label"), S.role_token(token)["id"].alias("file_id"),
+    )
 
 
 @query("""
@@ -179,19 +156,24 @@ def polyline_round_trip(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey AS part, CAST(side AS BIGINT) AS side, CAST((10 + s_suppkey % 7) * (5 + s_suppkey % 5) / 2.0 AS DOUBLE) AS area FROM supplier, (SELECT unnest([0, 1]) AS side)
+SELECT s_nationkey AS sheet, s_suppkey AS part, CAST(side AS BIGINT) AS side, CAST((10 + s_suppkey % 7) * (5 + s_suppkey % 5) / 2.0 - CASE WHEN side = 0 THEN 2 ELSE 0 END AS DOUBLE) AS area, CASE WHEN side = 0 THEN 1 ELSE 0 END::BIGINT AS n_holes FROM supplier, (SELECT unnest([0, 1]) AS side)
+UNION ALL SELECT s_nationkey, s_suppkey, 0, 2.0, 0 FROM supplier
 """)
 def wall_faces(t: Tables) -> DataFrame:
-    """Closed faces of wall lines, noded at crossings: a rectangle with a middle wall that overshoots, for each supplier."""
+    """Closed faces of wall lines, noded at crossings: a rectangle with a middle wall that overshoots and a pillar, a hole of one half, for each supplier.
+
+    All suppliers of a nation stand in one sheet, and the sheets have equal coordinates."""
     k = F.col("s_suppkey").cast("double")
     x, w, h = k * 40, (F.lit(10) + F.col("s_suppkey") % 7).cast("double"), (F.lit(5) + F.col("s_suppkey") % 5).cast("double")
-    zero = F.lit(0.0)
+    zero, one, three = F.lit(0.0), F.lit(1.0), F.lit(3.0)
     walls = [(x, zero, x + w, zero), (x + w, zero, x + w, h), (x + w, h, x, h), (x, h, x, zero), (x + w / 2, F.lit(-1.0), x + w / 2, h + 1)]
+    walls += [(x + 1, one, x + 2, one), (x + 2, one, x + 2, three), (x + 2, three, x + 1, three), (x + 1, three, x + 1, one)]
     rows = F.array(*[F.struct(F.lit(i).alias("n"), *[c.alias(n) for c, n in zip(wall, ("x0", "y0", "x1", "y1"), strict=True)]) for i, wall in enumerate(walls)])
-    lines = t.supplier.select("s_suppkey", F.inline(rows)).withColumn("segment_id", F.col("s_suppkey") * 10 + F.col("n"))
-    found = faces.trace_faces(faces.split_at_crossings(lines, 40.0), 0.1, 1.0)
-    owner = F.floor(F.col("min_x") / 40)
-    return found.select(owner.alias("part"), (F.col("min_x") > owner * 40 + 1).cast("long").alias("side"), F.round("area", 6).alias("area"))
+    lines = t.supplier.select(F.col("s_nationkey").alias("sheet"), "s_suppkey", F.inline(rows)).withColumn("segment_id", F.col("s_suppkey") * 10 + F.col("n"))
+    found = faces.trace_faces(faces.split_at_crossings(lines, 40.0, group=["sheet"]), 0.1, 1.0, ["sheet"])
+    owner, width = F.floor(F.col("min_x") / 40), F.col("max_x") - F.col("min_x")
+    side = F.when(width < 2, 0).otherwise((F.col("min_x") > owner * 40 + 1).cast("int"))
+    return found.select("sheet", owner.alias("part"), side.cast("long").alias("side"), F.round("area", 6).alias("area"), "n_holes")
 
 
 @query(f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
@@ -41,7 +41,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, label_id
 SELECT p.point_id, b.label_id, round(d, 6) AS distance FROM points p LEFT JOIN best b ON p.point_id = b.point_id AND n = 1
 """)
 def nearest_tag(t: Tables) -> DataFrame:
-    """Nearest label within reach, first by id on ties."""
+    """Nearest label within reach, first by id on ties."""
     found = spatial.nearest_within(_points(t), _labels(t).drop("sheet"), 60.0, "point_id", ["label_id"], ["label_id"])
     return found.select("point_id", "label_id", F.round("distance", 6).alias("distance"))
 
@@ -52,7 +52,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, label_id
 SELECT p.point_id, b.label_id FROM points p LEFT JOIN best b ON p.point_id = b.point_id AND n = 1
 """)
 def nearest_tag_on_sheet(t: Tables) -> DataFrame:
-    """Nearest label of the same sheet."""
+    """Nearest label of the same sheet, as a grid bubble finds its text."""
     return spatial.nearest_within(_points(t), _labels(t), 300.0, "point_id", ["label_id"], ["label_id"], ["sheet"]).select("point_id", "label_id")
 
 
@@ -65,7 +65,7 @@ SELECT s.segment_id, k.service, k.size, k.tied FROM mid s LEFT JOIN (
   SELECT segment_id, arg_min(service, (service, size)) AS service, arg_min(size, (service, size)) AS size, count(*) > 1 AS tied FROM ties GROUP BY 1) k ON s.segment_id = k.segment_id
 """)
 def segment_labels(t: Tables) -> DataFrame:
-    """Nearest label of each segment's midpoint, lexicographic on ties."""
+    """Nearest label of each segment's midpoint, lexicographic on ties."""
     mid = _segments(t).select("segment_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     labels = _labels(t).select("x", "y", F.concat(F.lit("S"), (F.col("label_id") % 4).cast("string")).alias("service"), (F.col("label_id") % 3).alias("size"))
     return spatial.nearest_with_ties(mid, labels, 50.0, "segment_id", ["service", "size"]).select("segment_id", "service", "size", "tied")
@@ -108,7 +108,7 @@ WITH {V_POINTS}, {V_BOXES}, hit AS (
 SELECT p.point_id, b.room_id FROM points p LEFT JOIN hit b ON p.point_id = b.point_id AND n = 1
 """)
 def rooms_of_points(t: Tables) -> DataFrame:
-    """Smallest L-shaped ring that holds a point, boundary included."""
+    """Smallest L-shaped ring that holds a point, boundary included."""
     b = _boxes(t)
     x0, y0, x1, y1 = (F.col(f"box.{c}") for c in ("min_x", "min_y", "max_x", "max_y"))
     mx, my = (x0 + x1) / 2, (y0 + y1) / 2
@@ -159,20 +159,21 @@ def sheet_membership(t: Tables) -> DataFrame:
     return found.select("entity_id", F.array_join(F.col("viewports").cast("array<string>"), ",").alias("viewports"), "on_sheet")
 
 
-@query(f"""
-WITH {V_BOXES}, s AS (SELECT o_orderkey AS segment_id, CAST((o_orderkey * 37) % 900 AS DOUBLE) AS x0, CAST((o_orderkey * 91) % 900 AS DOUBLE) AS y, CAST((o_orderkey * 37) % 900 + 64 AS DOUBLE) AS x1 FROM orders),
-cuts AS (SELECT segment_id, x0 AS c FROM s UNION SELECT segment_id, x1 FROM s UNION SELECT segment_id, rx FROM s, boxes WHERE y BETWEEN ry AND ry + h AND rx > x0 AND rx < x1
-  UNION SELECT segment_id, rx + w FROM s, boxes WHERE y BETWEEN ry AND ry + h AND rx + w > x0 AND rx + w < x1),
+@query("""
+WITH boxes AS (SELECT p_partkey // 400 AS sheet, p_partkey AS room_id, CAST((p_partkey * 61) % 950 AS DOUBLE) AS rx, CAST((p_partkey * 83) % 950 AS DOUBLE) AS ry, CAST(20 + p_size AS DOUBLE) AS w, CAST(10 + p_partkey % 37 AS DOUBLE) AS h FROM part),
+s AS (SELECT o_orderkey // 3000 AS sheet, o_orderkey AS segment_id, CAST((o_orderkey * 37) % 900 AS DOUBLE) AS x0, CAST((o_orderkey * 91) % 900 AS DOUBLE) + 0.5 AS y, CAST((o_orderkey * 37) % 900 + 64 AS DOUBLE) AS x1 FROM orders),
+met AS (SELECT s.*, room_id, rx, w, h FROM s JOIN boxes USING (sheet) WHERE y BETWEEN ry AND ry + h),
+cuts AS (SELECT segment_id, x0 AS c FROM s UNION SELECT segment_id, x1 FROM s UNION SELECT segment_id, rx FROM met WHERE rx > x0 AND rx < x1 UNION SELECT segment_id, rx + w FROM met WHERE rx + w > x0 AND rx + w < x1),
 parts AS (SELECT segment_id, c AS a, lead(c) OVER (PARTITION BY segment_id ORDER BY c) AS b FROM cuts),
-held AS (SELECT p.*, y FROM parts p JOIN s USING (segment_id) WHERE b IS NOT NULL),
-own AS (SELECT h.segment_id, h.a, h.b, arg_min(room_id, (w * boxes.h, room_id)) AS room_id FROM held h LEFT JOIN boxes ON y BETWEEN ry AND ry + boxes.h AND (a + b) / 2 BETWEEN rx AND rx + w GROUP BY ALL)
+own AS (SELECT p.segment_id, p.a, p.b, arg_min(room_id, (w * h, room_id)) AS room_id FROM parts p LEFT JOIN met m ON p.segment_id = m.segment_id AND (a + b) / 2 BETWEEN rx AND rx + w WHERE b IS NOT NULL GROUP BY ALL)
 SELECT segment_id, room_id, round(sum(b - a), 6) AS length FROM own GROUP BY ALL
 """)
 def length_by_room(t: Tables) -> DataFrame:
-    """Length split at every crossing, each part to the smallest room that holds it, the rest unassigned."""
-    x0, y = ((F.col("o_orderkey") * 37) % 900).cast("double"), ((F.col("o_orderkey") * 91) % 900).cast("double")
-    s = t.orders.select(F.col("o_orderkey").alias("segment_id"), x0.alias("x0"), y.alias("y0"), (x0 + 64).alias("x1"), y.alias("y1"))
-    found = spatial.split_by_boxes(s, _boxes(t).select("room_id", "box"), "segment_id", "room_id", 64.0)
+    """Length split at every crossing with a room's ring, each part to the smallest room that holds it, the rest unassigned; on sheets of 400 rooms."""
+    x0, y = ((F.col("o_orderkey") * 37) % 900).cast("double"), ((F.col("o_orderkey") * 91) % 900).cast("double") + 0.5
+    s = t.orders.select(F.floor(F.col("o_orderkey") / 3000).alias("sheet"), F.col("o_orderkey").alias("segment_id"), x0.alias("x0"), y.alias("y0"), (x0 + 64).alias("x1"), y.alias("y1"))
+    rooms = t.part.select(F.floor(F.col("p_partkey") / 400).alias("sheet"), F.col("p_partkey").alias("room_id")).join(_boxes(t), "room_id")
+    found = spatial.split_by_boxes(s, rooms.select("sheet", "room_id", "box"), "segment_id", "room_id", 64.0, ["sheet"])
     return found.select("segment_id", "room_id", F.round("length", 6).alias("length"))
 
 
@@ -266,10 +267,10 @@ def first_claims(t: Tables) -> DataFrame:
     return windows.first_claims(t.lineitem.select(F.col("l_partkey").alias("device_id"), F.col("l_orderkey").alias("circuit_id")), "device_id", "circuit_id")
 
 
-@query("SELECT n_nationkey, 'label-room-' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1) AS room FROM nation")
+@query("SELECT c_custkey, 'label-room-' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey) - 1) AS room FROM customer")
 def numbered_rooms(t: Tables) -> DataFrame:
     """Ids by order."""
-    return windows.numbered_ids(t.nation, ["n_regionkey"], ["n_name"], "label-room-", "room").select("n_nationkey", "room")
+    return windows.numbered_ids(t.customer, ["c_nationkey"], ["c_name", "c_custkey"], "label-room-", "room").select("c_custkey", "room")
 
 
 @query("""
@@ -289,28 +290,57 @@ def reading_axes(t: Tables) -> DataFrame:
     return windows.reading_axis(_points(t), ["sheet"], "x", "y", 0.97)
 
 
-EDGES = "edges AS (SELECT DISTINCT l_partkey AS u, l_suppkey + 10000000 AS v FROM lineitem WHERE l_quantity >= 48)"
+#: Rounds of smallest labels in SQL: more than the longest shortest path between two nodes of this dense graph.
+LABELS_SQL = "".join(
+    f", l{i} AS MATERIALIZED (SELECT l.node, least(min(l.low), min(m.low)) AS low FROM l{i - 1} l JOIN both_ways b ON l.node = b.u JOIN l{i - 1} m ON m.node = b.v GROUP BY 1)" for i in range(1, 13)
+)
 
 
 @query(f"""
-WITH RECURSIVE {EDGES}, both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
-reach AS (SELECT u AS node, u AS low FROM both_ways UNION SELECT b.v, r.low FROM reach r JOIN both_ways b ON r.node = b.u)
-SELECT node, min(low) AS component FROM reach GROUP BY 1
+WITH edges AS (SELECT DISTINCT l_partkey AS u, l_suppkey + 10000000 AS v FROM lineitem), both_ways AS MATERIALIZED (SELECT u, v FROM edges UNION SELECT v, u FROM edges), l0 AS MATERIALIZED (SELECT DISTINCT u AS node, u AS low FROM both_ways)
+{LABELS_SQL} SELECT node, low AS component FROM l12
 """)
 def components(t: Tables) -> DataFrame:
-    """Connected components by the smallest node."""
-    links = t.lineitem.where("l_quantity >= 48").select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 10000000).alias("v"))
-    return graph.min_label_components(links)
+    """G1: connected components of all links by the smallest node."""
+    return graph.min_label_components(t.lineitem.select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 10000000).alias("v")))
+
+
+def _chains(t: Tables) -> DataFrame:
+    """(edge, u, v): the lines of each order as edges one after the other."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    edge = F.col("l_orderkey") * 100 + F.col("i")
+    return t.lineitem.select("l_orderkey", place.alias("i")).select(edge.alias("edge"), edge.alias("u"), (edge + 1).alias("v"))
+
+
+@query("""
+SELECT l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS row_id, l_orderkey AS component, count(*) OVER (PARTITION BY l_orderkey) AS size FROM lineitem
+""")
+def component_sizes(t: Tables) -> DataFrame:
+    """G1: rows that share a node are a component, with its size: the lines of an order as a chain of two nodes each."""
+    found = graph.component_sizes(_chains(t).withColumnRenamed("edge", "row_id"), "row_id", ["u", "v"])
+    return found.select("row_id", F.floor(F.col("component") / 100).alias("component"), "size")
+
+
+@query("""
+WITH lines AS (SELECT l_orderkey, min(l_linenumber) AS low, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey AS o, n AS n_edges, CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey * 100 + low END AS anchor FROM lines
+""")
+def cable_circuits(t: Tables) -> DataFrame:
+    """Connected edges are a circuit, with the lowest device at its nodes as anchor and its number of edges."""
+    k = F.col("l_orderkey") * 100
+    devices = t.lineitem.where("l_orderkey % 3 = 0").select((k + 0).alias("node"), (k + F.col("l_linenumber")).alias("device"))
+    found, _ = graph.circuits(_chains(t), devices, "edge", "device")
+    return found.select(F.floor(F.col("circuit_id") / 100).alias("o"), "n_edges", "anchor")
 
 
 @query(f"""
-WITH {V_SEGMENTS}, e AS (SELECT round_even(x0 / 20, 0)::BIGINT || ':' || round_even(y0 / 20, 0)::BIGINT AS node FROM segments UNION ALL SELECT round_even(x1 / 20, 0)::BIGINT || ':' || round_even(y1 / 20, 0)::BIGINT FROM segments)
-SELECT node, count(*) AS degree, count(*) = 1 AS terminal FROM e GROUP BY 1
+WITH {V_SEGMENTS}, e AS (SELECT layer_ref, round_even(x0 / 20, 0)::BIGINT || ':' || round_even(y0 / 20, 0)::BIGINT AS node FROM segments UNION ALL SELECT layer_ref, round_even(x1 / 20, 0)::BIGINT || ':' || round_even(y1 / 20, 0)::BIGINT FROM segments)
+SELECT layer_ref, layer_ref || ':' || node AS node, count(*) AS degree, count(*) = 1 AS terminal FROM e GROUP BY layer_ref, node
 """)
 def cable_topology(t: Tables) -> DataFrame:
-    """Nodes of snapped endpoints with degree and terminals."""
-    nodes, _ = graph.topology(_segments(t), 20.0)
-    return nodes.select("node", "degree", "terminal")
+    """Nodes of snapped endpoints of each layer with degree and terminals."""
+    nodes, _ = graph.topology(_segments(t), 20.0, group=["layer_ref"])
+    return nodes.select("layer_ref", "node", "degree", "terminal")
 
 
 @query("""
@@ -327,18 +357,16 @@ def block_tree(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT n_nationkey AS u, (n_nationkey * 3 + 1) % 25 AS v, n_regionkey + 1 AS w FROM nation UNION SELECT n_nationkey, (n_nationkey + 1) % 25, 2 + n_nationkey % 4 FROM nation),
-b AS (SELECT u, v, w FROM e UNION SELECT v, u, w FROM e),
-walk AS (SELECT CAST(r_regionkey AS BIGINT) AS source, CAST(r_regionkey AS BIGINT) AS node, 0::DOUBLE AS distance, 0 AS hops FROM region
-  UNION SELECT source, b.v, distance + w, hops + 1 FROM walk JOIN b ON node = b.u WHERE hops < 9)
-SELECT source, node, min(distance) AS distance FROM walk GROUP BY ALL
+WITH RECURSIVE e AS (SELECT o_orderkey AS k, o_orderkey // 8 AS p, o_custkey % 7 + 1 AS w FROM orders WHERE o_orderkey >= 32),
+walk AS (SELECT o_orderkey AS source, o_orderkey AS node, 0::DOUBLE AS distance FROM orders WHERE o_orderkey < 32 AND o_orderkey >= 4 UNION ALL SELECT source, e.k, distance + w FROM walk JOIN e ON e.p = node)
+SELECT * FROM walk
 """)
 def home_runs(t: Tables) -> DataFrame:
-    """Shortest paths from several sources at once."""
-    n = F.col("n_nationkey").cast("long")
-    edges = t.nation.select(n.alias("u"), ((n * 3 + 1) % 25).alias("v"), (F.col("n_regionkey") + 1).alias("weight")).union(t.nation.select(n, (n + 1) % 25, 2 + F.col("n_nationkey") % 4))
-    r = F.col("r_regionkey").cast("long")
-    return graph.shortest_paths(edges, t.region.select(r.alias("source"), r.alias("node")))
+    """Shortest paths from several sources at once, over trays that branch and have longer doubles."""
+    k, w = F.col("o_orderkey"), F.col("o_custkey") % 7 + 1
+    known = t.orders.where("o_orderkey >= 32").select(k.alias("u"), F.floor(k / 8).alias("v"), w.alias("weight"))
+    doubles = t.orders.where("o_orderkey >= 32 and o_orderkey % 3 = 0").select(F.floor(k / 8), k, w + 5)
+    return graph.shortest_paths(known.union(doubles), t.orders.where("o_orderkey between 4 and 31").select(k.alias("source"), k.alias("node")))
 
 
 @query(None)

@@ -100,11 +100,17 @@ def review_policy(t: Tables) -> DataFrame:
 
 
 @query(r"""
-SELECT c_custkey, length(regexp_replace(c_name, '[^A-Za-z]', '', 'g')) >= 2 AND length(regexp_replace(c_name, '[^A-Za-z]', '', 'g')) * 2 >= length(trim(c_name)) AND NOT regexp_matches(c_name, '\d{4,}') AS plausible FROM customer
+WITH n AS (SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN 'Plant room ' || c_custkey WHEN 1 THEN 'ALL PIPES SHALL BE' WHEN 2 THEN 'WC' WHEN 3 THEN c_custkey || ' mm TRAY' WHEN 4 THEN 'see notes:' ELSE '' || c_custkey END AS name,
+  CASE c_custkey % 5 WHEN 0 THEN '0.2.' || (c_custkey % 100) WHEN 1 THEN 'G.0' || (c_custkey % 9) END AS number, c_custkey % 2 = 0 AS pdf FROM customer)
+SELECT k AS c_custkey, k % 6 IN (0, 2) AS plausible, CASE WHEN pdf THEN coalesce(k % 5 = 0, FALSE) ELSE k % 5 IN (0, 1) OR k % 6 IN (0, 2) END AS genuine FROM n
 """)
 def room_names(t: Tables) -> DataFrame:
-    """Plausible room names."""
-    return t.customer.select("c_custkey", normalize.room_name_plausible(F.col("c_name")).alias("plausible"))
+    """Plausible room names, and rooms that are genuine by number or name; of one input family by a strict number only."""
+    k = F.col("c_custkey")
+    word = lambda c: c.cast("string")
+    name = F.element_at(F.array(F.concat(F.lit("Plant room "), word(k)), F.lit("ALL PIPES SHALL BE"), F.lit("WC"), F.concat(word(k), F.lit(" mm TRAY")), F.lit("see notes:"), word(k)), (k % 6 + 1).cast("int"))
+    number = F.when(k % 5 == 0, F.concat(F.lit("0.2."), word(k % 100))).when(k % 5 == 1, F.concat(F.lit("G.0"), word(k % 9)))
+    return t.customer.select("c_custkey", S.plausible_room_name(name).alias("plausible"), S.genuine_room(number, name, k % 2 == 0).alias("genuine"))
 
 
 @query("""
@@ -198,17 +204,6 @@ def hybrid_rooms(t: Tables) -> DataFrame:
     return met.select("point_id", room.alias("room"), basis.alias("basis"))
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'missing_rate' WHEN p_size % 5 <> l_partkey % 5 THEN 'unit_mismatch' ELSE 'ready' END AS status FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_retailprice > 910) ON l_partkey = p_partkey
-""")
-def line_assembly(t: Tables) -> DataFrame:
-    """Estimate lines with their rates; missing entries and unit mismatches are statuses."""
-    rates = t.part.where("p_retailprice > 910").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 5).cast("long").alias("rate_unit"), F.lit(True).alias("found"))
-    met = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(rates, "l_partkey", "left")
-    status = F.when(F.col("found").isNull(), "missing_rate").when(F.col("rate_unit") != F.col("l_partkey") % 5, "unit_mismatch").otherwise("ready")
-    return met.select("l_orderkey", "l_linenumber", status.alias("status"))
-
-
 @query("""
 SELECT o_orderkey AS circuit_id, round(q, 2) AS home_run, CASE WHEN q IS NULL THEN 'no_anchor' ELSE 'ok' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey
 """)
@@ -219,41 +214,6 @@ def home_run_join(t: Tables) -> DataFrame:
     return met.select("circuit_id", F.round("home_run", 2).alias("home_run"), F.when(F.col("home_run").isNull(), "no_anchor").otherwise("ok").alias("status"))
 
 
-@query("""
-SELECT c_nationkey AS revision_id, count(*) AS n_rooms, sum((c_acctbal < 0)::INT)::BIGINT AS n_review, (SELECT count(*) FROM supplier WHERE s_nationkey = c_nationkey) AS n_devices, coalesce(any_value(o.n), 0) AS n_entities
-FROM customer LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) o ON k = c_nationkey GROUP BY 1
-""")
-def revision_summary(t: Tables) -> DataFrame:
-    """One row of orientation numbers per revision."""
-    rooms = t.customer.groupBy(F.col("c_nationkey").alias("revision_id")).agg(F.count("*").alias("n_rooms"), F.count_if(F.col("c_acctbal") < 0).alias("n_review"))
-    devices = t.supplier.groupBy(F.col("s_nationkey").alias("revision_id")).agg(F.count("*").alias("n_devices"))
-    owned = t.orders.select(F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", F.col("c_nationkey").alias("revision_id")), "c_custkey")
-    entities = owned.groupBy("revision_id").agg(F.count("*").alias("n_entities"))
-    return rooms.join(devices, "revision_id", "left").join(entities, "revision_id", "left").fillna(0, ["n_devices", "n_entities"])
-
-
-@query("""
-SELECT p_type AS layer_ref, max(s) AS best FROM (SELECT *, max(s) OVER (PARTITION BY p_type) AS top FROM (SELECT p_type, p_brand, sum(p_size) AS s FROM part GROUP BY p_type, p_brand)) WHERE s >= 0.8 * top GROUP BY 1
-""")
-def wall_layer_selection(t: Tables) -> DataFrame:
-    """Layers whose score is near the best."""
-    scores = t.part.groupBy(F.col("p_type").alias("layer_ref"), "p_brand").agg(F.sum("p_size").alias("s"))
-    top = scores.groupBy("layer_ref").agg(F.max("s").alias("top"))
-    return scores.join(top, "layer_ref").where(F.col("s") >= 0.8 * F.col("top")).groupBy("layer_ref").agg(F.max("s").alias("best"))
-
-
-@query("""
-SELECT sheet, CASE WHEN quality <> 'good' THEN 'failed' ELSE 'ok' END AS outcome, CASE WHEN quality <> 'good' THEN quality END AS reason FROM (
-  SELECT n_nationkey AS sheet, CASE n_nationkey % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'degraded' ELSE 'failed' END AS quality FROM nation)
-""")
-def floor_members(t: Tables) -> DataFrame:
-    """Members that register well, and the reason of those that don't."""
-    quality = F.element_at(F.array(*map(F.lit, ("good", "degraded", "failed"))), (F.col("n_nationkey") % 3 + 1).cast("int"))
-    rows = t.nation.select(F.col("n_nationkey").alias("sheet"), quality.alias("quality"))
-    good = F.col("quality") == "good"
-    return rows.select("sheet", F.when(good, "ok").otherwise("failed").alias("outcome"), F.when(~good, F.col("quality")).alias("reason"))
-
-
 @query(f"""
 WITH {V_POINTS}, pairs AS (SELECT a.sheet, a.point_id AS i, b.point_id AS j, (b.x - a.x) AS dx, (b.y - a.y) AS dy FROM points a JOIN points b ON a.sheet = b.sheet AND a.point_id < b.point_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY dx * dx + dy * dy DESC, i, j) AS n FROM pairs)
@@ -284,11 +244,11 @@ def device_categories(t: Tables) -> DataFrame:
 
 @query("""
 SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS INT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id
-FROM (SELECT p_partkey, sha1('ns' || CAST(p_partkey AS VARCHAR)) AS h FROM part)
+FROM (SELECT p_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(p_partkey AS VARCHAR))) AS h FROM part)
 """)
 def derived_ids(t: Tables) -> DataFrame:
-    """F8: name-based ids."""
-    return t.part.select("p_partkey", S.derived_uuid("ns", F.col("p_partkey").cast("string")).alias("id"))
+    """F8: name-based UUIDs of version 5."""
+    return t.part.select("p_partkey", S.derived_uuid("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.col("p_partkey").cast("string")).alias("id"))
 
 
 @query("""
@@ -298,11 +258,3 @@ def first_effects(t: Tables) -> DataFrame:
     """First effect of each entity by priority."""
     best = F.min_by("l_linenumber", F.struct(-F.col("l_quantity"), "l_linenumber"))
     return t.lineitem.groupBy("l_orderkey").agg(best.alias("effect"))
-
-
-@query("""
-SELECT p_brand AS formula_id, max(p_size) AS version, count(*) AS n_versions FROM part GROUP BY 1
-""")
-def formula_selection(t: Tables) -> DataFrame:
-    """Newest version of each formula."""
-    return t.part.groupBy(F.col("p_brand").alias("formula_id")).agg(F.max("p_size").alias("version"), F.count("*").alias("n_versions"))

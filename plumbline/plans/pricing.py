@@ -23,8 +23,20 @@ FROM lineitem GROUP BY ALL
 def quantity_dedup(t: Tables) -> DataFrame:
     """A2: conflicts and primaries of contributors that share an identity."""
     rows = t.lineitem.withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    found = quantities.deduplicate(rows, KEY, ["l_quantity"], ["row_id"], "row_id")
-    return found.select(*KEY, "primary_id", (F.size("duplicate_ids") + 1).cast("long").alias("n_rows"), "conflict")
+    return quantities.deduplicate(rows, KEY, ["l_quantity"], ["row_id"], "row_id")
+
+
+@query("""
+WITH rows AS (SELECT l_partkey AS k, l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_linenumber % 2 = 0 THEN l_tax END AS a, CASE WHEN l_linenumber % 2 = 1 THEN l_tax END AS b FROM lineitem WHERE l_quantity = 50),
+g AS (SELECT k, min(row_id) AS primary_id, count(DISTINCT coalesce(CAST(a AS VARCHAR), '-') || '/' || coalesce(CAST(b AS VARCHAR), '-')) AS n FROM rows GROUP BY 1)
+SELECT k, primary_id, row_id AS duplicate_id FROM rows JOIN g USING (k) WHERE n = 1 AND row_id <> primary_id
+""")
+def quantity_duplicates(t: Tables) -> DataFrame:
+    """A2: the duplicates of a key as rows; a null beside a value is a conflict."""
+    value = lambda odd: F.when(F.col("l_linenumber") % 2 == odd, F.col("l_tax"))
+    rows = t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), value(0).alias("a"), value(1).alias("b"))
+    found = quantities.deduplicate(rows, ["k"], ["a", "b"], ["row_id"], "row_id")
+    return quantities.duplicates(rows, found, ["k"], "row_id")
 
 
 TOTALS_SQL = """

@@ -269,19 +269,6 @@ def finding_counts(t: Tables) -> DataFrame:
     return quality.finding_counts(rows, ["lang"], "severity", ["good", "bad"])
 
 
-@query("""
-SELECT 'line_totals' AS "check", (SELECT sum(l_quantity) FROM lineitem) AS left_total, (SELECT sum(q) FROM (SELECT l_returnflag, sum(l_quantity) AS q FROM lineitem GROUP BY 1)) AS right_total, TRUE AS holds
-UNION ALL SELECT 'row_counts', (SELECT count(*) FROM orders), (SELECT count(DISTINCT l_orderkey) FROM lineitem), abs((SELECT count(*) FROM orders) - (SELECT count(DISTINCT l_orderkey) FROM lineitem)) <= 0.1
-""")
-def conservation_checks(t: Tables) -> DataFrame:
-    """Totals that must agree."""
-    flags = t.lineitem.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("q"))
-    return quality.conservation({
-        "line_totals": (t.lineitem, F.sum("l_quantity"), flags, F.sum("q")),
-        "row_counts": (t.orders, F.count("*"), t.lineitem, F.count_distinct("l_orderkey")),
-    })
-
-
 @query("""
 SELECT o_orderstatus AS k, 'orders' AS collection, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT l_linestatus, 'lines', count(*) FROM lineitem GROUP BY 1
 """)
@@ -299,10 +286,17 @@ def unit_inference(t: Tables) -> DataFrame:
     return quality.infer_unit(t.part, "p_brand", "p_retailprice", [("mm", 2.99, 99.0), ("cm", 2.97, 99.0), ("m", 2.9, 99.0)])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_returnflag || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS unique_ref FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem)")
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN n = 1 THEN l_returnflag WHEN m = 1 THEN l_linestatus ELSE 'line-' || lpad(CAST(r AS VARCHAR), 6, '0') END AS unique_ref FROM (
+  SELECT *, CASE WHEN n > 1 THEN row_number() OVER (PARTITION BY l_orderkey, l_linestatus, n > 1 ORDER BY r) END AS m FROM (
+    SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY r) AS n FROM (
+      SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r FROM lineitem)))
+""")
 def unique_references_by_order(t: Tables) -> DataFrame:
-    """Unique references."""
-    return unique_references(t.lineitem, ["l_orderkey"], ["l_linenumber"], "l_returnflag").select("l_orderkey", "l_linenumber", "unique_ref")
+    """The first candidate of a row that no earlier row took, else its sequence name."""
+    rows = diff.resequenced(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "r").withColumn("r", F.col("r") + 1)
+    found = unique_references(rows, ["l_orderkey"], ["r"], ["l_returnflag", "l_linestatus"], "line", "r")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "unique_ref")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linestatus = 'F' AND (l_linenumber = 7 OR l_linenumber <= 3)")

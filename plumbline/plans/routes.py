@@ -6,24 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import legend, runs, spatial
+from plumbline.operators import bands, legend, runs, spatial
 from plumbline.plans.attribution import _rgb
 from plumbline.plans.base import LABELS, POINTS, SEGMENTS, V_LABELS, V_POINTS, V_SEGMENTS, Tables, query, select_list
 from plumbline.plans.geometry import V_BOXES, _boxes
 
 
 @query("""
-WITH RECURSIVE s AS (SELECT p_partkey AS id, p_partkey // 10 AS chain, p_partkey % 10 AS i, CASE WHEN p_partkey % 10 = 0 THEN p_brand END AS c FROM part),
-w AS (SELECT id, chain, i, c FROM s WHERE c IS NOT NULL UNION ALL SELECT s.id, s.chain, s.i, w.c FROM w JOIN s ON s.chain = w.chain AND s.i = w.i + 1)
-SELECT s.id AS segment_id, w.c AS colour FROM s LEFT JOIN w ON s.id = w.id
+WITH s AS (SELECT p_partkey AS k, p_partkey // 10 AS c, p_partkey % 10 AS i, p_brand FROM part), own AS (SELECT c, p_brand FROM s WHERE i = 0)
+SELECT k AS segment_id, CAST(n AS INT) AS part, round(CASE WHEN i = 5 THEN CASE WHEN n = 1 THEN 0.24 ELSE 0.76 END WHEN i = 7 THEN 0.1 ELSE 1.0 END, 6) AS length,
+  CASE WHEN i IN (0, 1, 7) THEN own.p_brand WHEN i = 4 THEN 'fit' WHEN i = 6 THEN 'tee' WHEN i = 5 THEN NULL END AS colour
+FROM s LEFT JOIN own ON s.c = own.c, (SELECT unnest([1, 2]) AS n) WHERE n = 1 OR i = 5
 """)
 def connectivity_refinement(t: Tables) -> DataFrame:
-    """Colours run along chains of collinear segments from the one that has a colour."""
+    """Shared segments cut at tees adopt their neighbours' colour in one pass, then that of the fitting that holds an end.
+
+    Ten segments in a row of their own: the coloured one (0), a collinear neighbour (1) and a short one aslant of it (7), which adopt;
+    one whose end is in a fitting (4); one that a coloured branch (6) meets in its middle, which is cut and, aslant, keeps no colour (5).
+    """
     k = F.col("p_partkey")
-    y = (F.floor(k / 10) * 5).cast("double")
-    i = (k % 10).cast("double")
-    s = t.part.select(k.alias("segment_id"), F.when(k % 10 == 0, F.col("p_brand")).alias("colour"), i.alias("x0"), y.alias("y0"), (i + 1).alias("x1"), y.alias("y1"))
-    return runs.refine_shared(s, "segment_id", "colour")
+    i, y = k % 10, (F.floor(k / 10) * 20).cast("double")
+    at = {0: (0, 0, 1, 0), 1: (1, 0, 2, 0), 2: (2, 0, 3, 0), 3: (3, 0, 3, 1), 4: (6, 0, 7, 0), 5: (9, 0, 10, 0), 6: (9.24, 0, 9.24, 1), 7: (0, 0, 0.06, 0.08), 8: (0, 9, 1, 9), 9: (4, 9, 5, 9)}
+    pick = lambda n: F.element_at(F.array(*[F.lit(float(at[j][n])) for j in range(10)]), (i + 1).cast("int"))
+    colour = F.when(i == 0, F.col("p_brand")).when(i == 6, "tee")
+    s = t.part.select(k.alias("segment_id"), colour.alias("colour"), pick(0).alias("x0"), (y + pick(1)).alias("y0"), pick(2).alias("x1"), (y + pick(3)).alias("y1"))
+    corner = lambda x, dy: F.struct(F.lit(x).alias("x"), (y + dy).alias("y"))
+    fits = t.part.where(i == 4).select(F.lit("fit").alias("colour"), F.array(corner(6.9, -0.2), corner(7.3, -0.2), corner(7.3, 0.2), corner(6.9, 0.2)).alias("ring"))
+    found = bands.refine_shared(s, "segment_id", "colour", fittings=fits)
+    return found.select("segment_id", F.col("part").cast("int").alias("part"), F.round("length", 6).alias("length"), "colour")
 
 
 STACK_SQL = """
