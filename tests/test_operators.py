@@ -17,7 +17,10 @@ def test_conflicting_group_contributes_nothing(spark):
     df = spark.createDataFrame([(1, "h", 10.0, 1), (2, "h", 10.0, 2), (3, "h", 11.0, 3), (4, "g", 5.0, 4), (5, "g", 5.0, 5)], "id int, k string, v double, seq int")
     assert rows(quantities.primaries(df, ["k"], ["v"], ["seq"])) == [(4, "g", 5.0, 4)]
     found = {r["k"]: r for r in quantities.deduplicate(df, ["k"], ["v"], ["seq"], "id").collect()}
-    assert found["h"]["conflict"] and not found["g"]["conflict"] and found["g"]["duplicate_ids"] == [5]
+    assert found["h"]["conflict"] and not found["g"]["conflict"] and found["g"]["n_rows"] == 2
+    assert rows(quantities.duplicates(df, quantities.deduplicate(df, ["k"], ["v"], ["seq"], "id"), ["k"], "id")) == [("g", 4, 5)]
+    odd = spark.createDataFrame([(1, None, 5.0, 1), (1, 5.0, None, 2), (2, None, 5.0, 1), (2, None, 5.0, 2)], "k int, a double, b double, o int")
+    assert rows(quantities.primaries(odd, ["k"], ["a", "b"], ["o"])) == [(2, None, 5.0, 1)]
 
 
 def test_exact_totals_whatever_the_order(spark):
