@@ -57,6 +57,11 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 fails, alone or with others, and what would stay without it, over all documents."""
+    return quality_bits.ablation(quality_bits.ledger(table(spark, sf_dir, "documents")), quality_bits.POLICIES["v1"])
+
+
 def op5_chat_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -94,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc_derivatives, op2_tag_path_text, op3_language_mixture, op4_rule_ledger, op5_chat_rendering,
-        op6_sentencepiece, op7_simhash_groups, op8_cost_packing, op9_url_rules, op10_exact_groups, pipeline,
+        op6_sentencepiece, op7_simhash_groups, op8_cost_packing, op9_url_rules, op10_exact_groups, rule_ablation, pipeline,
     ]
     return {f.__name__: f for f in found}
 
@@ -166,5 +171,11 @@ FROM failed
 """
 
 
+ABLATION_SQL = OP4_SQL.split("SELECT doc_id, n_words, word_chars")[0] + ", rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(quality_bits.RULES)) + """) r(rule, bit))
+SELECT rule, sum((failed_bits & bit <> 0)::INT)::BIGINT AS n_failed, sum((failed_bits = bit)::INT)::BIGINT AS n_only, sum((failed_bits = 0)::INT)::BIGINT AS n_kept, sum((failed_bits & ~CAST(bit AS BIGINT) = 0)::INT)::BIGINT AS n_kept_without
+FROM failed, rules GROUP BY rule
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rule_ledger": OP4_SQL, "op9_url_rules": OP9_SQL, "op10_exact_groups": OP10_SQL}
+    return {"rule_ablation": ABLATION_SQL, "op4_rule_ledger": OP4_SQL, "op9_url_rules": OP9_SQL, "op10_exact_groups": OP10_SQL}
