@@ -22,12 +22,45 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import written
 
+try:  # Python's own parser of regular expressions
+    from re import _parser as _patterns
+except ImportError:
+    import sre_parse as _patterns
+
 TOKEN = "[A-Za-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A rule index of at most this many rows is broadcast (about 100 bytes a row); a larger one is joined by shuffle.
 BROADCAST_RULES = 100_000
 
 
+def whole_tokens(regex: str) -> tuple[str, ...]:
+    """The literal tokens that every match holds whole: runs of letters and digits between other literal characters or anchors.
+
+    Only what must occur counts: alternatives, classes and repeats that may be empty break a run, and so does the
+    start or end of an expression that isn't anchored, where a longer token may go on.
+    """
+    runs: list[str] = []
+
+    def walk(items) -> None:
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL":
+                runs.append(chr(value))
+            elif name == "AT":
+                runs.append(" ")
+            elif name == "SUBPATTERN":
+                walk(value[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] == value[1] == 1:
+                walk(value[2])
+            else:
+                runs.append("\0")
+
+    walk(_patterns.parse(regex))
+    text = "\0" + "".join(runs) + "\0"
+    found = re.finditer(f"(?<=[^\0A-Za-z0-9]){TOKEN}(?=[^\0A-Za-z0-9])", text)
+    return tuple(dict.fromkeys(m[0] for m in found))
+
+
 class Rule(NamedTuple):
     name: str
     action: str
@@ -44,6 +77,11 @@ def site_rule(action: str, rule: str) -> Rule:
     return Rule(rule, action, f"^([^/]*[.])?{re.escape(host)}{re.escape(slash + rest)}", tuple(whole), len(rule), True)
 
 
+def pattern_rule(action: str, name: str, regex: str, rank: int = 0, listed: bool = False) -> Rule:
+    """A rule of any regular expression over host and path, filed by the tokens that its matches must hold."""
+    return Rule(name, action, regex, whole_tokens(regex), rank, listed)
+
+
 #: Between the words of a combination: characters of one host label or path part, dots between labels included.
 GAP = "[^A-Za-z0-9/]+"
 
@@ -122,7 +160,8 @@ def judge_urls(
         F.max_by(F.struct("name", "action", "listed"), F.struct("rank", "name")).alias("win")
     )
     best, _ = written(best.select("site", "win.*").withColumnRenamed("name", "rule"), "verdicts")
-    met = base.withColumn("site", site).join(best, "site", "left")
+    # By shuffle at every size: the judged sites grow with the pages.
+    met = base.withColumn("site", site).join(best.hint("merge"), "site", "left")
     return met.select(
         F.col("id").alias(id_col),
         "host",
