@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from plumbline.llm.common import map_column, written
+from plumbline.llm.common import Scratch, map_column, written
 from plumbline.operators.graph import min_label_components
 
 #: Shingle hashes whose bits are counted at once.
@@ -54,8 +54,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep..., fp): fp is the fingerprint as a signed 64-bit integer."""
 
     def make():
         def work(texts: list) -> list:
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return work
 
-    return map_column(docs, text_col, make, [T.StructField("fp", T.LongType())], [id_col])
+    return map_column(docs, text_col, make, [T.StructField("fp", T.LongType())], [id_col, *keep])
 
 
 def _block_masks(blocks: int, shared: int) -> list[int]:
@@ -78,7 +78,7 @@ def _signed(x: int) -> int:
 
 
 def close_links(
-    distinct: DataFrame, max_bits: int = 2, blocks: int = 4, bucket_pairs: int = 256
+    s: Scratch, distinct: DataFrame, max_bits: int = 2, blocks: int = 4, bucket_pairs: int = 256
 ) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column ``fp``) that connect all pairs within max_bits.
 
@@ -91,11 +91,11 @@ def close_links(
         raise ValueError("blocks must be 3 to 16")
     masks = _block_masks(blocks, blocks - max_bits)
     keys = F.array(*[F.struct(F.lit(i).alias("b"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])
-    members, _ = written(distinct.select("fp", F.explode(keys).alias("x")).select("fp", "x.b", "x.k"), "blocks")
+    members = distinct.select("fp", F.explode(keys).alias("x")).select("fp", "x.b", "x.k")
     sizes = members.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1")
-    crowded, _ = written(sizes.where(F.col("n") > bucket_pairs).select("b", "k"), "crowded")
-    shared, _ = written(sizes.where(F.col("n") <= bucket_pairs).select("b", "k"), "shared")
-    cold = members.join(shared, ["b", "k"], "left_semi")
+    sizes = s.table(sizes, "sizes")
+    crowded = sizes.where(F.col("n") > bucket_pairs).select("b", "k")
+    cold = s.table(members.join(sizes.where(F.col("n") <= bucket_pairs).select("b", "k"), ["b", "k"], "left_semi"), "shared")
     left, right = cold.withColumnRenamed("fp", "u"), cold.withColumnRenamed("fp", "v")
     links = left.join(right, ["b", "k"]).where("u > v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
     if crowded.isEmpty():
@@ -105,11 +105,27 @@ def close_links(
     variant = F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("flip")
     hot = members.join(crowded, ["b", "k"], "left_semi").select("fp", "b", variant)
     hot = hot.select("fp", "b", F.col("fp").bitwiseXOR(F.col("flip")).alias("k"))
-    lowest, _ = written(hot.groupBy("b", "k").agg(F.min("fp").alias("v")), "lowest")
+    lowest = s.table(hot.groupBy("b", "k").agg(F.min("fp").alias("v")), "lowest")
     more = hot.join(lowest, ["b", "k"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
     return links.union(more).distinct()
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, blocks: int, bucket_pairs: int) -> DataFrame:
+    """(id, node, fp, component_id) of each document; node is a hash of the text."""
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("node"), F.col(f"`{text_col}`").alias("text"))
+    with Scratch(docs.sparkSession) as s:
+        marked = s.table(fingerprints(named, "id", "text", shingle, ("node",)), "fingerprints", keep=True)
+        distinct = s.table(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+        parts = min_label_components(close_links(s, distinct.select("fp"), max_bits, blocks, bucket_pairs))
+        rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp", "low", F.coalesce("component", "fp").alias("component"), F.col("component").isNotNull().alias("linked")
+        )
+        rooted = s.table(rooted, "rooted", keep=True)
+        lows = s.table(rooted.where("linked").groupBy("component").agg(F.min("low").alias("lowest")), "lows", keep=True)
+    classes = rooted.join(lows, "component", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
+    return marked.join(classes, "fp")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -120,29 +136,28 @@ def near_groups(
     bucket_pairs: int = 256,
 ) -> DataFrame:
     """One row per document: (id, fingerprint as 16 hex digits, component_id = smallest id reachable)."""
-    marked, _ = written(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "id"), "fingerprints")
-    distinct, _ = written(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    links = close_links(distinct.select("fp"), max_bits, blocks, bucket_pairs)
-    parts, _ = written(min_label_components(links), "components")
-    rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("component", "fp").alias("component")
-    )
-    linked = rooted.join(parts.select("component").distinct(), "component", "left_semi")
-    lows, _ = written(linked.groupBy("component").agg(F.min("low").alias("lowest")), "lows")
-    classes, _ = written(
-        rooted.join(lows, "component", "left").select("fp", F.coalesce("lowest", "low").alias("component_id")), "classes"
-    )
-    return marked.join(classes, "fp").select(
+    return _groups(docs, id_col, text_col, shingle, max_bits, blocks, bucket_pairs).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents whose group has a smaller id; all columns stay.
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 3,
+    max_bits: int = 2,
+    blocks: int = 4,
+    bucket_pairs: int = 256,
+) -> DataFrame:
+    """``docs`` without the rows whose group has a smaller id; all columns stay.
 
-    Rows that share the smallest id all stay (an id names one document); rows with a null id stay
-    only where their group has no other id.
+    A row is judged by its own text's group, also where another row has its id. Rows with a null id stay only
+    where their group has no other id.
     """
-    dropped = near_groups(docs, id_col, text_col, **options).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone, _ = written(dropped.select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    found = _groups(docs, id_col, text_col, shingle, max_bits, blocks, bucket_pairs)
+    later = found.where(~F.col("id").eqNullSafe(F.col("component_id")))
+    gone, _ = written(later.select(F.col("id").alias("__id"), F.col("node").alias("__gone")).distinct(), "gone")
+    marked = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    alike = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__gone"))
+    return marked.join(gone, alike, "left_anti").drop("__node")
