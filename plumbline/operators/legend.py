@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import achromatic, hue, hue_distance
+from plumbline.operators.spatial import nearest_within
 
 
 def lookup(rows: DataFrame, legend: DataFrame, key: Sequence[str], value: str) -> DataFrame:
@@ -77,3 +78,47 @@ def schedule(devices: DataFrame, group: Sequence[str], name: str, last: Column |
     counts = devices.groupBy(*group, name).agg(F.count("*").alias("n"))
     order = [*([last.cast("int")] if last is not None else []), F.desc("n"), F.asc(name)]
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def fused_dictionary(families: DataFrame, prose: DataFrame, schedules: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group, family, abbreviation, device_type, authority, conflict) of legend entries from three sources.
+
+    families: family, device_type (the legend's symbols); prose: abbreviation, device_type (its lines); schedules: family, abbreviation. A
+    family's type is its own (``family``). An abbreviation joins a family where a schedule names both and only one family claims it, and
+    takes its type there, else its own line's (``tag``). Where both have a type and they differ, the family's holds and ``conflict`` is true.
+    """
+    own = families.groupBy(*group, "family").agg(F.min("device_type").alias("__f"))
+    lines = prose.groupBy(*group, "abbreviation").agg(F.min("device_type").alias("__t"))
+    claims = schedules.groupBy(*group, "abbreviation").agg(F.min("family").alias("family"), F.count_distinct("family").alias("__n"))
+    claims = claims.select(*group, "abbreviation", F.when(F.col("__n") == 1, F.col("family")).alias("family"))
+    tags = lines.join(claims, [*group, "abbreviation"], "full_outer")
+    met = own.join(tags, [*group, "family"], "full_outer")
+    kind = F.coalesce("__f", "__t")
+    authority = F.when(F.col("__f").isNotNull(), "family").when(F.col("__t").isNotNull(), "tag")
+    conflict = F.coalesce(F.col("__f") != F.col("__t"), F.lit(False))
+    return met.select(*group, "family", "abbreviation", kind.alias("device_type"), authority.alias("authority"), conflict.alias("conflict"))
+
+
+def nearest_swatches(texts: DataFrame, swatches: DataFrame, anchor: str, reach: float, radius: float, group: Sequence[str] = ()) -> DataFrame:
+    """(group, text_id, text, swatch_id): texts in the legend's region with the nearest swatch within the radius.
+
+    The region is the box around the texts that match the anchor pattern, grown by ``reach``; texts outside it, and the anchors, are left
+    out. A group without an anchor has no region.
+    """
+    hit = F.col("text").rlike(anchor)
+    box = texts.where(hit).groupBy(*group).agg(*[f(a).alias(f"__{n}_{a}") for a in "xy" for n, f in (("min", F.min), ("max", F.max))])
+    inside = F.lit(True)
+    for a in "xy":
+        inside &= F.col(a).between(F.col(f"__min_{a}") - reach, F.col(f"__max_{a}") + reach)
+    held = texts.where(~hit).join(box, list(group)).where(inside).select(*group, "text_id", "text", "x", "y")
+    return nearest_within(held, swatches.select(*group, "swatch_id", "x", "y"), radius, "text_id", ["swatch_id"], ["swatch_id"], group).select(*group, "text_id", "text", "swatch_id")
+
+
+def tagged_devices(devices: DataFrame, tags: DataFrame, families: DataFrame, known_tags: DataFrame, radius: float, group: Sequence[str] = ()) -> DataFrame:
+    """(group, device_id, block, tag, device_type, basis) of enumerated devices (device_id, block, x, y).
+
+    A device's tag is the nearest text (tag_id, text, x, y) within the radius, its type that of its block's family, else of its tag.
+    """
+    near = nearest_within(devices, tags.select(*group, "tag_id", F.col("text").alias("tag"), "x", "y"), radius, "device_id", ["tag_id"], ["tag"], group)
+    shaped = near.select(*group, "device_id", "block", F.upper(F.trim("tag")).alias("tag")).withColumn("family", F.col("block"))
+    return typed_devices(shaped, families, known_tags).select(*group, "device_id", "block", "tag", "device_type", "basis")

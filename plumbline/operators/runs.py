@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import round_tag
 from plumbline.operators.rooms import pair_in_order
-from plumbline.operators.spatial import within_radius
+from plumbline.operators.spatial import nearest_run, smallest_room, within_radius
 
 
 def sequence_consensus(stacks: DataFrame, scans: DataFrame, group: Sequence[str], stack: str, scan: str) -> DataFrame:
@@ -45,3 +45,54 @@ def reassembled(numbers: DataFrame, fragments: DataFrame, radius: float, group:
     texts = fragments.select(*group, "fragment_id", F.col("text").alias("__t"))
     met = numbers.join(pairs, [*group, "number_id"], "left").join(texts, [*group, "fragment_id"], "left").withColumn("tag", round_tag(F.concat("text", "__t")))
     return met.select(*group, "number_id", F.when(F.col("tag").isNotNull(), F.col("fragment_id")).alias("fragment_id"), "tag")
+
+
+def scanned_stacks(stacks: DataFrame, bands: DataFrame, step: float, least: int, cell: float, group: Sequence[str] = ()) -> DataFrame:
+    """(group, colour, service, n_votes) of tag stacks matched to the bands that scan lines beside them cross.
+
+    stacks: stack, place (from 0), service, x0, x1, y0, y1 (where its lines are scanned). bands: colour, box. Every ``step`` from y0 to y1 a line
+    crosses the bands between x0 and x1, from left to right; equal neighbours are one. A stack matches the sequence that has as many
+    colours as it has tags on ``least`` lines in a row (the longest such row, the lowest on ties). A colour to which
+    matches give two services abstains (null service).
+    """
+    one = [*group, "stack"]
+    each = stacks.groupBy(*one).agg(F.count("*").alias("__n"), *[F.min(c).alias(c) for c in ("x0", "x1", "y0", "y1")])
+    lines = each.withColumn("__i", F.explode(F.sequence(F.lit(0), F.floor((F.col("y1") - F.col("y0")) / step).cast("int")))).withColumn("__y", F.col("y0") + F.col("__i") * step)
+    lines = lines.withColumn("__c", F.floor(F.col("__y") / cell).cast("long"))
+    listed = bands.select(*group, "colour", "box").withColumn("__c", F.explode(F.sequence(F.floor(F.col("box.min_y") / cell).cast("long"), F.floor(F.col("box.max_y") / cell).cast("long"))))
+    crossed = lines.join(listed, [*group, "__c"]).where((F.col("__y") >= F.col("box.min_y")) & (F.col("__y") <= F.col("box.max_y")) & (F.col("box.max_x") >= F.col("x0")) & (F.col("box.min_x") <= F.col("x1")))
+    w = Window.partitionBy(*one, "__i").orderBy("box.min_x", "box.max_x", "colour")
+    fresh = crossed.where("true").withColumn("__new", ~F.col("colour").eqNullSafe(F.lag("colour").over(w)) | (F.row_number().over(w) == 1)).where("__new")
+    found = fresh.groupBy(*one, "__n", "__i").agg(F.transform(F.array_sort(F.collect_list(F.struct("box.min_x", "box.max_x", "colour"))), lambda s: s["colour"]).alias("__s")).where(F.size("__s") == F.col("__n"))
+    island = F.col("__i") - F.row_number().over(Window.partitionBy(*one, "__s").orderBy("__i"))
+    rows = found.withColumn("__g", island).groupBy(*one, "__s", "__g").agg(F.count("*").alias("__l"), F.min("__i").alias("__at")).where(F.col("__l") >= least)
+    best = rows.groupBy(*one).agg(F.min_by("__s", F.struct(-F.col("__l"), "__at")).alias("__s")).select(*one, F.posexplode("__s").alias("place", "colour"))
+    votes = best.join(stacks.select(*one, "place", "service"), [*one, "place"]).groupBy(*group, "colour").agg(F.min("service").alias("__low"), F.max("service").alias("__high"), F.count("*").alias("n_votes"))
+    return votes.select(*group, "colour", F.when(F.col("__low") == F.col("__high"), F.col("__low")).alias("service"), "n_votes")
+
+
+def service_takeoff(segments: DataFrame, tags: DataFrame, evidence: DataFrame, rooms: DataFrame, radius: float, cell: float, group: Sequence[str] = ()) -> DataFrame:
+    """(group, service, size, room_id, basis, length, n_runs) of routed segments: the service takeoff of every drawing at once.
+
+    segments: segment_id, run, x0 ... y1. tags: tag_id, text, x, y; those that read as tags name the run that is nearest within the radius.
+    A run takes every service of its tags by the bundle rule (with the group's evidence: service), with the most frequent size of the service
+    on the run; a run without a tag has none (null service). Lengths are split by the rooms that hold their segments' middles.
+    """
+    read = tags.withColumn("t", round_tag(F.col("text"))).where("t is not null")
+    size = F.coalesce(F.col("t.diameter").cast("string"), F.concat_ws("x", F.col("t.width").cast("string"), F.col("t.height").cast("string")))
+    read = read.select(*group, "tag_id", "x", "y", F.col("t.service").alias("service"), size.alias("size"))
+    named = nearest_run(read, segments.select(*group, "run", "x0", "y0", "x1", "y1"), radius, "tag_id", "run", group=group).where("run is not null")
+    sized = named.groupBy(*group, "run", "service", "size").agg(F.count("*").alias("n")).groupBy(*group, "run", "service").agg(F.min_by("size", F.struct(-F.col("n"), "size")).alias("size"))
+    one = [*group, "run"]
+    known = sized.join(evidence.select(*group, "service").distinct().withColumn("__e", F.lit(1)), [*group, "service"], "left")
+    per = known.groupBy(*one).agg(F.count("*").alias("__n"), F.sum(F.coalesce("__e", F.lit(0))).alias("__s"))
+    confirmed = F.col("__s") >= 2
+    share = F.when(confirmed, F.coalesce(F.col("__e").cast("double"), F.lit(0.0))).when(F.col("__n") == 1, F.lit(1.0)).otherwise(1.0 / F.col("__n"))
+    basis = F.when(confirmed, "bundle").when(F.col("__n") == 1, "single").otherwise("bundle_evidence_absent")
+    shares = known.join(per, one).select(*one, "service", "size", share.alias("__share"), basis.alias("basis"))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    middle = segments.select(*group, "segment_id", "run", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.sqrt(dx * dx + dy * dy).alias("length"))
+    placed = smallest_room(middle, rooms, cell, "segment_id", group=group)
+    met = placed.join(shares, one, "left").withColumn("basis", F.coalesce("basis", F.lit("unknown")))
+    amount = (F.col("length") * F.coalesce("__share", F.lit(1.0))).cast("decimal(28,9)")
+    return met.where("coalesce(__share, 1.0) > 0").groupBy(*group, "service", "size", "room_id", "basis").agg(F.sum(amount).alias("length"), F.count_distinct("run").alias("n_runs"))

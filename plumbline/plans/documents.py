@@ -22,7 +22,7 @@ def definition_scan(t: Tables) -> DataFrame:
 SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber > 2 THEN l_returnflag END, lower(p_brand)) AS colour FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber IN (1, 2, 4) AND p_size > 10
 """)
 def routed_scan(t: Tables) -> DataFrame:
-    """Routed rows with their own colour, else their layer's."""
+    """Routed rows with their own colour, else their layer's."""
     layers = t.part.where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_brand").alias("layer_colour"))
     rows = t.lineitem.where("l_linenumber in (1, 2, 4)").join(layers, "l_partkey")
     own = F.when(F.col("l_linenumber") > 2, F.col("l_returnflag"))
@@ -123,7 +123,7 @@ SELECT p_brand AS formula, p_type AS input_name, p_size AS entry_key, CASE WHEN
 FROM (SELECT DISTINCT ON (p_brand, p_type) p_brand, p_type, p_size FROM part ORDER BY p_brand, p_type, p_size)
 """)
 def formula_bindings(t: Tables) -> DataFrame:
-    """Formula inputs bound to snapshot entries."""
+    """Formula inputs bound to snapshot entries."""
     one = t.part.groupBy("p_brand", "p_type").agg(F.min("p_size").alias("p_size"))
     formulas = one.groupBy(F.col("p_brand").alias("formula")).agg(F.map_from_entries(F.collect_list(F.struct("p_type", "p_size"))).alias("inputs"))
     return reports.bind_inputs(formulas, t.supplier.select(F.col("s_nationkey").alias("entry_key")), "formula", "inputs")

@@ -371,6 +371,6 @@ def home_runs(t: Tables) -> DataFrame:
 
 @query(None)
 def rail_pairs(t: Tables) -> DataFrame:
-    """Greedy mutual pairing by cost, tested against a plain greedy loop."""
+    """Greedy mutual pairing by cost, as rails pair, tested against a plain greedy loop."""
     pairs = t.lineitem.groupBy(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.min("l_extendedprice").alias("price"))
     return graph.greedy_pairs(pairs, "price")

@@ -117,7 +117,7 @@ def room_names(t: Tables) -> DataFrame:
 SELECT p_partkey, round(p_size * 2.0 * cos(radians(30 * (p_partkey % 12))) - 3.0 * sin(radians(30 * (p_partkey % 12))) + 100, 6) AS x, round(p_size * 2.0 * sin(radians(30 * (p_partkey % 12))) + 3.0 * cos(radians(30 * (p_partkey % 12))) - 50, 6) AS y FROM part
 """)
 def block_placement_points(t: Tables) -> DataFrame:
-    """Block points scaled, rotated and moved to the insert."""
+    """block points scaled, rotated and moved to the insert."""
     points = F.array(F.struct(F.col("p_size").cast("double").alias("x"), F.lit(3.0).alias("y")))
     moved = normalize.affine(points, F.lit(2.0), F.lit(1.0), (30 * (F.col("p_partkey") % 12)).cast("double"), F.lit(100.0), F.lit(-50.0))[0]
     return t.part.select("p_partkey", F.round(moved["x"], 6).alias("x"), F.round(moved["y"], 6).alias("y"))
@@ -188,7 +188,7 @@ SELECT p.point_id, CASE WHEN room_id IS NOT NULL THEN 'R' || room_id WHEN label_
 FROM points p LEFT JOIN inside USING (point_id) LEFT JOIN near USING (point_id)
 """)
 def hybrid_rooms(t: Tables) -> DataFrame:
-    """Polygon room first, then the nearest label room, else unassigned."""
+    """Polygon room first, then the nearest label room, else unassigned."""
     points = select_list(t.customer, POINTS)
     x, y = ((F.col("p_partkey") * 61) % 950).cast("double"), ((F.col("p_partkey") * 83) % 950).cast("double")
     w, h = F.lit(20.0) + F.col("p_size"), F.lit(10.0) + F.col("p_partkey") % 37

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import attribution, base, documents, geometry, ingest, jobs, pricing, revisions, rooms, routes, texts  # noqa: F401  (registers)
+from plumbline.plans import attribution, base, documents, geometry, ingest, jobs, pricing, revisions, rooms, routes, scans, texts  # noqa: F401  (registers)
 
 FLAGSHIP = "estimate_totals"
 

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalars import ANNOTATION_NAMES, ARCHITECTURE_NAMES, colour_key, symbol_anchor
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -104,6 +106,7 @@ def token_scan(texts: DataFrame, tokens: Sequence[str], layer: str = "layer_ref"
 
 
 def versioned_scan(derived: DataFrame, version: str) -> DataFrame:
+    """Derived rows of one algorithm version; rows without a version are of none."""
     return derived.where(F.col("algo_version") == version)
 
 
@@ -113,6 +116,7 @@ def csv_rows(df: DataFrame, columns: dict[str, Column], order: Sequence[str]) ->
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
+    """Write the rows of ``csv_rows`` with a header line, replacing what is there; part files keep the rows' order."""
     rows.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
@@ -130,3 +134,55 @@ def artifact_metadata(df: DataFrame, key: str, body: str) -> DataFrame:
 def insert_absent(new: DataFrame, existing: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows to append: one for each key that isn't stored yet; repeating the append adds nothing."""
     return new.dropDuplicates(list(key)).join(existing.select(*key), list(key), "left_anti")
+
+
+def on_layers(rows: DataFrame, tokens: Sequence[str], layer: str = "layer_ref") -> DataFrame:
+    """Rows whose layer's name contains a token, in any case; rows without a layer don't."""
+    return rows.where(F.coalesce(F.lower(layer).rlike("|".join(re.escape(t.lower()) for t in tokens)), F.lit(False)))
+
+
+def band_scan(entities: DataFrame, tokens: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
+    """(key, entity_id, colour, pattern, ring): hatches on layers with a token, as rings of three points and more, by colour key."""
+    found = on_layers(entities.where("entity_type = 'hatch'"), tokens).where(F.size("points") >= 3)
+    return found.select(*key, "entity_id", colour_key(F.col("rgb"), F.col("colour_index")).alias("colour"), "pattern", F.col("points").alias("ring"))
+
+
+def rise_drop_scan(entities: DataFrame, kind: str, key: Sequence[str] = ()) -> DataFrame:
+    """(key, entity_id, kind, x, y, colour): arcs and hatches on layers that name the kind (rise or drop), at their anchors."""
+    found = on_layers(entities.where(F.col("entity_type").isin("arc", "hatch")), [kind])
+    at = symbol_anchor(F.col("centre"), F.col("points"), F.col("box"))
+    out = found.select(*key, "entity_id", F.lit(kind).alias("kind"), at.alias("at"), colour_key(F.col("rgb"), F.col("colour_index")).alias("colour"))
+    return out.where("at is not null").select(*key, "entity_id", "kind", "at.x", "at.y", "colour")
+
+
+def text_scan(entities: DataFrame, tokens: Sequence[str], pattern: str | None = None, key: Sequence[str] = ()) -> DataFrame:
+    """(key, entity_id, text, x, y): texts on layers with a token, and where a pattern is given those that match it."""
+    found = on_layers(entities.where("entity_type = 'text' and text is not null"), tokens)
+    return (found if pattern is None else found.where(F.col("text").rlike(pattern))).select(*key, "entity_id", "text", "centre.x", "centre.y")
+
+
+def spline_scan(entities: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """(key, entity_id, vertices, closed, dropped): splines as vertex arrays; those with fewer than two vertices are marked dropped."""
+    found = entities.where("entity_type = 'spline'")
+    few = F.coalesce(F.size("points"), F.lit(0)) < 2
+    return found.select(*key, "entity_id", F.col("points").alias("vertices"), F.coalesce("closed", F.lit(False)).alias("closed"), few.alias("dropped"))
+
+
+def footprint_scan(entities: DataFrame, block_boxes: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """(key, entity_id, block_ref, box): placed blocks that may be devices, with their block's box moved and scaled to where they stand.
+
+    Building fabric and annotation are left out by their names; a block without a box has none.
+    """
+    name = F.lower("block_ref")
+    kept = entities.where("entity_type = 'insert' and block_ref is not null").where(~name.rlike("|".join(n.lower() for n in (*ARCHITECTURE_NAMES, *ANNOTATION_NAMES))))
+    met = kept.join(block_boxes.select(*key, "block_ref", F.col("box").alias("__b")), [*key, "block_ref"], "left")
+    side = lambda f, axis: f(*[F.col(f"centre.{axis}") + F.col(f"__b.{e}_{axis}") * F.coalesce(f"scale_{axis}", F.lit(1.0)) for e in ("min", "max")])
+    box = F.struct(side(F.least, "x").alias("min_x"), side(F.least, "y").alias("min_y"), side(F.greatest, "x").alias("max_x"), side(F.greatest, "y").alias("max_y"))
+    return met.select(*key, "entity_id", "block_ref", F.when(F.col("__b").isNotNull(), box).alias("box"))
+
+
+def scale_context(documents: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, declared, factor, available): the units block of each revision's document; unavailable without a usable factor."""
+    read = F.from_json(F.get_json_object(body, "$.units"), "declared string, factor double")
+    good = (read["factor"] > 0) & (read["factor"] < float("inf"))
+    return documents.select(key, read["declared"].alias("declared"), F.when(good, read["factor"]).alias("factor"), F.coalesce(good, F.lit(False)).alias("available"))
