@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import grid_cell
-from plumbline.sources.tables import Scratch, delete, written
+from plumbline.sources.tables import Scratch, delete, tasks_for, written
 
 #: Each pair of rounds at least halves the depth of a component; more than this means a defect.
 MAX_ROUNDS = 60
@@ -27,7 +27,8 @@ def min_label_components(links: DataFrame) -> DataFrame:
     Large-star hangs every larger neighbour of a node on the smallest of its neighbourhood, small-star the
     smaller ones; both keep components and end in one star for each. A node's minimum is pre-aggregated
     before the shuffle and written, so that the join with a hub's many links is an exchange on both
-    sides, which Spark can split. Links with a null end and self-links are ignored.
+    sides, which Spark can split. A round writes as many files as its links need, not one for each shuffle
+    partition. Links with a null end and self-links are ignored.
     """
     spark, old = links.sparkSession, []
     edges, path = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
@@ -36,12 +37,13 @@ def min_label_components(links: DataFrame) -> DataFrame:
         if mark[0] == 0:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low, p1 = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
-        large, p2 = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
-        low2, p3 = written(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
+        few = tasks_for(mark[0])
+        low, p1 = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(2 * few), "stars")
+        large, p2 = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(few), "links")
+        low2, p3 = written(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(few), "stars")
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         turned = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        new, p4 = written(turned.union(low2.select("u", F.col("m").alias("v"))).distinct(), "links")
+        new, p4 = written(turned.union(low2.select("u", F.col("m").alias("v"))).distinct().coalesce(few), "links")
         old += [path, p1, p2, p3]
         path, edges, before, mark = p4, new, mark, _mark(new)
         delete(spark, *old)

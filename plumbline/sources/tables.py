@@ -41,6 +41,15 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of a table of a few numbers that one task writes.
+ROWS_PER_TASK = 1 << 18
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks, and so files, for so many rows."""
+    return max(1, -(-rows // ROWS_PER_TASK))
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     """Remove written tables that no later step reads."""
     for path in paths:
@@ -63,8 +72,9 @@ class Scratch:
     def __exit__(self, *_) -> None:
         delete(self.spark, *[p for p in self.paths if p not in self.kept])
 
-    def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-        made, path = written(df, name)
+    def table(self, df: DataFrame, name: str, keep: bool = False, rows: int | None = None) -> DataFrame:
+        """df written and read back; ``rows`` bounds its rows where that is known, so that few rows aren't many files."""
+        made, path = written(df if rows is None else df.coalesce(tasks_for(rows)), name)
         self.paths.append(path)
         if keep:
             self.kept.add(path)
