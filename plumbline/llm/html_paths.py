@@ -156,8 +156,11 @@ def _names_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[boo
     return False, label
 
 
-def parse(page: str) -> list[Node]:
-    """Text nodes in page order, without what a browser never shows, each with its element and the number of its block."""
+def parse(page: str, plain: bool = False) -> list[Node]:
+    """Text nodes in page order, without what a browser never shows, each with its element and the number of its block.
+
+    ``plain`` leaves the markup's own words unread, where only the visible text is wanted.
+    """
     paths: dict = {}
     root = Element("#root", None, "", False, paths)
     at, nodes, block, pos = root, [], 0, 0
@@ -208,7 +211,7 @@ def parse(page: str) -> list[Node]:
                 while e.tag != limit:
                     e = e.parent
                 at = close(e)
-        own, label = _names_boilerplate(tag, attributes, at.article is not None)
+        own, label = (False, tag) if plain else _names_boilerplate(tag, attributes, at.article is not None)
         if tag in VOID:
             if tag == "br" and not at.unseen:
                 nodes.append(Node(at, " ", block))
@@ -224,7 +227,8 @@ def parse(page: str) -> list[Node]:
         at = Element(tag, at, label, own, paths)
         elements.append(at)
         opened[tag] += 1
-    _lower(elements, nodes)
+    if not plain:
+        _lower(elements, nodes)
     return nodes
 
 

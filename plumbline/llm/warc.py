@@ -173,7 +173,7 @@ def derivatives(record: bytes | None) -> list[tuple]:
             page, short = decoded_text(r)
             problem = f"incomplete body: {short}" if short else None
             kind = (_value(r.http, "Content-Type") or "text/html").lower()
-            text = joined_blocks(parse(page)) if "html" in kind or "xml" in kind else page
+            text = joined_blocks(parse(page, plain=True)) if "html" in kind or "xml" in kind else page
         except (ValueError, zlib.error) as e:
             problem = f"undecodable body: {e}"
     claimed = [(n, _value(r.warc, n)) for n in ("WARC-Payload-Digest", "WARC-Block-Digest")]
