@@ -115,6 +115,17 @@ def affine(points: Column, sx: Column, sy: Column, degrees: Column, dx: Column,
     return F.transform(points, lambda p: F.struct((p["x"] * sx * c - p["y"] * sy * s + dx).alias("x"), (p["x"] * sx * s + p["y"] * sy * c + dy).alias("y")))
 
 
+def provenance(fields: Column, least: int) -> Column:
+    """(status, canonical) of an entity's provenance number: missing, invalid below ``least``, else valid with its canonical text."""
+    status = F.when(fields.isNull(), "missing").when(fields < least, "invalid").otherwise("valid")
+    return F.struct(status.alias("status"), F.when(fields >= least, F.concat(F.lit("k:"), fields.cast("string"))).alias("canonical"))
+
+
+def by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the asked ones, each once per row of df; unknown keys give none."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
+
+
 def annotation_zones(labels: DataFrame, anchor: str, pad: float, group: Sequence[str]) -> DataFrame:
     """Padded boxes around labels whose text matches the anchor pattern, numbered in id order."""
     hit = labels.where(F.col("text").rlike(anchor))

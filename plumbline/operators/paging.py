@@ -35,6 +35,7 @@ def keyset_page(rows: DataFrame, keys: Sequence[str], cursor: Sequence | None =
 
 
 def offset_page(rows: DataFrame, keys: Sequence[str], offset: int, limit: int = DEFAULT_PAGE) -> DataFrame:
+    """Up to limit rows after the first ``offset`` in the order of the keys (nulls first)."""
     return rows.orderBy(*keys).offset(offset).limit(limit)
 
 

@@ -69,6 +69,7 @@ def merge_rooms(rooms: DataFrame, group: Sequence[str], number: str, room: str,
 
 
 def repeated_numbers(rooms: DataFrame, group: Sequence[str], number: str, room: str) -> DataFrame:
+    """(group, number, n_rooms) of the numbers that several rooms of a group have; null numbers count as one."""
     return rooms.groupBy(*group, number).agg(F.count_distinct(room).alias("n_rooms")).where("n_rooms > 1")
 
 

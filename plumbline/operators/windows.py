@@ -99,6 +99,7 @@ def first_claims(claims: DataFrame, item: str, claimant: str) -> DataFrame:
 
 
 def numbered_ids(rows: DataFrame, group: Sequence[str], order: Sequence[str], prefix: str, into: str) -> DataFrame:
+    """Rows with an id of the prefix and their place in the group's order, from 0; the order must be total for ids to be stable."""
     return rows.withColumn(into, F.concat(F.lit(prefix), (F.row_number().over(_by(group, order)) - 1).cast("string")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import normalize, spatial, takeoff
+from plumbline.operators import blocks, normalize, quantities, spatial, takeoff
 from plumbline.plans.base import LABELS, POINTS, SEGMENTS, V_LABELS, V_POINTS, V_SEGMENTS, Tables, query, select_list
 from plumbline.sources import tables
 
@@ -175,7 +175,7 @@ SELECT l.l_orderkey, l.l_linenumber, p.o_custkey AS parent_owner FROM lineitem l
 def parent_links(t: Tables) -> DataFrame:
     """Rows with their parent's attribute."""
     parents = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("parent_owner"))
-    return t.lineitem.select("l_orderkey", "l_linenumber").join(parents, "l_orderkey", "left")
+    return blocks.parent_links(t.lineitem.select("l_orderkey", "l_linenumber"), parents, "l_orderkey", "l_orderkey", ["parent_owner"])
 
 
 @query(f"""
@@ -208,10 +208,10 @@ def hybrid_rooms(t: Tables) -> DataFrame:
 SELECT o_orderkey AS circuit_id, round(q, 2) AS home_run, CASE WHEN q IS NULL THEN 'no_anchor' ELSE 'ok' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey
 """)
 def home_run_join(t: Tables) -> DataFrame:
-    """In-plan circuits with their home runs; a missing one is no_anchor."""
+    """In-plan circuits with their home runs; a missing one is no_anchor."""
     homes = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("circuit_id")).agg(F.sum("l_quantity").alias("home_run"))
-    met = t.orders.select(F.col("o_orderkey").alias("circuit_id")).join(homes, "circuit_id", "left")
-    return met.select("circuit_id", F.round("home_run", 2).alias("home_run"), F.when(F.col("home_run").isNull(), "no_anchor").otherwise("ok").alias("status"))
+    met = takeoff.home_run_statuses(t.orders.select(F.col("o_orderkey").alias("circuit_id")), homes)
+    return met.select("circuit_id", F.round("home_run", 2).alias("home_run"), "status")
 
 
 @query(f"""
@@ -229,7 +229,7 @@ def widest_baseline(t: Tables) -> DataFrame:
 def point_lookup(t: Tables) -> DataFrame:
     """Lookup by key."""
     key = t.part.agg(F.max("p_partkey").alias("p_partkey"))
-    return t.part.select("p_partkey", "p_brand").join(F.broadcast(key), "p_partkey")
+    return normalize.by_key(t.part.select("p_partkey", "p_brand"), key, "p_partkey")
 
 
 @query("""
@@ -256,5 +256,5 @@ SELECT DISTINCT ON (l_orderkey) l_orderkey, l_linenumber AS effect FROM lineitem
 """)
 def first_effects(t: Tables) -> DataFrame:
     """First effect of each entity by priority."""
-    best = F.min_by("l_linenumber", F.struct(-F.col("l_quantity"), "l_linenumber"))
-    return t.lineitem.groupBy("l_orderkey").agg(best.alias("effect"))
+    rows = t.lineitem.select("l_orderkey", (-F.col("l_quantity")).alias("priority"), F.col("l_linenumber").alias("effect"))
+    return quantities.first_in_group(rows, ["l_orderkey"], ["priority", "effect"]).select("l_orderkey", "effect")

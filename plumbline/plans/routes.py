@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import bands, legend, runs, spatial
+from plumbline.operators import bands, legend, normalize, runs, spatial
 from plumbline.plans.attribution import _rgb
 from plumbline.plans.base import LABELS, POINTS, SEGMENTS, V_LABELS, V_POINTS, V_SEGMENTS, Tables, query, select_list
 from plumbline.plans.geometry import V_BOXES, _boxes
@@ -101,5 +101,4 @@ SELECT event_id, CASE WHEN k IS NULL THEN 'missing' WHEN k < 10 THEN 'invalid' E
 def provenance_status(t: Tables) -> DataFrame:
     """provenance fields validated and put in canonical form."""
     k = F.from_json("props", "k bigint")["k"]
-    status = F.when(k.isNull(), "missing").when(k < 10, "invalid").otherwise("valid")
-    return t.events.select("event_id", status.alias("status"), F.when(k >= 10, F.concat(F.lit("k:"), k.cast("string"))).alias("canonical"))
+    return t.events.select("event_id", normalize.provenance(k, 10).alias("p")).select("event_id", "p.*")
