@@ -78,9 +78,9 @@ def _signed(x: int) -> int:
 
 
 def close_links(
-    s: Scratch, distinct: DataFrame, max_bits: int = 2, blocks: int = 4, bucket_pairs: int = 256
+    s: Scratch, distinct: DataFrame, n: int, max_bits: int = 2, blocks: int = 4, bucket_pairs: int = 256
 ) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column ``fp``) that connect all pairs within max_bits.
+    """Links (u, v) between n distinct fingerprints (column ``fp``) that connect all pairs within max_bits.
 
     Every returned link is within ``max_bits``; every pair within ``max_bits`` is linked, directly or,
     in buckets of more than ``bucket_pairs``, through the smallest member of a shared variant.
@@ -93,9 +93,9 @@ def close_links(
     keys = F.array(*[F.struct(F.lit(i).alias("b"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])
     members = distinct.select("fp", F.explode(keys).alias("x")).select("fp", "x.b", "x.k")
     sizes = members.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = s.table(sizes, "sizes")
+    sizes = s.table(sizes, "sizes", rows=n * len(masks))
     crowded = sizes.where(F.col("n") > bucket_pairs).select("b", "k")
-    cold = s.table(members.join(sizes.where(F.col("n") <= bucket_pairs).select("b", "k"), ["b", "k"], "left_semi"), "shared")
+    cold = s.table(members.join(sizes.where(F.col("n") <= bucket_pairs).select("b", "k"), ["b", "k"], "left_semi"), "shared", rows=n * len(masks))
     left, right = cold.withColumnRenamed("fp", "u"), cold.withColumnRenamed("fp", "v")
     links = left.join(right, ["b", "k"]).where("u > v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
     if crowded.isEmpty():
@@ -116,12 +116,13 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits:
     with Scratch(docs.sparkSession) as s:
         marked = s.table(fingerprints(named, "id", "text", shingle, ("node",)), "fingerprints", keep=True)
         distinct = s.table(marked.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-        parts = min_label_components(close_links(s, distinct.select("fp"), max_bits, blocks, bucket_pairs))
+        n = distinct.count()
+        parts = min_label_components(close_links(s, distinct.select("fp"), n, max_bits, blocks, bucket_pairs))
         rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
             "fp", "low", F.coalesce("component", "fp").alias("component"), F.col("component").isNotNull().alias("linked")
         )
-        rooted = s.table(rooted, "rooted", keep=True)
-        lows = s.table(rooted.where("linked").groupBy("component").agg(F.min("low").alias("lowest")), "lows", keep=True)
+        rooted = s.table(rooted, "rooted", keep=True, rows=n)
+        lows = s.table(rooted.where("linked").groupBy("component").agg(F.min("low").alias("lowest")), "lows", keep=True, rows=n)
     classes = rooted.join(lows, "component", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
     return marked.join(classes, "fp")
 
