@@ -36,15 +36,15 @@ def normalised(text: str | Column) -> Column:
 BLOCK_CHARS = 4096
 
 
-def _named(s: Scratch, rows: DataFrame, key: list[str], keep: list[str], hash_bits: int, tag: str) -> DataFrame:
-    """rows' ``keep`` columns with the name (h, r) of ``key``; equal keys, and only they, get equal names.
+def _named(s: Scratch, rows: DataFrame, key: list[str], keep: list[str], hash_bits: int, tag: str, n: int | None = None) -> DataFrame:
+    """rows' ``keep`` columns with the name (h, r) of ``key``; equal keys, and only they, get equal names. n bounds the rows.
 
     h is an integer name by sort order, one for each hash; r is 0 but where a hash has several keys.
     """
     rows = rows.withColumn("__hash", F.shiftrightunsigned(F.xxhash64(*key), 64 - hash_bits))
     ordered = rows.select("__hash", *key).distinct().sortWithinPartitions("__hash", *key)
     placed = ordered.select("__hash", F.monotonically_increasing_id().alias("h"))
-    names = s.table(placed.groupBy("__hash").agg(F.min("h").alias("h"), F.count("*").alias("n")), f"{tag}-names")
+    names = s.table(placed.groupBy("__hash").agg(F.min("h").alias("h"), F.count("*").alias("n")), f"{tag}-names", rows=n)
     named = rows.join(names.select("__hash", "h"), "__hash")
     clashing = names.where("n > 1").select("__hash")
     if clashing.isEmpty():
@@ -68,20 +68,21 @@ def _identities(s: Scratch, docs: DataFrame, id_col: str, text_col: str, block_c
     keep = ["id", "nonce", "n_blocks", "pos"]
     first = s.table(_named(s, blocks, ["block"], [*keep, "text_sha256"], hash_bits, "blocks"), "names")
     base = first.where("pos = 0").select("id", "nonce", "text_sha256", "n_blocks", "h", "r")
-    span = first.agg(F.max("n_blocks")).first()[0] or 1
-    if span == 1:
+    span, n_long, total = base.agg(F.max("n_blocks"), F.count_if(F.col("n_blocks") > 1), F.sum(F.when(F.col("n_blocks") > 1, F.col("n_blocks")))).first()
+    if (span or 1) == 1:
         return base
     rows, done, width = first.where("n_blocks > 1").select(*keep, "h", "r"), [], 1
     left, right = F.col("pos") % 2 == 0, F.col("pos") % 2 == 1
     while span > 1:
         width, span = width * 2, (span + 1) // 2
+        n = total // width + n_long
         pairs = s.table(
             rows.groupBy("id", "nonce", "n_blocks", F.floor(F.col("pos") / 2).cast("int").alias("pos")).agg(
                 *[F.max(F.when(side, F.col(c))).alias(side_name + c) for side_name, side in (("left_", left), ("right_", right)) for c in "hr"]
             ),
-            "pairs",
-        )
-        named = s.table(_named(s, pairs, ["left_h", "left_r", "right_h", "right_r"], keep, hash_bits, "pairs"), "names")
+            "pairs", rows=n,
+        )
+        named = s.table(_named(s, pairs, ["left_h", "left_r", "right_h", "right_r"], keep, hash_bits, "pairs", n), "names", rows=n)
         done.append(named.where(F.col("n_blocks") <= width).drop("pos"))
         rows = named.where(F.col("n_blocks") > width)
     whole = reduce(DataFrame.union, done)
