@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import block_names, chat_format, html_paths, language_mix, packing, quality_bits, simhash, sp_bpe, url_rules, warc
+from plumbline.llm import block_names, chat_format, html_paths, importance, language_mix, packing, phrases, quality_bits, simhash, sp_bpe, url_rules, warc
 from plumbline.llm.common import table
 
 #: Id that ends a packed document.
@@ -90,6 +90,14 @@ def op10_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +107,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc_derivatives, op2_tag_path_text, op3_language_mixture, op4_rule_ledger, op5_chat_rendering,
-        op6_sentencepiece, op7_simhash_groups, op8_cost_packing, op9_url_rules, op10_exact_groups, rule_ablation, pipeline,
+        op6_sentencepiece, op7_simhash_groups, op8_cost_packing, op9_url_rules, op10_exact_groups, op11_importance_resampling, op13_phrase_collocations,
+        rule_ablation, pipeline,
     ]
     return {f.__name__: f for f in found}
 
@@ -177,5 +186,68 @@ FROM failed, rules GROUP BY rule
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CRC-32 is computed bit by bit for the 256 bytes, and then byte by byte for each feature.
+OP11_SQL = rf"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS steps
+  FROM (SELECT unnest(range(256)) AS b)
+), words AS (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), found AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words
+), placed AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(f) + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, steps[xor(c, b) % 256 + 1]))) % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM found)), crc
+), counts AS (
+  SELECT bucket, sum((side = 0)::INT)::DOUBLE AS s, sum((side = 1)::INT)::DOUBLE AS t FROM found JOIN placed USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM counts
+), weights AS (
+  SELECT id, count(*) AS n, sum(gain) AS g FROM found JOIN placed USING (f) JOIN gains USING (bucket) WHERE side = 0 GROUP BY id
+), scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight,
+    coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (id) WHERE side = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS i, count(*) OVER (PARTITION BY n_words >= 20) AS able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND i <= 25 * able // 100 THEN i END AS rank FROM ranked
+"""
+
+OP13_SQL = rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL
+), totals AS (SELECT lang, sum(a)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang
+), often AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE a >= 10
+), inner_pairs AS (
+  SELECT lang, phrase, max(a) AS m FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM often WHERE k = 3) GROUP BY ALL
+), cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:k], ' ') AS rest
+  FROM (SELECT o.*, unnest(range(1, k)) AS c FROM often o LEFT JOIN inner_pairs USING (lang, phrase) WHERE k > 1 AND coalesce(100 * m < 50 * a, true))
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, c, x.a AS l, y.a AS r, (1000000::HUGEINT * cuts.a * cuts.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts JOIN often x ON x.lang = cuts.lang AND x.phrase = head JOIN often y ON y.lang = cuts.lang AND y.phrase = rest
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"rule_ablation": ABLATION_SQL, "op4_rule_ledger": OP4_SQL, "op9_url_rules": OP9_SQL, "op10_exact_groups": OP10_SQL}
+    return {
+        "rule_ablation": ABLATION_SQL,
+        "op4_rule_ledger": OP4_SQL,
+        "op9_url_rules": OP9_SQL,
+        "op10_exact_groups": OP10_SQL,
+        "op11_importance_resampling": OP11_SQL,
+        "op13_phrase_collocations": OP13_SQL,
+    }
