@@ -32,66 +32,108 @@ def synced_layer(properties: Column, layer: Column) -> Column:
     return F.transform_values(properties, lambda k, v: F.when(k.isin(*LAYER_KEYS) & layer.isNotNull(), layer).otherwise(v))
 
 
+def replayed(operations: DataFrame, entities: DataFrame) -> DataFrame:
+    """The operations, in order of ``sequence_index`` on each entity of a set, with what stands there when they act.
+
+    Adds ``version`` (how often the set has added the entity so far; 0 is the base's), ``base_rows`` (base entities of that name),
+    ``base_layer``, ``base_properties`` of version 0, ``exists`` (before the operation) and ``gone`` (a removal took it). The state of an
+    entity is what its last addition or removal before says, else the base; each step reads it from a running window, so that no
+    list of a set's operations is built. A removal of what isn't there counts as one.
+    """
+    op, o = F.col("operation_type"), operations
+    w = Window.partitionBy("set_id", "entity").orderBy("sequence_index")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.when(op == "add_entity", 1).when(op == "remove_entity", 0)
+    o = o.withColumn("__kind", kind).withColumn("__last", F.last("__kind", ignorenulls=True).over(before))
+    o = o.withColumn("version", F.coalesce(F.sum("__kind").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("int"))
+    has = "properties" in entities.columns
+    none = F.lit(None).cast("map<string,string>")
+    base = entities.groupBy("entity").agg(F.count("*").alias("base_rows"), F.min("layer").alias("__layer"), (F.first("properties") if has else F.first(none)).alias("__properties"))
+    met = o.join(base, "entity", "left").withColumn("base_rows", F.coalesce("base_rows", F.lit(0)))
+    own = F.col("version") == 0
+    return met.select(
+        *[o[c] for c in operations.columns], "version", "base_rows", F.when(own, F.col("__layer")).alias("base_layer"), F.when(own, F.col("__properties")).alias("base_properties"),
+        F.coalesce(F.col("__last") == 1, F.col("base_rows") > 0).alias("exists"), F.coalesce(F.col("__last") == 0, F.lit(False)).alias("gone"),
+    )
+
+
+def _blank() -> Column:
+    return F.col("value").isNull() | (F.trim("value") == "")
+
+
+def _errors(blocks: bool) -> list[tuple[str, Column]]:
+    """The errors of replayed operations by code, in order."""
+    op, adds = F.col("operation_type"), F.col("operation_type") == "add_entity"
+    typed, named = op.isin(*APPLIED, *REVIEWED), F.col("entity").isNotNull()
+    missing = op.isin("change_layer", "annotate_entity", "replace_block") & _blank() | (op == "update_property") & F.col("value").isNull()
+    rules = [
+        ("unknown_operation", ~typed), ("missing_target", typed & ~named), ("target_not_found", typed & named & ~adds & ~F.col("exists") & ~F.col("gone")),
+        ("target_ambiguous", typed & ~adds & (F.col("base_rows") > 1)), ("target_removed_earlier", typed & ~adds & F.col("gone")), ("duplicate_entity", adds & F.col("exists")),
+        ("missing_value", missing), ("invalid_property", (op == "update_property") & property_key(F.col("property")).isNull()),
+    ]
+    return rules + ([("unknown_block", (op == "replace_block") & ~_blank() & F.col("__is_block").isNull())] if blocks else [])
+
+
 def findings(operations: DataFrame, entities: DataFrame, layers: DataFrame, blocks: DataFrame) -> DataFrame:
     """(set_id, sequence_index, code, severity) of every rule that an operation breaks.
 
     Errors: ``unknown_operation``, ``missing_target``, ``target_not_found``, ``target_ambiguous``, ``target_removed_earlier`` (by the same set),
     ``duplicate_entity``, ``missing_value``, ``invalid_property``, ``unknown_block``. Warnings: ``unknown_layer``, ``layer_unchanged``. Reviews:
-    ``flagged``, ``review_only``.
+    ``flagged``, ``review_only``. ``apply_sets`` refuses exactly the sets with an error or a ``review_only``.
     """
-    op, o = F.col("operation_type"), operations
-    # A target may be added by the set itself, earlier; a removal holds for what follows.
-    w = Window.partitionBy("set_id", "entity").orderBy("sequence_index").rowsBetween(Window.unboundedPreceding, -1)
-    o = o.withColumn("__added", F.max((op == "add_entity").cast("int")).over(w) == 1)
-    o = o.withColumn("__at", F.max(F.when(op == "remove_entity", F.col("sequence_index"))).over(w)).withColumn("__back", F.max(F.when(op == "add_entity", F.col("sequence_index"))).over(w))
-    known = entities.groupBy("entity").agg(F.count("*").alias("__n"), F.min("layer").alias("__layer"))
-    o = o.join(known, "entity", "left")
+    op = F.col("operation_type")
+    o = replayed(operations, entities)
     o = o.join(layers.select(F.col("layer").alias("value"), F.lit(True).alias("__is_layer")).distinct(), "value", "left")
     o = o.join(blocks.select(F.col("block").alias("value"), F.lit(True).alias("__is_block")).distinct(), "value", "left")
-    adds, blank = op == "add_entity", F.col("value").isNull() | (F.trim("value") == "")
-    gone = F.col("__at").isNotNull() & (F.coalesce("__back", F.lit(-1)) < F.col("__at"))
-    exists = F.col("__n").isNotNull() | F.coalesce("__added", F.lit(False))
-    typed = op.isin(*APPLIED, *REVIEWED)
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    rules = [
-        ("unknown_operation", "error", ~typed), ("missing_target", "error", typed & F.col("entity").isNull()), ("target_not_found", "error", typed & ~adds & F.col("entity").isNotNull() & ~exists),
-        ("target_ambiguous", "error", typed & ~adds & (F.col("__n") > 1)), ("target_removed_earlier", "error", typed & ~adds & gone), ("duplicate_entity", "error", adds & exists & ~gone),
-        ("missing_value", "error", op.isin("change_layer", "update_property", "annotate_entity", "replace_block") & blank), ("invalid_property", "error", (op == "update_property") & property_key(F.col("property")).isNull()),
-        ("unknown_block", "error", (op == "replace_block") & ~blank & F.col("__is_block").isNull()), ("unknown_layer", "warning", (op == "change_layer") & ~blank & F.col("__is_layer").isNull()),
-        ("layer_unchanged", "warning", (op == "change_layer") & (F.col("value") == F.col("__layer"))), ("flagged", "review", op == "flag_for_review"), ("review_only", "review", op.isin(*REVIEWED)),
+    rules = [(code, "error", holds) for code, holds in _errors(True)] + [
+        ("unknown_layer", "warning", (op == "change_layer") & ~_blank() & F.col("__is_layer").isNull()),
+        ("layer_unchanged", "warning", (op == "change_layer") & (F.col("value") == F.col("base_layer"))), ("flagged", "review", op == "flag_for_review"), ("review_only", "review", op.isin(*REVIEWED)),
     ]
-    said = F.array_compact(F.array(*[F.when(yes(holds), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, holds in rules]))
+    said = F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, holds in rules]))
     return o.select("set_id", "sequence_index", F.inline(said))
 
 
 def apply_sets(entities: DataFrame, operations: DataFrame) -> DataFrame:
-    """(set_id, entity, layer, properties, annotations, effect) of the entities that each valid set touches.
-
-    A set with an operation that can't be applied (its target isn't there and the set doesn't add it, an unknown operation or property)
-    aborts whole and returns nothing. The last layer and the last value of each property count, annotations are kept in order, a
-    removal wins over what precedes it. Effects: removed, added, changed (the layer differs), metadata_only (properties, annotations and
-    flags), unchanged.
+    """(set_id, entity, version, layer, properties, annotations, flags, effect) of the entities that each set touches, operations replayed in order.
+
+    A set with an operation that fails where it stands (its target isn't there, was removed before or is ambiguous, an addition of what
+    exists, an unknown operation or property, a missing value, one that is only reviewed) aborts whole and returns nothing. What
+    a set adds after it removed it is a new version beside the removed one. Layers and properties are those of the last
+    operations, aliases of the layer follow it, annotations and flags (their values) stay in order. Effects: ``removed``, ``added``,
+    ``changed`` (an operation changed the layer, though a later one may have changed it back), ``metadata_only`` (a property changed, an
+    annotation or flag), ``unchanged``.
     """
     op = F.col("operation_type")
-    known = entities.select(F.col("entity").alias("__k")).distinct()
-    adds = operations.where(op == "add_entity").select(F.col("set_id").alias("__s"), F.col("entity").alias("__a")).distinct()
-    lost = operations.where(op != "add_entity").join(known, F.col("entity") == F.col("__k"), "left_anti").join(adds, (F.col("set_id") == F.col("__s")) & (F.col("entity") == F.col("__a")), "left_anti")
-    wrong = operations.where(~op.isin(*APPLIED) | ((op == "update_property") & property_key(F.col("property")).isNull()))
-    valid = operations.join(lost.select("set_id").union(wrong.select("set_id")).distinct(), "set_id", "left_anti")
-    n, key = F.col("sequence_index"), property_key(F.col("property"))
-    edits = valid.where(op == "update_property").groupBy("set_id", "entity", key.alias("k")).agg(F.max_by("value", n).alias("v")).groupBy("set_id", "entity").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("edits"))
-    layered = op.isin("change_layer", "add_entity")
-    folded = valid.groupBy("set_id", "entity").agg(
-        F.max((op == "remove_entity").cast("int")).alias("removed"), F.max((op == "add_entity").cast("int")).alias("added"), F.max_by(F.when(layered, F.col("value")), F.when(layered, n)).alias("new_layer"),
-        F.max(op.isin("update_property", "annotate_entity", "flag_for_review").cast("int")).alias("noted"),
-        F.array_sort(F.collect_list(F.when(op == "annotate_entity", F.struct(n.alias("n"), F.col("value").alias("value"))))).alias("notes"),
+    o = replayed(operations, entities)
+    fails = op.isin(*REVIEWED)
+    for _, holds in _errors(False):
+        fails = fails | F.coalesce(holds, F.lit(False))
+    o = o.withColumn("__fails", F.coalesce(fails, F.lit(True))).withColumn("__key", F.when(op == "update_property", property_key(F.col("property"))))
+    valid = o.join(o.where("__fails").select("set_id").distinct(), "set_id", "left_anti")
+    one, n, layered = ["set_id", "entity", "version"], F.col("sequence_index"), op.isin("change_layer", "add_entity")
+    past = Window.partitionBy(*one).orderBy("sequence_index").rowsBetween(Window.unboundedPreceding, -1)
+    old = F.coalesce("base_properties", F.create_map().cast("map<string,string>"))
+    said = F.coalesce(F.last(F.when(layered, F.col("value")), ignorenulls=True).over(past), F.col("base_layer"))
+    stale = (F.count(F.when(layered, 1)).over(past) == 0) & F.exists(F.map_entries(old), lambda e: e["key"].isin(*LAYER_KEYS) & ~e["value"].eqNullSafe(F.col("value")))
+    steps = valid.withColumn("__moved", (op == "change_layer") & (~F.col("value").eqNullSafe(said) | stale))
+    of_key = Window.partitionBy(*one, "__key").orderBy("sequence_index")
+    steps = steps.withColumn("__was", F.when(F.row_number().over(of_key) == 1, F.try_element_at(old, F.col("__key"))).otherwise(F.lag("value").over(of_key)))
+    edits = steps.where("__key is not null").groupBy(*one, "__key").agg(F.max_by("value", n).alias("v"), F.max((~F.col("value").eqNullSafe(F.col("__was"))).cast("int")).alias("m"))
+    edits = edits.groupBy(*one).agg(F.map_from_entries(F.collect_list(F.struct("__key", "v"))).alias("edits"), F.max("m").alias("edited"))
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(op == kind, F.struct(n.alias("n"), F.col("value").alias("value"))))), lambda x: x["value"])
+    folded = steps.groupBy(*one).agg(
+        F.max((op == "remove_entity").cast("int")).alias("removed"), F.max("__moved").alias("moved"), F.max_by(F.when(layered, F.col("value")), F.when(layered, n)).alias("new_layer"),
+        F.max(op.isin("annotate_entity", "flag_for_review").cast("int")).alias("noted"), listed("annotate_entity").alias("annotations"), listed("flag_for_review").alias("flags"),
+        F.max("base_layer").alias("base_layer"), F.first("base_properties").alias("base_properties"), F.max((op == "change_layer").cast("int")).alias("relayered"),
     )
-    met = folded.join(edits, ["set_id", "entity"], "left").join(entities.select("entity", F.col("layer").alias("__old"), "properties"), "entity", "left")
+    met = folded.join(edits, one, "left")
     none = F.create_map().cast("map<string,string>")
     effect = (
-        F.when((F.col("removed") == 1) & (F.col("added") == 1), "unchanged").when(F.col("removed") == 1, "removed").when(F.col("added") == 1, "added")
-        .when(F.col("new_layer").isNotNull() & ~F.col("new_layer").eqNullSafe(F.col("__old")), "changed").when(F.col("noted") == 1, "metadata_only").otherwise("unchanged")
+        F.when(F.col("removed") == 1, "removed").when(F.col("version") > 0, "added").when(F.col("moved"), "changed")
+        .when((F.col("noted") == 1) | (F.col("edited") == 1), "metadata_only").otherwise("unchanged")
     )
-    old = F.coalesce("properties", none)
-    kept = F.map_filter(old, lambda k, v: ~F.coalesce(F.map_contains_key(F.coalesce("edits", none), k), F.lit(False)))
-    return met.select("set_id", "entity", F.coalesce("new_layer", "__old").alias("layer"), F.map_concat(kept, F.coalesce("edits", none)).alias("properties"), F.transform("notes", lambda x: x["value"]).alias("annotations"), effect.alias("effect"))
+    new = F.coalesce("edits", none)
+    kept = F.map_filter(F.coalesce("base_properties", none), lambda k, v: ~F.map_contains_key(new, k))
+    layer = F.coalesce("new_layer", "base_layer")
+    merged = synced_layer(F.map_concat(kept, new), F.when(F.col("relayered") == 1, F.col("new_layer")))
+    return met.select(*one, layer.alias("layer"), merged.alias("properties"), "annotations", "flags", effect.alias("effect"))

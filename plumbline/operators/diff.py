@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.changes import apply_sets
 
 def _side(rows: DataFrame, key: str, digest: str, order: str) -> DataFrame:
     """One row per non-null key; of repeated keys the last in order."""
@@ -56,34 +57,14 @@ def resolve_targets(operations: DataFrame, entities: DataFrame, op_id: str, targ
 
 
 def apply_changesets(entities: DataFrame, operations: DataFrame, set_id: str, key: str, layer: str) -> DataFrame:
-    """(set, entity, layer, effect) after the sets whose every operation has a target.
+    """(set, entity, version, layer, effect) of ``changes.apply_sets`` for operations without properties.
 
-    Operations (``operation_type`` remove_entity, change_layer, add_entity, flag_for_review, with ``value``,
-    ordered by ``sequence_index``) fold per entity: a removal wins over what follows, the last layer change
-    counts, and flags alone are metadata. A set with an operation whose target isn't there, unless the set
-    adds it, aborts whole and returns nothing.
+    Operations have ``operation_type``, ``value`` and ``sequence_index``; they are replayed in order, and a set with one that
+    fails where it stands aborts whole.
     """
-    op = F.col("operation_type")
-    known = entities.select(F.col(key).alias("__k")).distinct()
-    adds = operations.where(op == "add_entity").select(set_id, F.col(key).alias("__a")).distinct()
-    checked = operations.where(op != "add_entity").join(known, operations[key] == F.col("__k"), "left_anti")
-    failing = checked.alias("c").join(adds.alias("a"), (F.col(f"c.{set_id}") == F.col(f"a.{set_id}")) & (F.col(f"c.{key}") == F.col("a.__a")), "left_anti")
-    valid = operations.join(failing.select(set_id).distinct(), set_id, "left_anti")
-    folded = valid.groupBy(set_id, key).agg(
-        F.max((op == "remove_entity").cast("int")).alias("removed"),
-        F.max((op == "add_entity").cast("int")).alias("added"),
-        F.max_by(F.when(op.isin("change_layer", "add_entity"), F.col("value")), F.when(op.isin("change_layer", "add_entity"), F.col("sequence_index"))).alias("new_layer"),
-    )
-    met = folded.join(entities.select(F.col(key), F.col(layer).alias("__old")), key, "left")
-    effect = (
-        F.when((F.col("removed") == 1) & (F.col("added") == 1), "unchanged")
-        .when(F.col("removed") == 1, "removed")
-        .when(F.col("added") == 1, "added")
-        .when(F.col("new_layer").isNull(), "metadata_only")
-        .when(F.col("new_layer").eqNullSafe(F.col("__old")), "unchanged")
-        .otherwise("changed")
-    )
-    return met.select(set_id, key, F.coalesce("new_layer", "__old").alias(layer), effect.alias("effect"))
+    named = operations.select(F.col(set_id).alias("set_id"), F.col(key).alias("entity"), "operation_type", "value", "sequence_index", F.lit(None).cast("string").alias("property"))
+    found = apply_sets(entities.select(F.col(key).alias("entity"), F.col(layer).alias("layer")), named)
+    return found.select(F.col("set_id").alias(set_id), F.col("entity").alias(key), "version", F.col("layer").alias(layer), "effect")
 
 
 def stale_sets(sets: DataFrame, current: DataFrame) -> DataFrame:

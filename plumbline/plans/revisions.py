@@ -78,26 +78,32 @@ def coverage_delta(t: Tables) -> DataFrame:
 
 
 def _changesets(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """A set for each order; entities are parts; operations by line."""
-    entities = t.part.where("p_size > 2").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("layer"))
-    kind = F.element_at(F.array(*map(F.lit, ("change_layer", "remove_entity", "flag_for_review", "change_layer"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    """A set for each order, whose lines act on its four entities, of which three are there at first."""
+    k = F.col("o_orderkey")
+    entities = t.orders.select(F.explode(F.array(*[k * 4 + j for j in range(3)])).alias("entity"), F.col("o_orderpriority").alias("layer"))
+    kind = F.element_at(F.array(*map(F.lit, ("change_layer", "change_layer", "flag_for_review", "remove_entity", "add_entity"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    target = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_suppkey") % 4).otherwise(3 - F.col("l_suppkey") % 4)
     ops = t.lineitem.select(
-        F.col("l_orderkey").alias("set_id"), F.col("l_partkey").alias("entity"), kind.alias("operation_type"),
-        F.when(kind == "change_layer", F.col("l_shipdate").cast("date").cast("string")).alias("value"), F.datediff("l_shipdate", F.lit("1970-01-01")).alias("sequence_index"),
+        F.col("l_orderkey").alias("set_id"), (F.col("l_orderkey") * 4 + target).alias("entity"), kind.alias("operation_type"),
+        F.when(kind.isin("change_layer", "add_entity"), F.concat(F.lit("L"), (F.col("l_suppkey") % 3).cast("string"))).alias("value"), (F.col("l_linenumber") * 1000000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("sequence_index"),
     )
     return entities, ops
 
 
 @query("""
-WITH entities AS (SELECT p_partkey AS entity, p_brand AS layer FROM part WHERE p_size > 2),
-ops AS (SELECT l_orderkey AS set_id, l_partkey AS entity, l_suppkey % 4 AS k, CASE WHEN l_suppkey % 4 IN (0, 3) THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS value, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS seq FROM lineitem),
-failed AS (SELECT DISTINCT set_id FROM ops WHERE entity NOT IN (SELECT entity FROM entities)),
-folded AS (SELECT set_id, entity, max(k = 1) AS removed, arg_max(value, CASE WHEN k IN (0, 3) THEN seq END) AS new_layer FROM ops WHERE set_id NOT IN (SELECT set_id FROM failed) GROUP BY ALL)
-SELECT set_id, entity, coalesce(new_layer, layer) AS layer, CASE WHEN removed THEN 'removed' WHEN new_layer IS NULL THEN 'metadata_only' WHEN new_layer = layer THEN 'unchanged' ELSE 'changed' END AS effect
-FROM folded JOIN entities USING (entity)
+WITH entities AS (SELECT o_orderkey * 4 + j AS entity, o_orderpriority AS layer FROM orders, range(3) r(j)),
+ops AS (SELECT l_orderkey AS set_id, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS n, l_orderkey * 4 + CASE WHEN l_linenumber % 3 > 0 THEN l_suppkey % 4 ELSE 3 - l_suppkey % 4 END AS entity, l_partkey % 5 AS k, 'L' || (l_suppkey % 3) AS value FROM lineitem),
+there AS (SELECT ops.*, layer AS base, (layer IS NOT NULL)::INT + coalesce(sum((k = 4)::INT - (k = 3)::INT) OVER (PARTITION BY set_id, ops.entity ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS has,
+  coalesce(sum((k = 4)::INT) OVER (PARTITION BY set_id, ops.entity ORDER BY n), 0)::INT AS version FROM ops LEFT JOIN entities ON entities.entity = ops.entity),
+good AS (SELECT * FROM there WHERE set_id NOT IN (SELECT set_id FROM there WHERE (k = 4 AND has > 0) OR (k <> 4 AND has < 1))),
+layered AS (SELECT *, lag(value) OVER (PARTITION BY set_id, entity, version ORDER BY n) AS was FROM good WHERE k IN (0, 1, 4)),
+moved AS (SELECT set_id, entity, version, arg_max(value, n) AS layer, bool_or(k < 2 AND value <> coalesce(was, CASE WHEN version = 0 THEN base END)) AS moved FROM layered GROUP BY ALL)
+SELECT g.set_id, g.entity, g.version, coalesce(any_value(layer), CASE WHEN g.version = 0 THEN any_value(base) END) AS layer,
+  CASE WHEN bool_or(k = 3) THEN 'removed' WHEN g.version > 0 THEN 'added' WHEN bool_or(moved) THEN 'changed' WHEN bool_or(k = 2) THEN 'metadata_only' ELSE 'unchanged' END AS effect
+FROM good g LEFT JOIN moved USING (set_id, entity, version) GROUP BY g.set_id, g.entity, g.version
 """)
 def changeset_apply(t: Tables) -> DataFrame:
-    """Operations folded per entity, sets with a missing target aborted whole."""
+    """Operations replayed in order on entities that they add and remove; sets in which one fails abort whole."""
     entities, ops = _changesets(t)
     return diff.apply_changesets(entities, ops, "set_id", "entity", "layer")
 

@@ -61,7 +61,7 @@ def test_changeset_with_an_unknown_target_aborts_whole(spark):
     schema = "s int, entity string, operation_type string, value string, sequence_index int"
     ops = [(1, "e1", "change_layer", "B", 1), (1, "zz", "remove_entity", None, 2), (2, "e1", "change_layer", "B", 1), (2, "e1", "change_layer", "A", 2), (2, "n", "add_entity", "C", 3), (2, "n", "change_layer", "D", 4), (2, "e2", "flag_for_review", None, 5)]
     got = rows(diff.apply_changesets(entities, spark.createDataFrame(ops, schema), "s", "entity", "layer"))
-    assert got == [(2, "e1", "A", "unchanged"), (2, "e2", "A", "metadata_only"), (2, "n", "D", "added")]
+    assert got == [(2, "e1", 0, "A", "changed"), (2, "e2", 0, "A", "metadata_only"), (2, "n", 1, "D", "added")]
 
 
 def test_page_limits_and_cycles(spark):
