@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import grid_cell, inside_ring, point_segment_distance
+from plumbline.operators.grid import along
 from plumbline.operators.spatial import band_attribution, nearest_with_ties
 from plumbline.sources.tables import written
 
@@ -168,13 +169,7 @@ def tee_split(segments: DataFrame, segment_id: str, snap: float, tolerance: floa
     at = ends.select(*group, "n", (F.col("n.i") * F.lit(snap)).alias("nx"), (F.col("n.j") * F.lit(snap)).alias("ny"))
     at = at.withColumn("__cx", F.floor(F.col("nx") / cell).cast("long")).withColumn("__cy", F.floor(F.col("ny") / cell).cast("long"))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    # Cells along the segment, not of its whole box: a row of cells for each column that the segment crosses.
-    listed = sized.select(*group, segment_id, *ENDS).withColumn("__cx", _cells(F.least("x0", "x1") - tolerance, F.greatest("x0", "x1") + tolerance, cell))
-    left, right = F.col("__cx") * F.lit(cell) - tolerance, (F.col("__cx") + 1) * F.lit(cell) + tolerance
-    inside = lambda x: F.least(F.greatest(x, F.least("x0", "x1")), F.greatest("x0", "x1"))
-    height = lambda x: F.col("y0") + (x - F.col("x0")) / dx * dy
-    one, two = F.when(dx == 0, F.col("y0")).otherwise(height(inside(left))), F.when(dx == 0, F.col("y1")).otherwise(height(inside(right)))
-    listed = listed.withColumn("__cy", _cells(F.least(one, two) - tolerance, F.greatest(one, two) + tolerance, cell))
+    listed = along(sized.select(*group, segment_id, *ENDS), cell, tolerance)
     met = listed.join(at, [*group, "__cx", "__cy"])
     size = F.sqrt(dx * dx + dy * dy)
     t = ((F.col("nx") - F.col("x0")) * dx + (F.col("ny") - F.col("y0")) * dy) / (size * size)

@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import grid_cell
 from plumbline.operators.graph import min_label_components
+from plumbline.operators.grid import along
 from plumbline.sources.tables import written
 
 
 def split_at_crossings(segments: DataFrame, cell: float, segment_id: str = "segment_id", group: Sequence[str] = ()) -> DataFrame:
     """(group, segment_id, x0, y0, x1, y1): the parts of every segment between its meetings with others of its group.
 
-    Segments meet others in the grid cells that their boxes touch. Parallel segments cut each other only
+    Segments meet others in the grid cells along them. Parallel segments cut each other only
     through third ones.
     """
-    reach = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell).cast("long"), F.floor(F.greatest(a, b) / cell).cast("long"))
-    listed = segments.withColumn("cx", F.explode(reach(F.col("x0"), F.col("x1")))).withColumn("cy", F.explode(reach(F.col("y0"), F.col("y1"))))
+    listed = along(segments, cell, cx="cx", cy="cy")
     other = listed.select(*group, "cx", "cy", F.col(segment_id).alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("x0", "y0", "x1", "y1")])
     dx, dy, ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("o_x1") - F.col("o_x0"), F.col("o_y1") - F.col("o_y0")
     across = dx * ey - dy * ex

@@ -1,8 +1,9 @@
 """2-D joins by grid cells: nearest neighbour, point in box and polygon, Voronoi, length splitting.
 
 Radius joins put both sides on a grid of cells as wide as the radius; the smaller-cardinality side is
-listed under its nine neighbouring cells and the join is an equi-join on the cell. Containment joins list
-a polygon under every cell its box touches. No cross join, and no broadcast of a side that grows. ``group``
+listed under its nine neighbouring cells and the join is an equi-join on the cell. Lines are listed under the
+cells along them, boxes on the level of a pyramid of grids that fits their size (``grid``). No cross join of
+sides that grow, and no broadcast of one. ``group``
 columns (a revision, a sheet) keep drawings apart: rows meet only within their group, and results carry it.
 Rows with a null group or without coordinates meet nothing; left sides keep them with nulls.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import box_distance_squared, distance, inside_ring, point_segment_distance
+from plumbline.operators.grid import along, boxes_at, levels_of, points_at, ring_lines
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -62,12 +64,10 @@ def nearest_with_ties(
 def nearest_run(tags: DataFrame, segments: DataFrame, radius: float, tag_id: str, run: str, eps: float = 1e-9, group: Sequence[str] = ()) -> DataFrame:
     """Tag to run by the smallest point-to-segment distance; the lowest run wins a tie, which is flagged ambiguous.
 
-    Segments (x0, y0, x1, y1) are listed under the cells that their radius-widened boxes touch.
+    Segments (x0, y0, x1, y1) are listed under the cells along them that the radius reaches.
     """
     one = [*group, tag_id]
-    reach = lambda a, b, d: _cell((F.least(a, b) if d < 0 else F.greatest(a, b)) + d * radius, radius)
-    s = segments.withColumn("__cx", F.explode(F.sequence(reach(F.col("x0"), F.col("x1"), -1), reach(F.col("x0"), F.col("x1"), 1))))
-    s = s.withColumn("__cy", F.explode(F.sequence(reach(F.col("y0"), F.col("y1"), -1), reach(F.col("y0"), F.col("y1"), 1))))
+    s = along(segments, radius, radius)
     t = tags.withColumn("__cx", _cell(F.col("x"), radius)).withColumn("__cy", _cell(F.col("y"), radius))
     d = point_segment_distance(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])
     per_run = t.join(s, [*group, "__cx", "__cy"]).withColumn("distance", d).where(F.col("distance") <= radius).groupBy(*one, run).agg(F.min("distance").alias("distance"))
@@ -79,11 +79,9 @@ def nearest_run(tags: DataFrame, segments: DataFrame, radius: float, tag_id: str
 
 def in_boxes(points: DataFrame, boxes: DataFrame, cell: float, group: Sequence[str] = ()) -> DataFrame:
     """Point and box pairs, edges included; boxes have a ``box`` struct of min_x, min_y, max_x, max_y."""
-    b = boxes.withColumn("__cx", F.explode(F.sequence(_cell(F.col("box.min_x"), cell), _cell(F.col("box.max_x"), cell))))
-    b = b.withColumn("__cy", F.explode(F.sequence(_cell(F.col("box.min_y"), cell), _cell(F.col("box.max_y"), cell))))
-    p = points.withColumn("__cx", _cell(F.col("x"), cell)).withColumn("__cy", _cell(F.col("y"), cell))
+    b, p = boxes_at(boxes, cell), points_at(points, levels_of(boxes, cell), cell)
     inside = F.col("x").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("y").between(F.col("box.min_y"), F.col("box.max_y"))
-    return p.join(b, [*group, "__cx", "__cy"]).where(inside).drop("__cx", "__cy")
+    return p.join(b, [*group, "__level", "__cx", "__cy"]).where(inside).drop("__level", "__cx", "__cy")
 
 
 def ring_box(ring: Column) -> Column:
@@ -153,47 +151,35 @@ def box_ring(box: Column) -> Column:
     return F.array(corner("min_x", "min_y"), corner("max_x", "min_y"), corner("max_x", "max_y"), corner("min_x", "max_y"))
 
 
-def _crossed(ring: Column) -> Column:
-    """The places between 0 and 1 at which the row's segment crosses the ring's edges; along an edge, the edge's ends."""
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    edges = F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def at(e: Column) -> Column:
-        ex, ey, fx, fy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"], e["a"]["x"] - F.col("x0"), e["a"]["y"] - F.col("y0")
-        across = F.nullif(dx * ey - dy * ex, F.lit(0.0))
-        t, u = (fx * ey - fy * ex) / across, (fx * dy - fy * dx) / across
-        return F.when((u >= 0) & (u <= 1), t)
+def ring_parts(segments: DataFrame, rooms: DataFrame, segment_id: str, room: str, cell: float, group: Sequence[str] = ()) -> DataFrame:
+    """(group, segment, t, x, y, length, room): the parts of segments between the edges of rings, with their middle and the smallest room
+    (area, then id) whose ring holds it, else null.
 
-    return F.filter(F.transform(edges, at), lambda t: (t > 0) & (t < 1))
+    Segments and the rings' edges meet as lines, in the cells along them. Parts cover the segment exactly. Cuts and parts are rows: no array
+    grows with the number of rooms, and no ring is copied for each of its cells. A segment without length is one part, without coordinates it is none that any room holds.
+    """
+    one = [*group, segment_id]
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    ends = segments.select(*one, "x0", "y0", "x1", "y1")
+    edges = along(ring_lines(rooms, list(group)), cell, ends=("ax", "ay", "bx", "by"))
+    ex, ey, fx, fy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("ax") - F.col("x0"), F.col("ay") - F.col("y0")
+    across = F.nullif(dx * ey - dy * ex, F.lit(0.0))
+    met = along(ends, cell).join(edges, [*group, "__cx", "__cy"]).select(*one, ((fx * ey - fy * ex) / across).alias("t"), ((fx * dy - fy * dx) / across).alias("u"))
+    cuts = met.where("t > 0 and t < 1 and u >= 0 and u <= 1").select(*one, "t").union(ends.select(*one, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))).distinct()
+    w = Window.partitionBy(*one).orderBy("t")
+    parts = cuts.withColumn("__b", F.lead("t").over(w)).where("__b is not null").join(ends, one)
+    middle = lambda v: (F.col(f"{v}0") + (F.col("t") + F.col("__b")) / 2 * (F.col(f"{v}1") - F.col(f"{v}0"))).alias(v)
+    parts = parts.select(*one, "t", middle("x"), middle("y"), ((F.col("__b") - F.col("t")) * F.sqrt(dx * dx + dy * dy)).alias("length"), F.struct(segment_id, "t").alias("__part"))
+    held = smallest_room(parts, rooms.select(*group, F.col(room).alias("room_id"), "area", "ring"), cell, "__part", group=group)
+    return held.select(*one, "t", "x", "y", "length", F.col("room_id").alias(room))
 
 
 def split_by_rings(segments: DataFrame, rooms: DataFrame, segment_id: str, room: str, cell: float, group: Sequence[str] = ()) -> DataFrame:
     """(group, segment, room, length): each part of a segment goes to the smallest room (area, then id) whose ring holds it, the rest to null.
 
     Rooms have a ring and an area. A segment is cut wherever it crosses the edge of a ring; the middle of each part decides.
-    Parts cover the segment exactly. Cuts and parts are rows: no array grows with the number of rooms.
     """
-    one = [*group, segment_id]
-    reach = lambda a, b: F.sequence(_cell(F.least(a, b), cell), _cell(F.greatest(a, b), cell))
-    ends = segments.select(*one, "x0", "y0", "x1", "y1")
-    s = ends.withColumn("__cx", F.explode(reach(F.col("x0"), F.col("x1")))).withColumn("__cy", F.explode(reach(F.col("y0"), F.col("y1"))))
-    s = s.withColumn("__sx", _cell(F.least("x0", "x1"), cell)).withColumn("__sy", _cell(F.least("y0", "y1"), cell))
-    boxed = rooms.select(*group, F.col(room).alias("__room"), "ring", ring_box(F.col("ring")).alias("box"))
-    b = boxed.withColumn("__cx", F.explode(reach(F.col("box.min_x"), F.col("box.max_x")))).withColumn("__cy", F.explode(reach(F.col("box.min_y"), F.col("box.max_y"))))
-    span = lambda v: (F.least(f"{v}0", f"{v}1") <= F.col(f"box.max_{v}")) & (F.greatest(f"{v}0", f"{v}1") >= F.col(f"box.min_{v}"))
-    # A pair meets in every cell that both touch; it counts in the first of them.
-    first = (F.col("__cx") == F.greatest("__sx", _cell(F.col("box.min_x"), cell))) & (F.col("__cy") == F.greatest("__sy", _cell(F.col("box.min_y"), cell)))
-    met = s.join(b, [*group, "__cx", "__cy"]).where(first & span("x") & span("y"))
-    cuts = met.select(*one, F.explode(_crossed(F.col("ring"))).alias("t")).union(ends.select(*one, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))).distinct()
-    w = Window.partitionBy(*one).orderBy("t")
-    parts = cuts.withColumn("__b", F.lead("t").over(w)).where("__b is not null").join(ends, one)
-    middle = lambda v: (F.col(f"{v}0") + (F.col("t") + F.col("__b")) / 2 * (F.col(f"{v}1") - F.col(f"{v}0"))).alias(v)
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    parts = parts.select(*one, "t", middle("x"), middle("y"), ((F.col("__b") - F.col("t")) * F.sqrt(dx * dx + dy * dy)).alias("length"))
-    owner = in_boxes(parts, rooms.select(*group, room, "area", "ring", ring_box(F.col("ring")).alias("box")), cell, group)
-    owner = owner.where(inside_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy(*one, "t").agg(F.min_by(F.col(room), F.struct("area", room)).alias(room))
-    return parts.join(owner, [*one, "t"], "left").groupBy(*one, room).agg(F.sum("length").alias("length"))
+    return ring_parts(segments, rooms, segment_id, room, cell, group).groupBy(*group, segment_id, room).agg(F.sum("length").alias("length"))
 
 
 def split_by_boxes(segments: DataFrame, boxes: DataFrame, segment_id: str, room: str, cell: float, group: Sequence[str] = ()) -> DataFrame:
