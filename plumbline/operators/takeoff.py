@@ -35,19 +35,6 @@ def service_buckets(rows: DataFrame, key: Sequence[str], run: str, length: str,
     )
 
 
-def bundle_lengths(runs: DataFrame, evidence: DataFrame, run: str, service: str, length: str) -> DataFrame:
-    """(run, service, length, basis): a run whose services share at least two with the evidence gives its full
-    length to each of them; another run with several services splits evenly and says that evidence is absent."""
-    shared = runs.join(evidence.select(service).distinct().withColumn("__e", F.lit(1)), service, "left")
-    per = shared.groupBy(run).agg(F.count("*").alias("__n"), F.sum("__e").alias("__s"))
-    met = shared.join(per, run)
-    confirmed = F.coalesce("__s", F.lit(0)) >= 2
-    alone = F.col("__n") == 1
-    value = F.when(confirmed, F.when(F.col("__e") == 1, F.col(length)).otherwise(F.lit(0.0))).when(alone, F.col(length)).otherwise(F.col(length) / F.col("__n"))
-    basis = F.when(confirmed, "bundle").when(alone, "single").otherwise("bundle_evidence_absent")
-    return met.select(run, service, value.alias("length"), basis.alias("basis"))
-
-
 def tallies(rows: DataFrame, key: str, length: str) -> DataFrame:
     """Length by key, null as ``shared``, with each key's part of the total."""
     sums = rows.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("shared")).alias(key)).agg(F.sum(F.col(length).cast("decimal(28,6)")).alias("length"))

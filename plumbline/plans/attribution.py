@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.operators import legend, takeoff, windows
+from plumbline.operators import legend, service, takeoff, windows
 from plumbline.plans.base import LABELS, POINTS, SEGMENTS, V_LABELS, V_POINTS, V_SEGMENTS, Tables, query, select_list
 
 
@@ -147,16 +147,19 @@ def service_buckets(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT l_orderkey AS run, l_suppkey AS service, max(l_quantity) AS length FROM lineitem GROUP BY ALL), e AS (SELECT s_suppkey AS service FROM supplier WHERE s_acctbal > 2000),
-m AS (SELECT r.*, e.service IS NOT NULL AS ev, count(*) OVER (PARTITION BY run) AS n, sum((e.service IS NOT NULL)::INT) OVER (PARTITION BY run) AS s FROM r LEFT JOIN e ON r.service = e.service)
-SELECT run, service, round(CASE WHEN s >= 2 THEN CASE WHEN ev THEN length ELSE 0 END WHEN n = 1 THEN length ELSE length / n END, 6) AS length,
-  CASE WHEN s >= 2 THEN 'bundle' WHEN n = 1 THEN 'single' ELSE 'bundle_evidence_absent' END AS basis FROM m
+WITH r AS (SELECT l_orderkey AS run, l_suppkey % 9 AS service, max(l_quantity) AS length FROM lineitem GROUP BY ALL),
+e AS (SELECT DISTINCT s_suppkey AS stack, unnest([s_suppkey % 9, (s_suppkey // 9) % 9]) AS service FROM supplier WHERE s_acctbal > 7000),
+shared AS (SELECT DISTINCT run FROM (SELECT run, stack FROM r JOIN e USING (service) GROUP BY ALL HAVING count(*) >= 2)),
+p AS (SELECT run, count(*) AS n, max(length) AS length FROM r GROUP BY 1)
+SELECT DISTINCT run, CASE WHEN s.run IS NOT NULL OR n = 1 THEN service END AS service, p.length, CASE WHEN s.run IS NOT NULL THEN 'bundle' WHEN n = 1 THEN 'single' ELSE 'bundle_evidence_absent' END AS basis
+FROM r JOIN p USING (run) LEFT JOIN shared s USING (run)
 """)
 def bundle_lengths(t: Tables) -> DataFrame:
-    """Full length to each service of a confirmed bundle."""
-    runs = t.lineitem.groupBy(F.col("l_orderkey").alias("run"), F.col("l_suppkey").alias("service")).agg(F.max("l_quantity").alias("length"))
-    evidence = t.supplier.where("s_acctbal > 2000").select(F.col("s_suppkey").alias("service"))
-    return takeoff.bundle_lengths(runs, evidence, "run", "service", "length").withColumn("length", F.round("length", 6))
+    """Full length to every service of a run that shares two with one stack; two services of different stacks confirm nothing."""
+    runs = t.lineitem.groupBy(F.col("l_orderkey").alias("run"), (F.col("l_suppkey") % 9).alias("service")).agg(F.max("l_quantity").alias("length"))
+    pair = F.array(F.col("s_suppkey") % 9, F.floor(F.col("s_suppkey") / 9) % 9)
+    evidence = t.supplier.where("s_acctbal > 7000").select(F.col("s_suppkey").alias("stack"), F.explode(pair).alias("service"))
+    return service.bundle_shares(runs, evidence, "run", "length")
 
 
 @query("""

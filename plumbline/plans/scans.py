@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import legend, runs, spatial, takeoff
+from plumbline.operators import legend, runs, service, spatial, takeoff
 from plumbline.plans.base import LABELS, POINTS, SEGMENTS, V_LABELS, V_SEGMENTS, Tables, query, select_list
 from plumbline.plans.geometry import V_BOXES, _boxes
 from plumbline.plans.jobs import _pick, _point, _text
@@ -144,21 +144,57 @@ def tag_stack_scans(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT o_custkey AS floor, o_orderkey AS n, o_orderkey % 4 AS m, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS room FROM orders),
-x AS (SELECT floor, n, room, 'SA' AS service, '300x200' AS size, 'bundle' AS basis, 8.0 AS length FROM s WHERE m = 0 UNION ALL SELECT floor, n, room, 'RA', '100', 'bundle', 8.0 FROM s WHERE m = 0
-  UNION ALL SELECT floor, n, room, 'SA', '100', 'single', 8.0 FROM s WHERE m = 1 UNION ALL SELECT floor, n, room, 'CW', '50', 'bundle_evidence_absent', 4.0 FROM s WHERE m = 2 UNION ALL SELECT floor, n, room, 'HW', '50', 'bundle_evidence_absent', 4.0 FROM s WHERE m = 2
-  UNION ALL SELECT floor, n, room, NULL, NULL, 'unknown', 8.0 FROM s WHERE m = 3)
-SELECT floor, service, size, room AS room_id, basis, sum(length) AS length, count(DISTINCT n) AS n_runs FROM x GROUP BY ALL
+WITH boxes AS (SELECT p_partkey // 400 AS sheet, p_partkey AS room_id, CAST((p_partkey * 61) % 950 AS DOUBLE) AS rx, CAST((p_partkey * 83) % 950 AS DOUBLE) AS ry, CAST(20 + p_size AS DOUBLE) AS w, CAST(10 + p_partkey % 37 AS DOUBLE) AS h FROM part),
+s AS (SELECT o_orderkey // 3000 AS sheet, o_custkey % 40 AS run, o_orderkey AS segment_id, CAST((o_orderkey * 37) % 900 AS DOUBLE) AS x0, CAST((o_orderkey * 91) % 900 AS DOUBLE) + 0.5 AS y, CAST((o_orderkey * 37) % 900 + 64 AS DOUBLE) AS x1 FROM orders),
+r AS (SELECT sheet, run, NULL::DOUBLE AS x, NULL::DOUBLE AS y, NULL::DOUBLE AS length FROM s GROUP BY ALL UNION ALL SELECT sheet, 40 + j, j * 150.0, j * 130.0, 10.0 FROM (SELECT DISTINCT sheet FROM s), range(5) v(j)),
+tags AS (SELECT o_orderkey // 3000 AS sheet, o_custkey % 45 AS run, 'S' || (o_orderkey // 25 % 5) AS service, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey // 25 % 3 * 50 AS VARCHAR) END AS size FROM orders WHERE o_orderkey % 25 = 0),
+top AS (SELECT DISTINCT ON (sheet, run, service) sheet, run, service, size FROM (SELECT sheet, run, service, size, count(*) AS n FROM tags GROUP BY ALL) ORDER BY sheet, run, service, n DESC, coalesce(size, '')),
+e AS (SELECT DISTINCT s_suppkey % 5 AS sheet, s_suppkey AS stack, unnest(['S' || (s_suppkey % 5), 'S' || (s_suppkey // 5 % 5)]) AS service FROM supplier WHERE s_suppkey % 3 = 0),
+bundles AS (SELECT DISTINCT sheet, run FROM (SELECT t.sheet, run, stack FROM top t JOIN e ON t.sheet = e.sheet AND t.service = e.service GROUP BY ALL HAVING count(*) >= 2)),
+runs AS (SELECT r.*, coalesce(n, 0) AS n, b.run IS NOT NULL AS bundle FROM r LEFT JOIN (SELECT sheet, run, count(*) AS n FROM top GROUP BY ALL) t ON r.sheet = t.sheet AND r.run = t.run LEFT JOIN bundles b ON r.sheet = b.sheet AND r.run = b.run),
+l AS (SELECT c_custkey % 5 AS sheet, CAST((c_custkey * 37) % 1000 AS DOUBLE) AS lx, CAST((c_custkey * 91) % 1000 AS DOUBLE) AS ly, 'S' || (c_custkey % 5) AS service, CAST(c_custkey % 3 * 50 AS VARCHAR) AS size FROM customer),
+a AS (SELECT s_suppkey % 5 AS sheet, CAST((s_suppkey * 53) % 1000 AS DOUBLE) AS ax, CAST((s_suppkey * 71) % 1000 AS DOUBLE) AS ay, 1000000 + s_suppkey AS room FROM supplier),
+met AS (SELECT s.*, room_id, rx, w, h FROM s JOIN bundles USING (sheet, run) JOIN boxes ON s.sheet = boxes.sheet AND y BETWEEN ry AND ry + h),
+whole AS (SELECT s.* FROM s JOIN bundles USING (sheet, run)),
+cuts AS (SELECT segment_id, x0 AS c FROM whole UNION SELECT segment_id, x1 FROM whole UNION SELECT segment_id, rx FROM met WHERE rx > x0 AND rx < x1 UNION SELECT segment_id, rx + w FROM met WHERE rx + w > x0 AND rx + w < x1),
+pieces AS (SELECT segment_id, c AS f, lead(c) OVER (PARTITION BY segment_id ORDER BY c) AS g FROM cuts),
+points AS (SELECT s.sheet, s.run, 'p' || p.segment_id || ':' || f AS id, (f + g) / 2 AS x, y, g - f AS length, true AS bundle, false AS absent, NULL AS service, NULL AS size FROM pieces p JOIN s USING (segment_id) WHERE g IS NOT NULL
+  UNION ALL SELECT s.sheet, s.run, 's' || segment_id, (x0 + x1) / 2, s.y, 64, false, n > 1, arg_min(l.service, (d, l.service, l.size)), arg_min(l.size, (d, l.service, l.size)) FROM (SELECT s.*, n FROM s JOIN runs r ON s.sheet = r.sheet AND s.run = r.run WHERE NOT bundle) s LEFT JOIN LATERAL
+    (SELECT service, size, sqrt(((x0 + x1) / 2 - lx) * ((x0 + x1) / 2 - lx) + (s.y - ly) * (s.y - ly)) AS d FROM l WHERE l.sheet = s.sheet AND lx BETWEEN (x0 + x1) / 2 - 25 AND (x0 + x1) / 2 + 25 AND ly BETWEEN s.y - 25 AND s.y + 25) l ON d <= 25 GROUP BY s.sheet, s.run, segment_id, x0, x1, s.y, n
+  UNION ALL SELECT sheet, run, 'r' || run || ':' || sheet, x, y, length, bundle, n > 1 AND NOT bundle, CASE WHEN n = 1 THEN (SELECT any_value(service) FROM top WHERE top.sheet = runs.sheet AND top.run = runs.run) END, CASE WHEN n = 1 THEN (SELECT any_value(size) FROM top WHERE top.sheet = runs.sheet AND top.run = runs.run) END FROM runs WHERE length IS NOT NULL),
+held AS (SELECT p.id, arg_min(room_id, (w * h, room_id)) AS room FROM points p JOIN boxes b ON p.sheet = b.sheet AND x BETWEEN rx AND rx + w AND y BETWEEN ry AND ry + h GROUP BY 1),
+lab AS (SELECT id, arg_min(room, (sqrt((x - ax) * (x - ax) + (y - ay) * (y - ay)), room)) AS room FROM points p JOIN a ON p.sheet = a.sheet AND sqrt((x - ax) * (x - ax) + (y - ay) * (y - ay)) <= 30 GROUP BY 1),
+roomed AS (SELECT p.*, coalesce(h.room, lab.room) AS room_id FROM points p LEFT JOIN held h USING (id) LEFT JOIN lab USING (id)),
+parts AS (SELECT sheet, run, room_id, length, bundle, absent, service, size, CASE WHEN service IS NOT NULL THEN 'round' END AS kind FROM roomed WHERE NOT bundle UNION ALL SELECT p.sheet, p.run, room_id, length, bundle, absent, t.service, t.size, 'round' FROM roomed p JOIN top t ON p.sheet = t.sheet AND p.run = t.run WHERE bundle),
+marks AS (SELECT p_partkey AS id, p_partkey % 5 AS sheet, CAST((p_partkey * 17) % 1000 AS DOUBLE) AS x, CAST((p_partkey * 29) % 1000 AS DOUBLE) AS y, p_partkey % 2 AS up FROM part),
+placed AS (SELECT m.id, any_value(m.sheet) AS sheet, any_value(up) AS up, arg_min(room_id, (w * h, room_id)) AS room_id FROM marks m LEFT JOIN boxes b ON m.sheet = b.sheet AND x BETWEEN rx AND rx + w AND y BETWEEN ry AND ry + h GROUP BY 1),
+lines AS (SELECT sheet, service, size, kind, room_id, length, run, run % 3 AS rank, run % 4 = 0 AS conflict, bundle, absent, CASE WHEN run % 5 > 0 THEN 'D' || (run % 5) END AS discipline, 0 AS risers, 0 AS drops FROM parts
+  UNION ALL SELECT sheet, NULL, NULL, NULL, room_id, 0, NULL, NULL, false, false, false, 'M', up, 1 - up FROM placed)
+SELECT sheet, service, size, kind, room_id, round(sum(length), 6) AS length, count(DISTINCT run) AS n_runs, coalesce(['unknown', 'partial', 'resolved'][min(rank) + 1], 'unknown') AS status, bool_or(conflict) AS conflict, bool_or(bundle) AS bundle, bool_or(absent) AS evidence_absent,
+  min(discipline) AS discipline, sum(risers)::BIGINT AS risers, sum(drops)::BIGINT AS drops FROM lines GROUP BY ALL
 """)
 def service_takeoff(t: Tables) -> DataFrame:
-    """The service takeoff of every floor at once: tags to runs, bundles by evidence, sizes, rooms."""
-    s = _street(t)
-    k, x = F.col("n"), F.col("x")
-    lines = s.select("floor", (k * 2).alias("segment_id"), k.alias("run"), (x + 1).alias("x0"), F.lit(1.0).alias("y0"), (x + 9).alias("x1"), F.lit(1.0).alias("y1"))
-    said = lambda m, *texts: F.when(k % 4 == m, F.array(*map(F.lit, texts)))
-    texts = F.coalesce(said(0, "300x200 SA", "100 mm RA", "100 mm CW"), said(1, "100 mm SA", "100 mm SA", "50 mm SA", "note"), said(2, "50 mm CW", "50 mm HW"), F.array(F.lit("EA")))
-    tags = s.select("floor", "n", "x", F.posexplode(texts).alias("i", "text")).select("floor", (k * 10 + F.col("i")).alias("tag_id"), "text", (x + 2 + F.col("i")).alias("x"), F.lit(1.5).alias("y"))
-    evidence = t.customer.select(F.col("c_custkey").alias("floor"), F.explode(F.array(F.lit("SA"), F.lit("RA"))).alias("service"))
-    rooms = s.where("n % 2 = 0").select("floor", k.alias("room_id"), _rect(x, F.lit(0.0), F.lit(10.0), F.lit(10.0)).alias("ring"), F.lit(100.0).alias("area"))
-    found = runs.service_takeoff(lines, tags, evidence, rooms, 2.0, 40.0, ["floor"])
+    """The service takeoff of sheets of 400 rooms on which runs, tags, labels, rooms and stacks meet at random: bundles, segments, symbols."""
+    k = F.col("o_orderkey")
+    x0, y = ((k * 37) % 900).cast("double"), ((k * 91) % 900).cast("double") + 0.5
+    sheet = F.floor(k / 3000)
+    text = lambda c: c.cast("long").cast("string")
+    named = lambda n: F.concat(F.lit("S"), text(n % 5))
+    lines = t.orders.select(sheet.alias("sheet"), k.alias("segment_id"), (F.col("o_custkey") % 40).alias("run"), x0.alias("x0"), y.alias("y0"), (x0 + 64).alias("x1"), y.alias("y1"))
+    bare = lines.select("sheet").distinct().select("sheet", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("j"))
+    nothing = F.lit(None).cast("double")
+    every = lines.select("sheet", "run").distinct().select("sheet", "run", nothing.alias("x"), nothing.alias("y"), nothing.alias("length"))
+    every = every.union(bare.select("sheet", F.col("j") + 40, F.col("j") * 150.0, F.col("j") * 130.0, F.lit(10.0)))
+    run = F.col("run")
+    every = every.select("*", _pick(run % 3, "unknown", "partial", "resolved").alias("status"), (run % 4 == 0).alias("conflict"), F.when(run % 5 > 0, F.concat(F.lit("D"), text(run % 5))).alias("discipline"))
+    n = F.floor(k / 25)
+    tags = t.orders.where(k % 25 == 0).select(sheet.alias("sheet"), (F.col("o_custkey") % 45).alias("run"), named(n).alias("service"), F.when(k % 4 > 0, text(n % 3 * 50)).alias("size"), F.lit("round").alias("kind"))
+    labels = select_list(t.customer, POINTS).select((F.col("point_id") % 5).alias("sheet"), "x", "y", named(F.col("point_id")).alias("service"), text(F.col("point_id") % 3 * 50).alias("size"), F.lit("round").alias("kind"))
+    stack = F.col("s_suppkey")
+    evidence = t.supplier.where(stack % 3 == 0).select((stack % 5).alias("sheet"), stack.alias("stack"), F.explode(F.array(named(stack), named(F.floor(stack / 5)))).alias("service"))
+    anchors = select_list(t.supplier, LABELS).select((F.col("label_id") % 5).alias("sheet"), "x", "y", (F.col("label_id") + 1000000).alias("room"))
+    p = F.col("p_partkey")
+    rooms_ = t.part.select(F.floor(p / 400).alias("sheet"), p.alias("room_id")).join(_boxes(t), "room_id").select("sheet", "room_id", spatial.box_ring(F.col("box")).alias("ring"), "area")
+    symbols = t.part.select((p % 5).alias("sheet"), p.alias("symbol_id"), F.when(p % 2 == 1, "rise").otherwise("drop").alias("kind"), ((p * 17) % 1000).cast("double").alias("x"), ((p * 29) % 1000).cast("double").alias("y"), F.lit("M").alias("discipline"))
+    found = service.service_takeoff(every, lines, tags, labels, evidence, rooms_, anchors, symbols, 64.0, 25.0, 30.0, ["sheet"])
     return found.withColumn("length", F.round(F.col("length").cast("double"), 6))
