@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import block_names, chat_format, html_paths, importance, language_mix, packing, phrases, quality_bits, simhash, sp_bpe, url_rules, warc
+from plumbline.llm import block_names, chat_format, html_paths, importance, language_mix, packing, phrases, quality_bits, simhash, sp_bpe, toxicity, url_rules, warc
 from plumbline.llm.common import table
 
 #: Id that ends a packed document.
@@ -94,6 +94,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.where(~_held_out()), table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
@@ -107,8 +114,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_warc_derivatives, op2_tag_path_text, op3_language_mixture, op4_rule_ledger, op5_chat_rendering,
-        op6_sentencepiece, op7_simhash_groups, op8_cost_packing, op9_url_rules, op10_exact_groups, op11_importance_resampling, op13_phrase_collocations,
-        rule_ablation, pipeline,
+        op6_sentencepiece, op7_simhash_groups, op8_cost_packing, op9_url_rules, op10_exact_groups, op11_importance_resampling, op12_toxicity,
+        op13_phrase_collocations, rule_ablation, pipeline,
     ]
     return {f.__name__: f for f in found}
 
