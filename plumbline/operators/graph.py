@@ -139,47 +139,66 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000)
     raise RuntimeError(f"paths still improve after {max_rounds} rounds")
 
 
-def _greedy_tail(rows: list, taken_ends: set) -> list:
-    """The pairs that a greedy pass over rows in order takes; a pair with a null end keeps its other end from later pairs."""
-    won, last = [], None
-    for row in rows:
-        ends = {row[0], row[1]}
-        if tuple(row) == last:
-            won.append(row)
-        elif not ends & taken_ends:
-            taken_ends |= ends - {None}
-            if None not in ends:
-                won.append(row)
-                last = tuple(row)
-    return won
-
-
-def greedy_pairs(candidates: DataFrame, cost: str, left: str = "i", right: str = "j", small: int = 10_000) -> DataFrame:
+def _pairs_of_components(rest: DataFrame, left: str, right: str, small: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs won, candidates left): candidates that reach each other are passed over in order in one task, where they are at most ``small``.
+
+    A pair with a null end keeps its other end from later pairs, as in the rounds.
+    """
+    parts = min_label_components(rest.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("u"), F.col(right).alias("v")))
+    end = F.coalesce(left, right)
+    tagged = rest.join(parts, end.eqNullSafe(F.col("node")), "left").withColumn("__part", F.coalesce("component", end))
+    sizes = tagged.groupBy("__part").agg(F.count("*").alias("__n")).where(F.col("__n") <= small)
+    few = tagged.join(sizes, tagged["__part"].eqNullSafe(sizes["__part"]), "left_semi")
+    schema = rest.select(left, right, "cost").schema
+
+    def settle(table):
+        import pyarrow as pa
+
+        def key(v):
+            return tuple(v.values()) if isinstance(v, dict) else v
+
+        def low(v):  # null comes first, as in Spark's order
+            return tuple((x is not None, x) if x is not None else (False, 0) for x in (key(v) if isinstance(key(v), tuple) else (v,)))
+
+        rows = sorted(table.to_pylist(), key=lambda r: (low(r["cost"]), low(r[left]), low(r[right])))
+        taken, won, last = set(), [], None
+        for r in rows:
+            i, j = key(r[left]), key(r[right])
+            if (i, j, r["cost"]) == last:
+                won.append(r)
+            elif i not in taken and j not in taken:
+                taken |= {i, j} - {None}
+                if i is not None and j is not None:
+                    won.append(r)
+                    last = (i, j, r["cost"])
+        return pa.Table.from_pylist(won, schema=table.schema)
+
+    won = few.select(left, right, "cost", "__part").groupBy("__part").applyInArrow(settle, few.select(left, right, "cost", "__part").schema).select(*schema.names)
+    return won, tagged.join(sizes, tagged["__part"].eqNullSafe(sizes["__part"]), "left_anti").select(*rest.columns)
+
+
+def greedy_pairs(candidates: DataFrame, cost: str, left: str = "i", right: str = "j", small: int = 10_000, rounds: int = 4) -> DataFrame:
     """Pairs taken greedily by (cost, i, j), each end used once: in rounds, pairs that are the best of both ends are taken.
 
-    Rounds go on until none is taken; the last ``small`` candidates are passed over in order by the driver.
+    After some rounds what is left is cut into the candidates that reach each other: those of at most ``small`` are settled in
+    order, each such part in a task of its own, and the rounds go on with the larger ones until none is left.
     """
-    spark = candidates.sparkSession
     ends = lambda df: df.select(F.col(left).alias("e"), "rank").union(df.select(F.col(right).alias("e"), "rank"))
-    rest, path = written(candidates.select(left, right, F.col(cost).alias("cost"), F.struct(cost, left, right).alias("rank")), "pairs")
-    taken, rounds = rest.select(left, right, "cost").limit(0), 0
-    while rest.count() > small:
-        best = ends(rest).groupBy("e").agg(F.min("rank").alias("best"))
-        a, b = best.select(F.col("e").alias(left), F.col("best").alias("best_i")), best.select(F.col("e").alias(right), F.col("best").alias("best_j"))
-        met = rest.join(a, left).join(b, right)
-        won, _ = written(met.where("rank = best_i and rank = best_j").select(left, right, "cost"), "won")
-        if won.isEmpty():
-            return taken
-        taken = won if rounds == 0 else taken.union(won)
-        rounds += 1
-        if rounds % PLAN_STEPS == 0:
-            taken, _ = written(taken, "taken")
-        used = won.select(F.col(left).alias("e")).union(won.select(F.col(right).alias("e")))
-        rest, new = written(rest.join(used.withColumnRenamed("e", left), left, "left_anti").join(used.withColumnRenamed("e", right), right, "left_anti").select(rest.columns), "pairs")
-        delete(spark, path)
-        path = new
-    tail = _greedy_tail(rest.orderBy("rank").select(left, right, "cost").collect(), set())
-    if not tail:
-        return taken
-    last = spark.createDataFrame(tail, rest.select(left, right, "cost").schema)
-    return last if rounds == 0 else taken.union(last)
+    with Scratch(candidates.sparkSession) as s:
+        rest, taken, done = s.table(candidates.select(left, right, F.col(cost).alias("cost"), F.struct(cost, left, right).alias("rank")), "pairs"), None, 0
+        while not rest.isEmpty():
+            if done and done % rounds == 0 and small:
+                won, rest = _pairs_of_components(rest, left, right, small)
+                won, rest = s.table(won, "won"), s.table(rest, "pairs")
+            else:
+                best = ends(rest).groupBy("e").agg(F.min("rank").alias("best"))
+                a, b = best.select(F.col("e").alias(left), F.col("best").alias("best_i")), best.select(F.col("e").alias(right), F.col("best").alias("best_j"))
+                won = s.table(rest.join(a, left).join(b, right).where("rank = best_i and rank = best_j").select(left, right, "cost"), "won")
+                if won.isEmpty():
+                    break
+                used = won.select(F.col(left).alias("e")).union(won.select(F.col(right).alias("e")))
+                rest = s.table(rest.join(used.withColumnRenamed("e", left), left, "left_anti").join(used.withColumnRenamed("e", right), right, "left_anti").select(rest.columns), "pairs")
+            taken, done = won if taken is None else taken.union(won), done + 1
+            if done % PLAN_STEPS == 0:
+                taken = s.table(taken, "taken")
+        return s.table(rest.select(left, right, "cost") if taken is None else taken, "taken", keep=True)

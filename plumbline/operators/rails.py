@@ -1,57 +1,98 @@
-"""Drawn rails to centrelines: mutual pairing of parallel edges, greedily by distance, and passthrough lengths."""
+"""Drawn rails to centrelines: parallel edges paired greedily by distance, their midlines, and lines taken as they are drawn."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import greedy_pairs
+from plumbline.operators.grid import ENDS, along, cell_of
+from plumbline.sources.tables import Scratch
 
+#: What names a layer of centrelines that were drawn as such; file families whose rails are paired.
+CENTRELINE_TOKENS = ("center line", "centre line", "centerline", "centreline")
+PAIRED_FAMILIES = ("dwg", "dxf")
 
-def rail_candidates(segments: DataFrame, segment_id: str, group: Sequence[str] = (), least: float = 0.01, most: float = 2.0, overlap: float = 0.5, parallel: float = 0.998) -> DataFrame:
-    """(group, i, j, perp, share): pairs of segments (i < j) of a group that run parallel at a distance from ``least`` to ``most``
-    and beside each other for at least ``overlap`` of the shorter one.
 
-    Pairs are sought in grid cells as wide as ``most`` that the segments' grown boxes touch; each pair counts once.
+def _sized(segments: DataFrame) -> DataFrame:
+    """Segments with length, dx, dy, l."""
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return segments.withColumns({"dx": dx, "dy": dy}).withColumn("l", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where("l > 0")
+
+
+def rail_candidates(segments: DataFrame, segment_id: str, group: Sequence[str] = (), least: float = 0.01, most: float = 2.0, overlap: float = 0.5, parallel: float = 0.985) -> DataFrame:
+    """(group, i, j, perp, share, midline): pairs of segments of a group, i the longer one (of equal ones the lower id), that run parallel,
+    with j's middle at a distance from ``least`` to ``most`` from i's line, and beside each other for at least ``overlap`` of the shorter one.
+
+    ``midline`` (x0, y0, x1, y1) joins the middles of their ends, the lower end first. As j lies beside i for half of its length, its
+    middle is within ``most`` of i: j is looked up by its middle's cell, and i listed under the cells along it.
     """
-    cell = max(most, 1e-9) * 4
-    ends = ("x0", "y0", "x1", "y1")
-    one = segments.where((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1"))).select(*group, F.col(segment_id).alias("i"), *ends)
-    reach = lambda v, d: F.floor(((F.least if d < 0 else F.greatest)(f"{v}0", f"{v}1") + d * most) / cell).cast("long")
-    for v in "xy":
-        one = one.withColumn(f"low_{v}", reach(v, -1)).withColumn(f"c{v}", F.explode(F.sequence(reach(v, -1), reach(v, 1))))
-    two = one.select(*group, "cx", "cy", F.col("i").alias("j"), F.col("low_x").alias("low_x2"), F.col("low_y").alias("low_y2"), *[F.col(e).alias(f"o{e}") for e in ends])
-    met = one.join(two, [*group, "cx", "cy"]).where("i < j and cx = greatest(low_x, low_x2) and cy = greatest(low_y, low_y2)")
-    c = F.col
-    met = met.withColumns({"dx": c("x1") - c("x0"), "dy": c("y1") - c("y0"), "ex": c("ox1") - c("ox0"), "ey": c("oy1") - c("oy0")})
-    met = met.withColumns({"l": F.sqrt(c("dx") * c("dx") + c("dy") * c("dy")), "m": F.sqrt(c("ex") * c("ex") + c("ey") * c("ey"))})
+    cell, c = max(most, 1e-9) * 4, F.col
+    one = _sized(segments.select(*group, F.col(segment_id).alias("i"), *ENDS))
+    named = {"i": "j", "dx": "ex", "dy": "ey", "l": "m"} | {e: f"o{e}" for e in ENDS}
+    two = one.withColumnsRenamed(named).withColumns({"mx": (c("ox0") + c("ox1")) / 2, "my": (c("oy0") + c("oy1")) / 2})
+    two = two.withColumns({"__cx": cell_of(c("mx"), F.lit(cell)), "__cy": cell_of(c("my"), F.lit(cell))})
+    met = along(one, cell, most).join(two, [*group, "__cx", "__cy"]).where((c("l") > c("m")) | (c("l") == c("m")) & (c("i") < c("j")))
     cosine = F.abs(c("dx") * c("ex") + c("dy") * c("ey")) / (c("l") * c("m"))
-    along = lambda x, y: ((c(x) - c("x0")) * c("dx") + (c(y) - c("y0")) * c("dy")) / c("l")
-    met = met.where(cosine >= parallel).withColumns({"a": along("ox0", "oy0"), "b": along("ox1", "oy1")})
-    beside = F.least("l", F.greatest("a", "b")) - F.greatest(F.lit(0.0), F.least("a", "b"))
-    mx, my = (c("ox0") + c("ox1")) / 2, (c("oy0") + c("oy1")) / 2
-    perp = F.abs((mx - c("x0")) * c("dy") - (my - c("y0")) * c("dx")) / c("l")
-    met = met.withColumns({"perp": perp, "share": beside / F.least("l", "m"), "beside": beside})
-    return met.where((c("perp") >= least) & (c("perp") <= most) & (c("share") >= overlap)).select(*group, "i", "j", "perp", "share", "beside")
+    place = lambda x, y: ((c(x) - c("x0")) * c("dx") + (c(y) - c("y0")) * c("dy")) / c("l")
+    met = met.where(cosine >= parallel).withColumns({"a": place("ox0", "oy0"), "b": place("ox1", "oy1")})
+    beside = F.greatest(F.least("l", F.greatest("a", "b")) - F.greatest(F.lit(0.0), F.least("a", "b")), F.lit(0.0))
+    perp = F.abs((c("mx") - c("x0")) * c("dy") - (c("my") - c("y0")) * c("dx")) / c("l")
+    met = met.withColumns({"perp": perp, "share": beside / F.least("l", "m")}).where((c("perp") >= least) & (c("perp") <= most) & (c("share") >= overlap))
+    against = c("dx") * c("ex") + c("dy") * c("ey") < 0
+    half = lambda v, own, other: ((c(f"{v}{own}") + F.when(against, c(f"o{v}{1 - other}")).otherwise(c(f"o{v}{other}"))) / 2).alias(v)
+    ends = F.array_sort(F.array(*[F.struct(half("x", k, k), half("y", k, k)) for k in (0, 1)]))
+    line = F.struct(*[ends[k][v].alias(f"{v}{k}") for k in (0, 1) for v in "xy"])
+    return met.select(*group, "i", "j", "perp", "share", line.alias("midline"))
 
 
-def centrelines(segments: DataFrame, segment_id: str, group: Sequence[str] = (), mostly: float = 0.5, **options) -> DataFrame:
-    """(group, n_pairs, n_unpaired, length): the drawn centreline length of each group.
+def producer(family: Column, layer: Column) -> Column:
+    """How a group's lines become centrelines: ``derived`` from rails or ``authored`` as drawn in files of a drawing program, else ``passthrough``."""
+    authored = F.coalesce(F.lower(layer).rlike("|".join(CENTRELINE_TOKENS)), F.lit(False))
+    return F.when(F.coalesce(F.lower(family).isin(*PAIRED_FAMILIES), F.lit(False)), F.when(authored, "authored").otherwise("derived")).otherwise("passthrough")
 
-    Rails pair greedily by distance, then ids, each once; a pair counts the length for which its rails run beside each other.
-    What stays unpaired counts half where at least ``mostly`` of the group's segments are paired (a rail whose fellow is missing),
-    else whole (lines drawn single). Segment ids must be unique over all groups.
+
+def centreline_parts(segments: DataFrame, segment_id: str, group: Sequence[str] = (), mostly: float = 0.5, rung: float = 0.7, how: str | None = None, **options) -> DataFrame:
+    """(group, kind, x0, y0, x1, y1, length): the centrelines of each group as rows.
+
+    Rails (segments longer than ``rung``) pair greedily by distance, then ids, each once; a pair is its ``midline``. A rail that stays unpaired is a
+    ``rail``, which counts half where at least ``mostly`` of the group's rails are paired (its fellow is missing), else whole (lines drawn
+    single). Rungs are left out. ``how`` names a column with ``producer``'s verdict: ``authored`` and ``passthrough`` lines of any length stay as
+    they are; null counts as derived. Segments without length are left out.
     """
-    found = rail_candidates(segments, segment_id, group, **options)
-    won = greedy_pairs(found.select("i", "j", "perp"), "perp").select("i", "j").join(found, ["i", "j"])
-    paired = won.groupBy(*group).agg(F.count("*").alias("n_pairs"), F.sum(F.col("beside").cast("decimal(28,9)")).alias("both"))
-    used = won.select(*group, F.explode(F.array("i", "j")).alias(segment_id))
+    sized = _sized(segments).withColumn("__how", F.coalesce(F.col(how), F.lit("derived")) if how else F.lit("derived"))
+    as_drawn = sized.where("__how <> 'derived'").select(*group, F.col("__how").alias("kind"), *ENDS, F.col("l").alias("length"))
+    with Scratch(segments.sparkSession) as scratch:
+        rails_ = scratch.table(sized.where((F.col("__how") == "derived") & (F.col("l") > rung)).select(*group, segment_id, *ENDS, "l"), "rails", keep=True)
+        found = scratch.table(rail_candidates(rails_, segment_id, group, **options).select(*group, "i", "j", "perp", "midline"), "candidates", keep=True)
+        whole = lambda end: F.struct(*group, end).alias(end)
+        won = greedy_pairs(found.select(whole("i"), whole("j"), "perp"), "perp").select(*[F.col(f"i.{g}").alias(g) for g in group], F.col("i.i").alias("i"), F.col("j.j").alias("j"))
+        pairs = scratch.table(won.join(found, [*group, "i", "j"]).select(*group, "i", "j", "midline"), "pairs", keep=True)
+    line = pairs.select(*group, F.lit("midline").alias("kind"), "midline.*")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    sized = segments.select(*group, segment_id, F.sqrt(dx * dx + dy * dy).cast("decimal(28,9)").alias("l")).where("l > 0")
-    loose = sized.join(used, [*group, segment_id], "left_anti").groupBy(*group).agg(F.count("*").alias("n_unpaired"), F.sum("l").alias("single"))
-    met = sized.groupBy(*group).agg(F.count("*").alias("n")).join(paired, list(group), "left").join(loose, list(group), "left").fillna(0, ["n_pairs", "n_unpaired"])
-    zero = F.lit(0).cast("decimal(28,9)")
-    factor = F.when(2 * F.col("n_pairs") >= mostly * F.col("n"), F.lit("0.5")).otherwise("1").cast("decimal(2,1)")
-    return met.select(*group, "n_pairs", "n_unpaired", (F.coalesce("both", zero) + F.coalesce("single", zero) * factor).alias("length"))
+    line = line.withColumn("length", F.sqrt(dx * dx + dy * dy))
+    used = pairs.select(*group, F.explode(F.array("i", "j")).alias(segment_id))
+    loose = rails_.join(used, [*group, segment_id], "left_anti")
+    n_rails, n_pairs = rails_.groupBy(*group).agg(F.count("*").alias("__n")), pairs.groupBy(*group).agg(F.count("*").alias("__p"))
+    if group:
+        shares = n_rails.join(n_pairs, list(group), "left")
+        met = loose.join(shares, list(group))
+    else:
+        met = loose.crossJoin(F.broadcast(n_rails.crossJoin(n_pairs)))
+    double = 2 * F.coalesce("__p", F.lit(0)) >= mostly * F.col("__n")
+    single = met.select(*group, F.lit("rail").alias("kind"), *ENDS, (F.col("l") * F.when(double, 0.5).otherwise(1.0)).alias("length"))
+    return line.union(single).union(as_drawn)
+
+
+def centrelines(segments: DataFrame, segment_id: str, group: Sequence[str] = (), **options) -> DataFrame:
+    """(group, n_pairs, n_unpaired, length): the centreline length of each group that has a segment with length, from ``centreline_parts``."""
+    parts = centreline_parts(segments, segment_id, group, **options)
+    sums = parts.groupBy(*group).agg(
+        F.count_if(F.col("kind") == "midline").alias("n_pairs"), F.count_if(F.col("kind") == "rail").alias("n_unpaired"), F.sum(F.col("length").cast("decimal(28,9)")).alias("length")
+    )
+    if not group:
+        return sums
+    every = _sized(segments).select(*group).distinct().join(sums, list(group), "left")
+    return every.select(*group, *[F.coalesce(c, F.lit(0).cast(sums.schema[c].dataType)).alias(c) for c in ("n_pairs", "n_unpaired", "length")])

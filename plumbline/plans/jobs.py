@@ -238,18 +238,28 @@ def block_expansion(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey AS sheet, 10.0 * sum(CASE WHEN o_orderkey % 4 < 3 THEN 1 ELSE 0.5 END) + CASE WHEN count(*) < 0 THEN 1 ELSE 0 END AS length, sum((o_orderkey % 4 < 3)::INT)::BIGINT AS n_pairs, sum((o_orderkey % 4 = 3)::INT)::BIGINT AS n_unpaired FROM orders GROUP BY 1
-HAVING 4 * sum((o_orderkey % 4 < 3)::INT) >= 2 * sum((o_orderkey % 4 < 3)::INT) + sum((o_orderkey % 4 = 3)::INT) UNION ALL
-SELECT o_custkey, 10.0 * count(*), sum((o_orderkey % 4 < 3)::INT)::BIGINT, sum((o_orderkey % 4 = 3)::INT)::BIGINT FROM orders GROUP BY 1 HAVING 4 * sum((o_orderkey % 4 < 3)::INT) < 2 * sum((o_orderkey % 4 < 3)::INT) + sum((o_orderkey % 4 = 3)::INT)
+WITH s AS (SELECT o_custkey % 50 AS sheet, o_orderkey AS rail, (o_orderkey * 37 % 800)::DOUBLE AS x0, (o_orderkey * 91 % 400)::DOUBLE / 16 AS y, 0.5 + o_orderkey % 23 AS len, o_custkey % 7 AS k FROM orders),
+r AS (SELECT sheet, rail, x0, x0 + len AS x1, y, len FROM s WHERE k < 5 AND len > 0.7),
+c AS (SELECT a.sheet, a.rail AS i, b.rail AS j, abs(a.y - b.y) AS perp, abs((a.x1 + b.x1) / 2 - (a.x0 + b.x0) / 2) AS mid FROM r a JOIN r b ON a.sheet = b.sheet AND (a.len > b.len OR (a.len = b.len AND a.rail < b.rail)) AND abs(a.y - b.y) BETWEEN 0.01 AND 2
+  AND least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.5 * b.len),
+o AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY perp, i, j) AS n FROM c),
+lists AS (SELECT sheet, list([i, j] ORDER BY n) AS pairs, list(mid ORDER BY n) AS mids FROM o GROUP BY sheet),
+won AS (SELECT sheet, mids, list_reduce(list_prepend([]::BIGINT[], pairs), lambda t, p: CASE WHEN list_contains(t, p[1]) OR list_contains(t, p[2]) THEN t ELSE list_concat(t, p) END) AS used, pairs FROM lists),
+pairs AS (SELECT sheet, unnest(list_filter(range(1, len(pairs) + 1), lambda k: list_position(used, pairs[k][1]) % 2 = 1 AND used[list_position(used, pairs[k][1]) + 1] = pairs[k][2])) AS k, mids, used FROM won),
+paired AS (SELECT sheet, count(*) AS n_pairs, sum(mids[k]) AS length FROM pairs GROUP BY 1),
+alone AS (SELECT r.sheet, count(*) AS n_rails, sum((used IS NULL OR NOT list_contains(used, rail))::INT) AS n_unpaired, sum(CASE WHEN used IS NULL OR NOT list_contains(used, rail) THEN len END) AS length FROM r LEFT JOIN won USING (sheet) GROUP BY 1),
+drawn AS (SELECT sheet, sum(len) AS length FROM s WHERE k >= 5 GROUP BY 1)
+SELECT sheet, coalesce(n_pairs, 0)::BIGINT AS n_pairs, coalesce(n_unpaired, 0)::BIGINT AS n_unpaired,
+  round((coalesce(b.length, 0) + coalesce(a.length, 0) * CASE WHEN 4 * coalesce(n_pairs, 0) >= n_rails THEN 0.5 ELSE 1 END + coalesce(d.length, 0))::DOUBLE, 6) AS length
+FROM (SELECT DISTINCT sheet FROM s) LEFT JOIN paired b USING (sheet) LEFT JOIN alone a USING (sheet) LEFT JOIN drawn d USING (sheet)
 """)
 def tray_centrelines(t: Tables) -> DataFrame:
-    """Rails to centrelines: three of four orders are a tray of two rails, the fourth a rail alone."""
+    """Rails of many lengths at random, rungs among them, to midlines by greedy pairing; authored lines and other families as they are drawn."""
     k = F.col("o_orderkey")
-    x = (k % 1000).cast("double") * 20
-    y = (F.floor(k / 1000) * 20).cast("double")
-    rail = lambda i, dy: {"rail": k * 2 + i, "x0": x, "y0": y + dy, "x1": x + 10, "y1": y + dy}
-    lines = t.orders.select(F.col("o_custkey").alias("sheet"), F.inline(_struct_array(rail(0, 0.0), rail(1, 0.5)))).where("rail % 2 = 0 or (rail - 1) / 2 % 4 < 3")
-    return rails.centrelines(lines, "rail", ["sheet"]).withColumn("length", F.col("length").cast("double"))
+    x, y = (k * 37 % 800).cast("double"), (k * 91 % 400).cast("double") / 16
+    how = rails.producer(F.when(F.col("o_custkey") % 7 < 6, "DWG").otherwise("pdf"), F.when(F.col("o_custkey") % 7 == 5, "M-Duct Centre Line").otherwise("M-Duct"))
+    lines = t.orders.select((F.col("o_custkey") % 50).alias("sheet"), k.alias("rail"), x.alias("x0"), y.alias("y0"), (x + 0.5 + k % 23).alias("x1"), y.alias("y1"), how.alias("how"))
+    return rails.centrelines(lines, "rail", ["sheet"], how="how").withColumn("length", F.round(F.col("length").cast("double"), 6))
 
 
 @query(f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import legend, runs, service, spatial, takeoff
+from plumbline.operators import legend, service, spatial, stacks, takeoff
 from plumbline.plans.base import LABELS, POINTS, SEGMENTS, V_LABELS, V_SEGMENTS, Tables, query, select_list
 from plumbline.plans.geometry import V_BOXES, _boxes
 from plumbline.plans.jobs import _pick, _point, _text
@@ -127,20 +127,29 @@ def resolved_devices(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT o_custkey AS floor, CASE WHEN o_orderkey % 3 = 0 THEN 'SA' ELSE 'RA' END AS one, o_orderkey % 4 AS m FROM orders),
-votes AS (SELECT floor, 'red' AS colour, one AS service FROM v WHERE m < 3 UNION ALL SELECT floor, 'blue', 'EA' FROM v WHERE m < 3)
-SELECT floor, colour, CASE WHEN min(service) = max(service) THEN min(service) END AS service, count(*) AS n_votes FROM votes GROUP BY 1, 2
+SELECT o_orderkey AS drawing, ['matched', 'no_header', 'degenerate', 'ambiguous', 'no_match', 'unstable', 'conflict'][o_orderkey % 7 + 1] AS verdict, 1 + (o_orderkey % 7 = 6)::INT AS n_stacks,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'blue=EA:75,red=SA:100+50' ELSE '' END AS assigned, CASE WHEN o_orderkey % 7 = 0 THEN 'EA,SA' ELSE '' END AS evidence FROM orders
 """)
 def tag_stack_scans(t: Tables) -> DataFrame:
-    """Stacks of two tags beside a red band twice and a blue one, scanned; one line differs, and every fourth stack sees three colours."""
-    k, x = F.col("n"), F.col("x") * 10
-    first = F.when(k % 3 == 0, "SA").otherwise("RA")
-    tags = F.array(*[F.struct(F.lit(i).alias("place"), s.alias("service")) for i, s in ((0, first), (1, F.lit("EA")))])
-    stacks = _street(t).select("floor", k.alias("stack"), F.inline(tags), x.alias("x0"), (x + 20).alias("x1"), F.lit(0.0).alias("y0"), F.lit(4.0).alias("y1"))
-    box = lambda dx, low, high: F.struct((x + dx).alias("min_x"), F.lit(low).alias("min_y"), (x + dx + 2).alias("max_x"), F.lit(high).alias("max_y"))
-    put = lambda colour, b, when=F.lit(True): _street(t).where(when).select("floor", F.lit(colour).alias("colour"), b.alias("box"))
-    bands = put("red", box(1, -1.0, 5.0)).union(put("red", box(4, -1.0, 5.0))).union(put("blue", box(8, -1.0, 5.0))).union(put("green", box(12, 3.5, 5.0))).union(put("green", box(15, -1.0, 5.0), k % 4 == 3))
-    return runs.scanned_stacks(stacks, bands, 1.0, 3, 40.0, ["floor"])
+    """Tag stacks of a drawing for each order, read by their headers and matched to bands; six of seven kinds abstain, each for its own reason."""
+    n = F.col("o_orderkey")
+    m = n % 7
+    put = lambda x, *rows: F.array(*[F.struct(F.lit(i).alias("tag_id"), F.lit(x).alias("x"), F.lit(y).alias("y"), s.alias("service"), F.lit(size).alias("size"), F.lit("round").alias("kind")) for i, y, s, size in rows])
+    first = put(0.0, (1, 3.0, F.when(m == 2, "SA").otherwise("EA"), "75"), (2, 2.0, F.lit("SA"), "100"), (3, 1.0, F.when(m == 4, "EA").otherwise("SA"), "50"))
+    second = put(20.0, (4, 3.0, F.lit("XX"), "75"), (5, 2.0, F.lit("SA"), "100"), (6, 1.0, F.lit("SA"), "50"))
+    tags = t.orders.select(n.alias("drawing"), F.inline(F.when(m == 6, F.concat(first, second)).otherwise(first)))
+    heads = F.array(*[F.struct(F.lit(i).alias("header_id"), F.lit("from Top  to bottom :").alias("text"), F.lit(x).alias("x"), F.lit(3.5).alias("y")) for i, x in ((1, 0.1), (2, 20.0))])
+    headers = t.orders.where(m != 1).select(n.alias("drawing"), F.inline(heads))
+    band = lambda colour, low, wide: F.struct(F.lit(colour).alias("colour"), _rect(F.lit(0.0), F.lit(low), F.when(m == 5, 10.0).otherwise(wide), F.lit(0.2)).alias("ring"))
+    own = F.array(band("red", 2.0, 10.0), band("red", 2.3, 11.0), band("blue", 2.6, 12.0))
+    again = F.array(band("green", 12.0, 10.0), band("green", 12.3, 11.0), band("black", 12.6, 12.0))
+    bands = t.orders.select(n.alias("drawing"), F.inline(F.when(m == 3, F.concat(own, again)).otherwise(own)))
+    found = stacks.match_stacks(tags, headers, bands, 8.0, ["drawing"])
+    said = F.concat(F.col("colour"), F.lit("="), F.col("service"), F.lit(":"), F.array_join("sizes", "+"))
+    listed = lambda df, text, name: df.groupBy("drawing").agg(F.array_join(F.array_sort(F.collect_list(text)), ",").alias(name))
+    out = found.verdicts.groupBy("drawing").agg(F.max("verdict").alias("verdict"), F.count("*").cast("int").alias("n_stacks"))
+    out = out.join(listed(found.assigned, said, "assigned"), "drawing", "left").join(listed(found.evidence, F.col("service"), "evidence"), "drawing", "left")
+    return out.fillna("", ["assigned", "evidence"])
 
 
 @query("""

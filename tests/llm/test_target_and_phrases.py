@@ -116,15 +116,16 @@ def test_mine_against_brute_force(spark, share):
 def test_mine_reads_long_texts_in_parts(spark, monkeypatch):
     rows = talk(2, 6, 12, langs=("en",)) + [("en", "x" * 300 + " y" * 50)]
     whole = [("en", " ".join(t or "" for _, t in rows))]
+    everything = phrases.Known(*[np.full(phrases.BITS >> 6, 2**64 - 1, np.uint64)] * 3)
     for part in (1, 5, 64):
         monkeypatch.setattr(phrases, "PART", part)
-        tokens = [t for found, old in phrases.parts(whole[0][1].lower().encode()) for t in found[old:]]
-        assert [t for t in tokens if t[0] not in phrases._ENDS] == re.findall(rb"[^\x20\x09.,;:!?\x0A-\x0D]+", whole[0][1].lower().encode())
+        found = list(phrases.parts(whole[0][1].encode()))
+        tokens = [t for said, old in found for t in [x for x in said.split(b" ") if x][old:]]
+        assert [t for t in tokens if t != b"\n"] == re.findall(rb"[^\x20\x09.,;:!?\x0A-\x0D]+", whole[0][1].lower().encode())
         blocks = Counter()
-        for found, old in phrases.parts(whole[0][1].lower().encode()):
-            new = np.arange(len(found)) >= old
-            for _, phrase, n in phrases.count_block(found, np.zeros(len(found), np.int64), new, ["en"], None, None, 3):
-                blocks.update(dict(zip(phrase.to_pylist(), n.to_pylist())))
+        for said, old in found:
+            for _, _, phrase, n in phrases.count_block(phrases.block_of([said], [0], [old]), ["en"], everything, None, False):
+                blocks.update({p: k for p, k in zip(phrase.to_pylist(), n.to_pylist()) if p is not None})
         want = Counter()
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", whole[0][1].lower()):
             w = piece.split()
@@ -133,6 +134,18 @@ def test_mine_reads_long_texts_in_parts(spark, monkeypatch):
         assert blocks == want
 
 
+def test_keys_are_the_same_in_spark_and_in_workers(spark):
+    found = phrases.count_block(phrases.block_of(["one two é".encode()], [0], [0]), ["x y"], None, None, False)
+    workers = {k for keys, *_ in found for k in keys.to_pylist()}
+    said = spark.createDataFrame([("x y", p) for p in ("one", "two", "é", "one two", "two é", "one two é")], "lang string, phrase string")
+    everything = phrases.Known(*[np.zeros(phrases.BITS >> 6, np.uint64)] * 2, np.full(phrases.BITS >> 6, 0, np.uint64))
+    for bits in everything[:2]:
+        bits |= np.uint64(2**64 - 1)
+    triples = phrases.count_block(phrases.block_of(["one two é".encode()], [0], [0]), ["x y"], everything, None, False)
+    workers |= {k for keys, *_ in triples for k in keys.to_pylist() if k is not None}
+    assert workers == {r[0] for r in said.select(phrases.phrase_key("lang", "phrase")).collect()}
+
+
 def test_mine_of_nothing(spark):
     assert phrases.mine(lang_docs(spark, [])).count() == 0
     assert phrases.mine(lang_docs(spark, [(None, None), ("en", "few words")])).count() == 0
