@@ -1,14 +1,14 @@
 """Collocations of each language: phrases of two and three words, counted by Toivonen's sampling.
 
-A part of the documents, chosen by a hash, proposes the words and pairs that are frequent there under a lowered
-threshold. One pass over all texts then counts exactly every phrase whose shorter phrases are all proposed: the
-proposals and their negative border together (at the greatest length both are counted alike, so triples need no
-proposal of their own; the border of single words is every other word, so all words are counted). Where a phrase of
-the border turns out frequent, phrases above it may have been missed: a further pass counts those that have become
-possible, and only those, until nothing new is frequent. The result is exact, whatever the sample was.
+A part of the documents, chosen by a hash, proposes the words and pairs that are frequent there under a lowered threshold.
+One pass over all texts then counts the proposals by their words, and by 64-bit hashes their negative border: the phrases
+that aren't proposed, but all of whose shorter phrases are (of single words, all others; of triples, all whose pairs are proposed). A hash of the border that
+reaches the threshold is a failure of the sample: a further pass counts its phrases by their words, and with them all
+that have become possible above what was found since. Passes follow until nothing new is frequent. Every count that is
+returned was made by words over all texts, so the result is exact, whatever the sample was and whatever hashes clash.
 
-Which phrases are proposed is held in bit sets of a fixed size (``BITS``), by hash; two phrases that share a bit can
-only let further phrases be counted. The driver and each worker hold these sets and nothing else of the corpus.
+Which phrases are known is held in bit sets of a fixed size (``BITS``), by hash; two phrases that share a bit can only
+let further phrases be counted. The driver and each worker hold these sets and nothing else of the corpus.
 
 ``score`` of a phrase with count a is floor(1000000 * a * a / (l * r)) at the cut into a first part (l occurrences)
 and a rest (r) that scores lowest, the first such cut among equals; decimals of 38 digits hold it exactly up to
@@ -24,7 +24,9 @@ two words.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from math import ceil
 from typing import NamedTuple
 
 import numpy as np
@@ -36,184 +38,214 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, pieces, ready_workers
 
-#: Bits of a set of words or pairs: 8 MB each.
+#: Bits of a set of words, pairs or triples: 8 MB each.
 BITS = 1 << 26
-#: Words that a worker counts at once before it hands its counts on.
-BLOCK = 1 << 20
-#: Bytes of a text that are split at once.
+#: Bytes of texts that a worker counts at once before it hands its counts on.
+BLOCK = 2 << 20
+#: Bytes of a text that are taken up at once.
 PART = 1 << 20
-_TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
-_ENDS = frozenset(b".,;:!?\n\x0b\x0c\r")
-_EDGE = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
+#: A-Z as a-z, tabs as spaces, and each mark that ends a piece as a line feed.
+_PLAIN = bytes(0x20 if b == 9 else 0x0A if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_EDGE = re.compile(rb"[ \n]")
 UNKNOWN = "und"
 #: First salts of the top rows of a language.
 SALTS = 64
 
 
 class Known(NamedTuple):
-    """Bit sets of the words and pairs that phrases are built of."""
+    """Bit sets of the words and pairs that are proposed, and of all phrases that were found."""
 
     words: np.ndarray
     pairs: np.ndarray
+    triples: np.ndarray
 
 
-def _in(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
-    place = place & np.uint64(BITS - 1)
+def packed(known: Known | None) -> list[bytes] | None:
+    """The sets as they are sent to workers: mostly zeros, they take little."""
+    return None if known is None else [zlib.compress(bits.tobytes(), 1) for bits in known]
+
+
+def unpacked(sent: list[bytes] | None) -> Known | None:
+    return None if sent is None else Known(*[np.frombuffer(zlib.decompress(bits), np.uint64) for bits in sent])
+
+
+def _in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    place = key >> np.uint64(2) & np.uint64(BITS - 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _pair_place(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return first ^ (second << np.uint64(21) | second >> np.uint64(43))
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def parts(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """(part, how many of its tokens the part before had) of a text: words and ends of pieces (line feeds) with spaces between them."""
+    plain, start, carried = raw.translate(_PLAIN), 0, []
+    while start < len(plain):
+        cut = _EDGE.search(plain, start + PART) if len(plain) - start > PART else None
+        end = cut.start() if cut else len(plain)
+        said = b" ".join([*carried, plain[start:end].replace(b"\n", b" \n ")])
+        yield said, len(carried)
+        if cut:
+            carried = [t for t in said.split(b" ") if t][-2:]
+        start = end
 
 
-def parts(raw: bytes) -> Iterator[tuple[list[bytes], int]]:
-    """(tokens, how many of them the part before had) of a lower-cased text: words, and runs of marks that end a piece."""
-    start, carried = 0, []
-    while start < len(raw):
-        cut = _EDGE.search(raw, start + PART) if len(raw) - start > PART else None
-        end = cut.start() if cut else len(raw)
-        found = _TOKEN.findall(raw, start, end)
-        yield carried + found, len(carried)
-        carried, start = (carried + found)[-2:], end
+class Block(NamedTuple):
+    """The tokens of some texts: their numbers, the spelling of each number, their languages, and which ones no earlier block had."""
 
+    code: np.ndarray
+    texts: pa.Array
+    langs: np.ndarray
+    new: np.ndarray
 
-def _counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True) if len(keys) else (keys, keys)
 
+def block_of(said: list[bytes], langs: list[int], old: list[int]) -> Block:
+    """The block of parts of texts; each ends a piece."""
+    lists = pc.split_pattern(pa.array([x + b" \n" for x in said], pa.string()), " ")
+    coded = lists.values.dictionary_encode()
+    code, owner = coded.indices.to_numpy(), np.repeat(np.arange(len(said)), np.diff(lists.offsets.to_numpy()))
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:
+        code, owner = code[code != empty], owner[code != empty]
+    at = np.arange(len(code)) - np.searchsorted(owner, owner)
+    return Block(code.astype(np.int64), coded.dictionary, np.array(langs, np.int64)[owner], at >= np.array(old, np.int64)[owner])
 
-def count_block(tokens: list[bytes], langs: np.ndarray, new: np.ndarray, names: list[str], now: Known | None, before: Known | None, longest: int):
-    """(lang, phrase, n) arrays of a block: all phrases up to ``longest`` words whose shorter ones ``now`` has and ``before`` hadn't.
 
-    Without ``now`` shorter phrases aren't asked for. Words, and under the empty phrase their total, are
-    counted where there is no ``before``. ``new`` marks the tokens that no earlier block had.
+def count_block(block: Block, names: list[str], now: Known | None, before: Known | None, second: bool):
+    """(key, lang, phrase, n) arrays of a block's phrases, languages by their ``names``.
+
+    Without ``now``, in the sample, all words and pairs are counted by key. With it, the phrases it has by their words, and where
+    there is no ``before``, those of its border by key; later the phrases that have become possible since ``before``, by their words,
+    and in the second pass those of the border that have become known. A key is the phrase's hash with its number of words in
+    the last two bits. The total of a language's words is counted under the empty phrase in the first pass over all texts.
     """
-    index = dict.fromkeys(tokens)
-    for i, t in enumerate(index):
-        index[t] = i
-    code = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-    texts = list(index)
-    items, item = np.unique(langs.astype(np.int64) * len(texts) + code, return_inverse=True)
-    item_lang, item_code = items // len(texts), items % len(texts)
-    is_word = np.fromiter((t[0] not in _ENDS for t in texts), bool, len(texts))[item_code]
-    word = is_word[item]
-    spelled, m = pa.array(texts, pa.binary()), np.int64(len(items))
+    new = block.new
+    items, item = np.unique(block.langs * len(block.texts) + block.code, return_inverse=True)
+    item_lang, item_code = items // len(block.texts), items % len(block.texts)
+    is_word = item_code != pc.index(block.texts, "\n").as_py()
+    texts = block.texts.cast(pa.binary()).to_pylist()
+    seeds = [xxhash.xxh64_intdigest(n.encode(), 42) for n in names]
+    hashed = np.fromiter((xxhash.xxh64_intdigest(texts[c], seeds[k]) for c, k in zip(item_code.tolist(), item_lang.tolist())), np.uint64, len(items))
+    spelled, called, m = block.texts, pa.array(names, pa.string()), np.int64(len(items))
     out = []
 
-    def emit(counts: np.ndarray, *members: np.ndarray) -> None:
-        if len(counts):
-            said = [spelled.take(pa.array(item_code[i])) for i in members]
-            phrase = pc.binary_join_element_wise(*said, b" ") if len(said) > 1 else said[0]
-            out.append((pa.array(names).take(pa.array(item_lang[members[0]])), phrase.cast(pa.string()), pa.array(counts.astype(np.int64))))
-
-    if before is None:
-        n = np.bincount(item[new & word], minlength=len(items))
-        some = np.flatnonzero(n)
-        emit(n[some], some)
-        total = np.bincount(item_lang, weights=n, minlength=len(names)).astype(np.int64)
+    def emit(keys, lang, phrase, n) -> None:
+        out.append((keys if keys is not None else pa.nulls(len(n), pa.int64()), lang if lang is not None else pa.nulls(len(n), pa.string()), phrase if phrase is not None else pa.nulls(len(n), pa.string()), pa.array(n.astype(np.int64))))
+
+    if now is not None and before is None:
+        total = np.bincount(item_lang, weights=np.bincount(item[new], minlength=len(items)) * is_word, minlength=len(names)).astype(np.int64)
         some = np.flatnonzero(total)
-        out.append((pa.array(names).take(pa.array(some)), pa.array([""] * len(some), pa.string()), pa.array(total[some])))
-    if longest < 2 or len(item) < 2:
-        return out
-    a, b = item[:-1], item[1:]
-    pair = word[:-1] & word[1:]
-    if now is not None:
-        place = np.zeros(len(items), np.uint64)
-        seeds = [xxhash.xxh64_intdigest(n.encode(), 42) for n in names]
-        for i in np.flatnonzero(is_word):
-            place[i] = xxhash.xxh64_intdigest(texts[item_code[i]], seeds[item_lang[i]])
-        at = _pair_place(place[a], place[b])
-        has = _in(now.words, place)
-        count_it = pair & has[a] & has[b]
-        if before is not None:
-            had = _in(before.words, place)
-            count_it &= ~(had[a] & had[b])
-    else:
-        count_it = pair
-    keys, n = _counts((a * m + b)[count_it & new[1:]])
-    emit(n, keys // m, keys % m)
-    if longest < 3 or len(item) < 3:
-        return out
-    three = pair[:-1] & pair[1:]
-    if now is not None:
-        has = _in(now.pairs, at)
-        three &= has[:-1] & has[1:]
-        if before is not None:
-            had = _in(before.pairs, at)
-            three &= ~(had[:-1] & had[1:])
-    three &= new[2:]
-    firsts, first = np.unique((a * m + b)[:-1][three], return_inverse=True)
-    keys, n = _counts(first * m + item[2:][three])
-    front = firsts[keys // m]
-    emit(n, front // m, front % m, keys % m)
+        emit(None, called.take(pa.array(some)), pa.array([""] * len(some), pa.string()), total[some])
+    inside, key = is_word[item], hashed[item]
+    possible = was_possible = inside  # all shorter phrases are known, now and before
+    for k in (1, 2, 3):
+        if len(item) < k or (now is None and k == 3):
+            break
+        if k > 1:
+            inside = inside[:-1] & is_word[item[k - 1 :]]
+            key = key[:-1] ^ _turn(hashed, 21 * (k - 1))[item[k - 1 :]]
+        label = key & ~np.uint64(3) | np.uint64(k)
+        fresh = new[k - 1 :] & inside
+        if now is None:
+            found, n = np.unique(label[fresh], return_counts=True)
+            emit(pa.array(found.view(np.int64)), None, None, n)
+            continue
+        has = _in(now[k - 1], label)
+        had = _in(before[k - 1], label) if before is not None else np.zeros(len(has), bool)
+        if k > 1:
+            possible = possible[:-1] & possible[1:]
+            was_possible = was_possible[:-1] & was_possible[1:]
+        if before is None:
+            border = fresh & possible & ~has
+            found, n = np.unique(label[border], return_counts=True)
+            emit(pa.array(found.view(np.int64)), None, None, n)
+            named = fresh & possible & has
+        else:
+            named = fresh & possible & (~was_possible | (has & ~had if second else False))
+        places = np.flatnonzero(named)
+        joined = item[places]
+        for step in range(1, k):  # numbers of the phrase so far, so that they fit 64 bits with the next word
+            joined = np.unique(joined, return_inverse=True)[1] * m + item[places + step]
+        _, first, n = np.unique(joined, return_index=True, return_counts=True)
+        at = places[first]
+        said = [spelled.take(pa.array(item_code[item[at + step]])) for step in range(k)]
+        phrase = pc.binary_join_element_wise(*said, " ") if k > 1 else said[0]
+        emit(None, called.take(pa.array(item_lang[item[at]])), phrase, n)
+        possible, was_possible = possible & has, was_possible & had
     return out
 
 
-def counted(docs: DataFrame, now: Known | None, before: Known | None, longest: int) -> DataFrame:
-    """(lang, phrase, n) over all rows of docs (columns lang, t), see ``count_block``; n is the sum over all texts."""
+def counted(docs: DataFrame, now: Known | None, before: Known | None, second: bool = False) -> DataFrame:
+    """(key, lang, phrase, n) over all rows of docs (columns lang, t), see ``count_block``; n is the sum over all texts."""
     spark = docs.sparkSession
     ready_workers(spark)
-    shared = spark.sparkContext.broadcast((now, before))
+    shared = spark.sparkContext.broadcast((packed(now), packed(before), second))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = shared.value
-        tokens, langs, new, names = [], [], [], {}
+        now, before, second = shared.value
+        now, before = unpacked(now), unpacked(before)
+        said, langs, old, names, held = [], [], [], {}, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            lang_of = np.repeat(np.array([x for x, _ in langs], np.int64), [n for _, n in langs])
-            fresh = np.ones(len(tokens), bool)
-            for start, n in new:
-                fresh[start : start + n] = False
-            for lang, phrase, n in count_block(tokens, lang_of, fresh, list(names), now, before, longest):
-                yield pa.RecordBatch.from_arrays([lang, phrase, n], names=["lang", "phrase", "n"])
-            tokens.clear(), langs.clear(), new.clear(), names.clear()
+            for found in count_block(block_of(said, langs, old), list(names), now, before, second):
+                yield pa.RecordBatch.from_arrays(list(found), names=["key", "lang", "phrase", "n"])
+            said.clear(), langs.clear(), old.clear(), names.clear()
 
         for batch in pieces(batches, 1):
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                for found, old in parts((raw or b"").lower()):
-                    new.append((len(tokens), old))
-                    tokens.extend(found)
-                    tokens.append(b"\n")
-                    langs.append((names.setdefault(lang, len(names)), len(found) + 1))
-                    if len(tokens) >= BLOCK:
+                for part, carried in parts(raw):
+                    said.append(part), langs.append(names.setdefault(lang, len(names))), old.append(carried)
+                    held += len(part)
+                    if held >= BLOCK:
                         yield from flush()
-        if tokens:
+                        held = 0
+        if said:
             yield from flush()
 
-    rows = docs.select("lang", "t").mapInArrow(count, "lang string, phrase string, n long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    rows = docs.select("lang", "t").mapInArrow(count, "key long, lang string, phrase string, n long")
+    return rows.groupBy("key", "lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _bits(rows: DataFrame, place: Column) -> np.ndarray:
-    """The set of the rows' places as bits; the driver gets one number for 64 bits at most."""
-    at = rows.select(place.bitwiseAND(F.lit(BITS - 1)).alias("p")).select(F.shiftright("p", 6).alias("s"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("m"))
+def _bits(keys: DataFrame) -> np.ndarray:
+    """The keys as a bit set; the driver gets one number for 64 bits at most."""
+    at = keys.select(F.shiftrightunsigned("key", 2).bitwiseAND(F.lit(BITS - 1)).alias("p")).select(F.shiftright("p", 6).alias("s"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("m"))
     found = at.groupBy("s").agg(F.bit_or("m").alias("m")).toArrow()
     bits = np.zeros(BITS >> 6, np.uint64)
     bits[found["s"].to_numpy()] = found["m"].to_numpy().view(np.uint64)
     return bits
 
 
+def phrase_key(lang: str, phrase: str) -> Column:
+    """The key of a phrase of up to three words, as the workers make it."""
+    words = F.split(phrase, " ")
+    turned = lambda x, by: F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+    hashed = lambda i: F.xxhash64(F.col(lang), F.get(words, F.lit(i)))
+    key = hashed(0)
+    for i in (1, 2):
+        key = F.when(F.size(words) > i, key.bitwiseXOR(turned(hashed(i), 21 * i))).otherwise(key)
+    return key.bitwiseAND(F.lit(-4)).bitwiseOR(F.size(words).cast("long"))
+
+
 def known(rows: DataFrame, more: Known | None = None) -> Known:
-    """Bit sets of the words and pairs among (lang, phrase) rows, with those of ``more``."""
-    split = rows.withColumn("w", F.split("phrase", " "))
-    hashed = lambda i: F.xxhash64("lang", F.col("w")[i])
-    second = hashed(1)
-    turned = F.shiftleft(second, 21).bitwiseOR(F.shiftrightunsigned(second, 43))
-    words = _bits(split.where("phrase <> '' and size(w) = 1"), hashed(0))
-    pairs = _bits(split.where("size(w) = 2"), hashed(0).bitwiseXOR(turned))
-    return Known(words, pairs) if more is None else Known(words | more.words, pairs | more.pairs)
+    """Bit sets of the phrases among rows (key, or where it is null lang and phrase), with those of ``more``."""
+    keys = rows.where("key is not null or phrase <> ''").select(F.coalesce("key", phrase_key("lang", "phrase")).alias("key"))
+    made = [_bits(keys.where(F.col("key").bitwiseAND(F.lit(3)) == k)) for k in (1, 2, 3)]
+    return Known(*made) if more is None else Known(*[x | y for x, y in zip(made, more, strict=True)])
 
 
 def frequent(docs: DataFrame, min_count: int, share: float, lowered: float, scratch: Scratch) -> DataFrame:
     """(lang, phrase, n): every phrase of one to three words with at least min_count occurrences, and each language's words under ``''``."""
     place = F.pmod(F.xxhash64("id", "lang", "t"), F.lit(1 << 30)) / float(1 << 30)
-    sample = counted(docs.where(place < share), None, None, 2)
-    least = max(1, int(min_count * share * lowered))
-    now, before = known(scratch.table(sample.where(F.col("n") >= least), "proposed")), None
+    least = max(1, ceil(min_count * share * lowered))
+    now, before = known(scratch.table(counted(docs.where(place < share), None, None).where(F.col("n") >= least), "proposed")), None
     passes = []
     while True:
-        passes.append(scratch.table(counted(docs, now, before, 3).where((F.col("n") >= min_count) | (F.col("phrase") == "")), "counted"))
-        more = known(passes[-1], now)
-        if (more.words == now.words).all() and (more.pairs == now.pairs).all():
+        found = scratch.table(counted(docs, now, before, len(passes) == 1).where((F.col("n") >= min_count) | (F.col("phrase") == "")), "counted")
+        passes.append(found.where("phrase is not null").select("lang", "phrase", "n"))
+        more = known(found, now)
+        # No phrase stands above a triple; only those of the first pass's border are still to be counted by their words.
+        if all((x == y).all() for x, y in list(zip(more, now, strict=True))[: 3 if before is None else 2]):
             break
         now, before = more, now
     out = passes[0]
@@ -236,7 +268,7 @@ def mine(
     min_count: int = 10,
     inside: int = 50,
     top: int = 2000,
-    share: float = 0.25,
+    share: float = 0.2,
     lowered: float = 0.8,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's ``top`` phrases.
