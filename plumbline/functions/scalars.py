@@ -55,8 +55,19 @@ def derived_uuid(namespace: str, key: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """JSON text with sorted keys and no spaces; null for text that isn't JSON."""
-    return F.to_json(F.try_parse_json(text))
+    """JSON text with sorted keys and no spaces; null for text that isn't JSON. Numbers that aren't finite become the texts ``nan``,
+    ``infinity`` and ``-infinity``."""
+    # Quotes outside of escapes alternate between strings and what is around them.
+    hidden = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+
+    def quoted(part: Column) -> Column:
+        for said, token in ((r"-Infinity\b", "-infinity"), (r"\bInfinity\b", "infinity"), (r"\bNaN\b", "nan")):
+            part = F.regexp_replace(part, said, f'"{token}"')
+        return part
+
+    parts = F.transform(F.split(hidden, '"', -1), lambda x, i: F.when(i % 2 == 0, quoted(x)).otherwise(x))
+    shown = F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.to_json(F.try_parse_json(F.when(text.rlike("NaN|Infinity"), shown).otherwise(text)))
 
 
 def normalised_text(x: Column) -> Column:

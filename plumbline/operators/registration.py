@@ -8,33 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import shortest_paths
+from plumbline.operators.hull import widest_pairs
 from plumbline.operators.takeoff import register_sheets, shifted
 
 
 def baseline(matches: DataFrame, group: str, label: str) -> DataFrame:
     """(group, label_i, label_j, rotation, scale) from matched points (group, label, x, y, tx, ty): the two source points that lie
     farthest apart (ties by label), and how the vector between their targets is turned (degrees, -180 to 180) and scaled.
-
-    The ends of the widest pair lie on the convex hull, and are extreme in one of 64 directions or next to such a point; so
-    that the answer is exact, the pair found among those bounds the search: any wider pair has an end at least half as far from
-    their middle, and only such points are paired up.
     """
-    turns = [i * 3.141592653589793 / 32 for i in range(64)]
-    height = [F.col("x") * F.cos(F.lit(a)) + F.col("y") * F.sin(F.lit(a)) for a in turns]
-    spots = matches.groupBy(group).agg(F.array(*[F.max_by(F.struct(label, "x", "y"), h) for h in height]).alias("e"))
-    listed = spots.select(group, F.explode(F.array_distinct("e")).alias("p")).select(group, "p.*")
-    mate = lambda df: df.select(group, F.col(label).alias("l2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    square = (F.col("x2") - F.col("x")) * (F.col("x2") - F.col("x")) + (F.col("y2") - F.col("y")) * (F.col("y2") - F.col("y"))
-    bound = listed.join(mate(listed), group).groupBy(group).agg(F.max(square).alias("__wide"))
-    middle = matches.groupBy(group).agg(((F.min("x") + F.max("x")) / 2).alias("__mx"), ((F.min("y") + F.max("y")) / 2).alias("__my"))
-    away = (F.col("x") - F.col("__mx")) ** 2 + (F.col("y") - F.col("__my")) ** 2
-    sized = matches.join(bound, group).join(middle, group).withColumn("__away", F.sqrt(away))
-    far = sized.groupBy(group).agg(F.max("__away").alias("__most"))
-    # Both ends of a pair as wide as the bound are further out than the bound less the farthest point's distance.
-    outer = sized.join(far, group).where(F.col("__away") + F.col("__most") >= F.sqrt("__wide") - 1e-9)
-    other = outer.select(group, F.col(label).alias("l2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("tx").alias("tx2"), F.col("ty").alias("ty2"))
-    pairs = outer.select(group, label, "x", "y", "tx", "ty", "__wide").join(other, group).where((F.col(label) < F.col("l2")) & (square >= F.col("__wide") - 1e-9))
-    best = pairs.groupBy(group).agg(F.min_by(F.struct(label, "l2", "x", "y", "x2", "y2", "tx", "ty", "tx2", "ty2"), F.struct(-square, label, "l2")).alias("b"))
+    ends = widest_pairs(matches, [group], label)
+    one = matches.select(group, F.col(label).alias("i"), F.struct(*[F.col(k) for k in ("x", "y", "tx", "ty")]).alias("p"))
+    two = one.withColumnsRenamed({"i": "j", "p": "q"})
+    met = ends.join(one, [group, "i"]).join(two, [group, "j"])
+    best = met.select(group, F.struct(F.col("i").alias(label), F.col("j").alias("l2"), "p.*", *[F.col(f"q.{k}").alias(f"{k}2") for k in ("x", "y", "tx", "ty")]).alias("b"))
     c = lambda n: F.col(f"b.{n}")
     turn = F.degrees(F.atan2(c("ty2") - c("ty"), c("tx2") - c("tx")) - F.atan2(c("y2") - c("y"), c("x2") - c("x")))
     turn = F.pmod(turn + 180, F.lit(360.0)) - 180

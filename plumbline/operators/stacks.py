@@ -8,14 +8,14 @@ those of its own runs of one service, on neighbouring lines. Where anything is o
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.spatial import ring_box, within_radius
+from plumbline.operators.windows import spaced
 from plumbline.sources.tables import Scratch
 
 #: The phrases of headers; the axis of a phrase's scan lines is x for the first two.
@@ -33,30 +33,6 @@ class Tolerances(NamedTuple):
     stable: int = 2
 
 
-def spaced_rows(rows: DataFrame, group: Sequence[str], value: str, step: float) -> DataFrame:
-    """The first row by value of each group, and each that lies more than ``step`` above the last one kept.
-
-    A group's rows come sorted to one task, which holds only the last value kept.
-    """
-    keys, schema = list(group), rows.schema
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, value) if keys else rows.repartition(1).sortWithinPartitions(value)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, last = None, None
-        for batch in batches:
-            names = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * batch.num_rows
-            keep = []
-            for name, v in zip(names, batch.column(value).to_pylist(), strict=True):
-                if v is not None and (name != here or last is None or v - last > step):
-                    here, last = name, v
-                    keep.append(True)
-                else:
-                    keep.append(False)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return sorted_rows.mapInArrow(pick, schema)
-
-
 def orientation(text: Column) -> Column:
     """The one phrase that a header contains; null with none or several."""
     said = F.upper(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -99,7 +75,7 @@ def scan_lines(bands: DataFrame, step: float, group: Sequence[str]) -> DataFrame
     """(group, axis, line, at): the scan lines of each drawing through its bands' middles, no two closer than ``step``, numbered along x and y."""
     b = F.col("box")
     middles = bands.select(*group, F.explode(F.array(*[F.struct(F.lit(v).alias("axis"), ((b[f"min_{v}"] + b[f"max_{v}"]) / 2).alias("at")) for v in "xy"])).alias("__m")).select(*group, "__m.*").distinct()
-    kept = spaced_rows(middles, [*group, "axis"], "at", step)
+    kept = spaced(middles, [*group, "axis"], "at", step)
     return kept.withColumn("line", F.row_number().over(Window.partitionBy(*group, "axis").orderBy("at")))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import fraction_band, grid_cell
+from plumbline.operators.hull import widest_pairs
 
 
 def group_runs(entities: DataFrame, group: Sequence[str], member: str, order: str) -> DataFrame:
@@ -156,23 +157,11 @@ def mutual_pairs(pairs: DataFrame, left: str, right: str, distance: str) -> Data
 
 
 def widest_baseline(points: DataFrame, group: str, point_id: str) -> DataFrame:
-    """(group, i, j, bearing, baseline) of the two points of each group that lie farthest apart (ties by id).
-
-    An end of the widest pair is never dominated in all four quadrants, so only points that are maximal in
-    one of them are paired: few of many, found in one ordered pass per quadrant.
-    """
-    edge, flags = points, []
-    for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
-        w = Window.partitionBy(group).orderBy((a * F.col("x")).desc(), (b * F.col("y")).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        flag = f"__{a}_{b}".replace("-", "m")
-        edge = edge.withColumn(flag, F.coalesce(F.max(b * F.col("y")).over(w) >= b * F.col("y"), F.lit(False)))
-        flags.append(flag)
-    corners = edge.where(" or ".join(f"not {f}" for f in flags)).select(group, F.col(point_id).alias("i"), "x", "y")
-    met = corners.join(corners.withColumnsRenamed({"i": "j", "x": "x2", "y": "y2"}), group).where("i < j")
+    """(group, i, j, bearing, baseline) of the two points of each group that lie farthest apart (ties by id), i before j, by their convex hull."""
+    at = points.select(group, F.col(point_id).alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    met = widest_pairs(points, [group], point_id).join(at, [group, "i"]).join(at.withColumnsRenamed({"i": "j", "x": "x2", "y": "y2"}), [group, "j"])
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
-    best = met.groupBy(group).agg(F.min_by(F.struct("i", "j", dx.alias("dx"), dy.alias("dy")), F.struct(-(dx * dx + dy * dy), "i", "j")).alias("b"))
-    length = F.sqrt(F.col("b.dx") * F.col("b.dx") + F.col("b.dy") * F.col("b.dy"))
-    return best.select(group, "b.i", "b.j", F.degrees(F.atan2(F.col("b.dy"), F.col("b.dx"))).alias("bearing"), length.alias("baseline"))
+    return met.select(group, "i", "j", F.degrees(F.atan2(dy, dx)).alias("bearing"), F.sqrt(dx * dx + dy * dy).alias("baseline"))
 
 
 def tiered(entities: DataFrame, components: DataFrame, entity: str, kind: str, length: str, layer: str, consumed: Sequence[str], shortest: float = 0.01, crowd: int = 50) -> DataFrame:

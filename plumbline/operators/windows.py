@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +35,55 @@ def gap_segments(rows: DataFrame, group: Sequence[str], low: str, high: str, gap
     return rows.withColumn("__s", starts).withColumn("segment", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
 
 
-def spaced(rows: DataFrame, group: Sequence[str], value: str, tolerance: float) -> DataFrame:
-    """(group, value): values further than tolerance from the last kept one, in ascending order.
+def in_order(rows: DataFrame, group: Sequence[str], value: str, step: Callable, schema: str) -> DataFrame:
+    """A pass over each group's values in ascending order that holds only a state: rows of ``step`` by ``schema`` (group, then what it yields).
 
-    Equal values fold before the ordered pass; a group's distinct values are one array.
+    ``step(state, value)`` returns (new state, row or null); the state is null at a group's first value, and value is null at its end.
+    A group's rows come sorted to one task, which never holds more than a batch of them. Null values are left out.
     """
-    held = rows.groupBy(*group).agg(F.array_sort(F.collect_set(value)).alias("__v"))
-    empty = F.array().cast("array<double>")
-    kept = F.aggregate(
-        F.col("__v").cast("array<double>"), empty, lambda acc, v: F.when((F.size(acc) == 0) | (v - F.element_at(acc, -1) > tolerance), F.array_append(acc, v)).otherwise(acc)
-    )
-    return held.select(*group, F.explode(kept).alias(value))
+    keys = list(group)
+    sized = rows.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    ordered = (sized.repartition(*keys) if keys else sized.repartition(1)).sortWithinPartitions(*keys, "__v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, state, types, out = None, None, None, []
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*out))
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)] + [pa.array(c) for c in columns[len(types) :]]
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys]
+            owners = zip(*[batch.column(k).to_pylist() for k in keys]) if keys else iter(lambda: (), None)
+            for owner, v in zip(owners, batch.column("__v").to_pylist()):
+                if owner != here or state is None:
+                    if state is not None and (row := step(state, None)[1]) is not None:
+                        out.append((*here, *row))
+                    here, state = owner, None
+                state, row = step(state, v)
+                if row is not None:
+                    out.append((*owner, *row))
+            if out:
+                yield told()
+        if state is not None and (row := step(state, None)[1]) is not None:
+            out.append((*here, *row))
+            yield told()
+
+    made = ", ".join([f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys] + [schema])
+    names = [*keys, *[part.split()[0] for part in schema.split(", ")]]
+    return ordered.mapInArrow(run, made)
+
+
+def spaced(rows: DataFrame, group: Sequence[str], value: str, tolerance: float) -> DataFrame:
+    """(group, value): values further than tolerance from the last kept one, in ascending order; a pass that holds the last kept value."""
+    def step(last: float | None, v: float | None) -> tuple:
+        if v is None:
+            return last, None
+        return (v, (v,)) if last is None or v - last > tolerance else (last, None)
+
+    return in_order(rows, group, value, step, f"{value} double")
 
 
 def stable_runs(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: str, least: int) -> DataFrame:
@@ -64,19 +103,16 @@ def outlier_gap(rows: DataFrame, group: Sequence[str], value: str, ratio: float,
 
 
 def clustered_rows(rows: DataFrame, group: Sequence[str], value: str, width: float) -> DataFrame:
-    """(group, centre, n): ascending values join the current cluster while within width of its running mean."""
-    held = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("__v"))
-    start = F.array().cast("array<struct<total:double,n:bigint>>")
-
-    def step(acc: Column, v: Column) -> Column:
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (v - last["total"] / last["n"] <= width)
-        grown = F.struct((last["total"] + v).alias("total"), (last["n"] + 1).alias("n"))
-        fresh = F.struct(v.alias("total"), F.lit(1).cast("long").alias("n"))
-        return F.when(fits, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, fresh))
-
-    made = held.select(*group, F.explode(F.aggregate("__v", start, step)).alias("c"))
-    return made.select(*group, (F.col("c.total") / F.col("c.n")).alias("centre"), F.col("c.n").alias("n"))
+    """(group, centre, n): ascending values join the current cluster while within width of its running mean; a pass that holds one cluster."""
+    def step(cluster: tuple | None, v: float | None) -> tuple:
+        if v is None:
+            return cluster, (cluster[0] / cluster[1], cluster[1])
+        if cluster is None:
+            return (v, 1), None
+        total, n = cluster
+        return ((total + v, n + 1), None) if v - total / n <= width else ((v, 1), (total / n, n))
+
+    return in_order(rows, group, value, step, "centre double, n long")
 
 
 def consecutive(rows: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

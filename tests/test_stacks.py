@@ -136,21 +136,3 @@ def test_empty_drawings(spark):
     none = [spark.createDataFrame([], s) for s in (TAGS, HEADERS, BANDS)]
     got = stacks.match_stacks(*none, 4.0, ["rev"])
     assert [x.count() for x in got] == [0, 0, 0]
-
-
-def test_spaced_rows_equal_a_loop_across_batches(spark):
-    r = random.Random(1)
-    values = [(i % 3, r.randrange(4000) / 7) for i in range(3000)] + [(0, None), (4, 1.0)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
-    try:
-        got = sorted(map(tuple, stacks.spaced_rows(spark.createDataFrame(values, "g int, v double"), ["g"], "v", 1.5).collect()))
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    want = []
-    for g in (0, 1, 2, 4):
-        last = None
-        for v in sorted(v for k, v in values if k == g and v is not None):
-            if last is None or v - last > 1.5:
-                want.append((g, v))
-                last = v
-    assert got == sorted(want)
