@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.workers import ready_workers
+
 #: Points that a task holds of one group before it keeps their hull only.
 HELD = 1 << 16
 
@@ -72,6 +74,7 @@ def widest_pairs(points: DataFrame, group: Sequence[str], label: str) -> DataFra
 
     Points without coordinates or label are left out, and groups with fewer than two different places. Groups may have null keys.
     """
+    ready_workers(points.sparkSession)
     keys = list(group)
     rows = points.select(*keys, F.col(label).alias("__l"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("__l is not null and x is not null and y is not null")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.sources.tables import Scratch
+from plumbline.sources.workers import ready_workers
 
 #: Rounds whose results are one plan's union; then they are written as one table.
 PLAN_STEPS = 16
@@ -41,6 +42,7 @@ def in_order(rows: DataFrame, group: Sequence[str], value: str, step: Callable,
     ``step(state, value)`` returns (new state, row or null); the state is null at a group's first value, and value is null at its end.
     A group's rows come sorted to one task, which never holds more than a batch of them. Null values are left out.
     """
+    ready_workers(rows.sparkSession)
     keys = list(group)
     sized = rows.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
     ordered = (sized.repartition(*keys) if keys else sized.repartition(1)).sortWithinPartitions(*keys, "__v")
