@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-import plumbline
 from plumbline.sources.tables import Scratch, delete, table, written  # noqa: F401  (used by the operators)
+from plumbline.sources.workers import ready_workers  # noqa: F401
 
 #: Words everywhere in this package: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,23 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 1 << 20
 
 
-#: Applications whose Python workers have this package's code.
-_SHIPPED: set[str] = set()
-
-
-def ready_workers(spark: SparkSession) -> None:
-    """Ship this package to the Python workers, once."""
-    app, package = spark.sparkContext.applicationId, Path(plumbline.__file__).parent
-    if app in _SHIPPED or not package.is_dir():
-        return
-    archive = Path(tempfile.mkdtemp(prefix="spark-code-")) / "plumbline.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, str(Path("plumbline") / f.relative_to(package)))
-    spark.sparkContext.addPyFile(str(archive))
-    _SHIPPED.add(app)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches' rows in runs of about PIECE_BYTES of one column, a row at least."""
     for batch in batches:

@@ -41,7 +41,7 @@ from plumbline.llm.common import Scratch, pieces, ready_workers
 #: Bits of a set of words, pairs or triples: 8 MB each.
 BITS = 1 << 26
 #: Bytes of texts that a worker counts at once before it hands its counts on.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Bytes of a text that are taken up at once.
 PART = 1 << 20
 #: A-Z as a-z, tabs as spaces, and each mark that ends a piece as a line feed.
