@@ -2,14 +2,15 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path (tag names with their classes). For each
 path, text length per node and punctuation per node are taken, fused as their geometric mean, given to
-the path's nodes and smoothed along page order. What a path's own markup says (an element that is a menu,
-footer, form or the like, or whose class, id or role names one) and the share of its text inside links
-lower its value. Paths whose value reaches a threshold (a share of the values' standard deviation, and of
-the largest value) are content paths. The smallest element that holds most of the content paths' text is
-the content element; it grows to its enclosing article or main element where there is one. Its blocks
-are returned: all text but that of lowered paths below the threshold, and but menus, which are list
-items and rows of links that hold nothing else. The first unlowered h1 before an element without an own
-h1 or h2 is its headline.
+the path's nodes and smoothed along page order. The shares of its text inside links and menus lower a path's value, and so
+does what its own markup says where ratios can't tell, since it is prose too (an element that is a footer, form or the
+like, or whose class, id or role names one, an advert or a comment). Paths whose value reaches a threshold (a share of the values' standard deviation, and of the largest value) are content paths.
+The smallest element that holds most of the content paths' text is the content element; it grows to its enclosing
+article or main element where there is one. Its blocks are returned: all text but that of paths below the threshold
+which are lowered or in a menu, since nothing else of an article may go. Text outside of the content element belongs to it
+where its path's value is at least the mean of the element's content. Where there is no article, list items and rows of links
+that hold nothing else are menus too. The first h1 before an element without an own h1 or h2 that is neither lowered nor
+in a menu is its headline.
 
 A class or id counts only where all words of one of its names are such words or modifiers (``nav-menu`` and
 ``site-footer`` do, ``share-price`` and ``has-sidebar`` don't), and not on an element that holds the page's
@@ -42,14 +43,16 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-LOWERED_TAGS = frozenset("nav footer aside form button select option dialog menu".split())
+MENU_TAGS = frozenset("nav menu".split())
+LOWERED_TAGS = frozenset("footer aside form button select option dialog".split())
+MENU_WORDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager".split())
 LOWERED_WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar aside widget widgets rail "
+    "header masthead topbar footer foot bottombar sidebar aside widget widgets rail "
     "notice notices alert cookie cookies consent gdpr popup modal overlay banner promo promotion paywall disclaimer toast "
     "ad ads adv advert adverts advertisement advertising adsense adslot adsbygoogle adbox adunit adbanner adcontainer sponsor sponsored sponsors outbrain taboola dfp "
     "form login signin signup register subscribe subscription newsletter search searchbox "
     "comment comments commentlist disqus respond reply replies discussion "
-    "share sharing social sharebar related recommended recommendations trending toc pagination pager skip hidden copyright legal".split()
+    "share sharing social sharebar related recommended recommendations trending skip hidden copyright legal".split()
 )
 #: Words that only say where or how, so that a name made of them and LOWERED_WORDS is lowered.
 MODIFIERS = frozenset(
@@ -60,7 +63,8 @@ MODIFIERS = frozenset(
 )
 #: Words that make a class of a header its article's own.
 ARTICLE_WORDS = frozenset("article post entry story content page title".split())
-LOWERED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+MENU_ROLES = frozenset("navigation menu menubar".split())
+LOWERED_ROLES = frozenset("banner contentinfo complementary search form dialog alertdialog alert".split())
 KEEPERS = frozenset("html body main article h1".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -88,12 +92,13 @@ _PUNCTUATION = str.maketrans("", "", string.punctuation + "。、，；：？！
 
 
 class Element:
-    """An element of the page. ``path`` numbers its tag path; ``own`` says that its markup names what isn't article text."""
+    """An element of the page. ``path`` numbers its tag path; ``own`` says that its markup names what isn't article text,
+    ``named`` that it names a menu; ``lowered`` and ``menu`` that it does so itself or an element around it."""
 
-    __slots__ = ("tag", "parent", "path", "label", "own", "lowered", "unseen", "link", "article", "depth", "solid", "near", "mass", "keeps", "inside")
+    __slots__ = ("tag", "parent", "path", "label", "own", "named", "menu", "lowered", "unseen", "link", "article", "depth", "solid", "near", "mass", "keeps", "inside")
 
-    def __init__(self, tag: str, parent: Element | None, label: str, own: bool, paths: dict):
-        self.tag, self.parent, self.label, self.own = tag, parent, label, own
+    def __init__(self, tag: str, parent: Element | None, label: str, own: bool, paths: dict, named: bool = False):
+        self.tag, self.parent, self.label, self.own, self.named, self.menu = tag, parent, label, own, named, False
         self.path = paths.setdefault((parent.path if parent else -1, label), len(paths))
         self.unseen = tag in UNSEEN or (parent is not None and parent.unseen)
         self.link = tag == "a" or (parent is not None and parent.link)
@@ -127,33 +132,34 @@ def path_of(e: Element | None) -> str:
     return "/".join(reversed(labels))
 
 
-def _names_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """(whether the element's own markup says it isn't article text, its path label)."""
-    own = tag in LOWERED_TAGS or tag == "header" and not in_article
+def _names_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
+    """(whether the element's own markup says it isn't article text, whether it calls it a menu, its path label)."""
+    own, menu = tag in LOWERED_TAGS or tag == "header" and not in_article, tag in MENU_TAGS
     if not attributes or attributes.isspace() or attributes == "/":
-        return own, tag
+        return own, menu, tag
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     kind = found.get("class", "")
     label = f"{tag}.{'.'.join(kind.split())}" if kind.strip() else tag
-    if own or tag in ("html", "body"):
-        return own, label
+    if own or menu or tag in ("html", "body"):
+        return own, menu, label
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True, label
+        return True, False, label
     if tag in ("main", "h1"):
-        return False, label
-    if found.get("role", "").lower() in LOWERED_ROLES:
-        return True, label
+        return False, False, label
+    role = found.get("role", "").lower()
+    if role in LOWERED_ROLES or role in MENU_ROLES:
+        return role in LOWERED_ROLES, role in MENU_ROLES, label
     for name in _NAMES.split(f"{kind} {found.get('id', '')}"):
         words = {w.lower() for w in _WORDS.findall(name)}
-        lowered = words & LOWERED_WORDS
-        if not lowered or words - LOWERED_WORDS - MODIFIERS:
+        lowered, menus = words & LOWERED_WORDS, words & MENU_WORDS
+        if not (lowered or menus) or words - LOWERED_WORDS - MENU_WORDS - MODIFIERS:
             continue
-        if lowered == {"header"} and (in_article or words & ARTICLE_WORDS):
+        if lowered == {"header"} and not menus and (in_article or words & ARTICLE_WORDS):
             continue
-        return True, label
-    return False, label
+        return bool(lowered), not lowered, label
+    return False, False, label
 
 
 def parse(page: str, plain: bool = False) -> list[Node]:
@@ -211,7 +217,7 @@ def parse(page: str, plain: bool = False) -> list[Node]:
                 while e.tag != limit:
                     e = e.parent
                 at = close(e)
-        own, label = (False, tag) if plain else _names_boilerplate(tag, attributes, at.article is not None)
+        own, menu, label = (False, False, tag) if plain else _names_boilerplate(tag, attributes, at.article is not None)
         if tag in VOID:
             if tag == "br" and not at.unseen:
                 nodes.append(Node(at, " ", block))
@@ -224,7 +230,7 @@ def parse(page: str, plain: bool = False) -> list[Node]:
             pos = size if shut < 0 else shut + 1
             block += 1
             continue
-        at = Element(tag, at, label, own, paths)
+        at = Element(tag, at, label, own, paths, menu)
         elements.append(at)
         opened[tag] += 1
     if not plain:
@@ -233,7 +239,7 @@ def parse(page: str, plain: bool = False) -> list[Node]:
 
 
 def _lower(elements: list[Element], nodes: list[Node]) -> None:
-    """Say of each element whether markup lowers it: its own or an ancestor's, void where it holds the article and half the text."""
+    """Say of each element whether markup lowers it or calls it a menu: its own or an ancestor's, void where it holds the article and half the text."""
     for n in nodes:
         if not n.element.link:
             n.element.mass += n.size
@@ -244,8 +250,9 @@ def _lower(elements: list[Element], nodes: list[Node]) -> None:
             e.parent.keeps = e.parent.keeps or e.keeps
     total = elements[0].mass
     for e in elements:
-        own = e.own and not (e.keeps and e.tag != "article" and 2 * e.mass >= total > 0)
-        e.lowered = own or (e.parent is not None and e.parent.lowered)
+        void = e.keeps and e.tag != "article" and 2 * e.mass >= total > 0
+        e.lowered = e.own and not void or (e.parent is not None and e.parent.lowered)
+        e.menu = e.named and not void or (e.parent is not None and e.parent.menu)
 
 
 def joined_blocks(nodes: list[Node]) -> str:
@@ -258,13 +265,14 @@ def joined_blocks(nodes: list[Node]) -> str:
 
 
 def path_values(nodes: list[Node], smoothing: tuple[float, ...]) -> dict[tuple[int, bool], float]:
-    """The value of each path: fused ratios, smoothed along page order, lowered by markup and by the share of links."""
-    length, marks, links, count = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(int)
+    """The value of each path: fused ratios, smoothed along page order, lowered by markup and by the shares of links and menus."""
+    length, marks, links, menus, count = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(int)
     for n in nodes:
         p = n.path
         length[p] += n.size
         marks[p] += len(n.text) - len(n.text.translate(_PUNCTUATION))
         links[p] += n.size * n.element.link
+        menus[p] += n.size * n.element.menu
         count[p] += 1
     fused = {p: ((length[p] / count[p]) * (marks[p] / count[p] + 0.1)) ** 0.5 for p in count}
     raw = np.array([fused[n.path] for n in nodes])
@@ -274,27 +282,30 @@ def path_values(nodes: list[Node], smoothing: tuple[float, ...]) -> dict[tuple[i
     sums = defaultdict(float)
     for n, v in zip(nodes, smooth, strict=True):
         sums[n.path] += v
-    return {p: 0.5 * (s / count[p] + fused[p]) * (1 - links[p] / length[p]) * (LOWERED if p[1] else 1.0) for p, s in sums.items()}
+    return {p: 0.5 * (s / count[p] + fused[p]) * (1 - links[p] / length[p]) * (1 - (1 - LOWERED) * menus[p] / length[p]) * (LOWERED if p[1] else 1.0) for p, s in sums.items()}
 
 
-def content_paths(nodes: list[Node], threshold: float, smoothing: tuple[float, ...]) -> set[tuple[int, bool]]:
+def content_paths(nodes: list[Node], threshold: float, smoothing: tuple[float, ...]) -> dict[tuple[int, bool], float]:
     """The paths whose value reaches the threshold, by the values' standard deviation over nodes and by the largest value."""
     values = path_values(nodes, smoothing)
     spread = float(np.array([values[n.path] for n in nodes]).std())
     top = max(values.values())
     limit = min(max(threshold * spread, FLOOR * top), top)
-    return {p for p, v in values.items() if v >= limit}
+    return {p: v for p, v in values.items() if v >= limit}
 
 
 def main_text(page: str | None, threshold: float = 0.8, smoothing: tuple[float, ...] = (1, 2, 4, 2, 1), majority: float = 0.9) -> str:
     """The main text of one page."""
     nodes = [n for n in parse(page or "") if n.text]
     solid = [n for n in nodes if n.size]
-    if all(n.element.lowered for n in solid):
+    if all(n.element.lowered or n.element.menu for n in solid):
         return ""
     content = content_paths(solid, threshold, smoothing)
     chosen = _content_element(solid, content, majority)
-    within = [n for n in nodes if n.element.inside and (n.path in content or not n.element.lowered)]
+    own = [(content[n.path], n.size) for n in solid if n.element.inside and n.path in content]
+    mean = sum(v * k for v, k in own) / max(sum(k for _, k in own), 1)
+    beside = {p for p, v in content.items() if v >= mean * (1 - 1e-9)}
+    within = [n for n in nodes if (n.path in content or not (n.element.lowered or n.element.menu) if n.element.inside else n.path in beside)]
     links, sizes, anchors, prose = defaultdict(int), defaultdict(int), defaultdict(set), set()
     for n in within:
         sizes[n.block] += n.size
@@ -306,7 +317,8 @@ def main_text(page: str | None, threshold: float = 0.8, smoothing: tuple[float,
     listed = {n.block for n in within if _under(n.element, chosen, LISTS)}
     whole = chosen.tag in ("#root", "html", "body")
     accepted = {n.block for n in within if n.size and (n.path in content or not whole or n.element.tag in HEADINGS)}
-    menus = {b for b, n in sizes.items() if n and links[b] == n and b not in prose and (whole or len(anchors[b]) > 1 or b in listed)}
+    ours = chosen.article is None  # of an article nothing but what markup names is left out
+    menus = {b for b, n in sizes.items() if ours and n and links[b] == n and b not in prose and (whole or len(anchors[b]) > 1 or b in listed)}
     if accepted <= menus:
         menus = set()
     kept = [n for n in within if n.block in accepted and n.block not in menus]
@@ -321,12 +333,12 @@ def _headline(nodes: list[Node], within: list[Node], chosen: Element) -> list[No
     for n in nodes:
         if n.element.inside:
             break
-        if found is None and n.size and n.element.solid.tag == "h1" and not n.element.lowered:
+        if found is None and n.size and n.element.solid.tag == "h1" and not (n.element.lowered or n.element.menu):
             found = n.element.solid
     return [n for n in nodes if found is not None and n.element.solid is found]
 
 
-def _content_element(solid: list[Node], content: set[tuple[int, bool]], majority: float) -> Element:
+def _content_element(solid: list[Node], content: dict[tuple[int, bool], float], majority: float) -> Element:
     """The deepest element with the given share of the content text, grown to its article or main element; marks what is inside."""
     elements: dict[Element, float] = defaultdict(float)
     total = 0.0

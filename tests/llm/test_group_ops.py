@@ -178,7 +178,8 @@ BODY = " ".join(f"Sentence number {i}, with words in it, and more." for i in ran
         ("<div class='top'><a href=/>Home</a> <a href=/a>News</a></div><div class='x1'><h1>T</h1><p>{b}</p></div><div class='x2'><ul><li><a href=1>one</a></li></ul></div><div class='z'>Copyright, all.</div>", "T|{b}"),
         ("<article><header><h1>T</h1></header><p>{b}</p><aside>Ad, here.</aside><p>x</p><section id='comments'><p>{b}</p></section><footer>Tags: a, b</footer></article>", "T|{b}|x"),
         ("<body><div class='notice'>Down, sorry.</div><main><h1>T</h1><p>{b}</p><div class='newsletter'>Get news.<form><input></form></div><p>End.</p></main></body>", "T|{b}|End."),
-        ("<article><h1>T</h1><p><a href=x>{b}</a></p><ul><li><a>menu</a></li><li><a>items</a></li></ul><table><tr><td>1<td>2</table></article>", "T|{b}|1|2"),
+        ("<article><h1>T</h1><p><a href=x>{b}</a></p><ul><li><a>menu</a></li><li><a>items</a></li></ul><table><tr><td>1<td>2</table></article>", "T|{b}|menu|items|1|2"),
+        ("<article><h1>T</h1><p>{b}</p><ul><li><a>A</a></li><li><a>B</a></li></ul><p>{b}</p><div><a>C</a><a>D</a></div><nav><a>E</a> <a>F</a></nav><div class='breadcrumb'>G, h.</div></article>", "T|{b}|A|B|{b}|CD"),
         ("<article><h1>T</h1><div class='post-header'><h2>S</h2></div><p>{b}</p><ins class='adsbygoogle'>x</ins><!-- <p>gone</p> --><p hidden>y</p></article>", "T|S|{b}"),
         ("<nav><ul><li>a<article><h1>T</h1><p>{b}", "T|{b}"),
         ("<div id='content'><h1>T</h1><p>{b}</p></div><div id='disqus_thread'><p>{b}</p></div>", "T|{b}"),
