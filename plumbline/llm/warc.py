@@ -268,41 +268,80 @@ def split_warc(data: bytes) -> Iterator[bytes]:
         yield data[start:pos]
 
 
-def members(content: bytes) -> Iterator[bytes]:
-    """The gzip members of a file's bytes one after the other, or the bytes themselves; each is read in pieces, once.
+#: How the header of a gzip member begins.
+_GZIP = b"\x1f\x8b\x08"
 
-    Crawls write a member for each record. A member that ends early, or isn't one, ends the file.
+
+def members(content: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """(bytes, problem) of the gzip members of a file's bytes one after the other, or of the bytes themselves; each is read in pieces, once.
+
+    Crawls write a member for each record. Of a member that is damaged or ends early, what could be read is returned with the
+    problem, and reading goes on at the next member that can be read; zero bytes between members are padding, other bytes there are
+    a problem too.
     """
-    if content[:2] != b"\x1f\x8b":
-        yield content
+    if content[:2] != _GZIP[:2]:
+        yield content, None
         return
     pos = 0
-    while content[pos : pos + 2] == b"\x1f\x8b":
-        member, parts = zlib.decompressobj(31), []
+    while pos < len(content):
+        start = pos
+        if content[pos : pos + 2] != _GZIP[:2]:
+            pos = content.find(_GZIP, pos)
+            pos = len(content) if pos < 0 else pos
+            if content[start:pos].strip(b"\0"):
+                yield b"", f"{pos - start} bytes between gzip members at {start}"
+            continue
+        member, parts, wrong = zlib.decompressobj(31), [], None
         while not member.eof and pos < len(content):
             piece = content[pos : pos + MEMBER_BYTES]
             pos += len(piece)
             try:
                 parts.append(member.decompress(piece))
-            except zlib.error:
-                pos = len(content)
+            except zlib.error as said:
+                wrong = f"damaged gzip member at {start}: {said}"
                 break
-        pos -= len(member.unused_data)
-        yield b"".join(parts)
+        if member.eof:
+            pos -= len(member.unused_data)
+        else:
+            wrong = wrong or f"gzip member at {start} ends early"
+            pos = _next_member(content, start + 1)
+        yield b"".join(parts), wrong
+
+
+def _next_member(content: bytes, pos: int) -> int:
+    """Where the next member begins whose first bytes can be decompressed; the end if none does."""
+    while (pos := content.find(_GZIP, pos)) >= 0:
+        try:
+            zlib.decompressobj(31).decompress(content[pos : pos + 4096], 1 << 16)
+            return pos
+        except zlib.error:
+            pos += 1
+    return len(content)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record) of WARC files, plain or gzip; a file is read by one task, so files should be split as crawls do (1 GB).
+    """(path, record, problem) of WARC files, plain or gzip; a file is read by one task, so files should be split as crawls do (1 GB).
 
-    A worker holds a file's bytes and one member of it decompressed.
+    A row with a ``problem`` stands for what couldn't be read whole: its record is what there is of it (empty if nothing is), and the
+    records after it follow. A worker holds a file's bytes and one member of it decompressed.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(where: str, record: bytes, problem: str | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([where]), pa.array([record], type=pa.binary()), pa.array([problem], type=pa.string())], names=["path", "record", "problem"])
+
         for batch in batches:
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for record in (r for part in members(content) for r in split_warc(part)):
-                    yield pa.RecordBatch.from_arrays([pa.array([where]), pa.array([record], type=pa.binary())], names=["path", "record"])
+                for part, problem in members(content):
+                    records = list(split_warc(part)) if problem else split_warc(part)
+                    if problem:
+                        for record in records[:-1]:
+                            yield row(where, record, None)
+                        yield row(where, records[-1] if records else b"", problem)
+                        continue
+                    for record in records:
+                        yield row(where, record, None)
 
     ready_workers(spark)
-    return files.mapInArrow(run, "path string, record binary")
+    return files.mapInArrow(run, "path string, record binary, problem string")
