@@ -46,8 +46,8 @@ def whole_tokens(regex: str) -> tuple[str, ...]:
             name = str(op)
             if name == "LITERAL":
                 runs.append(chr(value))
-            elif name == "AT":
-                runs.append(" ")
+            elif name == "AT":  # a token may go on over what isn't a border
+                runs.append("\0" if "NON_BOUNDARY" in str(value) else " ")
             elif name == "SUBPATTERN":
                 walk(value[3])
             elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] == value[1] == 1:
