@@ -4,7 +4,8 @@ Bands are rings (arrays of x, y; closed or not) with a key; a band grown by ``bu
 that distance of its ring or inside it. A segment meets it in intervals of its length: those between the first and
 second, third and fourth ... crossing of its line with the ring, and one for each edge, the part within ``buffer`` of it.
 Intervals of one key are united before they are measured, so overlapping bands of a key count once. Pairs are found by
-grid cells in their group (a revision, a sheet) and measured edge by edge as rows; no cross join. Rings of fewer than
+the cells along segments and the grid level of a band's box in their group (a revision, a sheet); a ring is fetched once for each
+pair and measured edge by edge as rows; no cross join. Rings of fewer than
 three points are left out. Segments without length are left out, since they have nothing to attribute.
 """
 
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import grid_cell, inside_ring, point_segment_distance
-from plumbline.operators.grid import along
-from plumbline.operators.spatial import band_attribution, nearest_with_ties
+from plumbline.operators.grid import along, boxes_at
+from plumbline.operators.spatial import band_attribution, nearest_with_ties, ring_box
 from plumbline.sources.tables import written
 
 ENDS = ("x0", "y0", "x1", "y1")
@@ -78,15 +79,12 @@ def measured_overlaps(
     to them, for the keys at most ``reach`` away. A band without a key (null) is a key of its own."""
     wide = buffer + reach
     sized = segments.where((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1"))).select(*group, segment_id, *ENDS)
-    s = sized.withColumn("__cx", _cells(F.least("x0", "x1") - wide, F.greatest("x0", "x1") + wide, cell))
-    s = s.withColumn("__cy", _cells(F.least("y0", "y1") - wide, F.greatest("y0", "y1") + wide, cell))
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    b = bands.where(F.size(F.array_distinct("ring")) >= 3).select(*group, F.col(key).alias("__key"), "ring").distinct()
-    b = b.withColumn("__cx", _cells(F.array_min(xs), F.array_max(xs), cell)).withColumn("__cy", _cells(F.array_min(ys), F.array_max(ys), cell))
-    # A pair meets in many cells; it is kept in the one that holds both boxes' common lower corner.
-    s = s.withColumn("__sx", F.floor((F.least("x0", "x1") - wide) / cell)).withColumn("__sy", F.floor((F.least("y0", "y1") - wide) / cell))
-    b = b.withColumn("__bx", F.floor(F.array_min(xs) / cell)).withColumn("__by", F.floor(F.array_min(ys) / cell)).withColumn("__band", F.xxhash64("ring"))
-    met = s.join(b, [*group, "__cx", "__cy"]).where((F.col("__cx") == F.greatest("__sx", "__bx")) & (F.col("__cy") == F.greatest("__sy", "__by")))
+    rings = bands.where(F.size(F.array_distinct("ring")) >= 3).select(*group, F.col(key).alias("__key"), "ring").distinct().withColumn("__band", F.xxhash64("ring"))
+    # Lines under the cells along them on each level that a band's box is listed on; a pair meets in many cells and counts once.
+    boxes = boxes_at(rings.select(*group, "__band", ring_box(F.col("ring")).alias("box")).distinct(), cell)
+    near = along(sized.crossJoin(F.broadcast(boxes.select("__level").distinct())), cell, wide, level="__level")
+    pairs = near.join(boxes, [*group, "__level", "__cx", "__cy"]).select(*group, segment_id, *ENDS, "__band").distinct()
+    met = pairs.join(rings, [*group, "__band"])
     one = [*group, segment_id, "__key"]
     rows = _with_edge_measures(met.select(*one, "__band", *ENDS, F.inline(ring_edges(F.col("ring")))), buffer)
     near = F.struct(F.greatest(F.col("lo"), F.lit(0.0)).alias("lo"), F.least(F.col("hi"), F.lit(1.0)).alias("hi"))

@@ -21,13 +21,14 @@ def cell_of(v: Column, size: float | Column) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def along(lines: DataFrame, cell: float, margin: float = 0.0, ends: Sequence[str] = ENDS, cx: str = "__cx", cy: str = "__cy") -> DataFrame:
+def along(lines: DataFrame, cell: float, margin: float = 0.0, ends: Sequence[str] = ENDS, cx: str = "__cx", cy: str = "__cy", level: str | None = None) -> DataFrame:
     """The lines' rows under each cell that the line, widened by ``margin``, touches: about length / cell * 2 rows.
 
-    A line without all its coordinates has no row.
+    With ``level``, a column, the cells are those of that level of the pyramid. A line without all its coordinates has no row.
     """
     x0, y0, x1, y1 = (F.col(c) for c in ends)
-    pad, size = margin + cell * SLACK, F.lit(float(cell))
+    size = F.lit(float(cell)) if level is None else F.lit(float(cell)) * F.pow(F.lit(2.0), F.col(level))
+    pad = F.lit(margin) + size * SLACK
     span = lambda low, high: F.explode(F.sequence(cell_of(low - pad, size), cell_of(high + pad, size)))
     columns = lines.where(x0.isNotNull() & y0.isNotNull() & x1.isNotNull() & y1.isNotNull()).withColumn(cx, span(F.least(x0, x1), F.greatest(x0, x1)))
     inside = lambda x: F.least(F.greatest(x, F.least(x0, x1)), F.greatest(x0, x1))

@@ -154,11 +154,11 @@ def slim_documents(t: Tables) -> DataFrame:
     return normalize.slim_document(whole, ["lines"])
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_suppkey % 5 = 2")
 def versioned_rows(t: Tables) -> DataFrame:
     """Derived rows of one algorithm version."""
-    rows = t.nation.withColumn("algo_version", F.concat(F.lit("v"), F.col("n_regionkey").cast("string")))
-    return tables.versioned_scan(rows, "v2").select("n_nationkey", "n_name")
+    rows = t.lineitem.withColumn("algo_version", F.concat(F.lit("v"), (F.col("l_suppkey") % 5).cast("string")))
+    return tables.versioned_scan(rows, "v2").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query(r"""

@@ -340,10 +340,10 @@ def csv_export(t: Tables) -> DataFrame:
     return tables.csv_rows(t.part, {"id": F.col("p_partkey"), "brand": F.col("p_brand"), "size": F.col("p_size")}, ["p_partkey"])
 
 
-@query("""SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS document FROM nation""")
+@query("""SELECT '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS document FROM customer""")
 def json_export(t: Tables) -> DataFrame:
     """Canonical JSON, keys sorted."""
-    return tables.json_rows(t.nation, ["n_regionkey", "n_nationkey", "n_name"])
+    return tables.json_rows(t.customer, ["c_nationkey", "c_custkey", "c_name", "c_mktsegment"])
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS checksum_sha256 FROM documents")
