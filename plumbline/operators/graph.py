@@ -180,6 +180,7 @@ def _pairs_of_components(rest: DataFrame, left: str, right: str, small: int) ->
 def greedy_pairs(candidates: DataFrame, cost: str, left: str = "i", right: str = "j", small: int = 10_000, rounds: int = 4) -> DataFrame:
     """Pairs taken greedily by (cost, i, j), each end used once: in rounds, pairs that are the best of both ends are taken.
 
+    Both ends have one type; structs name their fields alike.
     After some rounds what is left is cut into the candidates that reach each other: those of at most ``small`` are settled in
     order, each such part in a task of its own, and the rounds go on with the larger ones until none is left.
     """

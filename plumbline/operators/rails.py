@@ -67,8 +67,8 @@ def centreline_parts(segments: DataFrame, segment_id: str, group: Sequence[str]
     with Scratch(segments.sparkSession) as scratch:
         rails_ = scratch.table(sized.where((F.col("__how") == "derived") & (F.col("l") > rung)).select(*group, segment_id, *ENDS, "l"), "rails", keep=True)
         found = scratch.table(rail_candidates(rails_, segment_id, group, **options).select(*group, "i", "j", "perp", "midline"), "candidates", keep=True)
-        whole = lambda end: F.struct(*group, end).alias(end)
-        won = greedy_pairs(found.select(whole("i"), whole("j"), "perp"), "perp").select(*[F.col(f"i.{g}").alias(g) for g in group], F.col("i.i").alias("i"), F.col("j.j").alias("j"))
+        whole = lambda end: F.struct(*group, F.col(end).alias("end")).alias(end)
+        won = greedy_pairs(found.select(whole("i"), whole("j"), "perp"), "perp").select(*[F.col(f"i.{g}").alias(g) for g in group], F.col("i.end").alias("i"), F.col("j.end").alias("j"))
         pairs = scratch.table(won.join(found, [*group, "i", "j"]).select(*group, "i", "j", "midline"), "pairs", keep=True)
     line = pairs.select(*group, F.lit("midline").alias("kind"), "midline.*")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")

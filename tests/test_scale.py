@@ -1,6 +1,7 @@
 """Queries and joins on tables whose rows grow while their places, groups or types stay."""
 
 from plumbline import registry
+from plumbline.operators import rails
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +12,14 @@ def test_next_revision_is_of_the_parts(spark):
     layer = lambda r: {"added": "added", "changed": "new"}.get(effect(r["p_size"]), r["p_brand"])
     want = sorted((r["p_partkey"], layer(r)) for r in parts if effect(r["p_size"]) != "removed")
     assert sorted(map(tuple, registry.queries()["next_revision"](spark, SF).collect())) == want
+
+
+def test_rails_of_several_sheets_pair_over_many_rounds(spark):
+    """Each line waits for the one before: more rounds than are made before the rest is cut into parts."""
+    at = [0.0]
+    for k in range(13):
+        at.append(at[-1] + 0.05 + k * 0.01)
+    rows = [(sheet, k, 0.0, y, 10.0, y) for sheet in (1, 2) for k, y in enumerate(at)]
+    lines = spark.createDataFrame(rows, "sheet int, rail int, x0 double, y0 double, x1 double, y1 double")
+    got = rails.centrelines(lines, "rail", ["sheet"]).select("sheet", "n_pairs", "n_unpaired").collect()
+    assert sorted(map(tuple, got)) == [(1, 7, 0), (2, 7, 0)]
