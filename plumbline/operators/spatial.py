@@ -3,7 +3,9 @@
 Radius joins put both sides on a grid of cells as wide as the radius; the smaller-cardinality side is
 listed under its nine neighbouring cells and the join is an equi-join on the cell. Lines are listed under the
 cells along them, boxes on the level of a pyramid of grids that fits their size (``grid``). No cross join of
-sides that grow, and no broadcast of one. ``group``
+sides that grow, and no broadcast of one: what is listed under several cells is larger than Spark reckons, so such
+joins ask for a merge. Rows at one place have one answer: a search is made once for each place, and of the others at
+one place only the first can win. ``group``
 columns (a revision, a sheet) keep drawings apart: rows meet only within their group, and results carry it.
 Rows with a null group or without coordinates meet nothing; left sides keep them with nulls.
 """
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import box_distance_squared, distance, inside_ring, point_segment_distance
 from plumbline.operators.grid import along, boxes_at, levels_of, points_at, ring_lines
+from plumbline.sources.tables import Scratch
+
+#: Rooms listed under one cell that are tried at once; of more, the smallest come first, four times as many in each round.
+ROOMS_AT_ONCE = 64
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -37,28 +43,34 @@ def within_radius(points: DataFrame, others: DataFrame, radius: float, group: Se
     right = others.withColumnsRenamed({"x": "other_x", "y": "other_y"})
     cx, cy = _around(F.col("other_x"), F.col("other_y"), radius)
     right = right.withColumn("__cx", cx).withColumn("__cy", cy)
-    met = left.join(right, [*group, "__cx", "__cy"]).withColumn("distance", distance(F.col("x"), F.col("y"), F.col("other_x"), F.col("other_y")))
+    met = left.join(right.hint("merge"), [*group, "__cx", "__cy"]).withColumn("distance", distance(F.col("x"), F.col("y"), F.col("other_x"), F.col("other_y")))
     return met.where(F.col("distance") <= radius).drop("__cx", "__cy")
 
 
+def _places(points: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, x, y): the places of the points, each once."""
+    return points.select(*group, "x", "y").where("x is not null and y is not null").distinct()
+
+
 def nearest_within(points: DataFrame, others: DataFrame, radius: float, point_id: str, order: Sequence[str], pick: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """The nearest other of each point (ties by order); points with none in reach have nulls."""
-    met = within_radius(points, others, radius, group)
-    one = [*group, point_id]
-    best = met.groupBy(*one).agg(F.min_by(F.struct(*pick, "distance"), F.struct("distance", *order)).alias("__b"))
-    return points.join(best, one, "left").select(*points.columns, *[F.col(f"__b.{c}").alias(c) for c in [*pick, "distance"]])
+    at = [*group, "x", "y"]
+    firsts = others.groupBy(*at).agg(F.min(F.struct(*order)).alias("__o"), F.min_by(F.struct(*pick), F.struct(*order)).alias("__p"))
+    met = within_radius(_places(points, group), firsts, radius, group)
+    best = met.groupBy(*at).agg(F.min_by(F.struct("__p", "distance"), F.struct("distance", "__o")).alias("__b"))
+    return points.join(best.hint("merge"), at, "left").select(*points.columns, *[F.col(f"__b.__p.{c}").alias(c) for c in pick], F.col("__b.distance").alias("distance"))
 
 
 def nearest_with_ties(
     points: DataFrame, others: DataFrame, radius: float, point_id: str, choose: Sequence[str], eps: float = 1e-9, group: Sequence[str] = ()
 ) -> DataFrame:
     """As nearest_within, where all within eps of the true minimum tie and the smallest in ``choose`` wins; ``tied`` says so."""
-    one = [*group, point_id]
-    met = within_radius(points, others, radius, group)
-    low = met.groupBy(*one).agg(F.min("distance").alias("__low"))
-    ties = met.join(low, one).where(F.col("distance") <= F.col("__low") + eps)
-    best = ties.groupBy(*one).agg(F.min(F.struct(*choose)).alias("__c"), F.min("distance").alias("distance"), (F.count("*") > 1).alias("tied"))
-    return points.join(best, one, "left").select(*[points[c] for c in points.columns], *[F.col(f"__c.{c}").alias(c) for c in choose], "distance", "tied")
+    at = [*group, "x", "y"]
+    firsts = others.groupBy(*at).agg(F.min(F.struct(*choose)).alias("__c"), F.count("*").alias("__n"))
+    met = within_radius(_places(points, group), firsts, radius, group).withColumn("__low", F.min("distance").over(Window.partitionBy(*at)))
+    ties = met.where(F.col("distance") <= F.col("__low") + eps)
+    best = ties.groupBy(*at).agg(F.min("__c").alias("__c"), F.min("distance").alias("distance"), (F.sum("__n") > 1).alias("tied"))
+    return points.join(best.hint("merge"), at, "left").select(*[points[c] for c in points.columns], *[F.col(f"__c.{c}").alias(c) for c in choose], "distance", "tied")
 
 
 def nearest_run(tags: DataFrame, segments: DataFrame, radius: float, tag_id: str, run: str, eps: float = 1e-9, group: Sequence[str] = ()) -> DataFrame:
@@ -66,22 +78,22 @@ def nearest_run(tags: DataFrame, segments: DataFrame, radius: float, tag_id: str
 
     Segments (x0, y0, x1, y1) are listed under the cells along them that the radius reaches.
     """
-    one = [*group, tag_id]
+    one = [*group, "x", "y"]
     s = along(segments, radius, radius)
-    t = tags.withColumn("__cx", _cell(F.col("x"), radius)).withColumn("__cy", _cell(F.col("y"), radius))
+    t = _places(tags, group).withColumn("__cx", _cell(F.col("x"), radius)).withColumn("__cy", _cell(F.col("y"), radius))
     d = point_segment_distance(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])
     per_run = t.join(s, [*group, "__cx", "__cy"]).withColumn("distance", d).where(F.col("distance") <= radius).groupBy(*one, run).agg(F.min("distance").alias("distance"))
     w = Window.partitionBy(*one)
     near = per_run.withColumn("__low", F.min("distance").over(w)).where(F.col("distance") <= F.col("__low") + eps)
     best = near.groupBy(*one).agg(F.min(run).alias(run), F.min("distance").alias("distance"), (F.count("*") > 1).alias("ambiguous"))
-    return tags.join(best, one, "left").select(*tags.columns, run, "distance", "ambiguous")
+    return tags.join(best.hint("merge"), one, "left").select(*tags.columns, run, "distance", "ambiguous")
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, cell: float, group: Sequence[str] = ()) -> DataFrame:
     """Point and box pairs, edges included; boxes have a ``box`` struct of min_x, min_y, max_x, max_y."""
     b, p = boxes_at(boxes, cell), points_at(points, levels_of(boxes, cell), cell)
     inside = F.col("x").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("y").between(F.col("box.min_y"), F.col("box.max_y"))
-    return p.join(b, [*group, "__level", "__cx", "__cy"]).where(inside).drop("__level", "__cx", "__cy")
+    return p.join(b.hint("merge"), [*group, "__level", "__cx", "__cy"]).where(inside).drop("__level", "__cx", "__cy")
 
 
 def ring_box(ring: Column) -> Column:
@@ -96,13 +108,46 @@ def smallest_room(points: DataFrame, rooms: DataFrame, cell: float, point_id: st
     """The smallest room (area, then id) whose ring contains the point, its boundary included; null outside all rooms.
 
     Points meet rooms by their boxes; rings are fetched for those that meet, so a ring isn't copied for each of its cells.
+    Where a cell lists many rooms, they are tried by size in rounds, and a place that has a room meets no larger ones.
     """
     one = [*group, point_id]
     boxed = rooms.select(*group, room, "area", ring_box(F.col("ring")).alias("box"))
+    lists = [*group, "__level", "__cx", "__cy"]
+    if not boxes_at(boxed, cell).groupBy(*lists).count().where(F.col("count") > ROOMS_AT_ONCE).isEmpty():
+        best = _rooms_by_size(_places(points, group), boxed, rooms.select(*group, room, "ring"), cell, room, group)
+        return points.join(best.hint("merge"), [*group, "x", "y"], "left").select(*points.columns, room)
     near = in_boxes(points.select(*one, "x", "y"), boxed, cell, group)
-    met = near.join(rooms.select(*group, room, "ring"), [*group, room]).where(inside_ring(F.col("x"), F.col("y"), F.col("ring")))
+    met = near.join(rooms.select(*group, room, "ring").hint("merge"), [*group, room]).where(inside_ring(F.col("x"), F.col("y"), F.col("ring")))
     best = met.groupBy(*one).agg(F.min_by(F.col(room), F.struct("area", room)).alias(room))
-    return points.join(best, one, "left").select(*points.columns, room)
+    return points.join(best.hint("merge"), one, "left").select(*points.columns, room)
+
+
+def _rooms_by_size(places: DataFrame, boxed: DataFrame, rings: DataFrame, cell: float, room: str, group: Sequence[str]) -> DataFrame:
+    """(group, x, y, room): the smallest room of the places that one holds.
+
+    The rooms of a cell's list are cut by size into blocks; in its round a block meets the places that have no room or one that is larger than the
+    block's smallest.
+    """
+    lists, at = [*group, "__level", "__cx", "__cy"], [*group, "x", "y"]
+    size = F.struct("area", room)
+    with Scratch(places.sparkSession) as s:
+        rank = F.row_number().over(Window.partitionBy(*lists).orderBy("area", room))
+        block = F.ceil(F.log2(F.greatest(rank / ROOMS_AT_ONCE, F.lit(1.0))) / 2).cast("int")
+        listed = s.table(boxes_at(boxed, cell).withColumn("__block", block), "listed")
+        rings = s.table(rings, "rings")
+        smallest = s.table(listed.groupBy(*lists, "__block").agg(F.min(size).alias("__low")), "blocks")
+        last = smallest.agg(F.max("__block")).first()[0]
+        known = s.table(places.withColumn("__best", F.lit(None).cast(smallest.schema["__low"].dataType)), "places", keep=last is None)
+        levels = levels_of(boxed, cell)
+        for i in range(-1 if last is None else last + 1):
+            own, first = listed.where(F.col("__block") == i).drop("__block"), smallest.where(F.col("__block") == i).drop("__block")
+            open_ = points_at(known, levels, cell).join(first.hint("merge"), lists).where(F.col("__best").isNull() | (F.col("__low") < F.col("__best")))
+            inside = F.col("x").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("y").between(F.col("box.min_y"), F.col("box.max_y"))
+            near = open_.join(own.hint("merge"), lists).where(inside & (F.col("__best").isNull() | (size < F.col("__best")))).select(*at, room, "area")
+            met = near.join(rings.hint("merge"), [*group, room]).where(inside_ring(F.col("x"), F.col("y"), F.col("ring")))
+            found = met.groupBy(*at).agg(F.min(size).alias("__found"))
+            known = s.table(known.join(found.hint("merge"), at, "left").select(*at, F.least("__best", "__found").alias("__best")), "places", keep=i == last)
+    return known.where("__best is not null").select(*at, F.col(f"__best.{room}").alias(room))
 
 
 def box_filter(rows: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float, box: str = "box") -> DataFrame:
@@ -125,10 +170,10 @@ def contained_or_nearest(points: DataFrame, devices: DataFrame, radius: float, p
             (F.col("box.max_x") + radius).alias("max_x"), (F.col("box.max_y") + radius).alias("max_y"),
         ),
     ).withColumnRenamed("box", "__own").withColumnRenamed("__box", "box")
-    one = [*group, point_id]
-    met = in_boxes(points, grown, radius * 4, group).withColumn("__d", box_distance_squared(F.col("x"), F.col("y"), F.col("__own"))).where(F.col("__d") <= radius * radius)
+    one = [*group, "x", "y"]
+    met = in_boxes(_places(points, group), grown, radius * 4, group).withColumn("__d", box_distance_squared(F.col("x"), F.col("y"), F.col("__own"))).where(F.col("__d") <= radius * radius)
     best = met.groupBy(*one).agg(F.min(F.struct((F.col("__d") > 0).alias("outside"), F.col("__d").alias("d"), F.col(device_id))).alias("__b"))
-    return points.join(best, one, "left").select(*points.columns, F.col(f"__b.{device_id}").alias(device_id), (~F.col("__b.outside")).alias("contained"))
+    return points.join(best.hint("merge"), one, "left").select(*points.columns, F.col(f"__b.{device_id}").alias(device_id), (~F.col("__b.outside")).alias("contained"))
 
 
 def bounded_voronoi(points: DataFrame, anchors: DataFrame, margin: float, point_id: str, number: str, group: Sequence[str], radius: float) -> DataFrame:

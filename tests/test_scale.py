@@ -1,7 +1,7 @@
 """Queries and joins on tables whose rows grow while their places, groups or types stay."""
 
 from plumbline import registry
-from plumbline.operators import rails
+from plumbline.operators import rails, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +23,30 @@ def test_rails_of_several_sheets_pair_over_many_rounds(spark):
     lines = spark.createDataFrame(rows, "sheet int, rail int, x0 double, y0 double, x1 double, y1 double")
     got = rails.centrelines(lines, "rail", ["sheet"]).select("sheet", "n_pairs", "n_unpaired").collect()
     assert sorted(map(tuple, got)) == [(1, 7, 0), (2, 7, 0)]
+
+
+def test_a_search_is_made_once_for_each_place(spark):
+    """A thousand points and a thousand others at four places each: the join has a row for each pair of places."""
+    points = spark.range(1000).selectExpr("id AS p", "cast(id % 4 AS double) AS x", "0D AS y")
+    others = spark.range(1000).selectExpr("id + 5 AS o", "cast(id % 4 AS double) AS x", "1D AS y", "id % 7 AS s")
+    plan = spatial.within_radius(spatial._places(points, []), others.groupBy("x", "y").count(), 2.0)
+    assert plan.count() <= 16
+    got = spatial.nearest_within(points, others, 2.0, "p", ["o"], ["o"])
+    assert {tuple(r) for r in got.select("p", "o", "distance").collect()} == {(i, i % 4 + 5, 1.0) for i in range(1000)}
+    tied = spatial.nearest_with_ties(points, others, 2.0, "p", ["s"])
+    assert {tuple(r) for r in tied.select("p", "s", "tied").collect()} == {(i, 0, True) for i in range(1000)}
+
+
+def test_crowded_rooms_are_tried_by_size(spark, monkeypatch):
+    """Rooms in heaps, with equal areas and a place in no room, against a loop; the rounds are made and what they leave is right."""
+    made = []
+    own = spatial._rooms_by_size
+    monkeypatch.setattr(spatial, "ROOMS_AT_ONCE", 4)
+    monkeypatch.setattr(spatial, "_rooms_by_size", lambda *a: made.append(1) or own(*a))
+    boxes = [(i, i % 3 * 1.0, i * 7 % 20 * 1.0, 3.0 + i * 5 % 11, 2.0 + i % 4) for i in range(150)]
+    rooms = spark.createDataFrame([(i, [(x, y), (x + w, y), (x + w, y + h), (x, y + h)], w * h) for i, x, y, w, h in boxes], "room_id long, ring array<struct<x:double,y:double>>, area double")
+    spots = [(k, k % 12 + 0.5, k % 29 * 0.75) for k in range(200)] + [(200, 90.0, 90.0), (201, None, 1.0)]
+    points = spark.createDataFrame(spots, "p long, x double, y double")
+    held = lambda x, y: min(((w * h, i) for i, a, b, w, h in boxes if x is not None and a <= x <= a + w and b <= y <= b + h), default=(None, None))[1]
+    got = {r["p"]: r["room_id"] for r in spatial.smallest_room(points, rooms, 4.0, "p").collect()}
+    assert made and got == {k: held(x, y) for k, x, y in spots}
