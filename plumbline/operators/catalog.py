@@ -20,18 +20,20 @@ def select_as_of(
 
     Entries of the request's project win over global ones (project null) even where both are valid; more
     than one entry in the winning scope is ``ambiguous`` and none is ``missing``, never an arbitrary pick.
-    Superseded entries must be filtered out before (``without_superseded``).
+    Superseded entries must be filtered out before (``without_superseded``). Each project and date is looked up once for a key,
+    and entries of one window are counted before: the work grows with the different ones, not with requests times entries.
     """
-    r, e = requests.alias("r"), entries.alias("e")
-    same = [F.col(f"r.{k}") == F.col(f"e.{k}") for k in key]
-    valid = valid_as_of(F.col(f"r.{as_of}"), F.col("e.effective_start"), F.col("e.effective_end"))
-    scope = F.col(f"e.{project}").isNull() | (F.col(f"e.{project}") == F.col(f"r.{project}"))
-    own = F.col(f"e.{project}").isNotNull()
-    met = r.join(e, [*same, valid, scope]).groupBy(F.col(f"r.{request_id}").alias(request_id)).agg(
-        *[F.count_if(c).alias(f"n_{n}") for n, c in (("own", own), ("all", F.lit(True)))],
-        *[F.min(F.when(c, F.col(f"e.{v}"))).alias(f"{n}_{v}") for n, c in (("own", own), ("any", ~own)) for v in ("entry_id", "value")],
-    )
-    joined = requests.join(met, request_id, "left")
+    windows = entries.groupBy(*key, project, "effective_start", "effective_end").agg(F.count("*").alias("n"), F.min("entry_id").alias("entry_id"), F.min("value").alias("value"))
+
+    def valid(name: str, of: DataFrame, on: Sequence[str]) -> DataFrame:
+        asked = requests.select(*on, as_of).distinct()
+        met = asked.join(of, list(on)).where(valid_as_of(F.col(as_of), F.col("effective_start"), F.col("effective_end")))
+        return met.groupBy(*on, as_of).agg(F.sum("n").alias(f"n_{name}"), F.min("entry_id").alias(f"{name}_entry_id"), F.min("value").alias(f"{name}_value"))
+
+    own = valid("own", windows.where(F.col(project).isNotNull()), [*key, project])
+    global_ = valid("any", windows.where(F.col(project).isNull()).drop(project), key)
+    joined = requests.join(own, [*key, project, as_of], "left").join(global_, [*key, as_of], "left")
+    joined = joined.withColumn("n_all", F.nullif(F.coalesce("n_own", F.lit(0)) + F.coalesce("n_any", F.lit(0)), F.lit(0)))
     n = F.when(F.col("n_own") > 0, F.col("n_own")).otherwise(F.col("n_all"))
     status = F.when(n.isNull(), "missing").when(n > 1, "ambiguous").otherwise("selected")
     pick = lambda v: F.when(status == "selected", F.coalesce(f"own_{v}", f"any_{v}")).alias(v)
@@ -86,14 +88,16 @@ def select_formulas(requests: DataFrame, formulas: DataFrame, request_id: str, p
     """(request columns, entry_id, status) of formulas by id and, where the request names one, version.
 
     Formulas have entry_id, formula_id, version, project_id (null for global). The request's project wins over global ones; without a
-    version the newest of the winning scope is meant. ``missing`` and ``ambiguous`` (one version twice in the winning scope) have no entry.
+    version the newest of the winning scope is meant. Equal requests are looked up once, formulas of one version and scope counted before. ``missing`` and ``ambiguous`` (one version twice in the winning scope) have no entry.
     """
-    f = formulas.select("entry_id", F.col("formula_id").alias("__f"), F.col("version").alias("__v"), F.col(project).alias("__p"))
+    asked = ["formula_id", "version", project]
+    f = formulas.groupBy(F.col("formula_id").alias("__f"), F.col("version").alias("__v"), F.col(project).alias("__p")).agg(F.min("entry_id").alias("entry_id"), F.count("*").alias("n"))
     wanted = F.col("version").isNull() | (F.col("version") == F.col("__v"))
-    met = requests.join(f, (F.col("formula_id") == F.col("__f")) & wanted & (F.col("__p").isNull() | (F.col("__p") == F.col(project))))
-    ranked = met.withColumn("__rank", F.struct(F.col("__p").isNotNull().alias("own"), F.col("__v").alias("v")))
-    best = ranked.groupBy(request_id, "__rank").agg(F.min("entry_id").alias("entry_id"), F.count("*").alias("n")).groupBy(request_id).agg(F.max_by(F.struct("entry_id", "n"), "__rank").alias("b"))
-    out = requests.join(best, request_id, "left")
+    met = requests.select(*asked).distinct().join(f, (F.col("formula_id") == F.col("__f")) & wanted & (F.col("__p").isNull() | (F.col("__p") == F.col(project))))
+    rank = F.struct(F.col("__p").isNotNull().alias("own"), F.col("__v").alias("v"))
+    best = met.groupBy(*asked).agg(F.max_by(F.struct("entry_id", "n"), rank).alias("b")).withColumnsRenamed({c: f"__{i}" for i, c in enumerate(asked)})
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(asked)]
+    out = requests.join(best, same, "left")
     status = F.when(F.col("b").isNull(), "missing").when(F.col("b.n") > 1, "ambiguous").otherwise("selected")
     return out.select(*requests.columns, F.when(status == "selected", F.col("b.entry_id")).alias("entry_id"), status.alias("status"))
 

@@ -1,7 +1,7 @@
 """Queries and joins on tables whose rows grow while their places, groups or types stay."""
 
 from plumbline import registry
-from plumbline.operators import rails, spatial
+from plumbline.operators import catalog, rails, spatial, stacks, takeoff
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +50,41 @@ def test_crowded_rooms_are_tried_by_size(spark, monkeypatch):
     held = lambda x, y: min(((w * h, i) for i, a, b, w, h in boxes if x is not None and a <= x <= a + w and b <= y <= b + h), default=(None, None))[1]
     got = {r["p"]: r["room_id"] for r in spatial.smallest_room(points, rooms, 4.0, "p").collect()}
     assert made and got == {k: held(x, y) for k, x, y in spots}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_listed_under_cells_are_not_broadcast(spark, tmp_path):
+    """Small files, whose rows are listed under many cells: Spark reckons by the files."""
+    spark.range(100).selectExpr("id", "cast(id AS double) AS x", "0D AS y").write.parquet(f"{tmp_path}/p")
+    p = spark.read.parquet(f"{tmp_path}/p")
+    assert "Broadcast" not in _plan(spatial.within_radius(p.select("id", "x", "y"), p.select(p["id"].alias("o"), "x", "y"), 2.0))
+    bands = p.selectExpr("id AS d", "'red' AS colour", "named_struct('min_x', x, 'min_y', y, 'max_x', x + 9, 'max_y', y + 1) AS box")
+    lines = p.selectExpr("id AS d", "'x' AS axis", "x AS at", "1 AS line")
+    assert "Broadcast" not in _plan(stacks.bundle_readings(bands, lines, 1.0, 0.5, 0.1, ["d"]))
+
+
+def test_catalogs_with_many_equal_requests_and_entries(spark):
+    """400,000 requests of one key and 100,000 entries: not requests times entries (40,000,000,000 pairs before)."""
+    day = "date'2024-01-01'"
+    requests = spark.range(400000).selectExpr("id AS r", "'k' AS item", "id % 3 AS project_id", f"date_add({day}, cast(id % 10 AS int)) AS as_of")
+    entries = spark.range(100000).selectExpr("id AS entry_id", "'k' AS item", "CASE WHEN id > 0 THEN id % 2 END AS project_id", f"date_add({day}, cast(CASE WHEN id < 3 THEN 5 ELSE 20 END AS int)) AS effective_start", "cast(NULL AS date) AS effective_end", "id * 1.0 AS value")
+    got = catalog.select_as_of(requests, entries, ["item"], "r").groupBy(requests["project_id"], "as_of", "entry_id", "status").count()
+    want = {(p, d, None if d < 5 else (2, 1, 0)[p], "missing" if d < 5 else "selected") for p in range(3) for d in range(10)}
+    assert {(r[0], r[1].day - 1, r[2], r[3]) for r in got.collect()} == want
+    formulas = entries.selectExpr("entry_id", "'k' AS formula_id", "least(entry_id, 9) AS version", "project_id")
+    asked = requests.selectExpr("r", "'k' AS formula_id", "project_id", "CASE WHEN r % 2 = 0 THEN 3 END AS version")
+    got = catalog.select_formulas(asked, formulas, "r").groupBy("project_id", "version", "entry_id", "status").count()
+    ambiguous, missing = (None, "ambiguous"), (None, "missing")
+    assert {tuple(r)[:4] for r in got.collect()} == {(p, v, *x) for p, v, x in [(0, 3, missing), (1, 3, (3, "selected")), (2, 3, missing), (0, None, ambiguous), (1, None, ambiguous), (2, None, (0, "selected"))]}
+
+
+def test_texts_above_numbers_of_one_place(spark):
+    numbers = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 59.0, 119.0)], "n long, x double, y double").selectExpr("1 AS g", "*")
+    names = spark.createDataFrame([(1, 60.0, 1.0, "a"), (2, -60.0, 120.0, "b"), (3, 61.0, 5.0, "c"), (4, 0.0, 121.0, "d"), (5, 0.0, 0.0, "e")], "i long, x double, y double, text string").selectExpr("1 AS g", "*")
+    found = takeoff.text_above(numbers, names, ["g"], 60.0, 120.0, "n", "i")
+    assert {tuple(r) for r in found.collect()} == {(1, "b a"), (2, "b a"), (3, "d")}
+    joined = [line for line in _plan(takeoff.text_above(numbers, names, ["g"], 60.0, 120.0, "n", "i")).splitlines() if "SortMergeJoin" in line]
+    assert any("__a" in line for line in joined)
