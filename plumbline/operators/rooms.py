@@ -71,14 +71,14 @@ def pair_in_order(candidates: DataFrame, actor: str, other: str, distance: str,
         rest, taken, rounds = s.table(candidates.select(*group, actor, other, distance).distinct(), "pairs"), None, 0
         while not rest.isEmpty():
             first = rest.groupBy(*keys).agg(F.min(actor).alias("__first"))
-            marked = rest.join(first, keys).groupBy(*group, actor).agg(F.max("__first").alias("__last"), F.sort_array(F.collect_list(F.struct(distance, other))).alias("__c"), F.count_if(F.col("__first") < F.col(actor)).alias("__blocked"))
+            marked = rest.join(first.hint("merge"), keys).groupBy(*group, actor).agg(F.max("__first").alias("__last"), F.sort_array(F.collect_list(F.struct(distance, other))).alias("__c"), F.count_if(F.col("__first") < F.col(actor)).alias("__blocked"))
             ready = s.table(marked.where("__blocked = 0").select(*group, actor, F.col("__c")[0].alias("__best"), F.get("__c", F.lit(1)).alias("__next")), "ready")
             clear = F.lit(True) if eps is None else F.col("__next").isNull() | (F.col(f"__next.{distance}") - F.col(f"__best.{distance}") > eps)
             won = ready.where(clear).select(*group, actor, F.col(f"__best.{other}").alias(other))
             taken, rounds = won if taken is None else taken.union(won), rounds + 1
             if rounds % PLAN_STEPS == 0:
                 taken = s.table(taken, "taken")
-            left = rest.join(ready.select(*group, actor), [*group, actor], "left_anti").join(won.select(*keys), keys, "left_anti")
+            left = rest.join(ready.select(*group, actor).hint("merge"), [*group, actor], "left_anti").join(won.select(*keys).hint("merge"), keys, "left_anti")
             rest = s.table(left.select(*group, actor, other, distance), "pairs")
         return s.table(candidates.select(*group, actor, other).limit(0) if taken is None else taken, "taken", keep=True)
 
@@ -92,8 +92,8 @@ def label_rooms(labels: DataFrame, radius: float, group: Sequence[str] = ()) ->
     numbers = labels.where(number.isNotNull()).withColumn("number", number)
     names = labels.where(number.isNull() & (F.trim("text") != "")).select(*group, F.col("label_id").alias("name_id"), F.trim("text").alias("name"), "x", "y")
     near = within_radius(numbers.select(*group, "label_id", "x", "y"), names, radius, group)
-    pairs = pair_in_order(near, "label_id", "name_id", "distance", group).join(names.select(*group, "name_id", "name"), [*group, "name_id"])
-    return numbers.join(pairs.drop("name_id"), [*group, "label_id"], "left").select(*group, "label_id", "number", "name", "x", "y")
+    pairs = pair_in_order(near, "label_id", "name_id", "distance", group).join(names.select(*group, "name_id", "name").hint("merge"), [*group, "name_id"])
+    return numbers.join(pairs.drop("name_id").hint("merge"), [*group, "label_id"], "left").select(*group, "label_id", "number", "name", "x", "y")
 
 
 def assigned(points: DataFrame, rooms: DataFrame, anchors: DataFrame, cell: float, radius: float, point_id: str, group: Sequence[str] = ()) -> DataFrame:
