@@ -1,7 +1,7 @@
 """Stacks of pipe tags matched to the coloured bands that scan lines cross: services of colours, and what stacks confirm.
 
 Everything is per drawing (the ``group`` columns). Tags that stand in a column (or, where a drawing has no columns, in a row) are a stack; the
-nearest header says how it is read. Scan lines run through the middles of all bands, across them; what a line crosses is cut into
+nearest header says how it is read. Joins ask for a merge: their sides are larger than the files that Spark reckons by. Scan lines run through the middles of all bands, across them; what a line crosses is cut into
 bundles at gaps, and a bundle is read as runs of one colour with their numbers of levels. A stack matches a bundle whose numbers are
 those of its own runs of one service, on neighbouring lines. Where anything is open, nothing is assigned, and the verdict says why.
 """
@@ -49,7 +49,7 @@ def tag_clusters(tags: DataFrame, tolerance: float, group: Sequence[str]) -> Dat
         return numbered.withColumn("__n", F.count("*").over(Window.partitionBy(*group, "stack"))).where("__n > 1").drop("__n")
 
     columns = clustered("x")
-    return columns.union(clustered("y").join(columns.select(*group).distinct(), list(group), "left_anti"))
+    return columns.union(clustered("y").join(columns.select(*group).distinct().hint("merge"), list(group), "left_anti"))
 
 
 def read_stacks(clusters: DataFrame, headers: DataFrame, reach: float, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -60,9 +60,9 @@ def read_stacks(clusters: DataFrame, headers: DataFrame, reach: float, group: Se
     one = [*group, "stack"]
     near = within_radius(clusters.select(*one, "tag_id", "x", "y"), headers.select(*group, "header_id", "text", "x", "y"), reach, group)
     best = near.groupBy(*one).agg(F.min_by("text", F.struct("distance", "header_id")).alias("__text"))
-    read = clusters.select(*one).distinct().join(best, one, "left").select(*one, orientation(F.col("__text")).alias("header"))
+    read = clusters.select(*one).distinct().join(best.hint("merge"), one, "left").select(*one, orientation(F.col("__text")).alias("header"))
     turned = F.when(F.col("header") == ORIENTATIONS[0], -F.col("y")).when(F.col("header") == ORIENTATIONS[1], F.col("y")).when(F.col("header") == ORIENTATIONS[2], F.col("x")).otherwise(-F.col("x"))
-    entries = clusters.where("service is not null").join(read.where("header is not null"), one).withColumn("__at", turned)
+    entries = clusters.where("service is not null").join(read.where("header is not null").hint("merge"), one).withColumn("__at", turned)
     w = Window.partitionBy(*one).orderBy("__at", "tag_id")
     fresh = (~F.col("service").eqNullSafe(F.lag("service").over(w))).cast("int")
     runs = entries.withColumn("__new", fresh).withColumn("run", F.sum("__new").over(w))
@@ -88,7 +88,7 @@ def bundle_readings(bands: DataFrame, lines: DataFrame, cell: float, gap: float,
     turned = [F.struct(F.lit(v).alias("axis"), b[f"min_{v}"].alias("lo"), b[f"max_{v}"].alias("hi"), b[f"min_{o}"].alias("low"), b[f"max_{o}"].alias("high")) for v, o in ("xy", "yx")]
     spans = bands.select(*group, "colour", F.explode(F.array(*turned)).alias("__s")).select(*group, "colour", "__s.*")
     spans = spans.withColumn("__c", F.explode(F.sequence(F.floor(F.col("lo") / cell).cast("long"), F.floor(F.col("hi") / cell).cast("long"))))
-    met = lines.withColumn("__c", F.floor(F.col("at") / cell).cast("long")).join(spans, [*group, "axis", "__c"]).where("at between lo and hi")
+    met = lines.withColumn("__c", F.floor(F.col("at") / cell).cast("long")).join(spans.hint("merge"), [*group, "axis", "__c"]).where("at between lo and hi")
     met = met.withColumn("__mid", (F.col("low") + F.col("high")) / 2)
     one = [*group, "axis", "line"]
     w = Window.partitionBy(*one).orderBy("__mid", "colour", "low", "high")
@@ -126,16 +126,16 @@ def match_stacks(tags: DataFrame, headers: DataFrame, bands: DataFrame, cell: fl
         read, runs = read_stacks(clusters, headers, tolerances.header, group)
         runs = s.table(runs, "runs", keep=True)
         per = runs.groupBy(*one).agg(F.count("*").alias("__n"), F.count_distinct("service").alias("__services"), F.array_sort(F.collect_list(F.struct("run", "service", "levels"))).alias("__runs"))
-        stacks = s.table(read.join(per, one, "left"), "stacks", keep=True)
+        stacks = s.table(read.join(per.hint("merge"), one, "left"), "stacks", keep=True)
         usable = stacks.where("header is not null and __n >= 2 and __services >= 2")
         down = F.col("header").isin(ORIENTATIONS[0], ORIENTATIONS[3])
         ordered = F.when(down, F.reverse("__runs")).otherwise(F.col("__runs"))
         axis = F.when(F.col("header").isin(*ORIENTATIONS[:2]), "x").otherwise("y")
         usable = usable.select(*one, down.alias("__down"), axis.alias("axis"), F.transform("__runs", lambda r: r["service"]).alias("services"), F.transform(ordered, lambda r: r["levels"]).alias("levels"))
-        boxed = bands.where(F.size("ring") >= 3).select(*group, "colour", ring_box(F.col("ring")).alias("box")).join(usable.select(*group).distinct(), list(group), "left_semi")
+        boxed = bands.where(F.size("ring") >= 3).select(*group, "colour", ring_box(F.col("ring")).alias("box")).join(usable.select(*group).distinct().hint("merge"), list(group), "left_semi")
         lines = s.table(scan_lines(boxed, tolerances.position, group), "lines")
         readings = bundle_readings(boxed, lines, cell, tolerances.gap, tolerances.level, group)
-        hits = usable.join(readings, [*group, "axis", "levels"])
+        hits = usable.join(readings.hint("merge"), [*group, "axis", "levels"])
         colours = F.when(F.col("__down"), F.reverse("colours")).otherwise(F.col("colours"))
         hits = hits.withColumn("colours", colours).withColumn("pairs", F.array_sort(F.zip_with("colours", "services", lambda c, v: F.struct(c.alias("colour"), v.alias("service")))))
         hits = s.table(hits.groupBy(*one, "pairs", "line").agg(F.min_by("colours", "bundle").alias("colours")), "hits", keep=True)
@@ -143,17 +143,17 @@ def match_stacks(tags: DataFrame, headers: DataFrame, bands: DataFrame, cell: fl
         islands = hits.withColumn("__island", F.col("line") - F.row_number().over(w)).groupBy(*one, "pairs", "__island").agg(F.count("*").alias("__l"), F.min("line").alias("__first"))
         found = islands.groupBy(*one, "pairs").agg(F.max("__l").alias("__l"), F.min("__first").alias("line"))
         chosen = found.groupBy(*one).agg(F.count_if(F.col("__l") >= tolerances.stable).alias("__stable"), F.min_by(F.struct("pairs", "line"), (F.col("__l") < tolerances.stable).cast("int")).alias("__best"))
-        won = chosen.where("__stable = 1").select(*one, "__best.pairs", "__best.line").join(hits, [*one, "pairs", "line"]).select(*one, "pairs", "colours")
+        won = chosen.where("__stable = 1").select(*one, "__best.pairs", "__best.line").join(hits.hint("merge"), [*one, "pairs", "line"]).select(*one, "pairs", "colours")
         won = s.table(won, "won", keep=True)
         chosen = s.table(chosen.select(*one, "__stable"), "chosen", keep=True)
     told = won.select(*group, F.explode("pairs").alias("p")).groupBy(*group, "p.colour").agg(F.min("p.service").alias("service"), F.max("p.service").alias("__high"))
     clash = told.where("service <> __high").select(*group).distinct()
-    kept = won.join(clash, list(group), "left_anti")
+    kept = won.join(clash.hint("merge"), list(group), "left_anti")
     places = kept.select(*one, F.posexplode("colours").alias("__i", "colour")).withColumn("run", F.col("__i") + 1)
-    sized = places.join(runs, [*one, "run"])
+    sized = places.join(runs.hint("merge"), [*one, "run"])
     assigned = sized.groupBy(*group, "colour").agg(F.min_by(F.struct("service", "sizes", "kind"), F.struct("stack", "run")).alias("__b")).select(*group, "colour", "__b.service", "__b.sizes", "__b.kind")
-    evidence = kept.select(*one).join(runs, one).select(*one, "service").distinct()
-    marked = stacks.join(chosen, one, "left").join(clash.withColumn("__clash", F.lit(True)), list(group), "left")
+    evidence = kept.select(*one).join(runs.hint("merge"), one).select(*one, "service").distinct()
+    marked = stacks.join(chosen.hint("merge"), one, "left").join(clash.withColumn("__clash", F.lit(True)).hint("merge"), list(group), "left")
     verdict = (
         F.when(F.col("header").isNull(), "no_header").when(F.coalesce("__n", F.lit(0)) == 0, "no_tags").when((F.col("__n") < 2) | (F.col("__services") < 2), "degenerate").when(F.col("__stable").isNull(), "no_match")
         .when(F.col("__stable") == 0, "unstable").when(F.col("__stable") > 1, "ambiguous").when(F.col("__clash"), "conflict").otherwise("matched")
