@@ -138,14 +138,16 @@ def floor_summary(home_runs: DataFrame, length: str, anchor: str) -> DataFrame:
 def text_above(numbers: DataFrame, names: DataFrame, group: Sequence[str], align: float, reach: float, number_id: str, name_id: str) -> DataFrame:
     """(number_id, name): the texts stacked above a number within reach and align, top first, joined by spaces.
 
-    Names are listed by bands as high as reach, and joined with the number's band and the one above.
+    Names fall into cells as wide as align and as high as reach; a place of numbers, each looked up once, meets the cells beside its own and above.
     """
-    band = F.floor(F.col("y") / reach)
-    n = numbers.withColumn("__b", F.explode(F.array(band, band + 1)))
-    t = names.select(*group, F.col("x").alias("tx"), F.col("y").alias("ty"), "text", name_id).withColumn("__b", F.floor(F.col("ty") / reach))
-    met = n.join(t, [*group, "__b"]).where((F.abs(F.col("tx") - F.col("x")) <= align) & (F.col("ty") > F.col("y")) & (F.col("ty") - F.col("y") <= reach))
+    at = [*group, "x", "y"]
+    band, side = F.floor(F.col("y") / reach), F.floor(F.col("x") / align)
+    n = numbers.select(*at).distinct().withColumn("__b", F.explode(F.array(band, band + 1))).withColumn("__a", F.explode(F.array(side - 1, side, side + 1)))
+    t = names.select(*group, F.col("x").alias("tx"), F.col("y").alias("ty"), "text", name_id).withColumns({"__b": F.floor(F.col("ty") / reach), "__a": F.floor(F.col("tx") / align)})
+    met = n.join(t.hint("merge"), [*group, "__b", "__a"]).where((F.abs(F.col("tx") - F.col("x")) <= align) & (F.col("ty") > F.col("y")) & (F.col("ty") - F.col("y") <= reach))
     lines = F.array_sort(F.collect_list(F.struct((-F.col("ty")).alias("o"), name_id, "text")))
-    return met.groupBy(number_id).agg(F.array_join(F.transform(lines, lambda x: x["text"]), " ").alias("name"))
+    found = met.groupBy(*at).agg(F.array_join(F.transform(lines, lambda x: x["text"]), " ").alias("name"))
+    return numbers.select(*at, number_id).join(found.hint("merge"), at).select(number_id, "name")
 
 
 def mutual_pairs(pairs: DataFrame, left: str, right: str, distance: str) -> DataFrame:
