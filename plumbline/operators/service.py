@@ -35,7 +35,7 @@ def collapsed_services(tags: DataFrame, run: Sequence[str]) -> DataFrame:
 def _service_pairs(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key, a, b): pairs of different services of a key, a before b."""
     one = rows.select(*key, F.col("service").alias("a")).distinct()
-    return one.join(one.withColumnRenamed("a", "b"), list(key)).where("a < b")
+    return one.join(one.withColumnRenamed("a", "b").hint("merge"), list(key)).where("a < b")
 
 
 def confirmed_bundles(services: DataFrame, evidence: DataFrame, run: str, group: Sequence[str] = ()) -> DataFrame:
@@ -45,7 +45,7 @@ def confirmed_bundles(services: DataFrame, evidence: DataFrame, run: str, group:
     squared, however many stacks say the same.
     """
     known = _service_pairs(evidence, [*group, "stack"]).select(*group, "a", "b").distinct()
-    return _service_pairs(services, [*group, run]).join(known, [*group, "a", "b"], "left_semi").select(*group, run).distinct()
+    return _service_pairs(services, [*group, run]).join(known.hint("merge"), [*group, "a", "b"], "left_semi").select(*group, run).distinct()
 
 
 def bundle_shares(runs: DataFrame, evidence: DataFrame, run: str, length: str, group: Sequence[str] = ()) -> DataFrame:
@@ -60,17 +60,17 @@ def bundle_shares(runs: DataFrame, evidence: DataFrame, run: str, length: str, g
     return met.select(*one, kept.alias("service"), length, basis.alias("basis")).distinct()
 
 
-def _roomed(points: DataFrame, rooms: DataFrame, anchors: DataFrame, cell: float, radius: float | None, key: str, group: Sequence[str]) -> DataFrame:
+def _roomed(s: Scratch, points: DataFrame, rooms: DataFrame, anchors: DataFrame, cell: float, radius: float | None, key: str, group: Sequence[str]) -> DataFrame:
     """Points with room: the smallest polygon that holds them, else the nearest label room's anchor within the radius."""
     held = smallest_room(points, rooms, cell, key, group=group)
-    return held if radius is None else _by_label(held, anchors, radius, key, group)
+    return held if radius is None else _by_label(s.table(held, "held", keep=True), anchors, radius, key, group)
 
 
 def _by_label(held: DataFrame, anchors: DataFrame, radius: float, key: str, group: Sequence[str]) -> DataFrame:
     """Points with room_id, where it is null the nearest anchor's (room, x, y) within the radius."""
     loose = held.where("room_id is null").select(*group, key, "x", "y")
     near = nearest_within(loose, anchors.select(*group, F.col("room").alias("__room"), "x", "y"), radius, key, ["__room"], ["__room"], group).select(*group, key, "__room")
-    met = held.join(near, [*group, key], "left")
+    met = held.join(near.hint("merge"), [*group, key], "left")
     return met.withColumn("room_id", F.coalesce("room_id", "__room")).drop("__room")
 
 
@@ -87,36 +87,38 @@ def takeoff_parts(
     without segments is one part at its anchor: a bundle's, its only service's, or with several services none's.
     """
     one = [*group, "run"]
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    out = [*one, "service", "size", "kind", "room_id", "length", "bundle", "evidence_absent"]
+    nothing = F.lit(None).cast("string")
+    # Each step that later ones read twice is written, so that no plan holds another's copies; nothing that grows with the runs is broadcast.
     with Scratch(runs.sparkSession) as scratch:
         services = scratch.table(collapsed_services(tags, one), "services", keep=True)
         per = services.groupBy(*one).agg(F.count("*").alias("__n"))
         bundles = confirmed_bundles(services, evidence, "run", group).withColumn("__bundle", F.lit(True))
-        known = runs.join(per, one, "left").join(bundles, one, "left").select(
+        known = runs.join(per.hint("merge"), one, "left").join(bundles.hint("merge"), one, "left").select(
             *one, "x", "y", "length", F.coalesce("__n", F.lit(0)).alias("__n"), F.coalesce("__bundle", F.lit(False)).alias("__bundle")
         )
         known = scratch.table(known, "runs", keep=True)
-    state = known.select(*one, "__n", "__bundle")
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    drawn = segments.where((dx != 0) | (dy != 0)).join(state, one)
-    out = [*one, "service", "size", "kind", "room_id", "length", "bundle", "evidence_absent"]
-    nothing = F.lit(None).cast("string")
-
-    cut = ring_parts(drawn.where("__bundle"), rooms, "segment_id", "room_id", cell, group)
-    cut = cut.withColumn("__part", F.struct("segment_id", "t"))
-    if room_reach is not None:
-        cut = _by_label(cut, anchors, room_reach, "__part", group)
-    whole = cut.join(drawn.where("__bundle").select(*group, "segment_id", "run"), [*group, "segment_id"]).join(services, one)
-    bundled = whole.select(*one, "service", "size", "kind", "room_id", "length", F.lit(True).alias("bundle"), F.lit(False).alias("evidence_absent"))
-
-    middle = drawn.where("not __bundle").select(*one, "segment_id", "__n", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.sqrt(dx * dx + dy * dy).alias("length"))
-    named = nearest_with_ties(middle, labels.select(*group, "x", "y", "service", "size", "kind"), label_reach, "segment_id", ["service", "size", "kind"], group=group)
-    placed = _roomed(named, rooms, anchors, cell, room_reach, "segment_id", group)
-    apart = placed.select(*one, "service", "size", "kind", "room_id", "length", F.lit(False).alias("bundle"), (F.col("__n") > 1).alias("evidence_absent"))
-
-    bare = known.join(drawn.select(*one).distinct(), one, "left_anti")
-    at = _roomed(bare.withColumn("__run", F.struct("run")), rooms, anchors, cell, room_reach, "__run", group)
+        state = known.select(*one, "__n", "__bundle")
+        drawn = scratch.table(segments.where((dx != 0) | (dy != 0)).join(state.hint("merge"), one), "drawn", keep=True)
+        rooms = scratch.table(rooms, "rooms", keep=True)
+
+        cut = ring_parts(drawn.where("__bundle"), rooms, "segment_id", "room_id", cell, group)
+        cut = cut.withColumn("__part", F.struct("segment_id", "t"))
+        if room_reach is not None:
+            cut = _by_label(scratch.table(cut, "cut", keep=True), anchors, room_reach, "__part", group)
+        whole = cut.join(drawn.where("__bundle").select(*group, "segment_id", "run").hint("merge"), [*group, "segment_id"]).join(services.hint("merge"), one)
+        bundled = whole.select(*one, "service", "size", "kind", "room_id", "length", F.lit(True).alias("bundle"), F.lit(False).alias("evidence_absent"))
+
+        middle = drawn.where("not __bundle").select(*one, "segment_id", "__n", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.sqrt(dx * dx + dy * dy).alias("length"))
+        named = nearest_with_ties(middle, labels.select(*group, "x", "y", "service", "size", "kind"), label_reach, "segment_id", ["service", "size", "kind"], group=group)
+        placed = _roomed(scratch, scratch.table(named, "named", keep=True), rooms, anchors, cell, room_reach, "segment_id", group)
+        apart = placed.select(*one, "service", "size", "kind", "room_id", "length", F.lit(False).alias("bundle"), (F.col("__n") > 1).alias("evidence_absent"))
+
+        bare = known.join(drawn.select(*one).distinct().hint("merge"), one, "left_anti").withColumn("__run", F.struct("run"))
+        at = _roomed(scratch, scratch.table(bare, "bare", keep=True), rooms, anchors, cell, room_reach, "__run", group)
     takes = F.col("__bundle") | (F.col("__n") == 1)
-    given = at.join(services, one, "left").where(takes | (F.col("__n") == 0))
+    given = at.join(services.hint("merge"), one, "left").where(takes | (F.col("__n") == 0))
     mute = at.where(~takes & (F.col("__n") > 0)).select(at["*"], *[nothing.alias(c) for c in ("service", "size", "kind")])
     last = given.select(mute.columns).union(mute)
     alone = last.select(*one, "service", "size", "kind", "room_id", F.coalesce("length", F.lit(0.0)).alias("length"), F.col("__bundle").alias("bundle"), ((F.col("__n") > 1) & ~F.col("__bundle")).alias("evidence_absent"))
@@ -135,7 +137,7 @@ def takeoff_lines(parts: DataFrame, runs: DataFrame, symbols: DataFrame, rooms:
     disciplines the first in order; a row of symbols alone has the status ``unknown``.
     """
     one, row = [*group, "run"], [*group, "service", "size", "kind", "room_id"]
-    met = parts.join(runs.select(*one, "status", "conflict", "discipline"), one)
+    met = parts.join(runs.select(*one, "status", "conflict", "discipline").hint("merge"), one)
     each = met.groupBy(*row, "run").agg(
         F.sum(F.col("length").cast("decimal(28,9)")).alias("length"), F.first("status").alias("status"), F.max("conflict").alias("conflict"),
         F.max("bundle").alias("bundle"), F.max("evidence_absent").alias("evidence_absent"), F.min("discipline").alias("discipline"),

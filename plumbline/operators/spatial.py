@@ -209,12 +209,14 @@ def ring_parts(segments: DataFrame, rooms: DataFrame, segment_id: str, room: str
     edges = along(ring_lines(rooms, list(group)), cell, ends=("ax", "ay", "bx", "by"))
     ex, ey, fx, fy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("ax") - F.col("x0"), F.col("ay") - F.col("y0")
     across = F.nullif(dx * ey - dy * ex, F.lit(0.0))
-    met = along(ends, cell).join(edges, [*group, "__cx", "__cy"]).select(*one, ((fx * ey - fy * ex) / across).alias("t"), ((fx * dy - fy * dx) / across).alias("u"))
+    met = along(ends, cell).join(edges.hint("merge"), [*group, "__cx", "__cy"]).select(*one, ((fx * ey - fy * ex) / across).alias("t"), ((fx * dy - fy * dx) / across).alias("u"))
     cuts = met.where("t > 0 and t < 1 and u >= 0 and u <= 1").select(*one, "t").union(ends.select(*one, F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))).distinct()
     w = Window.partitionBy(*one).orderBy("t")
-    parts = cuts.withColumn("__b", F.lead("t").over(w)).where("__b is not null").join(ends, one)
+    parts = cuts.withColumn("__b", F.lead("t").over(w)).where("__b is not null").join(ends.hint("merge"), one)
     middle = lambda v: (F.col(f"{v}0") + (F.col("t") + F.col("__b")) / 2 * (F.col(f"{v}1") - F.col(f"{v}0"))).alias(v)
     parts = parts.select(*one, "t", middle("x"), middle("y"), ((F.col("__b") - F.col("t")) * F.sqrt(dx * dx + dy * dy)).alias("length"), F.struct(segment_id, "t").alias("__part"))
+    with Scratch(segments.sparkSession) as s:
+        parts = s.table(parts, "parts", keep=True)
     held = smallest_room(parts, rooms.select(*group, F.col(room).alias("room_id"), "area", "ring"), cell, "__part", group=group)
     return held.select(*one, "t", "x", "y", "length", F.col("room_id").alias(room))
 

@@ -172,7 +172,7 @@ def length_by_room(t: Tables) -> DataFrame:
     """Length split at every crossing with a room's ring, each part to the smallest room that holds it, the rest unassigned; on sheets of 400 rooms."""
     x0, y = ((F.col("o_orderkey") * 37) % 900).cast("double"), ((F.col("o_orderkey") * 91) % 900).cast("double") + 0.5
     s = t.orders.select(F.floor(F.col("o_orderkey") / 3000).alias("sheet"), F.col("o_orderkey").alias("segment_id"), x0.alias("x0"), y.alias("y0"), (x0 + 64).alias("x1"), y.alias("y1"))
-    rooms = t.part.select(F.floor(F.col("p_partkey") / 400).alias("sheet"), F.col("p_partkey").alias("room_id")).join(_boxes(t), "room_id")
+    rooms = _boxes(t).withColumn("sheet", F.floor(F.col("room_id") / 400))
     found = spatial.split_by_boxes(s, rooms.select("sheet", "room_id", "box"), "segment_id", "room_id", 64.0, ["sheet"])
     return found.select("segment_id", "room_id", F.round("length", 6).alias("length"))
 

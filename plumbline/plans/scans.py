@@ -203,7 +203,7 @@ def service_takeoff(t: Tables) -> DataFrame:
     evidence = t.supplier.where(stack % 3 == 0).select((stack % 5).alias("sheet"), stack.alias("stack"), F.explode(F.array(named(stack), named(F.floor(stack / 5)))).alias("service"))
     anchors = select_list(t.supplier, LABELS).select((F.col("label_id") % 5).alias("sheet"), "x", "y", (F.col("label_id") + 1000000).alias("room"))
     p = F.col("p_partkey")
-    rooms_ = t.part.select(F.floor(p / 400).alias("sheet"), p.alias("room_id")).join(_boxes(t), "room_id").select("sheet", "room_id", spatial.box_ring(F.col("box")).alias("ring"), "area")
+    rooms_ = _boxes(t).select(F.floor(F.col("room_id") / 400).alias("sheet"), "room_id", spatial.box_ring(F.col("box")).alias("ring"), "area")
     symbols = t.part.select((p % 5).alias("sheet"), p.alias("symbol_id"), F.when(p % 2 == 1, "rise").otherwise("drop").alias("kind"), ((p * 17) % 1000).cast("double").alias("x"), ((p * 29) % 1000).cast("double").alias("y"), F.lit("M").alias("discipline"))
     found = service.service_takeoff(every, lines, tags, labels, evidence, rooms_, anchors, symbols, 64.0, 25.0, 30.0, ["sheet"])
     return found.withColumn("length", F.round(F.col("length").cast("double"), 6))

@@ -88,3 +88,7 @@ def test_texts_above_numbers_of_one_place(spark):
     assert {tuple(r) for r in found.collect()} == {(1, "b a"), (2, "b a"), (3, "d")}
     joined = [line for line in _plan(takeoff.text_above(numbers, names, ["g"], 60.0, 120.0, "n", "i")).splitlines() if "SortMergeJoin" in line]
     assert any("__a" in line for line in joined)
+
+
+def test_service_takeoff_joins_without_broadcasting(spark):
+    assert "BroadcastHashJoin" not in _plan(registry.queries()["service_takeoff"](spark, SF))
