@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.scalars import grid_cell
 from plumbline.sources.tables import Scratch, delete, tasks_for, written
@@ -21,17 +22,89 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
+#: Links that a task contracts at once.
+CHUNK = 1 << 19
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (u > v) of the same components: those that one task holds at once become stars. Links of other than whole numbers and texts stay."""
+    if not isinstance(links.schema["u"].dataType, (T.IntegralType, T.StringType)):
+        return links.distinct()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def stars(held):
+            ends = pa.Table.from_batches(held)
+            coded = pa.chunked_array([c for name in ("u", "v") for c in ends.column(name).chunks]).combine_chunks().dictionary_encode()
+            names = coded.dictionary
+            order = pc.sort_indices(names).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            code = rank[coded.indices.to_numpy()]
+            a, b = code[: len(ends)], code[len(ends) :]
+            low = np.arange(len(order))
+            while len(a):
+                x, y = low[a], low[b]
+                np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+                while (low[low] != low).any():
+                    low = low[low]
+                apart = low[a] != low[b]
+                a, b = a[apart], b[apart]
+            hung = np.flatnonzero(low != np.arange(len(low)))
+            return pa.RecordBatch.from_arrays([names.take(pa.array(order[hung])), names.take(pa.array(order[low[hung]]))], names=["u", "v"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    most = CHUNK
+    return links.mapInArrow(run, links.schema)
+
+
 def min_label_components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``links`` (columns u, v); component is the smallest node.
 
+    The links that a task holds at once become stars first; components that are one star then are done, the others' links go
+    through rounds. Links with a null end and self-links are ignored.
+    """
+    spark = links.sparkSession
+    ordered = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges, path = written(_contracted(ordered), "links")
+    ends = edges.select(F.col("u").alias("node"), "v", F.lit(False).alias("r")).union(edges.select(F.col("v").alias("node"), F.lit(None).cast(edges.schema["v"].dataType), F.lit(True)))
+    per = ends.groupBy("node").agg(F.min("v").alias("m"), F.max("v").alias("x"), F.max("r").alias("r"))
+    # A node under two others, or under one and over one, is in no single star.
+    nodes, path_nodes = written(per.select("node", F.coalesce("m", "node").alias("component"), (F.col("m").isNotNull() & (F.col("r") | (F.col("m") != F.col("x")))).alias("bad")), "nodes")
+    bad = nodes.where("bad").select(F.col("node").alias("u"))
+    if bad.isEmpty():
+        delete(spark, path)
+        return nodes.select("node", "component")
+    open_ = edges.join(bad, "u", "left_semi")
+    centres, path_centres = written(open_.select("v").union(edges.join(bad.withColumnRenamed("u", "v"), "v", "left_semi").select("v")).distinct(), "centres")
+    rest, path_rest = written(edges.join(centres, "v", "left_semi").select("u", "v").distinct(), "links")
+    done, _ = written(nodes.join(centres.withColumnRenamed("v", "component"), "component", "left_anti").select("node", "component"), "stars")
+    delete(spark, path, path_nodes, path_centres)
+    return done.union(_rounds(rest, path_rest))
+
+
+def _rounds(edges: DataFrame, path: str) -> DataFrame:
+    """(node, component) of written links (u > v, each once).
+
     Large-star hangs every larger neighbour of a node on the smallest of its neighbourhood, small-star the
     smaller ones; both keep components and end in one star for each. A node's minimum is pre-aggregated
     before the shuffle and written, so that the join with a hub's many links is an exchange on both
     sides, which Spark can split. A round writes as many files as its links need, not one for each shuffle
-    partition. Links with a null end and self-links are ignored.
+    partition.
     """
-    spark, old = links.sparkSession, []
-    edges, path = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    spark, old = edges.sparkSession, []
     mark = _mark(edges)
     for _ in range(MAX_ROUNDS):
         if mark[0] == 0:
@@ -65,6 +138,7 @@ def component_sizes(rows: DataFrame, row_id: str, nodes: Sequence[str]) -> DataF
     links = rows.select(first.alias("u"), F.explode(F.array(*nodes)).alias("v")).where("v is not null")
     parts = min_label_components(links)
     met = rows.select(row_id, first.alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    met, _ = written(met.select(row_id, "component"), "members")
     sizes = met.where("component is not null").groupBy("component").agg(F.count("*").alias("size"))
     return met.join(sizes, "component", "left").select(row_id, "component", F.coalesce("size", F.lit(1).cast("long")).alias("size"))
 
@@ -91,7 +165,7 @@ def circuits(edges: DataFrame, devices: DataFrame, edge_id: str, device: str) ->
     parts = min_label_components(edges.select("u", "v"))
     own = edges.select(edge_id, F.least("u", "v").alias("node")).where("node is not null")
     # A closed edge links no two nodes; its node alone names its circuit.
-    members = own.join(parts, "node", "left").select(edge_id, F.coalesce("component", "node").alias("circuit_id"))
+    members, _ = written(own.join(parts, "node", "left").select(edge_id, F.coalesce("component", "node").alias("circuit_id")), "members")
     at = devices.join(parts, "node", "left").select(F.coalesce("component", "node").alias("circuit_id"), device).groupBy("circuit_id").agg(F.min(device).alias("anchor"))
     sizes = members.groupBy("circuit_id").agg(F.count("*").alias("n_edges"))
     return sizes.join(at, "circuit_id", "left"), members

@@ -365,7 +365,7 @@ def circuit_edges_conserved(t: Tables) -> DataFrame:
     """Every edge of a sheet in exactly one circuit: its edges against the circuits' own."""
     from plumbline.plans.geometry import _chains
 
-    edges = _chains(t)
+    edges, _ = tables.written(_chains(t), "edges")
     found, members = circuits(edges, edges.select(F.col("u").alias("node"), F.col("u").alias("device")), "edge", "device")
     sheet = lambda c: F.floor(F.col(c) / 100).alias("sheet")
     held = quality.conserved_by({"edges": (edges.select(sheet("edge")), F.count("*"), found.select(sheet("circuit_id"), "n_edges"), F.sum("n_edges"))}, ["sheet"])

@@ -1,7 +1,9 @@
 """Queries and joins on tables whose rows grow while their places, groups or types stay."""
 
+import random
+
 from plumbline import registry
-from plumbline.operators import catalog, rails, spatial, stacks, takeoff
+from plumbline.operators import catalog, graph, rails, spatial, stacks, takeoff
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +94,30 @@ def test_texts_above_numbers_of_one_place(spark):
 
 def test_service_takeoff_joins_without_broadcasting(spark):
     assert "BroadcastHashJoin" not in _plan(registry.queries()["service_takeoff"](spark, SF))
+
+
+def test_chains_that_lie_together_need_no_rounds(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("rounds are made")
+
+    monkeypatch.setattr(graph, "_rounds", none)
+    chains = spark.range(300, numPartitions=2).selectExpr("id * 100 AS k", "explode(sequence(0, 6)) AS i").selectExpr("k + i AS u", "k + i + 1 AS v")
+    got = {r["node"]: r["component"] for r in graph.min_label_components(chains).collect()}
+    assert got == {k * 100 + i: k * 100 for k in range(300) for i in range(8)}
+
+
+def test_components_of_links_cut_anywhere(spark, monkeypatch):
+    """Random links, contracted a few at a time, of numbers and of texts, against a loop."""
+    monkeypatch.setattr(graph, "CHUNK", 5)
+    draw = random.Random(5)
+    links = [(draw.randrange(600), draw.randrange(600)) for _ in range(330)] + [(700 + i, 701 + i) for i in range(60)] + [(900, 900), (901, None)]
+    for name in (int, lambda i: f"é{i}"):
+        named = [tuple(None if x is None else name(x) for x in link) for link in links]
+        low = {x: x for u, v in named if u != v and v is not None for x in (u, v)}
+        for _ in range(70):
+            for u, v in named:
+                if u in low and v in low:
+                    low[u] = low[v] = min(low[u], low[v])
+        kind = "long" if name is int else "string"
+        got = graph.min_label_components(spark.createDataFrame(named, f"u {kind}, v {kind}").repartition(3)).collect()
+        assert len(got) == len(low) and {r["node"]: r["component"] for r in got} == low
