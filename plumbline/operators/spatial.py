@@ -257,15 +257,27 @@ def band_attribution(
 
 
 def sheet_membership(entities: DataFrame, windows: DataFrame, entity_id: str, window_index: str, cell: float, group: Sequence[str] = ()) -> DataFrame:
-    """(entity columns, on_sheet, viewports): windows whose box meets the entity's; on_sheet is null without an extent."""
-    cells = lambda axis: F.explode(F.sequence(_cell(F.col(f"box.min_{axis}"), cell), _cell(F.col(f"box.max_{axis}"), cell)))
+    """(entity columns, on_sheet, viewports): windows whose box meets the entity's; on_sheet is null without an extent.
+
+    Equal boxes are looked up once: each different box of windows meets each different box of entities in the first cell that
+    both are listed under, and a list of windows is made for each different box of entities.
+    """
+    low = lambda b, axis: _cell(b[f"min_{axis}"], cell)
+    cells = lambda axis: F.explode(F.sequence(low(F.col("box"), axis), _cell(F.col(f"box.max_{axis}"), cell)))
     listed = lambda df: df.withColumn("__cx", cells("x")).withColumn("__cy", cells("y"))
-    one = [*group, entity_id]
-    e = listed(entities.where(F.col("box").isNotNull()).select(*one, "box"))
-    w = listed(windows.select(*group, window_index, "box")).withColumnRenamed("box", "__w")
+    sides = ("min_x", "min_y", "max_x", "max_y")
+    # Zeros of both signs are one side, so that equal boxes are equal keys.
+    flat = lambda df: df.select(*df.columns, *[(F.col(f"box.{side}") + 0.0).alias(f"__{side}") for side in sides])
+    at = [*group, *[f"__{side}" for side in sides]]
+    boxes = lambda df: flat(df.where(F.col("box").isNotNull()).select(*group, "box")).select(*at).distinct().select(*at, F.struct(*[F.col(f"__{side}").alias(side) for side in sides]).alias("box"))
+    e = listed(boxes(entities))
+    w = listed(boxes(windows)).select(*group, "__cx", "__cy", F.col("box").alias("__w"))
     a, b = F.col("box"), F.col("__w")
     meets = (a["min_x"] <= b["max_x"]) & (a["max_x"] >= b["min_x"]) & (a["min_y"] <= b["max_y"]) & (a["max_y"] >= b["min_y"])
-    hits = e.join(w, [*group, "__cx", "__cy"]).where(meets).groupBy(*one).agg(F.array_sort(F.collect_set(window_index)).alias("viewports"))
+    first = (F.col("__cx") == F.greatest(low(a, "x"), low(b, "x"))) & (F.col("__cy") == F.greatest(low(a, "y"), low(b, "y")))
+    met = e.join(w.hint("merge"), [*group, "__cx", "__cy"]).where(meets & first).select(*at, "__w")
+    of_window = flat(windows.select(*group, window_index, "box")).select(*group, window_index, F.struct(*[F.col(f"__{side}").alias(side) for side in sides]).alias("__w"))
+    hits = met.join(of_window.hint("merge"), [*group, "__w"]).groupBy(*at).agg(F.array_sort(F.collect_set(window_index)).alias("viewports"))
     located = F.col("box").isNotNull()
-    met = entities.join(hits, one, "left").withColumn("on_sheet", F.when(located, F.col("viewports").isNotNull()))
-    return met.withColumn("viewports", F.when(located, F.coalesce("viewports", F.array().cast(hits.schema["viewports"].dataType))))
+    out = flat(entities).join(hits.hint("merge"), at, "left").select(*entities.columns, "viewports").withColumn("on_sheet", F.when(located, F.col("viewports").isNotNull()))
+    return out.withColumn("viewports", F.when(located, F.coalesce("viewports", F.array().cast(hits.schema["viewports"].dataType))))

@@ -121,3 +121,16 @@ def test_components_of_links_cut_anywhere(spark, monkeypatch):
         kind = "long" if name is int else "string"
         got = graph.min_label_components(spark.createDataFrame(named, f"u {kind}, v {kind}").repartition(3)).collect()
         assert len(got) == len(low) and {r["node"]: r["component"] for r in got} == low
+
+
+def test_equal_boxes_meet_windows_once(spark):
+    """A thousand entities and a hundred windows at few places, one of a negative zero: lists are made for each different box."""
+    box = lambda x, w: f"named_struct('min_x', {x}, 'min_y', 0D, 'max_x', {x} + {w}, 'max_y', 1D)"
+    entities = spark.range(1000).selectExpr("id AS e", f"CASE WHEN id % 5 > 0 THEN {box('cast(id % 5 * 10 AS double)', '1')} END AS box").union(spark.range(1000, 1001).selectExpr("id", f"{box('-0D', '1')}"))
+    windows = spark.range(100).selectExpr("id AS w", f"{box('cast(id % 4 * 10 AS double)', '12')} AS box")
+    found = spatial.sheet_membership(entities, windows, "e", "w", 4.0)
+    want = {0: None, 1: (0, 1), 2: (1, 2), 3: (2, 3), 4: (3,)}
+    listed = lambda n: None if want[n] is None else [w for w in range(100) if w % 4 in want[n]]
+    got = {r["e"]: (r["viewports"], r["on_sheet"]) for r in found.collect()}
+    assert got == {e: (listed(e % 5), None if e % 5 == 0 else True) for e in range(1000)} | {1000: ([w for w in range(100) if w % 4 == 0], True)}
+    assert "HashAggregate(keys=[__min_x" in _plan(found)
