@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import dealt
+
 #: The operations that can be applied, and those that are only reviewed; the property paths that may be written.
 APPLIED = ("change_layer", "update_property", "add_entity", "remove_entity", "annotate_entity", "flag_for_review")
 REVIEWED = ("replace_block", "replace_profile_material_candidate")
@@ -40,7 +42,8 @@ def replayed(operations: DataFrame, entities: DataFrame) -> DataFrame:
     entity is what its last addition or removal before says, else the base; each step reads it from a running window, so that no
     list of a set's operations is built. A removal of what isn't there counts as one.
     """
-    op, o = F.col("operation_type"), operations
+    n = max(operations.count(), entities.count())
+    op, o = F.col("operation_type"), dealt(operations, n, "set_id", "entity")
     w = Window.partitionBy("set_id", "entity").orderBy("sequence_index")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     kind = F.when(op == "add_entity", 1).when(op == "remove_entity", 0)
@@ -48,11 +51,11 @@ def replayed(operations: DataFrame, entities: DataFrame) -> DataFrame:
     o = o.withColumn("version", F.coalesce(F.sum("__kind").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("int"))
     has = "properties" in entities.columns
     none = F.lit(None).cast("map<string,string>")
-    base = entities.groupBy("entity").agg(F.count("*").alias("base_rows"), F.min("layer").alias("__layer"), (F.first("properties") if has else F.first(none)).alias("__properties"))
-    met = o.join(base, "entity", "left").withColumn("base_rows", F.coalesce("base_rows", F.lit(0)))
+    base = dealt(entities, n, "entity").groupBy("entity").agg(F.count("*").alias("base_rows"), F.min("layer").alias("__layer"), (F.first("properties") if has else F.first(none)).alias("__properties"))
+    met = dealt(o, n, "entity").join(base.hint("merge"), "entity", "left").withColumn("base_rows", F.coalesce("base_rows", F.lit(0)))
     own = F.col("version") == 0
     return met.select(
-        *[o[c] for c in operations.columns], "version", "base_rows", F.when(own, F.col("__layer")).alias("base_layer"), F.when(own, F.col("__properties")).alias("base_properties"),
+        *operations.columns, "version", "base_rows", F.when(own, F.col("__layer")).alias("base_layer"), F.when(own, F.col("__properties")).alias("base_properties"),
         F.coalesce(F.col("__last") == 1, F.col("base_rows") > 0).alias("exists"), F.coalesce(F.col("__last") == 0, F.lit(False)).alias("gone"),
     )
 
@@ -109,7 +112,8 @@ def apply_sets(entities: DataFrame, operations: DataFrame) -> DataFrame:
     for _, holds in _errors(False):
         fails = fails | F.coalesce(holds, F.lit(False))
     o = o.withColumn("__fails", F.coalesce(fails, F.lit(True))).withColumn("__key", F.when(op == "update_property", property_key(F.col("property"))))
-    valid = o.join(o.where("__fails").select("set_id").distinct(), "set_id", "left_anti")
+    m = operations.count()
+    valid = dealt(o, m, "set_id").join(dealt(o.where("__fails").select("set_id").distinct(), m, "set_id").hint("merge"), "set_id", "left_anti")
     one, n, layered = ["set_id", "entity", "version"], F.col("sequence_index"), op.isin("change_layer", "add_entity")
     past = Window.partitionBy(*one).orderBy("sequence_index").rowsBetween(Window.unboundedPreceding, -1)
     old = F.coalesce("base_properties", F.create_map().cast("map<string,string>"))

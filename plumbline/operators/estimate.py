@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import money
+from plumbline.sources.tables import dealt
 
 NUMBER = "decimal(38,12)"
 
@@ -178,9 +179,11 @@ def assemble_lines(lines: DataFrame, quantities: DataFrame, entries: DataFrame)
     entry_key, value, unit. The first that holds is the status: missing_quantity (but for assumptions, whose value is the amount),
     missing_entry, kind_mismatch (the entry is of another kind), unit_mismatch, priced. Repeated keys on the right are ``ambiguous``.
     """
-    q = quantities.groupBy("quantity_key").agg(F.min("value").alias("quantity"), F.min("unit").alias("__q_unit"), F.count("*").alias("__q"))
-    e = entries.groupBy("entry_key").agg(F.min("value").alias("rate"), F.min("unit").alias("__e_unit"), F.min("kind").alias("__e_kind"), F.count("*").alias("__e"))
-    met = lines.join(q, "quantity_key", "left").join(e, "entry_key", "left")
+    n = max(df.count() for df in (lines, quantities, entries))
+    q = dealt(quantities, n, "quantity_key").groupBy("quantity_key").agg(F.min("value").alias("quantity"), F.min("unit").alias("__q_unit"), F.count("*").alias("__q"))
+    e = dealt(entries, n, "entry_key").groupBy("entry_key").agg(F.min("value").alias("rate"), F.min("unit").alias("__e_unit"), F.min("kind").alias("__e_kind"), F.count("*").alias("__e"))
+    met = dealt(lines, n, "quantity_key").join(q.hint("merge"), "quantity_key", "left")
+    met = dealt(met, n, "entry_key").join(e.hint("merge"), "entry_key", "left")
     alone = F.col("kind") == "assumption"
     status = (
         F.when((F.col("__q") > 1) | (F.col("__e") > 1), "ambiguous").when(~alone & F.col("quantity").isNull(), "missing_quantity").when(F.col("rate").isNull(), "missing_entry")

@@ -191,7 +191,9 @@ def estimate_assembly(t: Tables) -> DataFrame:
     amounts = rows.select(F.col("line_key").alias("quantity_key"), F.col("l_quantity").alias("value"), F.lit("m").alias("unit"))
     k, price = F.col("p_partkey"), F.col("p_retailprice")
     entries = t.part.select(F.inline(_struct_array({"kind": "rate", "entry_key": k, "value": price, "unit": "m"}, {"kind": "material", "entry_key": k + 100000000, "value": price, "unit": "m"}, {"kind": "assumption", "entry_key": k + 200000000, "value": price, "unit": "m"})))
-    found = estimate.assemble_lines(lines, amounts, entries).join(rows.select("line_key", "m"), "line_key")
+    n = rows.count()
+    met = tables.dealt(rows.select("line_key", "m"), n, "line_key")
+    found = tables.dealt(estimate.assemble_lines(lines, amounts, entries), n, "line_key").join(met.hint("merge"), "line_key")
     return found.groupBy("m", "status").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 

@@ -50,6 +50,11 @@ def tasks_for(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_TASK))
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by the keys over as many tasks as so many rows need, so that a task's share doesn't grow with the table."""
+    return df.repartition(tasks_for(rows), *keys)
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     """Remove written tables that no later step reads."""
     for path in paths:

@@ -1,9 +1,11 @@
 """Queries and joins on tables whose rows grow while their places, groups or types stay."""
 
 import random
+import re
 
 from plumbline import registry
 from plumbline.operators import catalog, graph, rails, spatial, stacks, takeoff
+from plumbline.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +136,11 @@ def test_equal_boxes_meet_windows_once(spark):
     got = {r["e"]: (r["viewports"], r["on_sheet"]) for r in found.collect()}
     assert got == {e: (listed(e % 5), None if e % 5 == 0 else True) for e in range(1000)} | {1000: ([w for w in range(100) if w % 4 == 0], True)}
     assert "HashAggregate(keys=[__min_x" in _plan(found)
+
+
+def test_tasks_of_changesets_and_estimates_follow_the_rows(spark, monkeypatch):
+    """A hundred rows for a task: more tasks than the session's four, whatever its shuffle partitions are."""
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 100)
+    for name in ("changeset_properties", "estimate_assembly"):
+        dealt = [int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\)", _plan(registry.queries()[name](spark, SF)))]
+        assert sum(n > 10 for n in dealt) >= 4, (name, dealt)
