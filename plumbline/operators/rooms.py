@@ -56,7 +56,8 @@ def entities_in_room(entities: DataFrame, rooms: DataFrame, room_id: Column | st
     asked = rooms.where(F.col("room_id") == room_id)
     box = lambda f, c: f(F.transform(F.col("ring"), lambda p: p[c]))
     near = asked.select(*group, F.struct(box(F.array_min, "x").alias("min_x"), box(F.array_min, "y").alias("min_y"), box(F.array_max, "x").alias("max_x"), box(F.array_max, "y").alias("max_y")).alias("box"))
-    some = in_boxes(at, near, cell, group).select(*group, entity_id, "x", "y").distinct()
+    with Scratch(rooms.sparkSession) as s:
+        some = s.table(in_boxes(at, near, cell, group).select(*group, entity_id, "x", "y").distinct(), "points", keep=True)
     return smallest_room(some, rooms, cell, entity_id, group=group).where(F.col("room_id") == room_id).select(*group, "room_id", entity_id)
 
 

@@ -108,10 +108,12 @@ def smallest_room(points: DataFrame, rooms: DataFrame, cell: float, point_id: st
     """The smallest room (area, then id) whose ring contains the point, its boundary included; null outside all rooms.
 
     Points meet rooms by their boxes; rings are fetched for those that meet, so a ring isn't copied for each of its cells.
-    Where a cell lists many rooms, they are tried by size in rounds, and a place that has a room meets no larger ones.
+    Rooms are written first, since they are read several times. Where a cell lists many rooms, they are tried by size in rounds, and a place that has a room meets no larger ones.
     """
     one = [*group, point_id]
-    boxed = rooms.select(*group, room, "area", ring_box(F.col("ring")).alias("box"))
+    with Scratch(rooms.sparkSession) as s:
+        rooms = s.table(rooms.select(*group, room, "area", "ring", ring_box(F.col("ring")).alias("box")), "rooms", keep=True)
+    boxed = rooms.select(*group, room, "area", "box")
     lists = [*group, "__level", "__cx", "__cy"]
     if not boxes_at(boxed, cell).groupBy(*lists).count().where(F.col("count") > ROOMS_AT_ONCE).isEmpty():
         best = _rooms_by_size(_places(points, group), boxed, rooms.select(*group, room, "ring"), cell, room, group)

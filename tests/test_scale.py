@@ -144,3 +144,12 @@ def test_tasks_of_changesets_and_estimates_follow_the_rows(spark, monkeypatch):
     for name in ("changeset_properties", "estimate_assembly"):
         dealt = [int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\)", _plan(registry.queries()[name](spark, SF)))]
         assert sum(n > 10 for n in dealt) >= 4, (name, dealt)
+
+
+def test_rooms_of_points_are_made_once(spark):
+    """Rooms with an expensive ring: the result reads what was written, not the rooms' own plan."""
+    rooms = spark.range(50).selectExpr("id AS room_id", "transform(array(0, 1, 2, 3), i -> named_struct('x', id + (i % 2) * 1D, 'y', floor(i / 2) * 1D)) AS ring", "1D AS area")
+    points = spark.range(50).selectExpr("id AS p", "id + 0.25D AS x", "0.1D AS y")
+    held = spatial.smallest_room(points, rooms, 4.0, "p")
+    assert held._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 50") == 2
+    assert held.count() == 50
