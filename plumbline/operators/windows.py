@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.sources.tables import Scratch
 from plumbline.sources.workers import ready_workers
 
 #: Rounds whose results are one plan's union; then they are written as one table.
 PLAN_STEPS = 16
+#: The first rows of a group, whose names one task holds; rows after them take names in rounds of joins.
+PASS_ROWS = 10_000
 
 
 def _by(group: Sequence[str], order: Sequence[str | Column]):
@@ -141,22 +144,64 @@ def numbered_ids(rows: DataFrame, group: Sequence[str], order: Sequence[str], pr
     return rows.withColumn(into, F.concat(F.lit(prefix), (F.row_number().over(_by(group, order)) - 1).cast("string")))
 
 
+def _in_one_pass(asking: DataFrame, kept: Sequence[str], most: int) -> DataFrame:
+    """(kept, __place, __names, __name): rows up to place ``most`` of their group with a name; later ones keep their place and names.
+
+    A group's rows lie together in order of ``__place``, as the window that counts it leaves them; the task holds the names of
+    one group's first rows.
+    """
+    ready_workers(asking.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, suffixes = set(), {}
+        for batch in batches:
+            places, asks, found = batch.column("__place").to_pylist(), batch.column("__names").to_pylist(), []
+            for place, names in zip(places, asks):
+                if place == 1:
+                    taken, suffixes = set(), {}
+                name = None
+                if place <= most:
+                    name = next((x for x in names if x not in taken), None)
+                    if name is None and (base := names[-1]) is not None:
+                        i = suffixes.get(base, 1)
+                        while (name := f"{base}-{i}") in taken:
+                            i += 1
+                        suffixes[base] = i + 1
+                    if name is not None:
+                        taken.add(name)
+                found.append(name)
+            late = [p if p > most else None for p in places]
+            left = [x if p > most else None for p, x in zip(places, asks)]
+            arrays = [pa.array(late, pa.int32()), pa.array(left, pa.list_(pa.string())), pa.array(found, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *arrays], names=[*kept, "__place", "__names", "__name"])
+
+    told = [T.StructField("__place", T.IntegerType()), T.StructField("__names", T.ArrayType(T.StringType())), T.StructField("__name", T.StringType())]
+    schema = T.StructType([asking.schema[c] for c in kept] + told)
+    return asking.mapInArrow(run, schema)
+
+
 def unique_references(
     rows: DataFrame, group: Sequence[str], order: Sequence[str], candidates: Sequence[str], prefix: str, sequence: str, into: str = "unique_ref"
 ) -> DataFrame:
     """Each row's first candidate that no earlier row of its group took, else ``prefix-000001`` by its sequence number,
     with -1, -2, ... appended while that is taken. Null and blank candidates are passed over. References are unique in a
-    group; only a candidate that looks like another row's number with a suffix may go to a later row than in order.
+    group; only a candidate that looks like another row's number with a suffix may go to a later row than in order, and
+    that only behind a group's first ``PASS_ROWS`` rows.
 
-    Rows take in rounds: a row gets the name it asks for where no earlier pending row has that name among those it
-    may still ask for, and asks for its next one where the name is gone. Rounds end when all rows have one.
+    These first rows get their names in one pass over the sorted rows. Later ones take in rounds: a row gets the name it asks
+    for where no earlier pending row has that name among those it may still ask for, and asks for its next one where the
+    name is gone. Rounds end when all rows have one.
     """
     names = F.filter(F.transform(F.array(*[F.col(c).cast("string") for c in candidates]), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     base = F.concat(F.lit(f"{prefix}-"), F.lpad(F.col(sequence).cast("string"), 6, "0"))
-    place = F.row_number().over(_by(group, order))
+    asking = rows.withColumn("__names", F.array_append(names, base)).withColumn("__place", F.row_number().over(_by(group, order)))
     with Scratch(rows.sparkSession) as s:
-        first_plan = rows.withColumn("__place", place).withColumn("__names", F.array_append(names, base)).withColumn("__extra", F.lit(0))
-        pending, named, rounds = s.table(first_plan, "refs"), None, 0
+        passed = s.table(_in_one_pass(asking, rows.columns, PASS_ROWS), "refs")
+        pending = passed.where("__place is not null").drop("__name").withColumn("__extra", F.lit(0))
+        named, rounds = passed.where("__place is null").select(*rows.columns, "__name"), 0
+        if pending.isEmpty():
+            s.kept.update(s.paths)
+            return named.withColumnRenamed("__name", into)
         while not pending.isEmpty():
             ask = F.when(F.size("__names") > 0, F.get("__names", F.lit(0))).otherwise(F.concat(base, F.lit("-"), F.col("__extra").cast("string")))
             asked = pending.withColumn("__name", ask)
@@ -165,21 +210,18 @@ def unique_references(
             first = claims.groupBy(*group, "__name").agg(F.min("__place").alias("__first"))
             met = asked.join(first, [*group, "__name"]).withColumn("__own", F.when(F.size("__names") == 0, own).otherwise(F.col("__name")))
             met = met.join(first.withColumnsRenamed({"__name": "__own", "__first": "__before"}), [*group, "__own"]).drop("__own")
-            gone = F.lit(False)
-            if named is not None:
-                met = met.join(named.select(*group, "__name", F.lit(True).alias("__taken")), [*group, "__name"], "left")
-                gone = F.coalesce("__taken", F.lit(False))
+            met = met.join(named.select(*group, "__name", F.lit(True).alias("__taken")), [*group, "__name"], "left")
+            gone = F.coalesce("__taken", F.lit(False))
             met = met.withColumn("__won", ~gone & (F.col("__first") == F.col("__place")) & (F.col("__before") == F.col("__place"))).withColumn("__gone", gone)
             step = s.table(met.drop("__first", "__before", "__taken"), "refs")
-            won = step.where("__won").select(*rows.columns, "__name")
-            named, rounds = won if named is None else named.union(won), rounds + 1
+            named, rounds = named.union(step.where("__won").select(*rows.columns, "__name")), rounds + 1
             if rounds % PLAN_STEPS == 0:
                 named = s.table(named, "named")
             shorter = F.when(F.col("__gone"), F.slice("__names", 2, F.greatest(F.size("__names") - 1, F.lit(0)))).otherwise(F.col("__names"))
             spent = F.when(F.col("__gone") & (F.size("__names") <= 1), F.col("__extra") + 1).otherwise(F.col("__extra"))
             rest = step.where("not __won").withColumn("__more", shorter).withColumn("__spent", spent).drop("__names", "__extra", "__name", "__won", "__gone")
             pending = rest.withColumnsRenamed({"__more": "__names", "__spent": "__extra"})
-        result = s.table(rows.withColumn("__name", F.lit(None).cast("string")) if named is None else named, "named", keep=True)
+        result = s.table(named, "named", keep=True)
     return result.withColumnRenamed("__name", into)
 
 

@@ -301,6 +301,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN n = 1 THEN l_returnflag WH
 def unique_references_by_order(t: Tables) -> DataFrame:
     """The first candidate of a row that no earlier row took, else its sequence name."""
     rows = diff.resequenced(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "r").withColumn("r", F.col("r") + 1)
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "r")
     found = unique_references(rows, ["l_orderkey"], ["r"], ["l_returnflag", "l_linestatus"], "line", "r")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "unique_ref")
 

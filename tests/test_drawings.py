@@ -71,6 +71,20 @@ def test_references_are_unique(spark):
     assert windows.unique_references(df.limit(0), ["g"], ["o"], ["a"], "e", "s").count() == 0
 
 
+def test_references_of_groups_that_a_pass_holds_are_written_once(spark, monkeypatch):
+    r = random.Random(2)
+    items = [(g, i, r.choice("ab"), r.choice([None, "q", " a "]), i % 5) for g in range(3) for i in range(12)]
+    df = spark.createDataFrame(r.sample(items, len(items)), "g int, o int, a string, b string, s int")
+    made, table = [], windows.Scratch.table
+    monkeypatch.setattr(windows.Scratch, "table", lambda self, df, name, *more, **named: made.append(name) or table(self, df, name, *more, **named))
+    for most in (windows.PASS_ROWS, 12, 5, 0):
+        made.clear()
+        monkeypatch.setattr(windows, "PASS_ROWS", most)
+        got = {(x["g"], x["o"]): x["unique_ref"] for x in windows.unique_references(df, ["g"], ["o"], ["a", "b"], "e", "s").collect()}
+        assert got == in_order(items), most
+        assert (len(made) == 1) == (most >= 12)
+
+
 def covered(segment, band, buffer=0.011, n=20000):
     """Share of a segment inside a grown rectangle, by sampling."""
     (x0, y0, x1, y1), (x, y, w, h) = segment, band
