@@ -43,7 +43,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies: five-word shingles, Jaccard similarity 0.8 and more."""
+    """The smallest doc_id of each group of near copies: five-word shingles, SimHash blocks and MinHash bands, Jaccard similarity 0.8 and more."""
     return near_copies.keep_one(docs)
 
 

@@ -1,12 +1,14 @@
-"""Near copies by Jaccard similarity of word shingles: banded MinHash for candidates, every candidate pair verified.
+"""Near copies by Jaccard similarity of word shingles: SimHash and banded MinHash for candidates, every candidate pair verified.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. Two texts are near copies
 when the sets of their ``SHINGLE``-word shingles (a shorter text is one shingle) have a Jaccard
 similarity of at least ``similarity``; groups are the connected components of such pairs.
 
-Candidates agree in all ``ROWS`` minima of one of ``BANDS`` bands. A pair at similarity s is a candidate
-with probability 1 - (1 - s^4)^16: 0.9998 at 0.8, more above. Every pair that meets in a bucket is compared
-by its whole shingle sets. A bucket over ``TILE`` members is dealt into slots, and each pair of slots is
+Candidates come from operator 7's SimHash: fingerprints of the shingle sets meet where they agree in two of four
+blocks, as all that differ in two bits or fewer do. At similarity 0.8 fingerprints differ in 10 bits on average, and no
+choice of blocks that stays selective reaches that far. So candidates are also those that agree in all ``ROWS`` minima
+of one of ``BANDS`` bands: a pair at similarity s with probability 1 - (1 - s^4)^16, 0.9998 at 0.8, more above. Every
+pair that meets in a bucket of either kind is compared by its whole shingle sets. A bucket over ``TILE`` members is dealt into slots, and each pair of slots is
 a tile of its own, so that no task holds a bucket and a set is copied once for each slot, not for each pair;
 the comparisons of one bucket still grow with the square of its members.
 
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
+from plumbline.llm import simhash
 from plumbline.llm.common import Scratch, map_column, ready_workers, written
 from plumbline.operators.graph import min_label_components
 
@@ -41,6 +44,10 @@ CACHE = 1 << 18
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 _XOR, _TIMES = _SEEDS[0][:, None], (_SEEDS[1] | np.uint64(1))[:, None]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Pairs of 16-bit blocks of a fingerprint.
+_BLOCKS = np.array(simhash.block_masks(4, 2), np.uint64)
+#: Keys of a text.
+KEYS = len(_BLOCKS) + BANDS
 
 
 def _mixed(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
@@ -79,16 +86,21 @@ def bands(found: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def blocks(found: np.ndarray) -> np.ndarray:
+    """One key for each pair of blocks of a shingle set's SimHash fingerprint."""
+    return (np.uint64(simhash.majority(found)) & _BLOCKS).view(np.int64)
+
+
 def marks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, node, bands) and (node, text); node is a hash of the text."""
+    """(id, node, keys) and (node, text); node is a hash of the text, keys those of its fingerprint and its bands."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
     def make():
         cache: dict = {}
-        return lambda texts: [[bands(shingles(t, cache)) for t in texts]]
+        return lambda texts: [[np.concatenate((blocks(x), bands(x))) for x in (shingles(t, cache) for t in texts)]]
 
-    return map_column(named, "text", make, [T.StructField("bands", T.ArrayType(T.LongType()))], ["id", "node"]), named.select("node", "text")
+    return map_column(named, "text", make, [T.StructField("keys", T.ArrayType(T.LongType()))], ["id", "node"]), named.select("node", "text")
 
 
 def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -123,10 +135,10 @@ def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
 
 def tiles(s: Scratch, nodes: DataFrame, n: int, tile: int = TILE) -> DataFrame:
     """(t, node): which of the n nodes are to be compared with each other; buckets with the same members are one tile."""
-    members = nodes.select("node", F.posexplode("bands").alias("b", "k"))
+    members = nodes.select("node", F.posexplode("keys").alias("b", "k"))
     # Written, so that the join with a large bucket's members is an exchange on both sides, which Spark can split.
-    sizes = s.table(members.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1"), "buckets", rows=n * BANDS)
-    met = s.table(members.join(sizes, ["b", "k"]), "members", rows=n * BANDS)
+    sizes = s.table(members.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1"), "buckets", rows=n * KEYS)
+    met = s.table(members.join(sizes, ["b", "k"]), "members", rows=n * KEYS)
     small = met.where(F.col("n") <= tile).groupBy("b", "k").agg(F.sort_array(F.collect_list("node")).alias("m")).select("m").distinct()
     small = small.select(F.sha2(F.concat_ws(" ", F.col("m").cast("array<string>")), 256).alias("t"), F.explode("m").alias("node"))
     slots = F.ceil(F.col("n") / F.lit(tile / 2))
@@ -173,9 +185,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, similarity: float, tile
     found, texts = marks(docs, id_col, text_col)
     with Scratch(docs.sparkSession) as s:
         marked = s.table(found, "marks", keep=True)
-        nodes = s.table(marked.groupBy("node").agg(F.min(_place("id")).alias("low"), F.first("bands").alias("bands")), "nodes")
+        nodes = s.table(marked.groupBy("node").agg(F.min(_place("id")).alias("low"), F.first("keys").alias("keys")), "nodes")
         n = nodes.count()
-        links = near_links(s, nodes.select("node", "bands"), n, texts, similarity, tile)
+        links = near_links(s, nodes.select("node", "keys"), n, texts, similarity, tile)
         parts = min_label_components(links)
         rooted = nodes.join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
         rooted = s.table(rooted, "rooted", keep=True, rows=n)

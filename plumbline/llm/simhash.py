@@ -46,7 +46,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(shingle, len(words))
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype="<u8")
+    return majority(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of some 64-bit hashes set."""
+    hashes = np.ascontiguousarray(hashes, "<u8")
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[i : i + CHUNK].view(np.uint8), bitorder="little")
@@ -67,7 +72,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_column(docs, text_col, make, [T.StructField("fp", T.LongType())], [id_col, *keep])
 
 
-def _block_masks(blocks: int, shared: int) -> list[int]:
+def block_masks(blocks: int, shared: int) -> list[int]:
+    """The bits of each choice of so many shared blocks."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     wide = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
     return [sum(wide[i] for i in pick) for pick in combinations(range(blocks), shared)]
@@ -89,7 +95,7 @@ def close_links(
         raise ValueError("the exact way for crowded buckets holds for two bits only")
     if not 3 <= blocks <= 16:
         raise ValueError("blocks must be 3 to 16")
-    masks = _block_masks(blocks, blocks - max_bits)
+    masks = block_masks(blocks, blocks - max_bits)
     keys = F.array(*[F.struct(F.lit(i).alias("b"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])
     members = distinct.select("fp", F.explode(keys).alias("x")).select("fp", "x.b", "x.k")
     sizes = members.groupBy("b", "k").agg(F.count("*").alias("n")).where("n > 1")

@@ -2,8 +2,10 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -314,6 +316,29 @@ def test_near_dedup_drops_planted_near_copies(spark, make_docs, odd_rows):
     assert left.columns == odd.columns and Counter(x["doc_id"] for x in left.collect()) == Counter([1, 4, 5, 8, 10, 10, None, 11, 12])
 
 
+def test_near_dedup_takes_candidates_from_simhash(spark, make_docs, monkeypatch):
+    r = random.Random(19)
+    base = [f"w{r.randrange(4000)}" for _ in range(5000)]
+    texts = [base, [*base[:-1], "changed"], [*base[:700], "put", *base[700:]], [f"w{r.randrange(4000)}" for _ in range(5000)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    prints = [simhash.majority(near_copies.shingles(t)) for _, t in rows]
+    assert all((prints[0] ^ p).bit_count() <= 2 for p in prints[1:3])
+    monkeypatch.setattr(near_copies, "bands", lambda found: np.full(16, zlib.crc32(found.tobytes())))  # no two texts agree in one
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, make_docs(rows), SF).collect()} == {0, 3}
+
+
+def test_fingerprints_within_two_bits_share_blocks():
+    r = np.random.default_rng(3)
+    for bits in ([], [5], [0, 63], [15, 16], [31, 47]):
+        fp = int(r.integers(0, 1 << 63))
+        other = fp
+        for b in bits:
+            other ^= 1 << b
+        assert simhash.majority(np.array([fp], np.uint64)) == fp
+        keys = near_copies.blocks(np.array([fp], np.uint64)), near_copies.blocks(np.array([other], np.uint64))
+        assert (keys[0] == keys[1]).any()
+
+
 def test_language_stage_drops_unlearned_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     r = random.Random(17)
