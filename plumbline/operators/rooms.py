@@ -7,14 +7,19 @@ naming, number and name. Ties go to the smallest area, then id. Rows without coo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.scalars import inside_ring, ring_area, room_number
+from plumbline.operators import room_arrays
+from plumbline.operators.arrays import IN_A_TASK, LARGE, of_drawings, passes
 from plumbline.operators.normalize import valid_polygon
 from plumbline.operators.spatial import in_boxes, nearest_within, ring_box, smallest_room, split_by_rings, within_radius
 from plumbline.sources.tables import Scratch
+from plumbline.sources.workers import ready_workers
 
 #: Most rounds of a pairing that are one plan's union; then they are written as one table.
 PLAN_STEPS = 16
@@ -109,7 +114,7 @@ def assigned(points: DataFrame, rooms: DataFrame, anchors: DataFrame, cell: floa
 
 
 def room_pipeline(
-    candidates: DataFrame, labels: DataFrame, devices: DataFrame, zones: DataFrame, cell: float, name_radius: float, device_radius: float, group: Sequence[str]
+    candidates: DataFrame, labels: DataFrame, devices: DataFrame, zones: DataFrame, cell: float, name_radius: float, device_radius: float, group: Sequence[str], most: int = IN_A_TASK
 ) -> tuple[DataFrame, DataFrame]:
     """(rooms, devices) of drawings: strategy, zones, names, label rooms, device assignment and review flags.
 
@@ -117,7 +122,52 @@ def room_pipeline(
     text) inside a zone's box are left out. Polygon rooms take number and name from the labels in them; number labels in no room
     are rooms of their own, unless a polygon has their number. Devices (device_id, x, y) go to the smallest room that
     holds them, else to the nearest label room. A number that several polygons have sends them to review.
+
+    Rows are dealt by drawing once and a drawing of at most ``most`` of them is done over arrays within a task (``room_arrays``). Larger ones, label ids that
+    are neither whole numbers nor texts, and devices with other columns go through joins.
     """
+    keys, joins = list(group), (cell, name_radius, device_radius, group)
+    plain = isinstance(labels.schema["label_id"].dataType, (T.IntegralType, T.StringType)) and set(devices.columns) == {*keys, "device_id", "x", "y"} and len(keys)
+    if not plain:
+        return room_pipeline_in_joins(candidates, labels, devices, zones, *joins)
+    ready_workers(candidates.sparkSession)
+    real = lambda c, name: c.cast("double").alias(name)
+    known = lambda c: (F.col(c) if c in candidates.columns else F.lit(None)).cast("string").alias(c)
+    kind = lambda k: F.lit(k).alias("__k")
+    sides = [F.transform("ring", lambda p: p[v].cast("double")).alias(f"{v}s") for v in "xy"]
+    place = [real(F.col(v), v) for v in "xy"]
+    parts = [
+        candidates.select(*keys, kind(room_arrays.ROOM), "room_id", "rank", real(F.col("area"), "area"), *sides, "source", known("number"), known("name")),
+        labels.select(*keys, kind(room_arrays.LABEL), "label_id", *place, room_number(F.col("text")).alias("number"), F.trim("text").alias("name")),
+        devices.select(*keys, kind(room_arrays.DEVICE), "device_id", *place),
+        zones.select(*keys, kind(room_arrays.ZONE), *[real(F.col(f"box.{b}_{v}"), name) for b, v, name in (("min", "x", "x"), ("min", "y", "y"), ("max", "x", "x1"), ("max", "y", "y1"))]),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition(*keys).sortWithinPartitions(*keys)
+    type_of = lambda df, c: df.schema[c].dataType.simpleString()
+    own = [f"`{k}` {type_of(candidates, k)}" for k in keys]
+    made = f"{', '.join(own)}, __o int, room_id {type_of(candidates, 'room_id')}, label_id {type_of(labels, 'label_id')}, device_id {type_of(devices, 'device_id')}, x double, y double, number string, name string, source string, needs_review boolean"
+    with Scratch(candidates.sparkSession) as s:
+        work = partial(room_arrays.match, keys=keys, name_radius=name_radius, device_radius=device_radius)
+        out = s.table(rows.mapInArrow(passes(keys, most, room_arrays.fields, work), made), "pipeline", keep=True)
+        large = out.where(F.col("__o") == LARGE).select(*keys)
+        of = lambda k: out.where(F.col("__o") == k)
+        by_label = F.concat(F.lit("label-"), F.col("label_id").cast("string"))
+        polygon = F.col("room_id").isNotNull()
+        found = of(room_arrays.ROOM).select(*keys, F.col("room_id").cast("string").alias("room"), "number", "name", "source", "needs_review")
+        found = found.union(of(room_arrays.LABEL).select(*keys, by_label, "number", "name", F.lit("label"), F.lit(False)))
+        basis = F.when(polygon, "polygon").when(F.col("label_id").isNotNull(), "label").otherwise("unassigned")
+        given = [F.col(c).cast(devices.schema[c].dataType).alias(c) for c in devices.columns]
+        placed = of(room_arrays.DEVICE).select(*given, F.coalesce(F.col("room_id").cast("string"), by_label).alias("room"), basis.alias("basis"))
+        if large.isEmpty():
+            return found, placed
+        rest = room_pipeline_in_joins(*[of_drawings(df, large, keys) for df in (candidates, labels, devices, zones)], *joins)
+        return found.union(rest[0]), placed.union(rest[1].select(placed.columns))
+
+
+def room_pipeline_in_joins(
+    candidates: DataFrame, labels: DataFrame, devices: DataFrame, zones: DataFrame, cell: float, name_radius: float, device_radius: float, group: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """``room_pipeline`` in joins, for drawings of any size."""
     polygons = first_strategy(candidates, group, "rank")
     inside = in_boxes(labels, zones.select(*group, "box"), cell, group).select(*group, "label_id").distinct()
     clean = labels.join(inside, [*group, "label_id"], "left_anti")

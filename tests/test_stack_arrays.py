@@ -1,12 +1,13 @@
 """The stack matching over arrays against the one in joins, and its pass over batches."""
 
 import random
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plumbline.operators import stack_arrays, stacks
+from plumbline.operators import arrays, stack_arrays, stacks
 from plumbline.sources.tables import Scratch
 
 TAGS = "job int, rev string, tag_id string, x double, y double, service string, size int, kind string"
@@ -65,8 +66,8 @@ def test_batches_of_any_size_give_the_same(spark, monkeypatch):
     tolerances = stacks.Tolerances()
 
     def run(held, batch, most):
-        monkeypatch.setattr(stack_arrays, "ROWS", held)
-        out = pa.Table.from_batches(stack_arrays.passes(KEYS, tolerances, most)(iter(table.combine_chunks().to_batches(batch))))
+        monkeypatch.setattr(arrays, "ROWS", held)
+        out = pa.Table.from_batches(arrays.passes(KEYS, most, stack_arrays.fields, partial(stack_arrays.match, tolerances=tolerances, keys=KEYS))(iter(table.combine_chunks().to_batches(batch))))
         return sorted(map(repr, out.to_pylist()))
 
     monkeypatch.setattr(stack_arrays, "MET", 3)
