@@ -78,6 +78,18 @@ def test_batches_of_any_size_give_the_same(spark, monkeypatch):
     assert len(large) == len(set(large)) == sizes > 0
 
 
+def test_many_stacks_and_readings_that_say_the_same_go_through_joins(spark, monkeypatch):
+    tags = [(1, "a", f"t{k}{i}", 30.0 * k, 1.0 * i, s, 50, None) for k in range(16) for i, s in enumerate(("SA", "EA"))] + [(1, "b", "t", 0.0, 0.0, "SA", 1, None), (1, "b", "u", 0.0, 1.0, "EA", 1, None)]
+    headers = [(1, rev, k, "top to bottom", 30.0 * k, -0.3) for rev, n in (("a", 16), ("b", 1)) for k in range(n)]
+    box = lambda x, y: [(0.0, y), (x, y), (x, y + 0.2), (0.0, y + 0.2)]
+    bands = [(1, "a", c, box(10.0 + 0.5 * i, 9.0 * i + y)) for i in range(30) for c, y in (("red", 0.0), ("blue", 0.3))] + [(1, "b", c, box(x, y)) for x in (10.0, 11.0) for c, y in (("red", 0.0), ("blue", 0.3))]
+    tables = [spark.createDataFrame(v, t) for v, t in ((tags, TAGS), (headers, HEADERS), (bands, BANDS))]
+    joined, by_joins = [], stacks.match_large_stacks
+    monkeypatch.setattr(stacks, "match_large_stacks", lambda *a: joined.append(a[0].select("rev").distinct().collect()) or by_joins(*a))
+    assert told(stacks.match_stacks(*tables, 4.0, KEYS)) == told(by_joins(*tables, 4.0, KEYS))
+    assert [[r["rev"] for r in rows] for rows in joined] == [["a"]]
+
+
 def test_lines_keep_their_distance_from_the_last_kept():
     g, at, number = stack_arrays._lines(np.array([0, 0, 0, 0, 1, 0]), np.array([0.0, 2.0, 1.0, 5.0, 1.0, 3.0]), 1.5)
     assert list(zip(g, at, number)) == [(0, 0.0, 1), (0, 2.0, 2), (0, 5.0, 3), (1, 1.0, 1)]
